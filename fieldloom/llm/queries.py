@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, mixing, sharding, simhash, token_counts
+from . import byte_bpe, exact_dedup, mixing, sharding, simhash, token_counts, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,12 @@ ORACLE_SQL["op8_mixing"] = mixing.MIX_SQL
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = warc.capture_histories(table(spark, sf_dir, "pages"))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op1_warc"] = warc.WARC_SQL
