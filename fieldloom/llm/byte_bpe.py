@@ -140,6 +140,11 @@ class ByteBpe:
         return self.blob[shift].tobytes()
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.empty(0, np.int64)]), pa.int32()))
+
+
 def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", keep: str = "digests") -> DataFrame:
     """Encodes whole texts and decodes them again by the kept offsets.
 
@@ -166,13 +171,13 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
                     a.append(hashlib.sha256(packed).hexdigest())
                     b.append(hashlib.sha256(decoded).hexdigest())
                 else:
-                    a.append(ids.tolist())
-                    b.append(offsets.tolist())
+                    a.append(ids)
+                    b.append(offsets)
                     c.append(decoded)
             if digests:
                 rest = {"ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
             else:
-                rest = {"ids": pa.array(a, pa.list_(pa.int32())), "offsets": pa.array(b, pa.list_(pa.int32())), "decoded": pa.array(c, pa.binary())}
+                rest = {"ids": _lists(a), "offsets": _lists(b), "decoded": pa.array(c, pa.binary())}
             columns = {id_col: batch.column(0), "n_tokens": pa.array(n, pa.int64())} | rest
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 

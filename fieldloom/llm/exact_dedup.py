@@ -77,6 +77,22 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.select(id_col, F.col(f"keep.{id_col}").alias("keep_id"), "group_size", (F.col("keep.row_id") == F.col("row_id")).alias("kept"), "text_sha256")
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that deduplicate() keeps.
+
+    Where ids are unique, rows are dropped by id alone. Otherwise id and normalised text decide, and of rows that
+    repeat both one stays."""
+    found = stage(deduplicate(docs, id_col, text_col), "dedup")
+    same_id = lambda a, b: a[id_col].eqNullSafe(b[id_col])
+    if not found.groupBy(id_col).count().where("count > 1").limit(1).count():
+        gone = found.where("NOT kept").select(id_col)
+        return docs.join(gone, same_id(docs, gone), "left_anti")
+    gone = found.groupBy(id_col, "text_sha256").agg(F.max("kept").alias("kept")).where("NOT kept").select(id_col, F.col("text_sha256").alias("_sha"))
+    rows = docs.withColumn("_sha", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    rows = rows.join(gone, same_id(rows, gone) & (rows["_sha"] == gone["_sha"]), "left_anti")
+    return rows.dropDuplicates([id_col, "_sha"]).drop("_sha")
+
+
 EXACT_DEDUP_SQL = """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,

@@ -220,3 +220,20 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 
     return docs.select(id_col, held_out.alias("held_out"), text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, min_score: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, whose language is known with at least min_score; null, empty and letterless texts go.
+
+    The network is trained as in identify(). Rows are judged where they are, without a shuffle."""
+    held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    windows = sample_windows(docs, held_out, id_col, text_col, lang_col)
+    net = train(windows) if windows else None
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores = classify(net, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([lang != UNKNOWN and s >= min_score for lang, s in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema) if net else docs.limit(0)

@@ -83,6 +83,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     return placed.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs, all columns, each as often as mix() takes it. Rows that share an id are taken equally often."""
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).groupBy(id_col).agg(F.max("copies").alias("_copies"))
+    taken = stage(taken.where("_copies > 0"), "mix-copies").withColumnRenamed(id_col, "_taken")
+    rows = docs.join(taken, docs[id_col].eqNullSafe(taken["_taken"]))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+
+
 MIX_SQL = r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),

@@ -117,3 +117,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = stage(nodes.join(found, "fp", "left").select("fp", F.coalesce("label", "node").alias("component_id")), "components")
     labels = labels.withColumn("component_id", F.when(F.col("component_id") < (1 << 63) - 1, F.col("component_id")))
     return prints.join(labels, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that have the smallest id of their component of near_duplicates()."""
+    found = near_duplicates(docs, id_col, text_col)
+    gone = stage(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct(), "near-copies")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[id_col]), "left_anti")
