@@ -10,18 +10,19 @@ Both steps send a fixed number of rows per distinct fingerprint; no pairs within
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stage
 
 SEED, SHINGLE = 42, 3
-BITS, SEGMENTS = 64, 16
+BITS, SEGMENTS = 64, 32
 
 
 def fingerprint(text: str | None) -> int:
@@ -55,15 +56,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
-def grid_points(fp: str, segments: int = SEGMENTS):
-    """The fingerprint's point on the grid of bit counts, and the points at distance 1; a coordinate takes a fixed number of bits."""
+def grid_points(fp: str, segments: int = SEGMENTS) -> Column:
+    """Numbers of the fingerprint's point on the grid of bit counts, and of the points at distance 1.
+
+    A point's number is a weighted sum of its coordinates. With fixed random weights different points seldom share one;
+    where they do, there is a candidate more to verify. Many narrow segments keep chance candidates rare at any size:
+    with 32 segments two random fingerprints meet with a probability of about 2e-11."""
     width = BITS // segments
-    room = (width + 2).bit_length()  # counts run from -1 to width + 1, stored one higher
-    if room * segments > 63:
-        raise ValueError("too many segments for a 64-bit grid point")
+    rng = random.Random(64)
+    weights = [rng.randrange(1 << 50, 1 << 56) | 1 for _ in range(segments)]  # 64 bits in all: sums stay below 2^63
     mask = (1 << width) - 1
-    point = " + ".join(f"shiftleft(cast(bit_count(shiftrightunsigned({fp}, {width * i}) & {mask}L) + 1 as bigint), {room * i})" for i in range(segments))
-    beside = ", ".join(f"{1 << room * i}L, -{1 << room * i}L" for i in range(segments))
+    point = " + ".join(f"bit_count(shiftrightunsigned({fp}, {width * i}) & {mask}L) * {w}L" for i, w in enumerate(weights))
+    beside = ", ".join(f"{w}L, -{w}L" for w in weights)
     return F.expr(f"transform(array(0L, {beside}), d -> d + ({point}))")
 
 
