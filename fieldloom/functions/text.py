@@ -79,7 +79,7 @@ def time_format_utc(seconds: Column | str, pattern: str = "yyyy/MM/dd HH:mm", sh
 
 def group_tokens(c: Column | str) -> Column:
     """The names in a group field, which commas of either kind or bars separate."""
-    return F.filter(F.transform(F.split(F.coalesce(_c(c), F.lit("")), r"[,，|]"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(_c(c), F.lit("")), r"[,，|]"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def base64_encode(c: Column | str, url_safe: bool = False, padding: bool = True) -> Column:

@@ -150,9 +150,9 @@ def _strings(value: Any) -> Iterator[str]:
 
 
 def _leaf_strings(raw: Column) -> Column:
-    """All strings anywhere in a JSON record: string tokens that no colon follows are values."""
-    tokens = F.regexp_extract_all(raw, F.lit(r'"((?:[^"\\]|\\.)*)"(?!\s*:)'), F.lit(1))
-    return F.transform(tokens, lambda t: F.get_json_object(F.concat(F.lit('{"s":"'), t, F.lit('"}')), "$.s"))
+    """All string values anywhere in a JSON record: string tokens, without those that a colon makes keys."""
+    tokens = F.regexp_extract_all(raw, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
+    return F.transform(F.filter(tokens, lambda t: t.endswith('"')), lambda t: F.get_json_object(F.concat(F.lit('{"s":'), t, F.lit("}")), "$.s"))
 
 
 def compatibility_report(sources: DataFrame, raw: str = "raw") -> DataFrame:
