@@ -11,9 +11,10 @@ def deduplicated(events: DataFrame, key: str = "event_id", time: str = "ts", del
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def windowed_history(events: DataFrame, by: str = "user_id", time: str = "ts", value: str = "value", window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Per reader and window: count, last reading and sum; late events beyond the delay are left out."""
-    return events.withWatermark(time, delay).groupBy(F.window(time, window), by).agg(F.count("*").alias("n"), F.max(time).alias("last_read"), F.sum(value).alias("total")).select(F.col("window.start").alias("window_start"), by, "n", "last_read", "total")
+def windowed_history(events: DataFrame, by: str = "user_id", time: str = "ts", value: str = "value", window: str = "1 hour", delay: str | None = "10 minutes") -> DataFrame:
+    """Per reader and window: count, last reading and sum; late events beyond the delay are left out. delay None: events have a watermark."""
+    marked = events.withWatermark(time, delay) if delay else events
+    return marked.groupBy(F.window(time, window), by).agg(F.count("*").alias("n"), F.max(time).alias("last_read"), F.sum(value).alias("total")).select(F.col("window.start").alias("window_start"), by, "n", "last_read", "total")
 
 
 def reading_sessions(events: DataFrame, by: str = "user_id", time: str = "ts", gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
