@@ -335,3 +335,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     last = dealt.groupBy("part").cogroup(first.groupBy("part")).applyInArrow(last_digits, to_bucket).groupBy("bucket").applyInArrow(equal_windows, to_part).repartition(parts, "part")
     out = dealt.groupBy("part").cogroup(first.unionByName(last).groupBy("part")).applyInArrow(remove, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn(id_col, F.col(id_col).cast(id_type))
+
+
+REPEATS_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, array_slice(b, i, i + 49) AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d WHERE octet_length(b) >= 50)),
+h AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM w) WHERE first < doc_id),
+n AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM h),
+g AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n) GROUP BY doc_id, k),
+e AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS s, a AS t, z - a AS gone FROM g
+      UNION ALL SELECT d.doc_id, coalesce(max(z), 1), octet_length(any_value(b)) + 1, NULL FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id, octet_length(any_value(b))::BIGINT AS n_bytes, coalesce(sum(gone), 0)::BIGINT AS n_removed, count(gone) AS n_spans,
+       sha256(unhex(string_agg(hex(array_slice(b, s, t - 1)), '' ORDER BY s))) AS kept_sha256
+FROM d JOIN e USING (doc_id) GROUP BY doc_id
+"""
