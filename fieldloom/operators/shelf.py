@@ -188,3 +188,25 @@ def running_size_cap(sections: DataFrame, most: int, by: str = "book") -> DataFr
     """Sections up to the one with which a book's bytes pass the cap, by running sum."""
     run = F.sum(F.octet_length("content")).over(Window.partitionBy(by).orderBy("index"))
     return sections.withColumn("_run", run).where(F.col("_run") <= most).drop("_run")
+
+
+#: What a change of source takes from the new hit, and what it resets (fixed values).
+REPLACED_FIELDS = ("bookUrl", "tocUrl", "origin", "originName", "coverUrl", "intro", "kind", "lastChapter")
+RESET_FIELDS = ("durChapterIndex", "durChapterTitle", "durChapterPos", "durChapterTime", "totalChapterNum")
+
+
+def replace_source(shelf: DataFrame, hits: DataFrame, key: str = "book") -> DataFrame:
+    """shelf with the fields of the chosen hit of each book in hits, and its progress reset; other books stay."""
+    fresh = hits.select(key, *[F.col(c).alias(f"_{c}") for c in REPLACED_FIELDS if c in hits.columns], F.lit(True).alias("_hit"))
+    rows = shelf.join(fresh, key, "left")
+    hit = F.coalesce("_hit", F.lit(False))
+    new = {c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in REPLACED_FIELDS if c in hits.columns and c in shelf.columns}
+    reset = {c: F.when(~hit, F.col(c)) for c in RESET_FIELDS if c in shelf.columns}
+    return rows.withColumns(new | reset).select(*shelf.columns)
+
+
+def place_after_change(shelf: DataFrame, progress: DataFrame, chapters: DataFrame, key: str = "book") -> DataFrame:
+    """(book, index, valid): each book's place in its new list of chapters; an empty list isn't valid and changes nothing."""
+    found = match_chapters(progress, chapters, key)
+    listed = chapters.select(key).distinct().withColumn("valid", F.lit(True))
+    return shelf.select(key).join(listed, key, "left").join(found, key, "left").select(key, "index", F.coalesce("valid", F.lit(False)).alias("valid"))
