@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import shuffle_width, stage
 
 SEED, SHINGLE = 42, 3
 BITS, SEGMENTS = 64, 32
@@ -74,6 +74,8 @@ def grid_points(fp: str, segments: int = SEGMENTS) -> Column:
 def links(nodes: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     """Edges (a, b) that connect the fingerprints as all links of 2 or fewer bits do: each fingerprint to the least one
     that shares a 64-bit value at most one bit away from both. nodes has a row for each distinct fp."""
+    # each fingerprint becomes 65 rows: few tasks would read so small a table
+    nodes = nodes.repartition(4 * shuffle_width(nodes.sparkSession))
     reached = nodes.select("fp", F.explode(grid_points("fp", segments)).alias("cell"))
     shared_cells = stage(reached.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "grid-cells")
     candidates = stage(reached.join(shared_cells, "cell").select("fp").distinct(), "grid-candidates")
