@@ -8,18 +8,22 @@ their own and their next links aren't followed.
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 from collections.abc import Iterable, Mapping
 from typing import Any
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.content import clean_lines, html_to_text, without_title
 from ..functions.text import bool_value
 from ..functions.urls import _join, absolute_url
-from ..plans.columns import extract
+from ..plans.columns import extract, rule_list
 from ..plans.errors import RuleError
+from .search import cap_per_source
 from .evaluate import Content, Context, Evaluator, child_context
 
 HIT_FIELDS = ("name", "author", "bookUrl", "coverUrl", "intro", "kind", "lastChapter", "updateTime", "wordCount", "tocUrl")
@@ -31,11 +35,7 @@ LIST_PAGES, CONTENT_PAGES = 50, 20
 
 def search_url(template: str, keyword: str, page: int = 1) -> str:
     """The URL that a source's template gives for a keyword and page; <a,b> is a list of pages."""
-    from urllib.parse import quote
-
     url = Evaluator("full").expand(template, Content(""), Context(key=quote(keyword), page=page))
-    import re
-
     return re.sub(r"<([^<>]*)>", lambda m: (choices := m[1].split(","))[min(max(page, 1), len(choices)) - 1].strip(), url)
 
 
@@ -56,8 +56,6 @@ def extract_books(pages: DataFrame, rules: Mapping[str, str], list_field: str =
 
 def search_sources(spark: SparkSession, sources: list[Mapping[str, Any]], pages: DataFrame, keyword: str, page: int = 1) -> DataFrame:
     """Hits of all sources for a keyword, with source and arrival; each source's plan reads its own page of pages."""
-    from .search import cap_per_source
-
     out = None
     for n, s in enumerate(sources):
         wanted = spark.createDataFrame([(s["bookSourceName"], search_url(s["searchUrl"], keyword, page))], "source string, url string")
@@ -116,14 +114,14 @@ def frontier(start: DataFrame, links: DataFrame, most: int = LIST_PAGES) -> Data
 
 
 def _saved(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df cut off from its lineage: in the shared checkpoint folder if there is one, else (in tests) kept in memory."""
-    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else df.cache()
+    """df cut off from its lineage, in the checkpoint folder that the cluster names; one of our own only where none is set, as in tests."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldloom-"))
+    return df.checkpoint()
 
 
 def next_links(pages: DataFrame, rule: str) -> DataFrame:
     """(url, targets): the absolute next URLs of each page."""
-    from ..plans.columns import rule_list
-
     raw = pages.select("url", rule_list("html", rule).alias("raw"))
 
     @F.pandas_udf("array<string>")
@@ -146,8 +144,6 @@ def chapter_list(start: DataFrame, pages: DataFrame, rules: Mapping[str, str], m
     rows = extract(fetch(order, pages).where("html IS NOT NULL"), "html", fields, list_rule.lstrip("+-"), keep=["book", "url", "path"])
     rows = rows.withColumns({f: F.lit(None).cast("string") for f in ("isVip", "isPay", "isVolume", "updateTime") if f not in fields})
     place = F.col("ordinal") * (-1 if list_rule.startswith("-") else 1)
-    from pyspark.sql import Window
-
     number = F.row_number().over(Window.partitionBy("book").orderBy(F.desc("path") if list_rule.startswith("-") else F.asc("path"), place))
     rows = rows.where(F.coalesce("name", F.lit("")) != "").withColumn("index", number)
     flags = {f: bool_value(f) for f in ("isVip", "isPay", "isVolume")}
