@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 UNKNOWN = "und"
 PAD = 256
 #: The sample: documents per language (by a hash of the id), windows of so many characters per document. It bounds what
@@ -219,7 +221,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             langs, scores = classify(net, texts) if net else ([UNKNOWN] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 
-    return docs.select(id_col, held_out.alias("held_out"), text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return small_batches(docs).select(id_col, held_out.alias("held_out"), text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, min_score: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -236,4 +238,4 @@ def keep_identified(docs: DataFrame, min_score: float, id_col: str = "doc_id", t
             langs, scores = classify(net, batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and s >= min_score for lang, s in zip(langs, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema) if net else docs.limit(0)
+    return small_batches(docs).mapInArrow(run, docs.schema) if net else docs.limit(0)

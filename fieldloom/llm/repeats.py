@@ -25,11 +25,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_width
+from .shared import shuffle_width, small_batches
 
 WINDOW, GRAM = 50, 20
 #: Different runs with the same first digit in one part beyond which the part sends the digit alone.
 MANY = 16
+#: Text that a task collects before it is packed by parts.
+PACKED_BYTES = 32 << 20
 #: Ids of rows without an id, in the order of documents: after all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -234,14 +236,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        texts: list[bytes] = []
+
+        def packed() -> pa.RecordBatch:
+            part, ids, nulls = (np.concatenate(x) for x in zip(*held))
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            keys, blobs = _dealt(part, lambda at: squeeze(_pack(ids[at], nulls[at], sizes[at], np.frombuffer(b"".join(texts[i] for i in at), np.uint8))))
+            held.clear(), texts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "data"])
+
+        size = 0
         for batch in batches:
-            part = batch.column(0).to_numpy(zero_copy_only=False)
             nulls = np.array(batch.column(1).is_null().to_numpy(zero_copy_only=False), np.uint8)
             ids = batch.column(1).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            texts = [t.encode() if t else b"" for t in batch.column(2).to_pylist()]
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            keys, blobs = _dealt(part, lambda at: squeeze(_pack(ids[at], nulls[at], sizes[at], np.frombuffer(b"".join(texts[i] for i in at), np.uint8))))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "data"])
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), ids, nulls))
+            texts += (own := [t.encode() if t else b"" for t in batch.column(2).to_pylist()])
+            size += sum(map(len, own))
+            if size >= PACKED_BYTES:
+                yield packed()
+                size = 0
+        if held:
+            yield packed()
 
     def first_digits(table: pa.Table) -> pa.Table:
         own = Part(table)
@@ -329,7 +345,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)})
 
     part = F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")
-    dealt = docs.select(part.alias("part"), F.col(id_col), F.col(text_col)).mapInArrow(pack, "part int, data binary").repartition(parts, "part")
+    dealt = small_batches(docs).select(part.alias("part"), F.col(id_col), F.col(text_col)).mapInArrow(pack, "part int, data binary").repartition(parts, "part")
     to_bucket, to_part = "bucket int, part int, data binary", "part int, kind int, data binary"
     first = dealt.groupBy("part").applyInArrow(first_digits, to_bucket).groupBy("bucket").applyInArrow(second_digits, to_part).repartition(parts, "part")
     last = dealt.groupBy("part").cogroup(first.groupBy("part")).applyInArrow(last_digits, to_bucket).groupBy("bucket").applyInArrow(equal_windows, to_part).repartition(parts, "part")

@@ -166,9 +166,8 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                 found.sort(key=lambda x: (x[0], x[1], x[2] is not None, x[2] or 0))
                 yield pa.RecordBatch.from_pydict(dict(zip(CAPTURE_NAMES, map(list, zip(*found)))) if found else {n: [] for n in CAPTURE_NAMES}, schema=ARROW_CAPTURE)
 
-    # one archive at a time goes to Python: a batch of archives could be large
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.repartition(max(1, min(files.count(), 4 * shuffle_width(spark)))).mapInArrow(run, CAPTURE)
+    # a partition of files has some maxPartitionBytes, and so has a batch; archives are unpacked one at a time
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CAPTURE)
 
 
 ARROW_CAPTURE = pa.schema([(n, {"string": pa.string(), "long": pa.int64()}[f.split()[1]]) for n, f in zip(CAPTURE_NAMES, CAPTURE.split(", "))])
