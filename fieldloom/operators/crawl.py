@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.content import clean_lines, html_to_text, without_title
 from ..functions.text import bool_value
 from ..functions.urls import _join, absolute_url
-from ..plans.columns import extract, rule_list
+from ..plans.columns import ROWS, extract, extracted, rule_list
 from ..plans.errors import RuleError
 from .search import cap_per_source
 from .evaluate import Content, Context, Evaluator, child_context
@@ -55,17 +55,24 @@ def extract_books(pages: DataFrame, rules: Mapping[str, str], list_field: str =
 
 
 def search_sources(spark: SparkSession, sources: list[Mapping[str, Any]], pages: DataFrame, keyword: str, page: int = 1) -> DataFrame:
-    """Hits of all sources for a keyword, with source and arrival; each source's plan reads its own page of pages."""
-    out = None
-    for n, s in enumerate(sources):
-        wanted = spark.createDataFrame([(s["bookSourceName"], search_url(s["searchUrl"], keyword, page))], "source string, url string")
-        rules = s.get("ruleSearch") or {}
-        rows = extract_books(fetch(F.broadcast(wanted), pages).where("html IS NOT NULL"), rules, keep=["source", "url"]).withColumn("source_pos", F.lit(n))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    """Hits of all sources for a keyword, with source and arrival. Sources are rows, so any number of them is one plan: their
+    result pages are joined in, and each is read by its own source's rules. A rule that fails leaves its field null."""
+    if not sources:
         raise RuleError("no source can be searched")
-    capped = cap_per_source(out, by="source", order="ordinal")
-    return capped.withColumn("arrival", F.col("source_pos") * 1_000_000 + F.col("ordinal"))
+    wanted = [(s["bookSourceName"], n, search_url(s["searchUrl"], keyword, page), json.dumps(s.get("ruleSearch") or {})) for n, s in enumerate(sources)]
+    rows = fetch(spark.createDataFrame(wanted, "source string, source_pos int, url string, rules string"), pages).where("html IS NOT NULL")
+
+    @F.pandas_udf(ROWS)
+    def hits(htmls: pd.Series, rules: pd.Series) -> pd.Series:
+        e = Evaluator("full")
+        own = [json.loads(r) for r in rules]
+        return pd.Series([extracted(e, h, {f: r.get(f) or "" for f in HIT_FIELDS}, r["bookList"], Context(), "null") for h, r in zip(htmls, own)])
+
+    found = rows.select("source", "source_pos", "url", F.explode(hits("html", "rules")).alias("r"))
+    found = found.select("source", "source_pos", "url", "r.ordinal", *[F.col("r.fields")[i].alias(f) for i, f in enumerate(HIT_FIELDS)])
+    found = found.where((F.trim(F.coalesce("name", F.lit(""))) != "") & (F.coalesce("bookUrl", F.lit("")) != ""))
+    found = found.withColumns({f: absolute_url("url", f) for f in ("bookUrl", "coverUrl", "tocUrl")})
+    return cap_per_source(found, by="source", order="ordinal").withColumn("arrival", F.col("source_pos").cast("long") * 1_000_000 + F.col("ordinal"))
 
 
 def explore_rules(source: Mapping[str, Any]) -> Mapping[str, str]:

@@ -180,43 +180,45 @@ def rule_elements(df: DataFrame, col: str, rule: str, *, ctx=None, dialect: str
     return df.select("*", F.posexplode(evaluate(F.coalesce(F.col(col), F.lit("")))).alias("ordinal", "element"))
 
 
-def extract(df: DataFrame, col: str, fields: Mapping[str, str], list_rule: str | None = None, *, ctx: str | Mapping | None = None, keep: list[str] | None = None, dialect: str = "full", on_error: str = "raise") -> DataFrame:
+ROWS = "array<struct<ordinal: int, fields: array<string>, errors: array<string>>>"
+
+
+def extracted(e: Evaluator, text: str, fields: Mapping[str, str], list_rule: str | None, context: Context, on_error: str) -> list[dict]:
+    """The rows of one document: values of the fields in order, for the document or for each element of the list rule."""
+    base = child_context(context)
+    document = Content(text)
+    items = [document] if list_rule is None else e.elements(document, list_rule, base)
+    out = []
+    for i, item in enumerate(items):
+        own, values, errors = child_context(base), [], []
+        held = item if isinstance(item, Content) else Content(item)
+        for name, rule in fields.items():
+            try:
+                values.append(e.field(item, rule, own) if isinstance(item, list) else e.parse_text(held, rule, own))
+            except RuleError as err:
+                if on_error == "raise":
+                    raise
+                values.append(None)
+                errors.append(f"{name}: {err}")
+        out.append({"ordinal": i, "fields": values, "errors": errors})
+    return out
+
+
+def extract(df: DataFrame, col: str, fields: Mapping[str, str], list_rule: str | None = None, *, ctx: Mapping | None = None, keep: list[str] | None = None, dialect: str = "full", on_error: str = "raise") -> DataFrame:
     """Columns keep (default: all of df), then a string column for each field; with list_rule a row for each element, and its ordinal.
 
     One pass parses each document once for all fields. Fields are evaluated in order, so a variable that one puts is there
     for those after it. on_error: "raise"; "null" makes a failed field null; "column" adds the messages in `errors`."""
-    context = _context(ctx if not isinstance(ctx, str) else None)
+    context = _context(ctx)
     keep = df.columns if keep is None else keep
-    names = list(fields)
-    row = "struct<ordinal: int, fields: array<string>, errors: array<string>>"
 
-    @F.pandas_udf(f"array<{row}>")
+    @F.pandas_udf(ROWS)
     def evaluate(texts: pd.Series) -> pd.Series:
         e = Evaluator(dialect)
-
-        def one(text: str) -> list[dict]:
-            base = child_context(context)
-            document = Content(text)
-            rows = [document] if list_rule is None else e.elements(document, list_rule, base)
-            out = []
-            for i, item in enumerate(rows):
-                own, values, errors = child_context(base), [], []
-                held = item if isinstance(item, Content) else Content(item)
-                for name in names:
-                    try:
-                        values.append(e.field(item, fields[name], own) if isinstance(item, list) else e.parse_text(held, fields[name], own))
-                    except RuleError as err:
-                        if on_error == "raise":
-                            raise
-                        values.append(None)
-                        errors.append(f"{name}: {err}")
-                out.append({"ordinal": i, "fields": values, "errors": errors})
-            return out
-
-        return texts.map(one)
+        return texts.map(lambda text: extracted(e, text, fields, list_rule, context, on_error))
 
     made = df.select(*[F.col(f"`{k}`") for k in keep], F.explode(evaluate(F.coalesce(F.col(col), F.lit("")))).alias("_row"))
-    columns = [F.col("_row.fields")[i].alias(n) for i, n in enumerate(names)]
+    columns = [F.col("_row.fields")[i].alias(n) for i, n in enumerate(fields)]
     ordinal = [F.col("_row.ordinal").alias("ordinal")] if list_rule is not None else []
     errors = [F.col("_row.errors").alias("errors")] if on_error == "column" else []
     return made.select(*[F.col(f"`{k}`") for k in keep], *ordinal, *columns, *errors)
