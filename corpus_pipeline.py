@@ -15,6 +15,8 @@ from fieldloom.llm.shared import stage, table
 #: The least probability of a language. At 0 only documents without letters go: among few languages an undecided short
 #: text is still a text, and a confident one in a language that isn't known can't be told by its score.
 MIN_SCORE = 0.0
+#: The least likeness of near copies: common 5-word shingles among all of both texts.
+SIMILARITY = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +30,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies."""
-    return simhash.drop_near_copies(docs)
+    """One document, that with the smallest doc_id, of each group of near copies: texts that share SIMILARITY of their
+    5-word shingles, or whose fingerprints differ in at most 2 bits."""
+    return simhash.drop_near_copies(docs, similarity=SIMILARITY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

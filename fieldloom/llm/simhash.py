@@ -25,19 +25,22 @@ SEED, SHINGLE = 42, 3
 BITS, SEGMENTS = 64, 32
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit SimHash of the 3-word shingles of a text in which A-Z are lower-cased."""
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the 3-word shingles, in order, of a text in which A-Z are lower-cased; one hash for a text of fewer words."""
     words = (text or "").encode().lower().split()  # of bytes: A-Z, and the white space of the contract
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < SHINGLE:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[: -SHINGLE] + 1)).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist())], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[: -SHINGLE] + 1)).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of shingle hashes; 0 of none."""
     total = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 15):
         part = hashes[i : i + (1 << 15)]
@@ -45,6 +48,11 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None) -> int:
+    """The 64-bit SimHash of the 3-word shingles of a text in which A-Z are lower-cased."""
+    return majority(shingle_hashes(text))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col and fp, the fingerprint as a signed 64-bit integer. Null and empty texts have 0."""
 
@@ -125,8 +133,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(labels, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that have the smallest id of their component of near_duplicates()."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = stage(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct(), "near-copies")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[id_col]), "left_anti")
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+    """The rows of docs, all columns, that have the smallest id of their component: exactly one row of each.
+
+    Links are those of near_duplicates(), and with a similarity also those of jaccard.links(). Rows are told apart by a
+    number of their own, so repeated and null ids decide nothing for other rows; a null id comes after all ids, and
+    among rows with one id the text's hash decides."""
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    prints = fingerprints(rows, "_row", text_col) if similarity is None else jaccard.sketches(rows, "_row", text_col)
+    prints = stage(prints, "fingerprints")
+    nodes = stage(prints.select("fp").distinct(), "nodes")
+    edges = links(nodes)
+    if similarity is not None:
+        edges = jaccard.links(rows, prints, stage(edges, "links"), similarity, "_row", text_col)
+    found = components(edges, nodes.withColumn("node", F.col("fp")))
+    order = rows.select("_row", F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col), "_row").alias("_order"))
+    found = prints.select("_row", "fp").join(found, "fp", "left").select("_row", F.coalesce("label", "fp").alias("label"))
+    found = stage(found.join(order, "_row"), "near-labels")
+    first = found.groupBy("label").agg(F.min("_order").getField("_row").alias("_first"))
+    gone = stage(found.join(first, "label").where("_row <> _first").select("_row"), "near-copies")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+
+
+from . import jaccard  # noqa: E402 - it uses the fingerprints above

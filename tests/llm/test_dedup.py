@@ -106,6 +106,52 @@ def test_links_of_families(spark):
     assert [found.get(s, i) for i, s in enumerate(signed)] == label
 
 
+def wide_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_by_likeness(spark):
+    """Planted copies with more than 2 differing bits, a chain, and pairs below the limit."""
+    rng = random.Random(11)
+    draw = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for n in (8, 40, 120, 400):
+        for edits in (1, 1, 2, 5, 12):
+            base = draw(n)
+            copy = list(base)
+            for k in rng.sample(range(n), min(edits, n)):
+                copy[k] = "edited"
+            texts += [base, copy]
+    x = draw(200)
+    for k in range(12):
+        x = [*x[6:], *draw(6)]
+        texts.append(x)
+    texts += [draw(3), draw(4), [], []]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets, label = [wide_shingles(t) for _, t in rows], list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(i):
+                either = len(sets[i] | sets[j])
+                if not either or len(sets[i] & sets[j]) / either >= 0.8:
+                    label[i] = label[j] = min(label[i], label[j])
+    bits = [bin(simhash.fingerprint(t) ^ simhash.fingerprint(rows[label[i]][1])).count("1") for i, t in rows]
+    assert sum(b > 2 for b in bits) > 5  # copies that the fingerprints' limit leaves
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), similarity=0.8)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(label))
+
+
+def test_near_copies_without_ids(spark):
+    """A null or repeated id that is dropped once takes no other text along, and exactly one row of each group stays."""
+    rng = random.Random(12)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(6))
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (2, d), (2, d), (7, a), (7, e), (None, f), (None, f)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = sorted(((r.doc_id, r.text) for r in simhash.drop_near_copies(df).collect()), key=str)
+    assert left == sorted([(1, a), (None, b), (None, c), (2, d), (7, e), (None, f)], key=str)
+
+
 def brute_repeats(rows):
     first = {}
     for i, text in rows:
