@@ -44,17 +44,18 @@ def water_level(sources: DataFrame, wanted: float, cap: float) -> float:
         full = F.col("source_size") * F.lit(cap) < F.lit(level) * F.col("weight")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: id_col, source_col, size, source_size, target, copies and taken (copies * size).
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id_col, source_col, size, source_size, target, copies, taken (copies * size) and the columns of carry.
 
     Sizes are words (null text: 0). Sources in code-point order, null last and a source of its own, get the weights in
     turn; together they are to yield share * all words; a target stops at cap * the source's size. copies is between
     0 and ceil(cap). The same rows give the same result, however they are partitioned; the seed gives each source its
     offset. Repeated rows and ids are rows of their own; a null id is an id like any other; a source without words has
-    target 0; no rows give no rows. Other columns are neither read nor returned.
+    target 0; no rows give no rows. Rows of one size and id stand in the order of carry. Other columns are neither read
+    nor returned.
     """
     key = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("v"), source_col))
-    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), key.alias("_key"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), key.alias("_key"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carry)
     sized = stage(sized, "mix-sizes")
     totals = sized.agg(F.sum("size"), F.count("*")).first()
     digits = max(2, math.ceil(math.log(max(1, totals[1] / ROWS_PER_STRATUM), 16)))
@@ -75,20 +76,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     counts = sized.groupBy(stratum).agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_key").orderBy("_class", "_hash")) - F.col("_n"))
     before = before.join(sources, "_key").drop("_n")
-    placed = sized.withColumn("_place", F.row_number().over(Window.partitionBy(stratum).orderBy("size", "_id"))).join(before, stratum)
+    placed = sized.withColumn("_place", F.row_number().over(Window.partitionBy(stratum).orderBy("size", "_id", *carry))).join(before, stratum)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     upto = lambda place: F.floor(F.col("_offset") + place * rate)
     place = F.col("_before") + F.col("_place")
     copies = (upto(place) - upto(place - 1)).cast("long")
-    return placed.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return placed.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carry)
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of docs, all columns, each as often as mix() takes it. Rows that share an id are taken equally often."""
-    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).groupBy(id_col).agg(F.max("copies").alias("_copies"))
-    taken = stage(taken.where("_copies > 0"), "mix-copies").withColumnRenamed(id_col, "_taken")
-    rows = docs.join(taken, docs[id_col].eqNullSafe(taken["_taken"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """The rows of docs, all columns, each as often as mix() takes it, also where ids repeat or are null."""
+    rows = stage(docs.withColumns({"_text": F.xxhash64(text_col), "_row": F.monotonically_increasing_id()}), "mix-rows")
+    taken = mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, carry=("_text", "_row"), **options)
+    taken = stage(taken.where("copies > 0").select("_row", F.col("copies").alias("_copies")), "mix-copies")
+    rows = rows.join(taken, "_row")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 MIX_SQL = r"""

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.llm import language_id, mixing, sharding, warc
 
@@ -109,6 +110,18 @@ def test_mix(spark, edge):
     assert repeated.columns == df.columns and repeated.count() == sum(r.copies for r in out)
 
 
+def test_take_mix_without_ids(spark):
+    """Rows of null and repeated ids are taken as often as each of them is due."""
+    rows = [(None if i % 2 else i % 10, f"t{i} " + "w " * (i % 40), "abc"[i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    due = Counter()
+    for r in mixing.mix(df.withColumn("_text", F.xxhash64("text")), carry=("_text", "text")).collect():
+        due[r.text] += r.copies
+    assert len(set(due.values())) > 1
+    assert Counter(r.text for r in mixing.take_mix(df).collect()) == +due
+    assert sorted(r.text for r in mixing.take_mix(df.repartition(5)).collect()) == sorted(r.text for r in mixing.take_mix(df).collect())
+
+
 def test_gradients():
     """Backpropagation through time against differences."""
     rng = np.random.default_rng(0)
