@@ -189,11 +189,3 @@ def sections_from(chapters: DataFrame, contents: DataFrame) -> DataFrame:
     """(book, index, title, content) for the chapters (book, index, name, url) whose contents (book=url, text) are there."""
     text = contents.select(F.col("book").alias("url"), F.col("text").alias("content"))
     return chapters.join(text, "url").select("book", "index", F.col("name").alias("title"), "content")
-
-
-def rule_group(c: Column, name: str) -> Column:
-    return F.from_json(F.get_json_object(c, f"$.{name}"), "map<string,string>")
-
-
-def source_from_json(text: str) -> dict[str, Any]:
-    return json.loads(text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from typing import Any
 
 import pandas as pd
@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import Content, Context, Evaluator, Node, child_context
-from ..operators.jsonpath import text_of
 from . import rule as R
+from . import template
 from .errors import RuleError
 
 LIST = "array<string>"
@@ -53,13 +53,10 @@ def lower(content: Column, tree: R.Rule | None, context: Context) -> Column | No
     if isinstance(tree, R.Text):
         return F.array(F.lit(tree.value)) if tree.value else _empty()
     if isinstance(tree, R.Templated):
-        values = context.values()
-        if re.search(r"@get:|\{\$", tree.source, re.IGNORECASE):
+        values, parts = context.values(), template.parts(tree.source, True)
+        if not all(isinstance(p, str) or isinstance(p, template.Hole) and isinstance(values.get(p.source), (str, int)) for p in parts):
             return None
-        names = re.findall(r"\{\{(.*?)\}\}", tree.source, re.DOTALL)
-        if any(n.strip() not in values or not isinstance(values[n.strip()], (str, int)) for n in names):
-            return None
-        text = re.sub(r"\{\{(.*?)\}\}", lambda m: str(values[m[1].strip()]), tree.source, flags=re.DOTALL)
+        text = "".join(p if isinstance(p, str) else str(values[p.source]) for p in parts)
         return lower(content, R.parse(text, "strict") if text.lower().startswith("@text:") else R.Text(text), context)
     if isinstance(tree, R.Pattern):
         pattern = "(?s)" + tree.pattern
@@ -222,7 +219,3 @@ def extract(df: DataFrame, col: str, fields: Mapping[str, str], list_rule: str |
     ordinal = [F.col("_row.ordinal").alias("ordinal")] if list_rule is not None else []
     errors = [F.col("_row.errors").alias("errors")] if on_error == "column" else []
     return made.select(*[F.col(f"`{k}`") for k in keep], *ordinal, *columns, *errors)
-
-
-def values_of(items: list[Any]) -> Iterator[str]:
-    return map(text_of, items)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from typing import Any
 
@@ -55,26 +56,18 @@ def sanitized(books: list[Any]) -> list[Any]:
 
 
 def unpack(data: bytes) -> tuple[dict[str, bytes], list[str]]:
-    """The members of an archive, and the names of the files that were ignored."""
-    members: dict[str, bytes] = {}
-    ignored = []
+    """The members of an archive, each of MEMBERS exactly once, and the names of the files that were ignored."""
     try:
-        archive = zipfile.ZipFile(io.BytesIO(data))
+        with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            files = Counter(name for name in archive.namelist() if not name.endswith("/"))
+            for name in files:
+                check_name(name)
+            for fault, names in (("duplicate", [m for m in MEMBERS if files[m] > 1]), ("missing", [m for m in MEMBERS if not files[m]])):
+                if names:
+                    raise BackupError(f"{fault} members: {names}")
+            return {m: archive.read(m) for m in MEMBERS}, sorted((files - Counter(MEMBERS)).elements())
     except zipfile.BadZipFile as e:
-        raise BackupError(f"not a zip archive: {e}") from e
-    for info in archive.infolist():
-        if info.is_dir():
-            continue
-        check_name(info.filename)
-        if info.filename not in MEMBERS:
-            ignored.append(info.filename)
-        elif info.filename in members:
-            raise BackupError(f"duplicate member: {info.filename}")
-        else:
-            members[info.filename] = archive.read(info)
-    if missing := [m for m in MEMBERS if m not in members]:
-        raise BackupError(f"missing members: {missing}")
-    return members, sorted(ignored)
+        raise BackupError(f"not a zip archive, or a damaged one: {e}") from e
 
 
 _MEMBER_ROW = "archive string, name string, size long, sha256 string, data string, ignored array<string>"
