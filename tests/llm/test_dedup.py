@@ -172,21 +172,43 @@ def brute_repeats(rows):
     return sorted(out)
 
 
-def test_repeats(spark, edge, monkeypatch):
+def removed(found):
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect())
+
+
+#: As it is; every shared digit hot; digits of so few bits that nearly all collide.
+WAYS = [{}, {"hot_runs": 0}, {"digit_bits": 3, "hot_runs": 1 << 30}, {"digit_bits": 3, "hot_runs": 5}]
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_repeats(edge, way):
     rows = edge.where("doc_id IS NULL OR doc_id NOT IN (6, 7)")
-    found = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(rows).collect())
-    assert found == brute_repeats([(r.doc_id, r.text) for r in rows.collect()])
+    assert removed(repeats.remove_repeats(rows, **way)) == brute_repeats([(r.doc_id, r.text) for r in rows.collect()])
 
 
-def test_repeats_with_many_contexts(spark):
-    """A passage in so many contexts that its first digit goes on without its runs."""
+@pytest.mark.parametrize("way", WAYS)
+def test_repeats_in_many_contexts(spark, way):
+    """Passages in many contexts, texts of one sign, texts around the window's length, repeated ids and rows."""
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(3, 70)))
-    shared = ["".join(rng.choice("xyz ") for _ in range(90)) for _ in range(3)]
+    shared = ["".join(rng.choice("xyzé ") for _ in range(90)) for _ in range(3)]
     rows = [(i, word() + rng.choice(shared)[rng.randint(0, 20) : rng.randint(60, 90)] + word()) for i in range(300)] + [(1000 + i, "=" * rng.randint(40, 400)) for i in range(20)]
+    rows += [(5, shared[0]), (5, shared[0]), (2000, shared[1][:49]), (2001, shared[1][:50]), (-7, shared[2])]
     rng.shuffle(rows)
-    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()) == brute_repeats(rows)
+    assert removed(repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), **way)) == sorted(brute_repeats(rows))
+
+
+def test_least_of_equal():
+    """Passes over bytes against a table of windows, with labels that keep equal windows apart."""
+    rng = np.random.default_rng(8)
+    data = rng.integers(0, 2, 3000, dtype=np.uint8)
+    data[1000:1100] = data[2000:2100] = data[:100]
+    at, ids, label = rng.integers(0, 2950, 4000), rng.integers(0, 9, 4000), rng.integers(0, 2, 4000)
+    first = {}
+    for k, i, x in zip(at.tolist(), ids.tolist(), label.tolist()):
+        key = (x, data[k : k + 50].tobytes())
+        first[key] = min(first.get(key, i), i)
+    assert repeats.least_of_equal(data, at, ids, label).tolist() == [first[x, data[k : k + 50].tobytes()] for k, x in zip(at.tolist(), label.tolist())]
 
 
 def digests(text):
