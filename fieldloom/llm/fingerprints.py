@@ -3,9 +3,11 @@
 A text is the set of its paragraph digests. Each digest goes into one cell in each of three subtables; a cell keeps a
 count, the XOR of its digests and the XOR of their check hashes. The sketches of two versions are subtracted cell by
 cell, what they share cancels, and peeling recovers the digests that differ: a cell that holds one digest gives it away,
-and taking it out of its other cells frees more. If cells are left over, the pair is tried again with twice the cells.
+and taking it out of its other cells frees more. If cells are left over, it is tried again with twice the cells.
 
-Cells are rows, dealt by document, and only those that aren't zero exist; a round of peeling is an aggregation in place.
+A published fingerprint is a sketch large enough to be peeled whole by itself, so two fingerprints alone give the digests
+of both texts, the difference and the likeness. Cells are rows, dealt by document, and only those that aren't zero exist;
+a round of peeling is an aggregation in place.
 """
 
 from __future__ import annotations
@@ -15,23 +17,29 @@ from pyspark.sql import functions as F
 
 from .shared import shuffle_width, stage
 
-#: A paragraph ends at a line end or after a sentence.
-PARAGRAPH_END = r"\n+|(?<=[.!?]) +"
+#: A paragraph ends at a line end, after a sentence, or between words that end and begin with certain letters, so that long
+#: sentences are cut by what they say; what is longer still is cut at LONGEST characters.
+PARAGRAPH_END = r"\n+|(?<=[.!?]) +|(?<=[a-e]) +(?=[a-e])"
+LONGEST = 240
 TABLES = 3
-#: Cells of a subtable in the published fingerprint.
-PUBLISHED = 4
-#: Cells of a subtable for a pair of texts: per digest of either, and at least.
+#: Cells of a subtable: for each digest, and besides.
 PER_DIGEST, LEAST = 0.6, 4
 #: Peeling steps of one attempt; each step looks at one subtable, in turn.
 STEPS = 9
-#: Neighbouring documents that are handled in one group, roughly.
-GROUP_ROWS = 2000
+#: Text of neighbouring documents that is handled in one group, roughly.
+GROUP_BYTES = 32 << 20
 _CHECK = 9
 
 
 def paragraph_digests(text: Column) -> Column:
     """The set of 64-bit digests of the paragraphs of a text."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, PARAGRAPH_END), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    short = lambda x: F.when(F.char_length(x) <= LONGEST, F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(f"(?s).{{1,{LONGEST}}}"), F.lit(0)))
+    pieces = F.flatten(F.transform(F.split(text, PARAGRAPH_END), short))
+    return F.array_distinct(F.transform(F.filter(pieces, lambda x: x != ""), lambda x: F.xxhash64(x)))
+
+
+def _check(key: Column) -> Column:
+    return F.xxhash64(key, F.lit(_CHECK))
 
 
 def _cell(key: Column, table: Column, width: Column) -> Column:
@@ -39,7 +47,7 @@ def _cell(key: Column, table: Column, width: Column) -> Column:
 
 
 def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Cells with the same number added up; empty ones go."""
+    """Cells with the same number added up; empty ones go. What is recovered stands in cells -1 and -2."""
     out = rows.groupBy(*by, "cell").agg(F.sum("c").cast("int").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
     return out.where("cell < 0 OR c <> 0 OR k <> 0 OR h <> 0")
 
@@ -47,155 +55,139 @@ def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
 def _sketch(items: DataFrame, by: list[str]) -> DataFrame:
     """Cells of the signed digests: items has by (with width), c (the sign) and k (the digest)."""
     placed = items.withColumn("t", F.explode(F.array(*map(F.lit, range(TABLES)))))
-    return _summed(placed.select(*by, "c", "k", F.xxhash64("k", F.lit(_CHECK)).alias("h"), _cell(F.col("k"), F.col("t"), F.col("width")).alias("cell")), by)
+    return _summed(placed.select(*by, "c", "k", _check(F.col("k")).alias("h"), _cell(F.col("k"), F.col("t"), F.col("width")).alias("cell")), by)
 
 
 def _peel_step(cells: DataFrame, by: list[str], table: int) -> DataFrame:
-    """Takes out the digests that are alone in a cell of one subtable. They are counted in cell -1 (only in the first text) or -2."""
+    """Takes out the digests that are alone in a cell of one subtable. They are counted in cell -1 (only in the first text)
+    or -2; where `named`, each stays as a row of its own, with the digest in d."""
     width, key, count = F.col("width"), F.col("k"), F.col("c")
-    alone = (F.col("cell") >= 0) & (F.floor(F.col("cell") / width) == table) & (F.abs(count) == 1) & (F.col("h") == F.xxhash64(key, F.lit(_CHECK)))
-    row = lambda cell, c: F.struct(cell.cast("int").alias("cell"), c.cast("int").alias("c"), key.alias("k"), F.col("h").alias("h"))
-    others = [row(_cell(key, F.lit(t), width), -count) for t in range(TABLES) if t != table]
-    found = row(F.when(count > 0, -1).otherwise(-2), F.lit(1))
-    out = cells.select(*by, F.explode(F.when(alone, F.array(*others, found)).otherwise(F.array(row(F.col("cell"), count)))).alias("x"))
-    return _summed(out.select(*by, "x.*"), by)
+    alone = (F.col("cell") >= 0) & (F.floor(F.col("cell") / width) == table) & (F.abs(count) == 1) & (F.col("h") == _check(key))
+    row = lambda d, cell, c: F.struct(d.cast("long").alias("d"), cell.cast("int").alias("cell"), c.cast("int").alias("c"), key.alias("k"), F.col("h").alias("h"))
+    others = [row(F.lit(None), _cell(key, F.lit(t), width), -count) for t in range(TABLES) if t != table]
+    found = row(F.when(F.col("named"), key), F.when(count > 0, -1).otherwise(-2), F.lit(1))
+    out = cells.select(*by, F.explode(F.when(alone, F.array(*others, found)).otherwise(F.array(row(F.col("d"), F.col("cell"), count)))).alias("x"))
+    return _summed(out.select(*by, "x.*"), [*by, "d"])
 
 
-def reconcile(pairs: DataFrame, factor: float = PER_DIGEST) -> DataFrame:
-    """(pair, only_first, only_second): how many digests are in one of the two sets only, by subtracting and peeling sketches.
+def _width(size: Column, factor: float) -> Column:
+    return (F.ceil(size * F.lit(factor)) + LEAST).cast("int")
+
 
-    pairs has pair (a unique integer), first and second (arrays of distinct digests). Attempts go on, each with twice the
-    cells, until every pair is recovered whole. Two sets that share all digests have 0 and 0."""
-    width = shuffle_width(pairs.sparkSession)
-    by, done = ["pair", "width"], None
+def reconcile(pairs: DataFrame, factor: float = PER_DIGEST) -> DataFrame:
+    """(pair, kind, width, only_first, only_second, first_digests, second_digests): how many digests are in one of two sets only,
+    and which, by subtracting and peeling sketches.
+
+    pairs has pair and kind (a key of integers), named (whether the digests are wanted, not only their numbers), first
+    and second (arrays of distinct digests); it is best dealt by pair. width is that of the sketch that could be peeled.
+    Attempts go on, each with twice the cells, until every pair is recovered whole: two digests that share all their cells
+    at one width are told apart at a larger one."""
+    by, done = ["pair", "kind", "named", "width"], None
     while True:
-        cells = (F.ceil((F.size("first") + F.size("second")) * F.lit(factor)) + LEAST).cast("int")
-        dealt = pairs.repartition(width, "pair")
         signed = lambda c, sign: F.transform(c, lambda k: F.struct(F.lit(sign).alias("c"), k.alias("k")))
-        items = dealt.select("pair", cells.alias("width"), F.explode(F.concat(signed("first", 1), signed("second", -1))).alias("x")).select(*by, "x.*")
-        left = _sketch(items, by)
+        # an outer explode: a pair of two empty sets has no cells, and nothing to recover
+        items = pairs.select("pair", "kind", "named", _width(F.size("first") + F.size("second"), factor).alias("width"), F.explode_outer(F.concat(signed("first", 1), signed("second", -1))).alias("x"))
+        empty = items.where("x IS NULL").select(*by, F.lit(None).cast("long").alias("d"), F.lit(-1).alias("cell"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
+        left = _sketch(items.where("x IS NOT NULL").select(*by, "x.*"), by).withColumn("d", F.lit(None).cast("long"))
         for step in range(STEPS):
             left = _peel_step(left, by, step % TABLES)
-        count = lambda cell: F.coalesce(F.sum(F.when(F.col("cell") == cell, F.col("c"))), F.lit(0)).alias(f"n{-cell}")
-        result = stage(left.groupBy("pair").agg(count(-1), count(-2), F.count_if(F.col("cell") >= 0).alias("open")), "peeled")
-        whole = result.where("open = 0").select("pair", F.col("n1").alias("only_first"), F.col("n2").alias("only_second"))
+        left = left.select(empty.columns).unionByName(empty)
+        count = lambda cell: F.coalesce(F.sum(F.when(F.col("cell") == cell, F.col("c"))), F.lit(0))
+        list_of = lambda cell: F.array_sort(F.collect_list(F.when(F.col("cell") == cell, F.col("d"))))
+        counts = [count(-1).alias("only_first"), count(-2).alias("only_second"), list_of(-1).alias("first_digests"), list_of(-2).alias("second_digests"), F.count_if(F.col("cell") >= 0).alias("open")]
+        result = stage(left.groupBy("pair", "kind", "width").agg(*counts), "peeled")
+        whole = result.where("open = 0").drop("open")
         done = whole if done is None else done.unionByName(whole)
-        failed = result.where("open > 0").select("pair")
+        failed = result.where("open > 0").select("pair", "kind")
         if not failed.limit(1).count():
+            # pairs whose sets are equal have no cells left and no row
             return done
-        pairs, factor = stage(pairs.join(failed, "pair"), "unpeeled"), factor * 2
-
-
-def recovered(first: DataFrame, id_col: str, factor: float = PER_DIGEST) -> DataFrame:
-    """(id_col, digest, sign): the differing digests themselves, for rows with id_col (unique integers), first and second.
-
-    The sign is 1 for digests of first only. Peeling keeps them as rows beside the cells; failed pairs are tried again."""
-    width = shuffle_width(first.sparkSession)
-    by = [id_col, "width", "digest", "sign"]
-    cells = (F.ceil((F.size("first") + F.size("second")) * F.lit(factor)) + LEAST).cast("int")
-    signed = lambda c, sign: F.transform(c, lambda k: F.struct(F.lit(sign).alias("c"), k.alias("k")))
-    none = [F.lit(None).cast("long").alias("digest"), F.lit(None).cast("int").alias("sign")]
-    items = first.repartition(width, id_col).select(id_col, cells.alias("width"), *none, F.explode(F.concat(signed("first", 1), signed("second", -1))).alias("x"))
-    left = _sketch(items.select(*by, "x.*"), by)
-    for step in range(STEPS):
-        stepped = _peel_marked(left, id_col, step % TABLES)
-        left = _summed(stepped, by)
-    left = stage(left, "recovered")
-    out = left.where("cell < 0").select(id_col, "digest", "sign")
-    failed = left.where("cell >= 0").select(id_col).distinct()
-    if not failed.limit(1).count():
-        return out
-    again = stage(first.join(failed, id_col), "unrecovered")
-    return out.join(failed, id_col, "left_anti").unionByName(recovered(again, id_col, factor * 2))
-
-
-def _peel_marked(cells: DataFrame, id_col: str, table: int) -> DataFrame:
-    """As _peel_step, but a digest that is taken out stays as a row with its sign."""
-    width, key, count = F.col("width"), F.col("k"), F.col("c")
-    alone = (F.col("cell") >= 0) & (F.floor(F.col("cell") / width) == table) & (F.abs(count) == 1) & (F.col("h") == F.xxhash64(key, F.lit(_CHECK)))
-    row = lambda cell, c, digest, sign: F.struct(digest.cast("long").alias("digest"), sign.cast("int").alias("sign"), cell.cast("int").alias("cell"), c.cast("int").alias("c"), key.alias("k"), F.col("h").alias("h"))
-    null = F.lit(None)
-    others = [row(_cell(key, F.lit(t), width), -count, null, null) for t in range(TABLES) if t != table]
-    found = row(F.lit(-1), F.lit(1), key, count)
-    same = row(F.col("cell"), count, F.col("digest"), F.col("sign"))
-    return cells.select(id_col, "width", F.explode(F.when(alone, F.array(*others, found)).otherwise(F.array(same))).alias("x")).select(id_col, "width", "x.*")
-
-
-def published(docs: DataFrame) -> DataFrame:
-    """(row, fingerprint, edited_fingerprint): a checksum of the text and the cells of a small sketch of fixed size, in hex."""
-    by = ["row", "version", "width"]
-    version = lambda c, n: F.transform(c, lambda k: F.struct(F.lit(n).alias("version"), k.alias("k")))
-    items = docs.select("row", F.lit(PUBLISHED).alias("width"), F.lit(1).alias("c"), F.explode(F.concat(version("own", 0), version("edited", 1))).alias("x"))
-    cells = _sketch(items.select("row", "width", "c", "x.*"), by)
-    text = F.concat(F.lpad(F.hex("cell"), 2, "0"), F.lpad(F.hex("c"), 4, "0"), F.lpad(F.hex("k"), 16, "0"))
-    of = lambda n: F.array_join(F.array_sort(F.collect_list(F.when(F.col("version") == n, text))), "")
-    return cells.groupBy("row").agg(of(0).alias("own_cells"), of(1).alias("edited_cells"))
+        pairs, factor = stage(pairs.join(failed, ["pair", "kind"], "left_semi"), "unpeeled"), factor * 2
+
+
+def published(sets: DataFrame) -> DataFrame:
+    """(pair, cells): of each set (pair, kind, width, first) the cells of its sketch, in hex and in order, for kind 0 and 1."""
+    by = ["pair", "kind", "width"]
+    cells = _sketch(sets.select(*by, F.lit(1).alias("c"), F.explode("first").alias("k")), by)
+    text = F.concat(F.lpad(F.hex("cell"), 6, "0"), F.lpad(F.hex("c"), 4, "0"), F.lpad(F.hex("k"), 16, "0"), F.right(F.lpad(F.hex("h"), 16, "0"), F.lit(8)))
+    of = lambda n: F.concat_ws("-", F.max(F.when(F.col("kind") == n, F.hex("width"))), F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == n, text))), ""))
+    return cells.groupBy("pair").agg(of(0).alias("own_cells"), of(1).alias("edited_cells"))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and digests of each row, and text and digests of the row with the next id (after the last: the first).
+    """id, text and digests of each row, and text and digests of the row that follows it by id (after the last: the first).
 
-    Rows are dealt into ranges of ids; the first row of a range is also put at the end of the range before, so each
-    range finds its rows' successors by itself. The ranges' first ids come to the driver, one for GROUP_ROWS rows."""
+    Rows are dealt into groups, ranges of (id, hash of the text) of some GROUP_BYTES; the first row of a group is also put
+    at the end of the group before, so each group finds its rows' successors by itself. Groups begin where a range
+    partitioning of keys alone has its partitions begin; those first keys, one for a group, are a one-row table."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    count = rows.count()
-    groups = min(1_000_000, max(2 * shuffle_width(docs.sparkSession), count // GROUP_ROWS))
-    edges = rows.agg(F.percentile_approx("id", [i / groups for i in range(groups)], max(10_000, 10 * groups)).alias("e"), F.min("id").alias("m")).first()
-    edges = sorted({*(edges.e or []), edges.m} - {None})
-    if edges:
-        # two steps of looking up, as there may be many edges
-        side = max(1, int(len(edges) ** 0.5))
-        blocks = [edges[i : i + side] for i in range(0, len(edges), side)]
-        long = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-        below = lambda xs: F.size(F.filter(xs, lambda e: e <= F.col("id")))
-        block = F.greatest(F.lit(1), below(long([b[0] for b in blocks])))
-        rows = rows.withColumn("block", F.coalesce(block, F.lit(1)))
-        inner = F.element_at(F.array(*map(long, blocks)), F.col("block"))
-        rows = rows.withColumn("group", F.when(F.col("id").isNull(), len(edges) - 1).otherwise((F.col("block") - 1) * side + below(inner) - 1))
-        first = F.element_at(inner, ((F.col("group") % side) + 1).cast("int")) == F.col("id")
-        real, ghost = F.struct(F.col("group").alias("group"), F.lit(0).alias("ghost")), F.struct(F.pmod(F.col("group") - 1, F.lit(len(edges))).alias("group"), F.lit(1).alias("ghost"))
-        rows = rows.withColumn("at", F.explode(F.when(first, F.array(real, ghost)).otherwise(F.array(real))))
-    else:
-        rows = rows.withColumn("at", F.struct(F.lit(0).alias("group"), F.lit(0).alias("ghost")))
-    rows = rows.select("at.group", "at.ghost", "id", "text")
-    own = Window.partitionBy("group").orderBy("ghost", F.col("id").asc_nulls_last(), F.xxhash64("text"))
-    rows = rows.repartition(shuffle_width(docs.sparkSession), "group").withColumn("own", paragraph_digests(F.col("text")))
+    rows = docs.select(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    groups = max(shuffle_width(docs.sparkSession), -(-total // GROUP_BYTES))
+    key = F.struct("none", "id", "h")
+    ranged = rows.select("none", "id", "h").repartitionByRange(groups, "none", "id", "h")
+    firsts = stage(ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("first")), "first-keys")
+    count = firsts.count()
+    side = max(1, int(count**0.5))
+    table = stage(firsts.agg(F.array_sort(F.collect_list("first")).alias("keys")).select("keys", F.filter("keys", lambda x, i: i % side == 0).alias("outer")), "group-keys")
+    # the table reaches each row as a column first: lambdas take no subqueries
+    rows = rows.withColumns({"key": key, "keys": table.select("keys").scalar(), "outer": table.select("outer").scalar()})
+    keys, outer = F.col("keys"), F.col("outer")
+    below = lambda xs: F.size(F.filter(xs, lambda e: e <= F.col("key")))
+    # two steps of looking up, as there may be many groups
+    rows = rows.withColumn("block", F.greatest(F.lit(1), below(outer)))
+    rows = rows.withColumn("group", (F.col("block") - 1) * side + F.greatest(F.lit(1), below(F.slice(keys, (F.col("block") - 1) * side + 1, F.lit(side)))) - 1)
+    is_first = F.get(keys, F.col("group")) == F.col("key")
+    real, ghost = F.struct(F.col("group").alias("group"), F.lit(0).alias("ghost")), F.struct(F.pmod(F.col("group") - 1, F.lit(max(1, count))).alias("group"), F.lit(1).alias("ghost"))
+    rows = rows.withColumn("at", F.explode(F.when(is_first, F.array(real, ghost)).otherwise(F.array(real)))).select("at.group", "at.ghost", "none", "id", "h", "text")
+    own = Window.partitionBy("group").orderBy("ghost", "none", "id", "h")
+    rows = rows.repartitionById(groups, F.col("group").cast("int")).withColumn("own", paragraph_digests(F.col("text")))
     rows = rows.withColumns({"next_text": F.lead("text").over(own), "next": F.lead("own").over(own)})
-    return rows.where("ghost = 0").select("id", "text", "own", F.coalesce("next_text", F.lit("")).alias("next_text"), F.coalesce("next", F.array().cast("array<long>")).alias("next"))
+    return rows.where("ghost = 0").select("id", "text", "own", "next_text", "next")
 
 
-def likeness(own: Column, other: Column, only_own: Column, only_other: Column) -> Column:
-    """Shared digests over all digests of both; 1 for two empty sets."""
-    n_own = F.size(own)
-    union = n_own + F.coalesce(only_other, F.lit(0))
-    return F.when(union == 0, 1.0).otherwise((n_own - F.coalesce(only_own, F.lit(0))) / union)
+def likeness(own: Column, other: Column, only_own: Column) -> Column:
+    """Twice the shared digests over those of the one and those of the other; 1 for two empty sets."""
+    total = F.size(own) + F.size(other)
+    return F.when(total == 0, 1.0).otherwise(2 * (F.size(own) - only_own) / total)
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
+    """Per row: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, lost and gained.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the text with
-    the next id; after the last comes the first. A null text is empty. Rows that repeat an id follow each other in the
-    order of a hash of the text; rows without an id come last; if no row has an id, the last of them is followed by an
-    empty text. No rows give no rows; other columns are neither read nor returned.
+    the next id; after the last comes the first. A fingerprint is a hash of the text, the sketch's width and its cells
+    (number, count, XOR of digests, low half of the XOR of check hashes). lost and gained are the digests that the edit
+    took away and brought, as peeled from the difference. A null text is empty. Rows that repeat an id follow each other
+    in the order of a hash of the text; rows without an id come last. No rows give no rows; other columns are neither read
+    nor returned.
     """
     id_type = docs.schema[id_col].dataType
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     pairs = with_next(docs, id_col, text_col).withColumn("edit", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
     made = pairs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("id"), n.cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), F.xxhash64("text").alias("sum"), F.xxhash64("edit").alias("edited_sum"), "own", paragraph_digests(F.col("edit")).alias("edited"), "next"
+        F.monotonically_increasing_id().alias("pair"), F.col("id"), n.cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), F.xxhash64("text").alias("sum"), F.xxhash64("edit").alias("edited_sum"), "own", paragraph_digests(F.col("edit")).alias("edited"), "next"
     )
     made = stage(made, "digests")
-    # a row makes two pairs, numbered 2 * row and 2 * row + 1
-    pair = lambda n, other: F.struct((F.col("row") * 2 + n).alias("pair"), F.col("own").alias("first"), F.col(other).alias("second"))
-    peeled = reconcile(made.select(F.explode(F.array(pair(0, "edited"), pair(1, "next"))).alias("p")).select("p.*"))
-    pick = lambda kind, c: F.max(F.when(F.col("pair") % 2 == kind, F.col(c)))
-    near = peeled.groupBy(F.floor(F.col("pair") / 2).alias("row")).agg(pick(0, "only_first").alias("e1"), pick(0, "only_second").alias("e2"), pick(1, "only_first").alias("x1"), pick(1, "only_second").alias("x2"))
-    out = made.join(published(made.repartition(shuffle_width(docs.sparkSession), "row")), "row", "left").join(near, "row", "left")
-    hexed = lambda s, cells: F.concat(F.lower(F.lpad(F.hex(s), 16, "0")), F.lit("-"), F.lower(F.coalesce(cells, F.lit(""))))
+    dealt = made.select("pair", "own", "edited", "next").repartition(shuffle_width(docs.sparkSession), "pair")
+    none = F.array().cast("array<long>")
+    # the two published sketches, and what they are compared with
+    kind = lambda n, first, second: F.struct(F.lit(n).alias("kind"), F.lit(n == 2).alias("named"), F.col(first).alias("first"), (none if second is None else F.col(second)).alias("second"))
+    sets = dealt.select("pair", F.explode(F.array(kind(0, "own", None), kind(1, "edited", None), kind(2, "own", "edited"), kind(3, "own", "next"))).alias("x")).select("pair", "x.*")
+    peeled = reconcile(sets)
+    pick = lambda n, c: F.max(F.when(F.col("kind") == n, F.col(c)))
+    found = peeled.groupBy("pair").agg(
+        pick(0, "width").alias("w0"), pick(1, "width").alias("w1"), F.coalesce(pick(2, "only_first"), F.lit(0)).alias("e"), F.coalesce(pick(3, "only_first"), F.lit(0)).alias("x"),
+        F.coalesce(pick(2, "first_digests"), none).alias("lost"), F.coalesce(pick(2, "second_digests"), none).alias("gained")
+    )
+    found = stage(found, "reconciled")
+    wide = dealt.join(found.select("pair", "w0", "w1"), "pair")
+    sketch = lambda n, c, w: F.struct(F.lit(n).alias("kind"), F.col(w).alias("width"), F.col(c).alias("first"))
+    cells = published(wide.select("pair", F.explode(F.array(sketch(0, "own", "w0"), sketch(1, "edited", "w1"))).alias("x")).select("pair", "x.*"))
+    out = made.join(found, "pair").join(cells, "pair", "left")
+    hexed = lambda s, cells: F.lower(F.concat(F.lpad(F.hex(s), 16, "0"), F.lit("-"), F.coalesce(cells, F.lit(""))))
     return out.select(
-        F.col("id").cast(id_type).alias(id_col), "n_chars", "edited_sha256", hexed("sum", "own_cells").alias("fingerprint"), hexed("edited_sum", "edited_cells").alias("edited_fingerprint"),
-        likeness("own", "edited", F.col("e1"), F.col("e2")).alias("near_edited"), likeness("own", "next", F.col("x1"), F.col("x2")).alias("near_next")
+        F.col("id").cast(id_type).alias(id_col), "n_chars", "edited_sha256", hexed("sum", F.col("own_cells")).alias("fingerprint"), hexed("edited_sum", F.col("edited_cells")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("edited"), F.col("e")).alias("near_edited"), likeness(F.col("own"), F.col("next"), F.col("x")).alias("near_next"), "lost", "gained"
     )

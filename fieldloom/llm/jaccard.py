@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .shared import small_batches, stage
+from .shared import pieces, stage
 
 WORDS, SEED = 5, 43
 BANDS, ROWS = 24, 4
@@ -66,7 +66,7 @@ def sketches(rows: DataFrame, row_col: str, text_col: str) -> DataFrame:
     """Per row: row_col, the fingerprint fp, n shingles in the set, and the set's bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             prints, counts, numbers = [], [], []
             for text in batch.column(1):
                 narrow = simhash.shingle_hashes(text.as_py())
@@ -77,20 +77,20 @@ def sketches(rows: DataFrame, row_col: str, text_col: str) -> DataFrame:
             prints = pa.array(np.array(prints, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), prints, pa.array(counts, pa.int32()), _lists(numbers)], names=[row_col, "fp", "n", "bands"])
 
-    return small_batches(rows).select(row_col, text_col).mapInArrow(run, f"`{row_col}` long, fp long, n int, bands array<long>")
+    return rows.select(row_col, text_col).mapInArrow(run, f"`{row_col}` long, fp long, n int, bands array<long>")
 
 
 def shingle_sets(rows: DataFrame, row_col: str, text_col: str) -> DataFrame:
     """Per row: row_col and its set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for i in range(0, len(batch), 100):
                 part = batch.slice(i, 100)
                 found = [shingles(simhash.shingle_hashes(text.as_py())) for text in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(found)], names=[row_col, "shingles"])
 
-    return small_batches(rows).select(row_col, text_col).mapInArrow(run, f"`{row_col}` long, shingles array<long>")
+    return rows.select(row_col, text_col).mapInArrow(run, f"`{row_col}` long, shingles array<long>")
 
 
 def alike(rows: DataFrame, pairs: DataFrame, similarity: float, row_col: str, text_col: str) -> DataFrame:

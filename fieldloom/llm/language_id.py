@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import pieces
 
 UNKNOWN = "und"
 PAD = 256
@@ -216,12 +216,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     net = train(windows) if windows else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(2).to_pylist()
             langs, scores = classify(net, texts) if net else ([UNKNOWN] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 
-    return small_batches(docs).select(id_col, held_out.alias("held_out"), text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return docs.select(id_col, held_out.alias("held_out"), text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, min_score: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -234,8 +234,8 @@ def keep_identified(docs: DataFrame, min_score: float, id_col: str = "doc_id", t
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             langs, scores = classify(net, batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and s >= min_score for lang, s in zip(langs, scores)], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema) if net else docs.limit(0)
+    return docs.mapInArrow(run, docs.schema) if net else docs.limit(0)

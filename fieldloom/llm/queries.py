@@ -64,7 +64,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = warc.capture_histories(table(spark, sf_dir, "pages"))
-    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "position")
 
 
 ORACLE_SQL["op1_warc"] = warc.WARC_SQL

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_width, small_batches
+from .shared import pieces, shuffle_width
 
 WINDOW, GRAM = 50, 20
 #: Bytes of text in a part, roughly; a part is the unit of work.
@@ -343,7 +343,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in dealt], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "data"])
 
         size = 0
-        for batch in batches:
+        for batch in pieces(batches):
             nulls = np.array(batch.column(1).is_null().to_numpy(zero_copy_only=False), np.uint8)
             ids = batch.column(1).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             held.append((batch.column(0).to_numpy(zero_copy_only=False), ids, nulls))
@@ -438,10 +438,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({n: pa.array([r[i] for r in found], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
     part = F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)).cast("int")
-    dealt = small_batches(docs).select(part.alias("part"), F.col(id_col), F.col(text_col)).mapInArrow(pack, "part int, data binary").repartition(parts, "part")
-    exchange: Callable[[DataFrame], DataFrame] = lambda sent: sent.repartition(parts, "part")
-    digits = exchange(dealt.groupBy("part").applyInArrow(send_digits, schema(to_bucket)).repartition(parts, "bucket").groupBy("bucket").applyInArrow(compare_digits, schema(to_part)))
-    strings = dealt.groupBy("part").cogroup(digits.groupBy("part")).applyInArrow(send_strings, schema(to_bucket)).repartition(parts, "bucket")
+    dealt = docs.select(part.alias("part"), F.col(id_col), F.col(text_col)).mapInArrow(pack, "part int, data binary").repartitionById(parts, "part")
+    exchange: Callable[[DataFrame], DataFrame] = lambda sent: sent.repartitionById(parts, "part")
+    digits = exchange(dealt.groupBy("part").applyInArrow(send_digits, schema(to_bucket)).repartitionById(parts, "bucket").groupBy("bucket").applyInArrow(compare_digits, schema(to_part)))
+    strings = dealt.groupBy("part").cogroup(digits.groupBy("part")).applyInArrow(send_strings, schema(to_bucket)).repartitionById(parts, "bucket")
     strings = exchange(strings.groupBy("bucket").applyInArrow(compare_strings, schema(to_part)))
     out = dealt.groupBy("part").cogroup(digits.unionByName(strings).groupBy("part")).applyInArrow(remove, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn(id_col, F.col(id_col).cast(id_type))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +16,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _staged: dict[str, list[str]] = {}
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own does on a
+    local master, as in tests; on a cluster it is an error, as no other machine would see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="fieldloom-"))
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -71,16 +75,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows in an Arrow batch at most, where rows are documents: a batch must fit in memory even if all are long.
+#: Rows of an Arrow batch that are looked at together, where rows are documents. Spark bounds a batch by its bytes.
 BATCH_ROWS = 1000
 
 
-def small_batches(docs: DataFrame) -> DataFrame:
-    """docs, after lowering the session's Arrow batches to BATCH_ROWS; a smaller setting stays."""
-    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-    return docs
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows at most, so that what is made of them for a while stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+#: Rows of a staged table up to which it may be broadcast; such tables have a few short columns.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(staged: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table as a join's side: broadcast if it has been counted to have at most so many rows, else dealt by key."""
+    return F.broadcast(staged) if staged.count() <= most else staged.hint("merge")
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_width, small_batches, stage
+from .shared import pieces, shuffle_width, stage
 
 SEED, SHINGLE = 42, 3
 BITS, SEGMENTS = 64, 32
@@ -57,11 +57,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: id_col and fp, the fingerprint as a signed 64-bit integer. Null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def grid_points(fp: str, segments: int = SEGMENTS) -> Column:

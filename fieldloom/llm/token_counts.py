@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import Bounded, small_batches
+from .shared import Bounded, pieces
 
 
 def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
@@ -99,10 +99,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = WordCounter(tokenizer)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(1).to_pylist()
             counts = list(map(counter.count, texts))
             sizes = [len(t.encode()) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")

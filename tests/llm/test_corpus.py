@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -36,11 +37,53 @@ def test_warc_round_trip(spark, pages):
             first[h] = max(first[h], -1 if i is None else i)
     expected = sorted((-1 if i is None else i, len(h.encode()), hashlib.sha1(h.encode()).hexdigest(), *(("revisit", first[h]) if len(h.encode()) >= 1000 and i != first[h] else ("response", None))) for i, h in texts)
     assert sorted((-1 if r.page_id is None else r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows) == expected
-    order = [(r.url_key, r.timestamp) for r in sorted(rows, key=lambda r: (r.range, r.place))]
-    assert order == sorted(order)
+    rows.sort(key=lambda r: (r.range, r.place))
+    order = [(r.url_key, r.timestamp) for r in rows]
+    assert order == sorted(order) and [r.position for r in rows] == list(range(len(rows)))
     assert warc.url_key("http://www.B.example:80/x?q=1#f") == "example,b)/x?q=1"
 
 
+def test_offsets_of_the_index(spark, pages, tmp_path):
+    """An index entry's archive and offset lead to its record; archives end after so many bytes."""
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(pages.repartition(1), path, archive_bytes=500)
+    files = {f.path.rpartition("/")[2]: bytes(f.content) for f in spark.read.format("binaryFile").load(path).collect()}
+    assert len(files) > 3
+    for r in warc.read_captures(spark, path).where("record_type = 'response'").collect():
+        payload = warc.payload_at(files[r.archive], r.offset)
+        assert (hashlib.sha1(payload).hexdigest(), len(payload)) == (r.payload_digest, r.payload_bytes)
+
+
+def test_long_payloads(monkeypatch):
+    """A record of several members is read in chunks; what is held at once stays far below its size."""
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1 << 20)
+    body = b"a<p>b" * (40 << 20)  # 200 MB
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+    data = warc.gzip_members(head + body + b"\r\n\r\n") * 2
+    assert data[-1] == 0
+    digest, size = hashlib.sha1(body).hexdigest(), len(body)
+    del body
+    tracemalloc.start()
+    for offset, headers, block in warc.records(warc.members(data)):
+        seen, length = hashlib.sha1(), 0
+        for part in block:
+            seen.update(part)
+            length += len(part)
+        assert (seen.hexdigest(), length, offset) in ((digest, size, 0), (digest, size, len(data) // 2))
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+
+
+def test_hot_payload(spark):
+    """A payload that most pages share, some of them without an id or with the same id and another URL."""
+    rows = [(None if i % 50 == 0 else i % 700, f"http://h/{i}", "hot" * 400 if i % 3 else f"{i} " * 300) for i in range(2000)]
+    out = warc.capture_histories(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == 2000
+    hot = [r for r in out if r.payload_digest == hashlib.sha1(b"hot" * 400).hexdigest()]
+    largest = max(r.page_id for r in hot if r.page_id is not None)
+    assert all((r.record_type, r.refers_to) == (("response", None) if r.page_id == largest else ("revisit", largest)) for r in hot)
+
+
 def test_warc_of_nothing(spark, pages):
     assert warc.capture_histories(pages.limit(0)).count() == 0
 

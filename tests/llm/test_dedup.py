@@ -1,10 +1,12 @@
 import hashlib
 import random
 import re
+import struct
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from fieldloom.llm import exact_dedup, fingerprints, repeats, simhash
@@ -211,48 +213,108 @@ def test_least_of_equal():
     assert repeats.least_of_equal(data, at, ids, label).tolist() == [first[x, data[k : k + 50].tobytes()] for k, x in zip(at.tolist(), label.tolist())]
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 def digests(text):
-    return {p for p in re.split(fingerprints.PARAGRAPH_END, text) if p}
+    pieces = [p[i : i + fingerprints.LONGEST] for p in re.split(fingerprints.PARAGRAPH_END, text) for i in range(0, len(p), fingerprints.LONGEST)]
+    return {signed(xxhash.xxh64_intdigest(p.encode(), 42)) for p in pieces}
+
+
+def hashed(key, number):
+    seed = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+    return signed(xxhash.xxh64_intdigest(struct.pack("<i", number), seed))
+
+
+def peeled_alone(fingerprint):
+    """The digests of a text, from its published fingerprint alone."""
+    _, width, cells = ([*fingerprint.split("-"), "", ""])[:3]
+    if not cells:
+        return set()
+    width, table = int(width, 16), {}
+    for k in range(0, len(cells), 34):
+        one = cells[k : k + 34]
+        table[int(one[:6], 16)] = [int(one[6:10], 16), int(one[10:26], 16), int(one[26:], 16)]
+    found, more = set(), True
+    while more:
+        more = False
+        for c, k, h in list(table.values()):
+            key = signed(k)
+            check = hashed(key, fingerprints._CHECK) & 0xFFFFFFFF
+            if c == 1 and h == check and key not in found:
+                found.add(key)
+                more = True
+                for t in range(fingerprints.TABLES):
+                    cell = table[t * width + hashed(key, t) % width]
+                    cell[0], cell[1], cell[2] = cell[0] - 1, cell[1] ^ k, cell[2] ^ check
+    assert all(cell == [0, 0, 0] for cell in table.values())
+    return found
+
+
+def alike(a, b):
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
 
 
 def test_fingerprints(edge):
-    rows = edge.where("doc_id IS NOT NULL").collect()
-    order = sorted(((r.doc_id, r.text or "") for r in rows))
-    found = sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next, r.fingerprint) for r in fingerprints.fingerprint(edge.where("doc_id IS NOT NULL")).collect()))
-    assert len(found) == len(order)
-    like = lambda a, b: len(digests(a) & digests(b)) / len(digests(a) | digests(b)) if digests(a) | digests(b) else 1.0
+    """Rows against their definition, and both likenesses from the two columns of fingerprints alone."""
+    edge = edge.where("doc_id IS NOT NULL")
+    order = sorted((r.doc_id, r.text or "") for r in edge.collect())
+    found = sorted(fingerprints.fingerprint(edge).collect(), key=lambda r: (r.doc_id, r.n_chars))
+    assert [r.doc_id for r in found] == [i for i, _ in order]
     by_text = defaultdict(set)
+    own = [peeled_alone(r.fingerprint) for r in found]
     for k, ((i, text), f) in enumerate(zip(order, found)):
         after = order[(k + 1) % len(order)][1]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        assert f[:3] == (i, len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert f[3] == pytest.approx(like(text, edited)) and f[4] == pytest.approx(like(text, after))
-        by_text[text].add(f[5])
+        assert (f.n_chars, f.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert own[k] == digests(text) and peeled_alone(f.edited_fingerprint) == digests(edited)
+        assert f.near_edited == pytest.approx(alike(own[k], peeled_alone(f.edited_fingerprint))) and f.near_next == pytest.approx(alike(own[k], own[(k + 1) % len(order)]))
+        assert (set(f.lost), set(f.gained)) == (digests(text) - digests(edited), digests(edited) - digests(text))
+        by_text[text].add(f.fingerprint)
     assert all(len(v) == 1 for v in by_text.values()) and len(set.union(*by_text.values())) == len(by_text)
 
 
+def test_fingerprints_of_documents(spark):
+    """Half of each edited text is kept, also of one without line ends and sentences."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = fingerprints.fingerprint(docs).where("n_chars > 500").collect()
+    assert np.mean([r.near_edited for r in rows]) > 0.4 and np.mean([r.near_edited > 0 for r in rows]) > 0.97
+
+
 def test_fingerprints_without_ids(edge):
-    rows = fingerprints.fingerprint(edge.where("doc_id IS NULL"))
-    assert rows.count() == 2
+    rows = fingerprints.fingerprint(edge.where("doc_id IS NULL")).collect()
+    assert len(rows) == 2 and {r.doc_id for r in rows} == {None}
     assert fingerprints.fingerprint(edge).count() == edge.count()
 
 
-def test_recovered_digests(spark):
+def test_neighbours_across_groups(spark, monkeypatch):
+    """Groups of a few rows, repeated ids among them: each text is followed by the next in order of id and hash."""
+    monkeypatch.setattr(fingerprints, "GROUP_BYTES", 64)
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 5, 5, rng.randrange(1000)]), f"text {i} " + "x" * rng.randint(0, 30)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
+    found = {r.text: r.next_text for r in fingerprints.with_next(df, "doc_id", "text").collect()}
+    assert found == {a[1]: b[1] for a, b in zip(order, [*order[1:], order[0]])}
+
+
+def test_reconcile(spark):
+    """Differences of random sets, with too few cells at first."""
     rng = random.Random(1)
     draw = lambda n: [rng.getrandbits(63) for _ in range(n)]
     pairs = []
     for i in range(40):
         both, a, b = draw(rng.randint(0, 60)), draw(rng.randint(0, 40)), draw(rng.randint(0, 40))
-        pairs.append((i, both + a, both + b))
-    df = spark.createDataFrame(pairs, "pair long, first array<long>, second array<long>")
-    counts = {r.pair: (r.only_first, r.only_second) for r in fingerprints.reconcile(df, factor=0.05).collect()}  # too few cells at first
-    found = defaultdict(set)
-    for r in fingerprints.recovered(df, "pair", factor=0.05).collect():
-        found[r.pair].add((r.digest, r.sign))
-    for i, a, b in pairs:
-        assert found[i] == {(x, 1) for x in set(a) - set(b)} | {(x, -1) for x in set(b) - set(a)}
-        assert counts.get(i, (0, 0)) == (len(set(a) - set(b)), len(set(b) - set(a)))
+        pairs.append((i, i % 3, i % 2 == 0, both + a, both + b))
+    pairs += [(100, 0, True, [], []), (101, 0, True, [7], [7])]
+    df = spark.createDataFrame(pairs, "pair long, kind int, named boolean, first array<long>, second array<long>")
+    found = {(r.pair, r.kind): r for r in fingerprints.reconcile(df, factor=0.05).collect()}
+    for i, kind, named, a, b in pairs:
+        a, b, r = set(a), set(b), found.get((i, kind))
+        assert (r is None and a == b) or (r.only_first, r.only_second) == (len(a - b), len(b - a))
+        assert r is None or (r.first_digests, r.second_digests) == ((sorted(a - b), sorted(b - a)) if named else ([], []))
 
 
 def test_empty(none):
