@@ -15,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shuffle_width, stage
+from .shared import shuffle_width, small_side, stage
 
-#: A paragraph ends at a line end, after a sentence, or between words that end and begin with certain letters, so that long
-#: sentences are cut by what they say; what is longer still is cut at LONGEST characters.
-PARAGRAPH_END = r"\n+|(?<=[.!?]) +|(?<=[a-e]) +(?=[a-e])"
-LONGEST = 240
+#: A paragraph ends at a line end, or after a sentence if the next one begins with certain letters; what is longer than
+#: LONGEST characters is cut there.
+PARAGRAPH_END = r"\n+|(?<=[.!?]) +(?=[A-M])"
+LONGEST = 160
 TABLES = 3
 #: Cells of a subtable: for each digest, and besides.
 PER_DIGEST, LEAST = 0.6, 4
@@ -28,6 +28,8 @@ PER_DIGEST, LEAST = 0.6, 4
 STEPS = 9
 #: Text of neighbouring documents that is handled in one group, roughly.
 GROUP_BYTES = 32 << 20
+#: Digests whose sketches one task makes, roughly.
+TASK_DIGESTS = 50_000
 _CHECK = 9
 
 
@@ -75,34 +77,31 @@ def _width(size: Column, factor: float) -> Column:
 
 
 def reconcile(pairs: DataFrame, factor: float = PER_DIGEST) -> DataFrame:
-    """(pair, kind, width, only_first, only_second, first_digests, second_digests): how many digests are in one of two sets only,
+    """(pair, kind, width, attempt, only_first, only_second, first_digests, second_digests): how many digests are in one of two sets only,
     and which, by subtracting and peeling sketches.
 
     pairs has pair and kind (a key of integers), named (whether the digests are wanted, not only their numbers), first
-    and second (arrays of distinct digests); it is best dealt by pair. width is that of the sketch that could be peeled.
+    and second (arrays of distinct digests); it is best dealt by pair. Pairs of equal sets give no row. width is that of the sketch that could be peeled.
     Attempts go on, each with twice the cells, until every pair is recovered whole: two digests that share all their cells
     at one width are told apart at a larger one."""
-    by, done = ["pair", "kind", "named", "width"], None
+    by, done, attempt = ["pair", "kind", "named", "width"], None, 0
     while True:
         signed = lambda c, sign: F.transform(c, lambda k: F.struct(F.lit(sign).alias("c"), k.alias("k")))
-        # an outer explode: a pair of two empty sets has no cells, and nothing to recover
-        items = pairs.select("pair", "kind", "named", _width(F.size("first") + F.size("second"), factor).alias("width"), F.explode_outer(F.concat(signed("first", 1), signed("second", -1))).alias("x"))
-        empty = items.where("x IS NULL").select(*by, F.lit(None).cast("long").alias("d"), F.lit(-1).alias("cell"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-        left = _sketch(items.where("x IS NOT NULL").select(*by, "x.*"), by).withColumn("d", F.lit(None).cast("long"))
+        items = pairs.select("pair", "kind", "named", _width(F.size("first") + F.size("second"), factor).alias("width"), F.explode(F.concat(signed("first", 1), signed("second", -1))).alias("x"))
+        left = _sketch(items.select(*by, "x.*"), by).withColumn("d", F.lit(None).cast("long"))
         for step in range(STEPS):
             left = _peel_step(left, by, step % TABLES)
-        left = left.select(empty.columns).unionByName(empty)
         count = lambda cell: F.coalesce(F.sum(F.when(F.col("cell") == cell, F.col("c"))), F.lit(0))
         list_of = lambda cell: F.array_sort(F.collect_list(F.when(F.col("cell") == cell, F.col("d"))))
         counts = [count(-1).alias("only_first"), count(-2).alias("only_second"), list_of(-1).alias("first_digests"), list_of(-2).alias("second_digests"), F.count_if(F.col("cell") >= 0).alias("open")]
         result = stage(left.groupBy("pair", "kind", "width").agg(*counts), "peeled")
-        whole = result.where("open = 0").drop("open")
+        whole = result.where("open = 0").drop("open").withColumn("attempt", F.lit(attempt))
         done = whole if done is None else done.unionByName(whole)
         failed = result.where("open > 0").select("pair", "kind")
         if not failed.limit(1).count():
-            # pairs whose sets are equal have no cells left and no row
             return done
         pairs, factor = stage(pairs.join(failed, ["pair", "kind"], "left_semi"), "unpeeled"), factor * 2
+        attempt += 1
 
 
 def published(sets: DataFrame) -> DataFrame:
@@ -146,10 +145,10 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where("ghost = 0").select("id", "text", "own", "next_text", "next")
 
 
-def likeness(own: Column, other: Column, only_own: Column) -> Column:
+def likeness(own: str, other: str, only_own: str) -> Column:
     """Twice the shared digests over those of the one and those of the other; 1 for two empty sets."""
-    total = F.size(own) + F.size(other)
-    return F.when(total == 0, 1.0).otherwise(2 * (F.size(own) - only_own) / total)
+    total = F.col(own) + F.col(other)
+    return F.when(total == 0, 1.0).otherwise(2 * (F.col(own) - F.coalesce(only_own, F.lit(0))) / total)
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,25 +168,25 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     made = pairs.select(
         F.monotonically_increasing_id().alias("pair"), F.col("id"), n.cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), F.xxhash64("text").alias("sum"), F.xxhash64("edit").alias("edited_sum"), "own", paragraph_digests(F.col("edit")).alias("edited"), "next"
     )
-    made = stage(made, "digests")
-    dealt = made.select("pair", "own", "edited", "next").repartition(shuffle_width(docs.sparkSession), "pair")
+    made = stage(made.withColumns({"n_own": F.size("own"), "n_edited": F.size("edited"), "n_next": F.size("next")}), "digests")
+    width = max(shuffle_width(docs.sparkSession), -(-(made.agg(F.sum("n_own")).first()[0] or 0) // TASK_DIGESTS))
     none = F.array().cast("array<long>")
     # the two published sketches, and what they are compared with
     kind = lambda n, first, second: F.struct(F.lit(n).alias("kind"), F.lit(n == 2).alias("named"), F.col(first).alias("first"), (none if second is None else F.col(second)).alias("second"))
+    dealt = made.select("pair", "own", "edited", "next").repartition(width, "pair")
     sets = dealt.select("pair", F.explode(F.array(kind(0, "own", None), kind(1, "edited", None), kind(2, "own", "edited"), kind(3, "own", "next"))).alias("x")).select("pair", "x.*")
     peeled = reconcile(sets)
-    pick = lambda n, c: F.max(F.when(F.col("kind") == n, F.col(c)))
-    found = peeled.groupBy("pair").agg(
-        pick(0, "width").alias("w0"), pick(1, "width").alias("w1"), F.coalesce(pick(2, "only_first"), F.lit(0)).alias("e"), F.coalesce(pick(3, "only_first"), F.lit(0)).alias("x"),
-        F.coalesce(pick(2, "first_digests"), none).alias("lost"), F.coalesce(pick(2, "second_digests"), none).alias("gained")
-    )
-    found = stage(found, "reconciled")
-    wide = dealt.join(found.select("pair", "w0", "w1"), "pair")
-    sketch = lambda n, c, w: F.struct(F.lit(n).alias("kind"), F.col(w).alias("width"), F.col(c).alias("first"))
+    # sketches that had to be larger than others of their size: few
+    larger = peeled.where("kind < 2").groupBy("pair").agg(F.max(F.when(F.col("kind") == 0, F.col("width"))).alias("w0"), F.max(F.when(F.col("kind") == 1, F.col("width"))).alias("w1"), F.max("attempt").alias("a"))
+    larger = stage(larger.where("a > 0").drop("a"), "larger-sketches")
+    wide = made.select("pair", "own", "edited", "n_own", "n_edited").repartition(width, "pair").join(small_side(larger), "pair", "left")
+    sketch = lambda n, c, w: F.struct(F.lit(n).alias("kind"), F.coalesce(w, _width(F.size(c), PER_DIGEST)).alias("width"), F.col(c).alias("first"))
     cells = published(wide.select("pair", F.explode(F.array(sketch(0, "own", "w0"), sketch(1, "edited", "w1"))).alias("x")).select("pair", "x.*"))
-    out = made.join(found, "pair").join(cells, "pair", "left")
+    pick = lambda n, c: F.max(F.when(F.col("kind") == n, F.col(c)))
+    found = peeled.where("kind >= 2").groupBy("pair").agg(pick(2, "only_first").alias("e"), pick(3, "only_first").alias("x"), pick(2, "first_digests").alias("lost"), pick(2, "second_digests").alias("gained"))
+    out = made.drop("own", "edited", "next").join(found, "pair", "left").join(cells, "pair", "left")
     hexed = lambda s, cells: F.lower(F.concat(F.lpad(F.hex(s), 16, "0"), F.lit("-"), F.coalesce(cells, F.lit(""))))
     return out.select(
         F.col("id").cast(id_type).alias(id_col), "n_chars", "edited_sha256", hexed("sum", F.col("own_cells")).alias("fingerprint"), hexed("edited_sum", F.col("edited_cells")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited"), F.col("e")).alias("near_edited"), likeness(F.col("own"), F.col("next"), F.col("x")).alias("near_next"), "lost", "gained"
+        likeness("n_own", "n_edited", "e").alias("near_edited"), likeness("n_own", "n_next", "x").alias("near_next"), F.coalesce("lost", none).alias("lost"), F.coalesce("gained", none).alias("gained")
     )
