@@ -55,7 +55,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     nor returned.
     """
     key = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("v"), source_col))
-    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), key.alias("_key"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carry)
+    # of id and text, so that neither a repeated id nor a repeated text is one stratum
+    digest = F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(text_col, F.lit(""))).cast("binary")), 1, 8)
+    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), key.alias("_key"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("_digest"), *carry)
     sized = stage(sized, "mix-sizes")
     totals = sized.agg(F.sum("size"), F.count("*")).first()
     digits = max(2, math.ceil(math.log(max(1, totals[1] / ROWS_PER_STRATUM), 16)))
@@ -69,9 +71,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), "_key")), 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
     sources = sources.select("_key", "source_size", target.alias("target"), offset.alias("_offset"))
 
-    # strata: the size's leading bits, then hash digits of the id; a source is never in one task
+    # strata: the size's leading bits, then hash digits; a source is never in one task
     length = F.length(F.bin("size"))
-    sized = sized.withColumns({"_class": length * 8 + F.expr("shiftright(size * 8, length(bin(size)) - 1) & 7"), "_hash": F.substring(F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")), 1, digits)})
+    sized = sized.withColumns({"_class": length * 8 + F.expr("shiftright(size * 8, length(bin(size)) - 1) & 7"), "_hash": F.substring("_digest", 1, digits)})
     stratum = ["_key", "_class", "_hash"]
     counts = sized.groupBy(stratum).agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_key").orderBy("_class", "_hash")) - F.col("_n"))
@@ -94,7 +96,7 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 MIX_SQL = r"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS digest FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
 l AS (SELECT a.source_size * 2.0::DOUBLE / a.weight AS ratio,
@@ -104,7 +106,7 @@ l AS (SELECT a.source_size * 2.0::DOUBLE / a.weight AS ratio,
 t AS (SELECT w.*, least(source_size * 2.0::DOUBLE, weight * (SELECT level FROM l WHERE level <= ratio ORDER BY ratio LIMIT 1)) AS target,
              ('0x' || substr(md5('mix' || CASE WHEN source IS NULL THEN 'n' ELSE 'v' || source END), 1, 5))::BIGINT / 1048576.0::DOUBLE AS u FROM w),
 p AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.u,
-             row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)) * 8 + (((d.size * 8) >> (length(bin(d.size)) - 1)) & 7), substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 2), d.size, d.doc_id) AS i
+             row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)) * 8 + (((d.size * 8) >> (length(bin(d.size)) - 1)) & 7), substr(d.digest, 1, 2), d.size, d.doc_id) AS i
       FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, source, size, source_size, target,
        (floor(u + i * (target / source_size)) - floor(u + (i - 1) * (target / source_size)))::BIGINT AS copies, copies * size AS taken FROM p
