@@ -20,7 +20,7 @@ Texts are dealt once into parts of some PART_BYTES by a hash of id and text; the
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -439,11 +439,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     part = F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)).cast("int")
     dealt = docs.select(part.alias("part"), F.col(id_col), F.col(text_col)).mapInArrow(pack, "part int, data binary").repartitionById(parts, "part")
-    exchange: Callable[[DataFrame], DataFrame] = lambda sent: sent.repartitionById(parts, "part")
-    digits = exchange(dealt.groupBy("part").applyInArrow(send_digits, schema(to_bucket)).repartitionById(parts, "bucket").groupBy("bucket").applyInArrow(compare_digits, schema(to_part)))
-    strings = dealt.groupBy("part").cogroup(digits.groupBy("part")).applyInArrow(send_strings, schema(to_bucket)).repartitionById(parts, "bucket")
-    strings = exchange(strings.groupBy("bucket").applyInArrow(compare_strings, schema(to_part)))
-    out = dealt.groupBy("part").cogroup(digits.unionByName(strings).groupBy("part")).applyInArrow(remove, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    to = lambda sent: sent.repartitionById(parts, "part").groupBy("part")
+    digits = dealt.groupBy("part").applyInArrow(send_digits, schema(to_bucket)).repartitionById(parts, "bucket").groupBy("bucket").applyInArrow(compare_digits, schema(to_part))
+    strings = dealt.groupBy("part").cogroup(to(digits)).applyInArrow(send_strings, schema(to_bucket)).repartitionById(parts, "bucket")
+    strings = strings.groupBy("bucket").applyInArrow(compare_strings, schema(to_part))
+    # replies of both kinds share one exchange: a union of exchanged tables would be exchanged again, and the texts with it
+    out = dealt.groupBy("part").cogroup(to(digits.unionByName(strings))).applyInArrow(remove, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn(id_col, F.col(id_col).cast(id_type))
 
 
