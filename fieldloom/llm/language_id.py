@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,7 +125,9 @@ def train(windows: list[tuple[str, str]], steps: int = STEPS, seed: int = SEED)
     """A network from (lang, text) windows, each language as often as the others; Adam with a falling rate."""
     rng = np.random.default_rng(seed)
     labels = sorted({lang for lang, _ in windows})
-    by = [[t.encode()[:SPAN] for lang, t in windows if lang == name] for name in labels]
+    # a window is learned from in rows of SPAN bytes, all but a last one of a few bytes
+    rows_of = lambda data: [data[i : i + SPAN] for i in range(0, max(1, len(data) - SPAN // 4), SPAN)]
+    by = [[row for lang, t in windows if lang == name for row in rows_of(t.encode())] for name in labels]
     net = Network.fresh(labels, rng)
     values = [net.in_w, net.rec_w, net.out_w, net.out_b]
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
@@ -139,8 +142,8 @@ def train(windows: list[tuple[str, str]], steps: int = STEPS, seed: int = SEED)
     return net
 
 
-def classify(net: Network, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """The language and its probability for each whole text; UNKNOWN and 0 without letters."""
+def classify(net: Network, texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
+    """The language, its probability and the number of letter positions for each whole text; UNKNOWN and 0 without letters."""
     pooled = np.zeros((len(texts), len(net.labels)))
     weight = np.zeros(len(texts))
     ascii_letters = np.zeros(len(texts), bool)
@@ -186,7 +189,7 @@ def classify(net: Network, texts: list[str | None]) -> tuple[list[str], list[flo
         p = pooled[i] / max(1.0, weight[i])
         best = int(p.argmax())
         langs.append(net.labels[best]), scores.append(min(1.0, float(p[best])))
-    return langs, scores
+    return langs, scores, weight.astype(int).tolist()
 
 
 def sample_windows(docs: DataFrame, held_out, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
@@ -218,24 +221,31 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             texts = batch.column(2).to_pylist()
-            langs, scores = classify(net, texts) if net else ([UNKNOWN] * len(texts), [0.0] * len(texts))
+            langs, scores, _ = classify(net, texts) if net else ([UNKNOWN] * len(texts), [0.0] * len(texts), [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 
     return docs.select(id_col, held_out.alias("held_out"), text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, min_score: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, all columns, whose language is known with at least min_score; null, empty and letterless texts go.
+def keep_identified(docs: DataFrame, min_score: float, languages: tuple[str, ...] | None = None, least_letters: int = 40, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, with a text in one of the languages (None: any that was learned); a null language is
+    replaced by the predicted one.
 
-    The network is trained as in identify(). Rows are judged where they are, without a shuffle."""
+    Null, empty and letterless texts go, and texts of least_letters letters or more in which no language reaches min_score:
+    shorter ones say too little to be turned away. The network is trained as in identify(); where no row is labelled
+    there is nothing to learn or to judge by, and all rows with letters stay as they are. Rows are judged where they are,
+    without a shuffle; repeated and null ids are rows like any other."""
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
     windows = sample_windows(docs, held_out, id_col, text_col, lang_col)
-    net = train(windows) if windows else None
-    at = docs.columns.index(text_col)
+    if not windows:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    net, at, lang_at = train(windows), docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            langs, scores = classify(net, batch.column(at).to_pylist())
-            yield batch.filter(pa.array([lang != UNKNOWN and s >= min_score for lang, s in zip(langs, scores)], pa.bool_()))
+            langs, scores, letters = classify(net, batch.column(at).to_pylist())
+            kept = [lang != UNKNOWN and (languages is None or lang in languages) and (s >= min_score or n < least_letters) for lang, s, n in zip(langs, scores, letters)]
+            named = pc.coalesce(batch.column(lang_at), pa.array(langs, pa.string()))
+            yield batch.set_column(lang_at, batch.schema.field(lang_at), named).filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema) if net else docs.limit(0)
+    return docs.mapInArrow(run, docs.schema)

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +18,10 @@ from pyspark.sql import DataFrame
 from .shared import Bounded, pieces
 
 
+#: Below this code point (the end of Latin and combining marks) all tables agree on classes.
+STABLE = "\u0370"
+
+
 def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     """How many merges byte-pair encoding makes in one word."""
     n = len(symbols)
@@ -68,7 +71,11 @@ class WordCounter:
         special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.seen = Bounded(self.word)
-        self.space = regex.compile(spec["normalizer"]["normalizers"][1]["pattern"]["Regex"])
+        # composition, case and classes by the library's own tables, which may be older than Python's
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+        self.normalized = Tokenizer.from_file(path).normalizer.normalize_str
+        self.split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), behavior="removed", invert=True).pre_tokenize_str
 
     def word(self, word: str) -> int:
         symbols = [self.symbols[b] for b in word.encode()]
@@ -76,9 +83,9 @@ class WordCounter:
         return len(symbols) - merge_count(symbols, self.ranks)
 
     def plain(self, text: str) -> int:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() knows a final sigma, a map by characters doesn't
-        return sum(map(self.seen.__getitem__, self.words(text.lower())))
+        text = text.lower() if text.isascii() else self.normalized(text)
+        words = self.words(text) if not text or max(text) < STABLE else [word for word, _ in self.split(text)]
+        return sum(map(self.seen.__getitem__, words))
 
     def count(self, text: str | None) -> int:
         if not text:
