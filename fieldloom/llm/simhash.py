@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, shuffle_width, stage
+from .shared import pieces, shuffle_width, small_side, stage
 
 SEED, SHINGLE = 42, 3
 BITS, SEGMENTS = 64, 32
@@ -86,11 +86,11 @@ def links(nodes: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     nodes = nodes.repartition(4 * shuffle_width(nodes.sparkSession))
     reached = nodes.select("fp", F.explode(grid_points("fp", segments)).alias("cell"))
     shared_cells = stage(reached.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "grid-cells")
-    candidates = stage(reached.join(shared_cells, "cell").select("fp").distinct(), "grid-candidates")
+    candidates = stage(reached.join(small_side(shared_cells), "cell").select("fp").distinct(), "grid-candidates")
     flips = ", ".join(str(v - (1 << 64) if v >= 1 << 63 else v) + "L" for v in (1 << i for i in range(BITS - 1)))
     near = candidates.select("fp", F.explode(F.expr(f"transform(array(0L, {flips}, shiftleft(1L, 63)), m -> fp ^ m)")).alias("middle"))
     hubs = stage(near.groupBy("middle").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1").select("middle", "least"), "hubs")
-    return near.join(hubs, "middle").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
+    return near.join(small_side(hubs), "middle").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -99,14 +99,14 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Each round takes the least label among a fingerprint and its neighbours, then the label of its label's fingerprint;
     rounds end when nothing changes. Every round's labels are a written table."""
     both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    touched = both.select(F.col("a").alias("fp")).distinct()
-    labels = stage(touched.join(nodes, "fp").select("fp", F.col("node").alias("label"), F.col("fp").alias("root")), "labels")
+    touched = stage(both.select(F.col("a").alias("fp")).distinct(), "touched")
+    labels = stage(nodes.join(small_side(touched), "fp").select("fp", F.col("node").alias("label"), F.col("fp").alias("root")), "labels")
     while True:
         # a label travels with the fingerprint that it belongs to, so that the next step can ask there
         own = F.struct("label", "root").alias("best")
-        heard = both.join(labels, both["a"] == labels["fp"]).select(both["b"].alias("fp"), own)
+        heard = both.join(small_side(labels), both["a"] == labels["fp"]).select(both["b"].alias("fp"), own)
         best = stage(heard.unionByName(labels.select("fp", own)).groupBy("fp").agg(F.min("best").alias("best")), "heard")
-        jump = best.select(F.col("fp").alias("root"), F.col("best").alias("further"))
+        jump = small_side(best).select(F.col("fp").alias("root"), F.col("best").alias("further"))
         after = best.select("fp", F.col("best.root").alias("root"), "best").join(jump, "root").select("fp", F.least("best", "further").alias("best"))
         after = stage(after.select("fp", "best.label", "best.root"), "labels")
         # labels only fall, so their sum stays only if all stay
@@ -128,9 +128,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a component of null ids is named null at the end; until then the largest number stands for it
     named = nodes.select("fp", F.coalesce(F.col("node").cast("long"), F.lit((1 << 63) - 1)).alias("node"))
     found = components(links(nodes.select("fp"), segments), named)
-    labels = stage(nodes.join(found, "fp", "left").select("fp", F.coalesce("label", "node").alias("component_id")), "components")
+    labels = nodes.join(small_side(found), "fp", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
     labels = labels.withColumn("component_id", F.when(F.col("component_id") < (1 << 63) - 1, F.col("component_id")))
-    return prints.join(labels, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(small_side(stage(labels, "labels")), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:

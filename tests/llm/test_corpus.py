@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import random
 import tracemalloc
@@ -111,6 +112,36 @@ def test_shards_of_edges(edge):
     check_shards(rows, 4, lambda mean: 2 * largest)
 
 
+def test_splitters_of_many_ranges(spark, monkeypatch):
+    """However many ranges: the sums that reach the driver are those of the open quantiles' cells; empty texts make no large range."""
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 5)
+    rows = spark.range(20_000).selectExpr("shiftrightunsigned(xxhash64(id), 4) AS hi", "shiftrightunsigned(xxhash64(id, 1), 4) AS lo", "id % 90 + 8 AS size")
+    rows = rows.withColumn("hi", F.when(F.col("size") < 40, F.lit(77)).otherwise(F.col("hi")))  # a hot text
+    total, counted, quantiles = rows.agg(F.sum("size")).first()[0], [], 4000
+    wanted = [total * i / quantiles for i in range(1, quantiles)]
+    splitters = sharding.find_splitters(rows, "size", wanted, [total / quantiles / 4] * len(wanted), counted)
+    assert splitters == sorted(splitters) and max(counted) <= max(1 << sharding.FIRST, len(wanted) << sharding.MORE)
+    keys = sorted((r.hi, r.lo, r["size"]) for r in rows.collect())
+    sums = np.concatenate(([0], np.cumsum([k[2] for k in keys])))
+    found = sums[[bisect.bisect_left(keys, (*s, 0)) for s in splitters]]
+    assert np.abs(found - wanted).max() <= total / quantiles / 4 + 98
+    docs = spark.createDataFrame([(i, "" if i % 2 else "x" * (i % 50)) for i in range(3000)], "doc_id long, text string")
+    check_shards(sharding.shard(docs, shards=4).collect(), 4, lambda mean: 0.004 * mean + 2 * 58)
+
+
+def test_cut_groups(spark):
+    """A group of equal texts is cut only at a boundary that it reaches over by more than the tolerance."""
+    rows = [(i, f"text {i % 97} " + "x" * (i % 97)) for i in range(6000)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect()
+    total = sum(r["size"] for r in out)
+    shards, sizes = defaultdict(set), Counter()
+    for r in out:
+        shards[r.text_crc32].add(r.shard)
+        sizes[r.text_crc32] += r["size"]
+    cut = [c for c in shards if len(shards[c]) > 1]
+    assert len(cut) <= 3 and all(sizes[c] > 2 * 0.002 * total / 4 for c in cut)
+
+
 def test_shards_with_a_hot_group(spark):
     rng = random.Random(4)
     rows = [(i, "the same text" if i % 3 == 0 else "x" * rng.randint(0, 300)) for i in range(3000)]
@@ -204,10 +235,30 @@ def test_language_id(spark, edge):
     assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (1000, 1001, 1003)) and out[1002].lang_pred != "und"
     assert all(0 <= r.score <= 1 for r in out.values())
     kept = language_id.keep_identified(df, 0.35)
-    assert kept.columns == df.columns and not {1000, 1001, 1003} & {r.doc_id for r in kept.collect()}
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, _, _ in rows} - {1000, 1001, 1003}
+    assert all(r.lang is not None for r in kept.collect())
+    chosen = language_id.keep_identified(df, 0.35, ("de",)).collect()
+    assert {r.doc_id for r in chosen} - {1002} == {i for i in out if i != 1002 and out[i].lang_pred == "de"}
+    assert {r.doc_id for r in language_id.keep_identified(df, 2.0, least_letters=0).collect()} == set()
     assert language_id.identify(edge).count() == edge.count()
 
 
+def test_language_without_labels(edge):
+    """Nothing to learn from: every text with a letter stays."""
+    rows = edge.withColumn("lang", F.lit(None).cast("string"))
+    kept = language_id.keep_identified(rows, 0.4).collect()
+    assert sorted(r.text for r in kept) == sorted(r.text for r in edge.collect() if r.text and any(map(str.isalpha, r.text)))
+
+
+def test_language_of_documents(spark):
+    """Held-out documents of the given table, in all its languages."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
+    right = Counter(r.lang for r in rows if r.lang == r.lang_pred)
+    assert len(rows) > 300 and sum(right.values()) >= 0.98 * len(rows)
+    assert all(right[lang] >= 0.9 * n for lang, n in Counter(r.lang for r in rows).items())
+
+
 def test_empty(none):
     assert sharding.shard(none).count() == 0
     assert mixing.mix(none).count() == 0
