@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import content, text, urls
 from .operators import crawl, nodes, search, shelf
+from .operators.staging import kept
 from .plans.columns import apply_text_rule, extract, rule_elements, rule_list, rule_text
 from .sources import backup, books
 
@@ -102,22 +103,25 @@ def list_rule_rows(spark: SparkSession, d: str) -> DataFrame:
     return extract(t(spark, d, "pages"), "html", {"href": "href"}, "nav@li@a", keep=["page_id"])
 
 
+def _joined(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """The values of several rules, with bars between, from one parse of each page."""
+    found = extract(pages, "html", rules, keep=["page_id"])
+    return found.select("page_id", *[F.replace(name, F.lit("\n"), F.lit("|")).alias(name) for name in rules])
+
+
 @query(f"SELECT page_id, l[1] AS first, l[-1] AS last, array_to_string(l[1:3], '|') AS range, array_to_string(l[2:], '|') AS excluded, array_to_string(list_reverse(l), '|') AS reversed FROM {LINKS}")
 def index_suffixes(spark: SparkSession, d: str) -> DataFrame:
-    one = lambda rule: F.array_join(rule_list("html", rule), "|")
-    return t(spark, d, "pages").select("page_id", one("tag.a.0@href").alias("first"), one("tag.a.-1@href").alias("last"), one("a[0:2]@href").alias("range"), one("tag.a!0@href").alias("excluded"), one("-@css:a@href").alias("reversed"))
+    return _joined(t(spark, d, "pages"), {"first": "tag.a.0@href", "last": "tag.a.-1@href", "range": "a[0:2]@href", "excluded": "tag.a!0@href", "reversed": "-@css:a@href"})
 
 
 @query(f"SELECT page_id, array_to_string(list_reverse(l)[1:2], '|') AS back, array_to_string([l[i] FOR i IN range(1, len(l) + 1, 2)], '|') AS even FROM {LINKS}")
 def index_steps(spark: SparkSession, d: str) -> DataFrame:
-    one = lambda rule: F.array_join(rule_list("html", rule), "|")
-    return t(spark, d, "pages").select("page_id", one("a[-1:-2]@href").alias("back"), one("@css:a:even@href").alias("even"))
+    return _joined(t(spark, d, "pages"), {"back": "a[-1:-2]@href", "even": "@css:a:even@href"})
 
 
 @query(f"SELECT page_id, array_to_string({HREFS}, '|') AS hrefs, {H1} AS h1, l[2] AS second FROM {LINKS}")
 def xpath_rules(spark: SparkSession, d: str) -> DataFrame:
-    p = t(spark, d, "pages")
-    return p.select("page_id", F.array_join(rule_list("html", "//nav//li/a/@href"), "|").alias("hrefs"), rule_text("html", "//article/h1/text()").alias("h1"), rule_text("html", "//li[2]/a/@href").alias("second"))
+    return _joined(t(spark, d, "pages"), {"hrefs": "//nav//li/a/@href", "h1": "//article/h1/text()", "second": "//li[2]/a/@href"})
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<li>'))::BIGINT AS li, len(regexp_extract_all(html, '<div class=\"ad\"'))::BIGINT AS ads FROM pages")
@@ -128,19 +132,19 @@ def node_table_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT page_id, len({HREFS})::BIGINT AS n FROM pages")
 def node_table_has(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes.shred_html(t(spark, d, "pages"), "page_id", "html")
+    n = kept(nodes.shred_html(t(spark, d, "pages"), "page_id", "html"), "nodes")  # read by each of the selector's parts
     return nodes.select_nodes(n, "nav li:has(a[href])").groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT page_id, (len({HREFS}) - 1)::BIGINT AS n FROM pages WHERE len({HREFS}) > 1")
 def node_table_siblings_not(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes.shred_html(t(spark, d, "pages"), "page_id", "html")
+    n = kept(nodes.shred_html(t(spark, d, "pages"), "page_id", "html"), "nodes")
     return nodes.select_nodes(n, "li + li:not(:first-child)").groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT page_id, l[1] AS href FROM {LINKS} WHERE len(l) > 0")
 def node_table_position(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes.shred_html(t(spark, d, "pages"), "page_id", "html")
+    n = kept(nodes.shred_html(t(spark, d, "pages"), "page_id", "html"), "nodes")
     return nodes.pick_position(nodes.select_nodes(n, "nav a"), "first").select(F.col("doc_id").alias("page_id"), F.element_at("attrs", "href").alias("href"))
 
 
@@ -179,9 +183,15 @@ def text_rule(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", apply_text_rule("text", "##([a-z]+)ing##<$1>").alias("value"))
 
 
-@query("SELECT page_id, 'https://s.example/q?k=abc&p=3' || '#' AS value FROM pages")
+@query("SELECT event_id, 'q?k=' || json_extract_string(props, '$.k') || '&p=4&w=a b&v=' || json_extract_string(props, '$.k') AS value, 'abc' AS name FROM events")
 def template_url(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "pages").select("page_id", rule_text("html", "@text:https://s.example/q?k={{key}}&p={{page}}#", {"key": "abc", "page": 3}).alias("value"))
+    rules = {"value": "@text:q?k={{$.k}}&p={{page+1}}&w={{'a b'}}&v={$.k}", "name": "@text:{{book.names[1]}}"}
+    return extract(t(spark, d, "events"), "props", rules, ctx={"page": 3, "book": {"names": ["x", "abc"]}}, keep=["event_id"])
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') || '/ ' || json_extract_string(props, '$.k') AS value FROM events")
+def put_and_get(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "events").select("event_id", rule_text("props", "@put:{n:$.k}@get:{n} && @text:/ && {{@get:{n}}}").alias("value"))
 
 
 @query("SELECT page_id, 'a/' || CASE least(page_id, 2) WHEN 0 THEN 'x' WHEN 1 THEN 'x' ELSE 'y' END || '.html' AS value FROM pages")
@@ -202,21 +212,50 @@ def json_key(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select("event_type", rule_text("props", "$.k").alias("k")).groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("k").cast("bigint")).alias("k"))
 
 
-@query("SELECT user_id, string_agg(event_id::VARCHAR, '|' ORDER BY event_id) AS value FROM events WHERE value > 50 AND event_type = 'click' GROUP BY user_id")
+def _event_documents(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON document for fifty events each."""
+    e = t(spark, d, "events").withColumn("page", F.floor(F.col("event_id") / 50))
+    return e.groupBy("page").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("items"))).alias("j"))
+
+
+_EVENT_PAGES = "(SELECT event_id // 50 AS page, list(event_id ORDER BY event_id) AS l, count(*) AS n FROM events GROUP BY 1)"
+
+
+@query("SELECT event_id // 50 AS page, string_agg(event_id::VARCHAR, '|' ORDER BY event_id) AS value FROM events WHERE value > 50 AND event_type = 'click' GROUP BY 1")
 def json_filter(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "events").groupBy("user_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("items"))).alias("j"))
-    return e.select("user_id", F.array_join(rule_list("j", "$.items[?(@.value > 50 && @.event_type == 'click')].event_id"), "|").alias("value")).where("value <> ''")
+    return _event_documents(spark, d).select("page", F.array_join(rule_list("j", "$.items[?(@.value > 50 && @.event_type == 'click')].event_id"), "|").alias("value")).where("value <> ''")
 
 
-@query("SELECT user_id, min(event_id) AS first, count(*) AS n FROM events GROUP BY user_id")
+@query("SELECT event_id // 50 AS page, min(event_id) AS first, count(*) AS n FROM events GROUP BY 1")
 def json_elements(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "events").groupBy("user_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("event_id"))).alias("items"))).alias("j"))
-    rows = rule_elements(e.select("user_id", "j"), "j", "$.items[*]")
-    return rows.groupBy("user_id").agg(F.min(F.get_json_object("element", "$.event_id").cast("bigint")).alias("first"), F.count("*").alias("n"))
+    rows = rule_elements(_event_documents(spark, d), "j", "$.items[*]")
+    return rows.groupBy("page").agg(F.min(F.get_json_object("element", "$.event_id").cast("bigint")).alias("first"), F.count("*").alias("n"))
+
+
+@query(f"""
+SELECT page, array_to_string(l[3:6], '|') AS "between", array_to_string(l[-2:], '|') AS "last", l[1]::VARCHAR AS "clamped", array_to_string([l[i] FOR i IN range(1, least(n, 11) + 1, 5)], '|') AS "steps",
+       array_to_string(list_reverse(l)[1:3], '|') AS "back", l[1] || '|' || l[-1] AS "both", l[n] AS "beyond" FROM (SELECT page, l, n FROM {_EVENT_PAGES})
+""")
+def json_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Ends belong to a slice, and ends beyond the list move to it."""
+    slices = {"between": "2:5", "last": "-2:", "clamped": "0:-99", "steps": "0:10:5", "back": "-1:-3:-1", "both": "0,-1", "beyond": "99:200"}
+    found = extract(_event_documents(spark, d), "j", {n: f"$.items[{x}].event_id" for n, x in slices.items()}, keep=["page"])
+    return found.select("page", *[F.replace(n, F.lit("\n"), F.lit("|")).alias(n) for n in slices if n != "beyond"], F.col("beyond").cast("bigint").alias("beyond"))
+
+
+@query(f"SELECT page, array_to_string(l, '|') AS deep, 3 * n AS leaves, '' AS missing FROM {_EVENT_PAGES}")
+def json_recursion(spark: SparkSession, d: str) -> DataFrame:
+    found = extract(_event_documents(spark, d), "j", {"deep": "$..event_id", "leaves": "$.items[*].*", "missing": "$.items[*].none.at"}, keep=["page"])
+    return found.select("page", F.replace("deep", F.lit("\n"), F.lit("|")).alias("deep"), F.size(F.split("leaves", "\n")).cast("bigint").alias("leaves"), "missing")
 
 
 # ---- content
 
+
+def xml_safe(c: str) -> Column:
+    return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
 _BLOCKS = "|".join(sorted(content.BLOCKS))
 _FLAT = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<head>.*?</head>', '', 'gs'), '<!DOCTYPE[^>]*>', '', 'g'), '</?({_BLOCKS})(\\s[^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
 CONTENT_SQL = f"SELECT page_id, array_to_string([trim(regexp_replace(x, '[\\t ]+', ' ', 'g')) FOR x IN string_split({decoded(_FLAT)}, chr(10)) IF trim(x) <> ''], chr(10)) AS value FROM pages"
@@ -232,11 +271,12 @@ def content_lines(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", content.clean_lines_column("text").alias("value"))
 
 
-@query("SELECT doc_id, len([x FOR x IN string_split(text, chr(10)) IF trim(x) <> '']) - 1 AS lines FROM documents WHERE trim(text) <> ''")
+@query("SELECT doc_id, array_to_string([trim(regexp_replace(x, '[\\t ]+', ' ', 'g')) FOR x IN string_split(text, chr(10)) IF trim(x) <> ''], chr(10)) AS value, true AS removed FROM documents WHERE trim(text) <> ''")
 def duplicate_title(spark: SparkSession, d: str) -> DataFrame:
-    docs = t(spark, d, "documents").withColumn("title", F.split("text", "\n")[0]).withColumn("title", F.when(F.trim("title") == "", F.lit("none")).otherwise(F.col("title")))
-    found = docs.select("doc_id", content.process_content(F.replace(F.replace("text", F.lit("<"), F.lit("&lt;")), F.lit("&amp;"), F.lit("&")), "title").getField("text").alias("x"))
-    return found.select("doc_id", (F.when(F.col("x") == "", 0).otherwise(F.size(F.split("x", "\n")))).cast("bigint").alias("lines"))
+    """Texts under a heading that says their title after the book's name."""
+    docs = t(spark, d, "documents").where("trim(text) <> ''").select("doc_id", F.concat(F.lit("Log Part "), "doc_id", F.lit("!\n"), xml_safe("text")).alias("html"), F.concat(F.lit("Part "), "doc_id").alias("title"), F.lit("Log").alias("book"))
+    found = docs.select("doc_id", content.process_content("html", "title", "book").alias("x"))
+    return found.select("doc_id", F.col("x.text").alias("value"), F.col("x.same_title_removed").alias("removed"))
 
 
 @query("SELECT doc_id, array_to_string(['<p>' || replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') || '</p>' FOR x IN string_split(text, chr(10)) IF trim(x) <> ''], chr(10)) AS value FROM documents")
@@ -417,13 +457,13 @@ def book_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT c_custkey AS pos, 'u' || c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey < 500),
+WITH e AS (SELECT c_custkey AS pos, 'u' || c_custkey AS k, c_mktsegment AS v FROM customer),
 i AS (SELECT s_suppkey AS pos, 'u' || (s_suppkey * 7) AS k, s_name AS v FROM supplier)
 SELECT e.k AS bookSourceUrl, coalesce(i.v, e.v) AS v, CASE WHEN i.k IS NULL THEN 'kept' ELSE 'replaced' END AS change FROM e LEFT JOIN i USING (k)
 UNION ALL SELECT i.k, i.v, 'added' FROM i WHERE k NOT IN (SELECT k FROM e)
 """)
 def upsert_sources(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "customer").where("c_custkey < 500").select(F.col("c_custkey").alias("pos"), F.concat(F.lit("u"), "c_custkey").alias("bookSourceUrl"), F.col("c_mktsegment").alias("v"))
+    e = t(spark, d, "customer").select(F.col("c_custkey").alias("pos"), F.concat(F.lit("u"), "c_custkey").alias("bookSourceUrl"), F.col("c_mktsegment").alias("v"))
     i = t(spark, d, "supplier").select(F.col("s_suppkey").alias("pos"), F.concat(F.lit("u"), F.col("s_suppkey") * 7).alias("bookSourceUrl"), F.col("s_name").alias("v"))
     return shelf.upsert_sources(e, i).select("bookSourceUrl", "v", "change")
 
@@ -444,29 +484,29 @@ def chapter_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    li = t(spark, d, "lineitem").where("l_quantity > 45").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    li = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     arrival = F.col("l_orderkey") * 100 + F.col("l_linenumber")
     return li.select(F.col("l_suppkey").alias("source"), arrival.alias("arrival"), F.col("p_name").alias("name"), F.col("p_brand").alias("author"), F.concat(F.lit("u"), "p_partkey").alias("url"), F.when(F.col("p_size") % 3 == 0, F.col("p_type")).otherwise("").alias("kind"), F.lit("").alias("intro"), F.lit(None).cast("string").alias("lastChapter"))
 
 
 @query(f"""
-WITH h AS (SELECT * REPLACE (l_orderkey * 100 + l_linenumber AS arrival) FROM (SELECT l_orderkey, l_linenumber, l_suppkey AS source, 0 AS arrival, p_name AS name, p_brand AS author, 'u' || p_partkey AS url, CASE WHEN p_size % 3 = 0 THEN p_type ELSE '' END AS kind FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45)),
+WITH h AS (SELECT * REPLACE (l_orderkey * 100 + l_linenumber AS arrival) FROM (SELECT l_orderkey, l_linenumber, l_suppkey AS source, 0 AS arrival, p_name AS name, p_brand AS author, 'u' || p_partkey AS url, CASE WHEN p_size % 3 = 0 THEN p_type ELSE '' END AS kind FROM lineitem JOIN part ON l_partkey = p_partkey)),
 g AS (SELECT lower(replace(name, ' ', '')) || chr(9) || lower(replace(author, ' ', '')) AS k, arg_min(name, arrival) AS name, arg_min(author, arrival) AS author, arg_min(kind, arrival) FILTER (kind <> '') AS kind, count(DISTINCT source::VARCHAR || '/' || url) AS n_candidates, count(DISTINCT source) AS n_sources, min(arrival) AS arrival FROM h GROUP BY 1),
 r AS (SELECT *, CASE WHEN lower(replace(name, ' ', '')) = 'redwidget' THEN 0 WHEN lower(replace(author, ' ', '')) = 'redwidget' THEN 1 WHEN contains(lower(replace(name, ' ', '')), 'redwidget') THEN 2 ELSE 3 END AS rank FROM (SELECT * FROM g ORDER BY arrival LIMIT 300))
 SELECT name, author, kind, n_candidates, n_sources, rank FROM r
 """)
 def search_merge_rank(spark: SparkSession, d: str) -> DataFrame:
-    out = search.merge_search(_hits(spark, d), "Red Widget")
+    out = search.merge_search(_hits(spark, d), "Red Widget", candidates=False)
     return out.select("name", "author", "kind", F.col("n_candidates").cast("bigint").alias("n_candidates"), F.size("source_names").cast("bigint").alias("n_sources"), "rank")
 
 
-@query("SELECT source, arrival FROM (SELECT l_suppkey AS source, l_orderkey * 100 + l_linenumber AS arrival, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 100 + l_linenumber) AS r FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45) WHERE r <= 20")
+@query("SELECT source, arrival FROM (SELECT l_suppkey AS source, l_orderkey * 100 + l_linenumber AS arrival, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 100 + l_linenumber) AS r FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE r <= 20")
 def per_source_cap(spark: SparkSession, d: str) -> DataFrame:
     return search.cap_per_source(_hits(spark, d), 20, order="arrival").select("source", "arrival")
 
 
 @query("""
-WITH h AS (SELECT l_suppkey AS source, 'u' || p_partkey AS url, l_orderkey * 100 + l_linenumber AS pos, CASE WHEN p_brand LIKE 'Brand#2%' THEN 3 ELSE 2 END AS score FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45 AND p_name = 'red widget'),
+WITH h AS (SELECT l_suppkey AS source, 'u' || p_partkey AS url, l_orderkey * 100 + l_linenumber AS pos, CASE WHEN p_brand LIKE 'Brand#2%' THEN 3 ELSE 2 END AS score FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name = 'red widget'),
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, url ORDER BY score DESC, pos) AS r FROM h) WHERE r = 1),
 c AS (SELECT * FROM (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY source ORDER BY score DESC, pos) AS r FROM o) WHERE r <= 5)
 SELECT source, url, score, pos FROM c ORDER BY score DESC, source, pos LIMIT 240
@@ -476,10 +516,15 @@ def change_source_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.change_source_candidates(m.withColumn("pos", F.col("arrival"))).select("source", "url", "score", "pos")
 
 
-@query("SELECT book, source, url, arrival, CASE WHEN contains(lower(replace(p_brand, '#', '')), lower(replace(author, '#', ''))) THEN 3 ELSE 2 END AS score FROM (SELECT l_suppkey AS source, l_orderkey * 100 + l_linenumber AS arrival, p_name, p_brand, 'u' || p_partkey AS url FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45) h JOIN (SELECT p_partkey AS book, p_name AS name, p_brand AS author FROM part WHERE p_size = 7) b ON h.p_name = b.name")
+@query("""
+WITH h AS (SELECT p_name, p_brand, count(*) AS n, min({'a': l_orderkey * 100 + l_linenumber, 's': l_suppkey, 'u': 'u' || p_partkey}) AS f FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+j AS (SELECT b.p_partkey AS book, CASE WHEN contains(lower(replace(h.p_brand, '#', '')), lower(replace(b.p_brand, '#', ''))) THEN 3 ELSE 2 END AS score, n, f FROM part b JOIN h ON h.p_name = b.p_name),
+g AS (SELECT book, score, sum(n)::BIGINT AS n, min(f) AS f FROM j GROUP BY 1, 2)
+SELECT book, score, n, f.s AS source, f.u AS url, f.a AS arrival FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY score DESC) AS r FROM g) WHERE r = 1
+""")
 def candidate_join(spark: SparkSession, d: str) -> DataFrame:
-    wanted = t(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("book"), F.col("p_name").alias("name"), F.col("p_brand").alias("author"))
-    return search.join_candidates(_hits(spark, d), wanted).select("book", "source", "url", "arrival", "score")
+    wanted = t(spark, d, "part").select(F.col("p_partkey").alias("book"), F.col("p_name").alias("name"), F.col("p_brand").alias("author"))
+    return search.candidate_summary(_hits(spark, d), wanted)
 
 
 @query("SELECT DISTINCT url FROM (SELECT 'https://x.example' || unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS url FROM pages)")
@@ -526,11 +571,11 @@ def frontier_toc(spark: SparkSession, d: str) -> DataFrame:
     return crawl.chapter_list(start, pages, rules).select("book", "index", "name", "url")
 
 
-@query("SELECT page_id::VARCHAR AS book, regexp_extract(c.value, '^[^\\n]*\\n(.*)$', 1, 's') <> '' AS some FROM pages JOIN (" + CONTENT_SQL + ") c USING (page_id)")
+@query(f"SELECT page_id::VARCHAR AS book, {H1} AS title, CASE WHEN string_split(c.value, chr(10))[1] = {H1} THEN regexp_extract(c.value, '^[^\\n]*\\n(.*)$', 1, 's') ELSE c.value END AS text FROM pages JOIN (" + CONTENT_SQL + ") c USING (page_id)")
 def chapter_content(spark: SparkSession, d: str) -> DataFrame:
     p = t(spark, d, "pages")
     out = crawl.chapter_content(p.select(F.col("page_id").cast("string").alias("book"), "url"), p.select("url", "html"), {"content": "@css:body@all", "title": "@css:h1@text"})
-    return out.select("book", (F.instr("text", "\n") > 0).alias("some"))
+    return out.select("book", "title", "text")
 
 
 @query(f"SELECT page_id, {H1} AS name, {HREFS}[1] AS first FROM pages WHERE {H1} <> ''")
@@ -545,41 +590,219 @@ def book_text(spark: SparkSession, d: str) -> DataFrame:
     return books.book_text(t(spark, d, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("index"), F.col("role").alias("title"), F.col("text").alias("content")))
 
 
-@query("SELECT conv_id AS book, count(*) AS chapters, sum(strlen(text))::BIGINT AS bytes, false AS over FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS book, count(*) AS chapters, sum(strlen(text))::BIGINT AS bytes, count(*) > 4 OR sum(strlen(text)) > 1500 AS over FROM conversations GROUP BY conv_id")
 def book_caps(spark: SparkSession, d: str) -> DataFrame:
-    return books.over_cap(t(spark, d, "conversations").select(F.col("conv_id").alias("book"), F.col("text").alias("content")))
+    return books.over_cap(t(spark, d, "conversations").select(F.col("conv_id").alias("book"), F.col("text").alias("content")), most_chapters=4, most_bytes=1500)
 
 
-@query("SELECT source AS book, doc_id AS \"index\" FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) WHERE i > 3 AND i <= 8 AND doc_id % 2 = 0")
+@query('SELECT conv_id AS book, turn AS "index" FROM conversations WHERE turn > 1 AND turn <= 6 AND turn % 2 = 0')
 def prefetch_next(spark: SparkSession, d: str) -> DataFrame:
-    docs = t(spark, d, "documents").select(F.col("source").alias("book"), "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("index"))
-    ahead = shelf.prefetch(docs, docs.where("doc_id % 2 = 1"), docs.select("book").distinct().withColumn("index", F.lit(3)))
-    return ahead.select("book", F.col("doc_id").alias("index"))
+    c = t(spark, d, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("index"))
+    return shelf.prefetch(c, c.where("index % 2 = 1"), c.select("book").distinct().withColumn("index", F.lit(1)))
+
+
+# ---- selectors by structure
+
+
+@query(f"""
+SELECT page_id, array_to_string([x FOR x IN l IF regexp_matches(x, '^/(t|a)')], '|') AS alternatives, array_to_string([x FOR x IN l IF contains(x, 'th')], '|') AS containing, l[-1] AS last, l[-2] AS before_last,
+       array_to_string(l, '|') AS "group", CASE WHEN len(l) = 1 THEN l[1] ELSE '' END AS only, array_to_string([x FOR x IN l IF contains(x, 'an')], '|') AS text FROM {LINKS}
+""")
+def css_structure(spark: SparkSession, d: str) -> DataFrame:
+    return _joined(t(spark, d, "pages"), {
+        "alternatives": "@css:nav a[href~=^/t|^/a]@href", "containing": "@css:nav a[href*='th']@href", "last": "@css:nav li:last-of-type > a@href", "before_last": "@css:nav li:nth-last-child(2) > a@href",
+        "group": "@css:nav a:empty, nav li > a@href", "only": "@css:nav li:only-child > a@href", "text": "@css:nav a[href]:contains(an)@href",
+    })
+
+
+@query(f"SELECT page_id, '<title>' || replace(replace(replace({decoded("regexp_extract(html, '<title>(.*?)</title>', 1)")}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</title>' AS outer, len({HREFS})::VARCHAR AS items, {HREFS}[1] AS own FROM (SELECT page_id, html FROM pages)")
+def element_markup(spark: SparkSession, d: str) -> DataFrame:
+    """Markup of elements as it is written out again, and fields of elements that are selected already."""
+    p = t(spark, d, "pages")
+    heads = extract(p, "html", {"outer": "@css:head > title@all", "items": "@css:nav@html##(?s)(?:(?!<li>).)*(<li>)?##$1"}, keep=["page_id"])
+    first = extract(p, "html", {"own": "href"}, "@css:nav a:first", keep=["page_id"])
+    return heads.join(first, "page_id", "left").select("page_id", "outer", F.size(F.regexp_extract_all("items", F.lit("<li>"), F.lit(0))).cast("string").alias("items"), "own")
+
+
+@query(f"""
+SELECT page_id, CASE WHEN len(l) > 3 THEN l[4] ELSE l[1] END AS first_seen, l[1] || ' || ' || l[1] AS quoted, l[1] || '&&x' AS shielded FROM {LINKS}
+""")
+def operator_shields(spark: SparkSession, d: str) -> DataFrame:
+    """The operator that comes first decides; quotes, brackets and escapes hide operators."""
+    rules = {"first_seen": "tag.a.3@href || tag.a.0@href || @text:none", "quoted": "@css:nav a:first@href && @text: \\|| && @text:  && @css:nav a:first@href", "shielded": "@css:nav a:first@href && @text:\\&&x"}
+    found = extract(t(spark, d, "pages"), "html", rules, keep=["page_id"])
+    return found.withColumns({"quoted": F.regexp_replace("quoted", r" ?\\\|\| *", " || "), "shielded": F.replace("shielded", F.lit("\\"), F.lit(""))})
+
+
+# ---- scalars of sources
+
+
+@query("""
+SELECT c_custkey, lower(sha256(c_name)) AS sha, c_custkey % 2 = 0 AS flag, CASE WHEN c_custkey % 3 = 0 THEN 'c_' || c_custkey || '_x' ELSE 'untitled' END AS name, c_mktsegment AS back, c_mktsegment AS inflated, 10 + length(c_mktsegment) AS words, c_name[2:4] AS part
+FROM customer
+""")
+def codecs(spark: SparkSession, d: str) -> DataFrame:
+    c = t(spark, d, "customer")
+    raw = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" c/"), "c_custkey", F.lit(":x "))).otherwise("  ")
+    secret = text.aes(F.col("c_mktsegment"), "0123456789abcdef")
+    return c.select(
+        "c_custkey", text.hex_encode(text.hex_decode(text.digest("c_name", "SHA-256"))).alias("sha"), text.bool_value(F.when(F.col("c_custkey") % 2 == 0, " VIP ").otherwise("no")).alias("flag"), text.safe_name(raw).alias("name"),
+        text.aes(secret, "0123456789abcdef", encrypt=False).cast("string").alias("back"), text.decode_charset(urls.data_uri(F.concat(F.lit("data:text/plain;base64,"), text.base64_encode("c_mktsegment"))), "utf-8").alias("inflated"),
+        text.word_count(F.concat(F.lit("ééééé"), "c_mktsegment")).alias("words"), text.bytes_slice("c_name", 1, 3).cast("string").alias("part"),
+    )
+
 
+@query("SELECT doc_id, CASE WHEN strlen(text) <= 100 THEN text ELSE t END AS value FROM (SELECT doc_id, text, list_max([x FOR x IN [text[1:n] FOR n IN range(20, 101)] IF strlen(x) <= 100]) AS t FROM documents)")
+def truncated(spark: SparkSession, d: str) -> DataFrame:
+    """The longest start of a text within 100 bytes, at a whole character."""
+    return t(spark, d, "documents").select("doc_id", text.truncate_bytes_column("text", 100).alias("value"))
 
-# ---- profiles of sources, given as literals
 
-_SOURCES = [
-    '{"bookSourceName":"one","bookSourceUrl":"u1","bookSourceType":0,"exploreUrl":"x","searchUrl":"/s?k={{key}}","ruleSearch":{"bookList":"@css:li","name":"@css:a@text"},"ruleContent":{"content":"@css:article@html","replaceRegex":"##ad##","nextContentUrl":"@css:a.next@href"}}',
-    '{"bookSourceName":"two","bookSourceUrl":"u2","bookSourceType":0,"header":"{}","enabledCookieJar":true,"ruleSearch":{"bookList":"$.items[*]","name":"$.name"},"ruleToc":{"chapterList":"@xpath://li","nextTocUrl":"@js:next()"}}',
-    '{"bookSourceName":"three","bookSourceUrl":"u3","bookSourceType":1,"ruleContent":{"content":"@regex:a(.)"}}',
-]
+# ---- sources as suppliers
+
+_SOURCE_JSON = """
+'{"bookSourceName":"' || s_name || '","bookSourceUrl":"u' || s_suppkey || '","bookSourceType":' || CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END || ',"bookSourceGroup":"g' || s_suppkey % 3 || ',all","enabled":' || CASE WHEN s_suppkey % 7 = 0 THEN 'false' ELSE 'true' END
+|| ',"customOrder":' || s_suppkey % 10 || CASE WHEN s_suppkey % 2 = 0 THEN ',"searchUrl":"https://x.example/s' || s_suppkey || '?k={{key}}"' ELSE '' END || CASE WHEN s_suppkey % 4 = 0 THEN ',"exploreUrl":"a::b"' ELSE '' END
+|| ',"ruleSearch":{"bookList":"' || CASE s_suppkey % 3 WHEN 0 THEN '@css:li' WHEN 1 THEN '$.items[*]' ELSE '@xpath://li' END || '","name":"@css:a@text"' || CASE WHEN s_suppkey % 6 = 0 THEN ',"kind":"@js:k()"' ELSE '' END || '}'
+|| ',"ruleContent":{"content":"@regex:a(.)"' || CASE WHEN s_suppkey % 2 = 1 THEN ',"replaceRegex":"##ad##"' ELSE '' END || '}}'
+"""
 
 
-def _sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in _SOURCES], "raw string").withColumn("name", F.get_json_object("raw", "$.bookSourceName"))
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    rows = _view(spark, d, f"SELECT s_suppkey AS pos, s_name AS name, {_SOURCE_JSON} AS raw FROM supplier", "supplier")
+    of = backup.record_field
+    return rows.select("*", *[of(c, "raw").alias(c) for c in ("bookSourceUrl", "bookSourceName", "bookSourceGroup", "searchUrl")], of("bookSourceType", "raw").cast("int").alias("bookSourceType"), of("enabled", "raw").cast("boolean").alias("enabled"), of("customOrder", "raw").cast("int").alias("customOrder"))
 
 
-@query("SELECT * FROM (VALUES ('one', true, 4, 0, 0, 0, 1, 0, 1, true), ('two', true, 0, 2, 0, 1, 0, 1, 0, false), ('three', false, 0, 0, 1, 0, 0, 0, 0, true)) v(name, text_source, css, json, regex, xpath, replacements, javascript, templates, fully_supported)")
+@query("""
+SELECT s_name AS name, s_suppkey % 5 <> 0 AS text_source, 1 + (s_suppkey % 3 = 0)::INT AS css, (s_suppkey % 3 = 1)::INT AS json, 1 AS regex, (s_suppkey % 3 = 2)::INT AS xpath, (s_suppkey % 2 = 1)::INT AS replacements, (s_suppkey % 6 = 0)::INT AS javascript,
+       (s_suppkey % 2 = 0)::INT AS templates, s_suppkey % 3 <> 2 AND s_suppkey % 6 <> 0 AS fully_supported FROM supplier
+""")
 def capability_report(spark: SparkSession, d: str) -> DataFrame:
-    return backup.compatibility_report(_sources(spark)).drop("raw", "unsupported")
+    return backup.compatibility_report(_sources(spark, d).select("name", "raw")).drop("raw", "unsupported")
 
 
-@query("SELECT * FROM (VALUES ('sources_with_explore_url', 1), ('sources_with_main_js', 0), ('sources_with_js_lib', 0), ('sources_with_login_url', 0), ('sources_with_login_ui', 0), ('sources_with_header', 0), ('sources_with_content_next_url', 1), ('sources_with_toc_next_url', 1), ('sources_with_cookie_jar', 1)) v(feature, n)")
+@query("""
+SELECT * FROM (VALUES ('sources_with_explore_url', (SELECT count(*) FROM supplier WHERE s_suppkey % 4 = 0)), ('sources_with_main_js', 0), ('sources_with_js_lib', 0), ('sources_with_login_url', 0), ('sources_with_login_ui', 0), ('sources_with_header', 0),
+('sources_with_content_next_url', 0), ('sources_with_toc_next_url', 0), ('sources_with_cookie_jar', 0)) v(feature, n)
+""")
 def struct_summary(spark: SparkSession, d: str) -> DataFrame:
-    return backup.feature_usage(_sources(spark))
+    return backup.feature_usage(_sources(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('ruleSearch', 'bookList|name'), ('ruleContent', 'content|nextContentUrl|replaceRegex'), ('ruleToc', 'chapterList|nextTocUrl')) v(field, keys)")
+@query("SELECT * FROM (VALUES ('ruleSearch', CASE WHEN (SELECT count(*) FROM supplier WHERE s_suppkey % 6 = 0) > 0 THEN 'bookList|kind|name' ELSE 'bookList|name' END), ('ruleContent', 'content|replaceRegex')) v(field, keys)")
 def rule_keys(spark: SparkSession, d: str) -> DataFrame:
-    return backup.rule_keys(_sources(spark)).select("field", F.array_join("keys", "|").alias("keys"))
+    return backup.rule_keys(_sources(spark, d)).select("field", F.array_join("keys", "|").alias("keys"))
+
+
+@query("SELECT s_suppkey AS pos, CASE WHEN s_suppkey = 2 THEN -1 ELSE s_suppkey % 10 END AS customOrder FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 2 = 0 AND s_suppkey % 3 IN (0, 2)")
+def searchable_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Text sources of two groups that can be searched, one of them moved to the top."""
+    rows = search.in_groups(search.eligible(_sources(spark, d)), ["g0", "g2"])
+    every = shelf.move_source(_sources(spark, d), "u2", "top").select("bookSourceUrl", F.col("customOrder").alias("order"))
+    return rows.join(every, "bookSourceUrl").select("pos", F.col("order").alias("customOrder"))
+
+
+@query("SELECT s_suppkey AS pos, s_name AS name FROM supplier WHERE s_suppkey % 3 = 1 AND contains(lower(s_name), '7')")
+def visible_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Results of a group whose source or title holds a text."""
+    return search.visible(_sources(spark, d).withColumn("source", F.col("name")), "g1", " 7 ").select("pos", "name")
+
+
+@query("""
+SELECT s_suppkey AS pos, name, CASE WHEN s_suppkey % 3 = 0 THEN 'old' ELSE 'new' END AS kind FROM (SELECT s_suppkey, s_name AS name FROM supplier)
+""")
+def merged_info(spark: SparkSession, d: str) -> DataFrame:
+    """Details replace what was there unless they are blank."""
+    s = t(spark, d, "supplier")
+    old = s.select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name"), F.lit("old").alias("kind"))
+    new = s.select(F.col("s_suppkey").alias("pos"), F.lit(" ").alias("name"), F.when(F.col("s_suppkey") % 3 == 0, F.lit("")).otherwise("new").alias("kind"))
+    return shelf.merge_info(old, new, "pos", ["name", "kind"])
+
+
+@query("""
+SELECT s_suppkey AS book, CASE WHEN s_suppkey % 4 = 3 THEN 'added' WHEN s_suppkey % 4 = 0 THEN 'already' ELSE 'replaced' END AS status, CASE WHEN s_suppkey % 4 = 3 THEN -1 ELSE s_suppkey % 10 END AS at FROM supplier
+""")
+def added_books(spark: SparkSession, d: str) -> DataFrame:
+    """Books to add: some are there by URL, some by identity with another URL, which keep their place, some are new."""
+    key, c = F.col("s_suppkey"), t(spark, d, "supplier")
+    same = lambda prefix, value: F.concat(F.lit(prefix), value)
+    blank = F.lit("").alias("origin")
+    on = c.select(key.alias("pos"), same("id", key).alias("id"), same("u", key).alias("bookUrl"), same("n", key).alias("name"), F.lit("a").alias("author"), blank, (key % 10).alias("durChapterIndex"))
+    new = c.select(key.alias("book"), F.when(key % 4 == 3, F.lit("")).otherwise(same("id", key)).alias("id"), same("u", F.when(key % 4 == 0, key.cast("string")).otherwise(same("new", key))).alias("bookUrl"), same("m", key).alias("name"), F.lit("a").alias("author"), blank)
+    found = shelf.add_books(on, new)
+    return found.select("book", "status", F.coalesce("durChapterIndex", F.lit(-1)).alias("at"))
+
+
+@query("SELECT s_suppkey AS book, s_suppkey % 2 = 0 AS in_shelf FROM supplier")
+def marked_results(spark: SparkSession, d: str) -> DataFrame:
+    """Search results that the shelf has already."""
+    s = t(spark, d, "supplier")
+    entry = lambda url: [F.lit("").alias("id"), url.alias("bookUrl"), F.concat(F.lit("n"), url).alias("name"), F.lit("").alias("author"), F.lit("").alias("origin")]
+    mine = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("pos"), *entry(F.concat(F.lit("u"), "s_suppkey")))
+    return search.mark_on_shelf(s.select(F.col("s_suppkey").alias("book"), *entry(F.concat(F.lit("u"), "s_suppkey"))), mine).select("book", "in_shelf")
+
+
+@query("SELECT doc_id AS name, CASE WHEN strlen(text) <= 4096 THEN strlen(text) ELSE -1 END::BIGINT AS whole, strlen(text) > 4096 AS cut, 17 AS fields FROM documents")
+def search_copies(spark: SparkSession, d: str) -> DataFrame:
+    out = search.search_copy(t(spark, d, "documents").select(F.col("doc_id").alias("name"), F.col("text").alias("intro"), F.lit(1).alias("other")))
+    cut = F.col("intro").endswith("…") & F.octet_length("intro").between(4093, 4096)
+    return out.select("name", F.when(cut, -1).otherwise(F.octet_length("intro")).cast("bigint").alias("whole"), cut.alias("cut"), F.lit(len(out.columns)).alias("fields"))
+
+
+@query("""
+SELECT s_suppkey % 20 AS source, 'u' || s_suppkey AS url, r AS probe, CASE WHEN r <= 24 THEN s_suppkey % 3 END::BIGINT AS chapters, CASE WHEN r <= 24 THEN s_suppkey % 3 > 0 END AS valid
+FROM (SELECT *, CASE WHEN n <= 24 THEN n END AS r FROM (SELECT s_suppkey, row_number() OVER (ORDER BY 2 + s_suppkey % 2 DESC, s_suppkey % 20, s_suppkey) AS n FROM supplier))
+""")
+def probed_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Change of source: the best candidates' lists are looked at."""
+    key, s = F.col("s_suppkey"), t(spark, d, "supplier")
+    c = s.select((key % 20).alias("source"), F.concat(F.lit("u"), key).alias("url"), (2 + key % 2).alias("score"), key.alias("pos"))
+    lists = s.where("s_suppkey % 3 > 0").select(F.concat(F.lit("u"), key).alias("url"), F.explode(F.sequence(F.lit(1).cast("long"), key % 3)).alias("index")).withColumn("name", F.concat(F.lit("c"), "index"))
+    out = search.probed(c, c.select("url", F.lit("x").alias("lastChapter"), F.lit("1").alias("wordCount")), lists)
+    return out.select("source", "url", F.col("probe").cast("bigint").alias("probe"), F.col("chapters").cast("bigint").alias("chapters"), "valid")
+
+
+@query("""
+SELECT s_suppkey AS book, CASE WHEN s_suppkey % 4 = 1 THEN 'new' ELSE 'old' END AS origin, CASE WHEN s_suppkey % 4 = 1 THEN least(s_suppkey % 9 + 1, 5) - 1 ELSE s_suppkey % 9 END::BIGINT AS durChapterIndex, s_suppkey % 4 = 1 AS changed FROM supplier
+""")
+def changed_sources(spark: SparkSession, d: str) -> DataFrame:
+    """A change of source is made only for books whose new list isn't empty; their places are mapped into it."""
+    key, s = F.col("s_suppkey"), t(spark, d, "supplier")
+    on = s.select(key.alias("book"), F.concat(F.lit("u"), key).alias("bookUrl"), F.lit("old").alias("origin"), (key % 9).cast("long").alias("durChapterIndex"), F.lit("t").alias("durChapterTitle"))
+    hits = s.where("s_suppkey % 2 = 1").select(key.alias("book"), F.concat(F.lit("new"), key).alias("bookUrl"), F.lit("new").alias("origin"))
+    progress = s.select(key.alias("book"), F.lit("none").alias("title"), (key % 9 + 1).alias("index"))
+    lists = s.where("s_suppkey % 4 = 1").select(key.alias("book"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("index")).withColumn("name", F.concat(F.lit("Chapter "), "index"))
+    return shelf.commit_source(on, hits, progress, lists).select("book", "origin", "durChapterIndex", "changed")
+
+
+@query("""
+SELECT s_name AS source, 'Book ' || s_suppkey AS name, 'https://x.example/b' || s_suppkey AS "bookUrl" FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 3 = 0
+""")
+def search_pool(spark: SparkSession, d: str) -> DataFrame:
+    """A search of all sources that can be read by markup, over result pages that stand for what each has answered."""
+    rows = search.eligible(_sources(spark, d)).where("pos % 3 = 0")
+    answers = rows.select(F.concat(F.lit("https://x.example/s"), "pos", F.lit("?k=a%20b")).alias("url"), F.concat(F.lit("<ul><li><a href='/b"), "pos", F.lit("'>Book "), "pos", F.lit("</a></li></ul>")).alias("html"))
+    definitions = rows.select("bookSourceName", "searchUrl", F.lit('{"bookList":"@css:li","name":"@css:a@text","bookUrl":"@css:a@href"}').alias("rules"))
+    return crawl.search_all(definitions, answers, "a b").where("error IS NULL").select("source", "name", "bookUrl")
+
+
+@query(f"SELECT page_id::VARCHAR AS book, {H1} AS title, {HREFS}[1] AS toc, '<h1>' || {H1} || '</h1>' AS init FROM pages")
+def book_details(spark: SparkSession, d: str) -> DataFrame:
+    """Details of books from their pages, from the part that an init rule picks."""
+    p = t(spark, d, "pages").select(F.col("page_id").cast("string").alias("book"), F.lit("https://x.example/").alias("url"), "html")
+    out = crawl.book_info(p, {"name": "@css:h1@text", "tocUrl": "@css:a:first@href", "init": "@css:body"}, keep=("book", "url"))
+    return out.select("book", F.col("name").alias("title"), F.replace("tocUrl", F.lit("https://x.example"), F.lit("")).alias("toc"), F.concat(F.lit("<h1>"), "name", F.lit("</h1>")).alias("init"))
+
+
+@query("SELECT conv_id AS book, 'Conversation ' || conv_id || chr(10) || 'several' || chr(10) || chr(10) || string_agg(role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) || chr(10) AS text FROM conversations GROUP BY conv_id HAVING count(*) <= 6")
+def book_files(spark: SparkSession, d: str) -> DataFrame:
+    """Text files of books within a cap, under name and author."""
+    c = t(spark, d, "conversations").select(F.col("conv_id").alias("book"), F.concat(F.lit("Conversation "), "conv_id").alias("name"), F.lit("several").alias("author"), F.col("turn").alias("index"), F.col("role").alias("title"), F.col("text").alias("content"))
+    return books.book_text(c, head=True, most_chapters=6)
+
+
+@query('SELECT conv_id AS book, turn AS "index" FROM conversations WHERE turn >= 2')
+def resumed_download(spark: SparkSession, d: str) -> DataFrame:
+    c = t(spark, d, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("index"), F.col("role").alias("name"))
+    return books.pending_sections(c, c.where("index < 2")).select("book", "index")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import hmac as hmac_lib
 import re
 
 import pandas as pd
@@ -115,15 +114,18 @@ def digest(c: Column | str, algorithm: str, form: str = "hex") -> Column:
     return hexed if form == "hex" else base64_encode(F.unhex(hexed))
 
 
-def hmac(c: Column | str, key: str, algorithm: str = "sha256", form: str = "hex") -> Column:
-    name = algorithm.lower().replace("-", "").removeprefix("hmac")
+#: Bytes in a block of the hash functions (fixed values of their standards).
+_BLOCKS = {"md5": 64, "sha1": 64, "sha224": 64, "sha256": 64, "sha384": 128, "sha512": 128}
 
-    @F.pandas_udf("binary")
-    def sign(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else hmac_lib.new(key.encode(), bytes(v), getattr(hashlib, name)).digest())
 
-    out = sign(_c(c).cast("binary"))
-    return hex_encode(out) if form == "hex" else base64_encode(out)
+def hmac(c: Column | str, key: str, algorithm: str = "sha256", form: str = "hex") -> Column:
+    """A keyed digest: the hash of the outer pad and the hash of the inner pad and the value."""
+    name = algorithm.lower().replace("-", "").removeprefix("hmac")
+    block, secret = _BLOCKS[name], key.encode()
+    secret = (hashlib.new(name, secret).digest() if len(secret) > block else secret).ljust(block, b"\0")
+    padded = lambda pad, data: F.concat(F.lit(bytes(b ^ pad for b in secret)), data)
+    inner = F.unhex(digest(padded(0x36, _c(c).cast("binary")), name))
+    return digest(padded(0x5C, inner), name, form)
 
 
 def aes(c: Column | str, key: str, encrypt: bool = True, mode: str = "CBC", iv: str | None = None) -> Column:
@@ -210,14 +212,31 @@ def truncate_bytes(text: str | None, limit: int) -> str:
     return (text or "").encode()[:limit].decode(errors="ignore")
 
 
-def safe_name(c: Column | str, limit: int = 80, otherwise: str = "untitled") -> Column:
-    """A name that fits a file system: separators and controls become underscores, at most limit bytes."""
+def truncate_bytes_column(c: Column | str, limit: int) -> Column:
+    """truncate_bytes() as a column: the cut goes back over the bytes of a character that it would divide."""
+    data = F.coalesce(_c(c), F.lit("")).cast("binary")
+    cut = F.substring(data, 1, limit)
+    # the hex digits of a lead byte without all that belongs to it, at the end
+    broken = r"(?:[CD].|E.(?:[89AB].){0,1}|F.(?:[89AB].){0,2})$"
+    whole = F.unhex(F.regexp_replace(F.hex(cut), "^((?:..)*?)" + broken, "$1"))
+    return F.when(F.octet_length(data) <= limit, data).otherwise(whole).cast("string")
 
-    @F.pandas_udf("string")
-    def convert(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: truncate_bytes(re.sub(r'[\\/:*?"<>|\x00-\x1f]', "_", (v or "").strip()), limit).strip() or otherwise)
 
-    return convert(_c(c))
+def safe_name(c: Column | str, limit: int = 80, otherwise: str = "untitled") -> Column:
+    """A name that fits a file system: separators and controls become underscores, at most limit bytes."""
+    ends = r"^\s+|\s+$"
+    named = F.regexp_replace(F.regexp_replace(F.coalesce(_c(c), F.lit("")), ends, ""), r'[\\/:*?"<>|\x00-\x1f]', "_")
+    return F.coalesce(F.nullif(F.regexp_replace(truncate_bytes_column(named, limit), ends, ""), F.lit("")), F.lit(otherwise))
+
+
+def list_hash(titles: Column | str, urls: Column | str) -> Column:
+    """A number that changes when a list of chapters does: over the bytes of all titles and URLs, each after a line end,
+    h * 33 + byte modulo 2^31 - 1, from 5381. titles and urls are arrays."""
+    text = F.concat_ws("\n", F.flatten(F.transform(F.arrays_zip(_c(titles).alias("a"), _c(urls).alias("b")), lambda x: F.array(x["a"], x["b"]))))
+    hexed = F.hex(text.cast("binary"))
+    places = F.sequence(F.lit(0), F.octet_length(text) - 1)
+    step = lambda h, i: (h * 33 + F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("long")) % ((1 << 31) - 1)
+    return F.when(text == "", F.lit(5381).cast("long")).otherwise(F.aggregate(places, F.lit(5381).cast("long"), step))
 
 
 def cover_kind(c: Column | str) -> Column:

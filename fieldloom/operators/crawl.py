@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
 from collections.abc import Iterable, Mapping
 from typing import Any
 from urllib.parse import quote
@@ -23,8 +22,9 @@ from ..functions.text import bool_value
 from ..functions.urls import _join, absolute_url
 from ..plans.columns import ROWS, extract, extracted, rule_list
 from ..plans.errors import RuleError
-from .search import cap_per_source
+from .search import MOST_PAGES, cap_per_source
 from .evaluate import Content, Context, Evaluator, child_context
+from .staging import kept
 
 HIT_FIELDS = ("name", "author", "bookUrl", "coverUrl", "intro", "kind", "lastChapter", "updateTime", "wordCount", "tocUrl")
 LIGHT_FIELDS = ("name", "author", "bookUrl", "lastChapter", "tocUrl")
@@ -54,25 +54,58 @@ def extract_books(pages: DataFrame, rules: Mapping[str, str], list_field: str =
     return rows.withColumns({f: absolute_url("url", f) for f in ("bookUrl", "coverUrl", "tocUrl") if f in fields})
 
 
+def search_all(sources: DataFrame, pages: DataFrame, keyword: str, page: int = 1) -> DataFrame:
+    """Hits of all sources for a keyword, with source, page, arrival and error; any number of sources is one plan.
+
+    sources has bookSourceName, searchUrl and rules (ruleSearch as JSON), in the order of `pos` if it has that. Their result
+    pages are joined in, and each is read by its own source's rules. A source fails softly: a page that isn't there, or
+    that the rules can't read, is one row without a hit and with the error. Pages after MOST_PAGES aren't asked for."""
+    if not 1 <= page <= MOST_PAGES:
+        raise RuleError(f"a search has {MOST_PAGES} pages")
+    order = F.col("pos").cast("long") if "pos" in sources.columns else F.lit(0).cast("long")
+
+    @F.pandas_udf("url string, error string")
+    def asked(templates: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_tried(lambda x=x: (search_url(x, keyword, page), None)) for x in templates], columns=["url", "error"])
+
+    wanted = sources.select(F.col("bookSourceName").alias("source"), order.alias("source_pos"), "rules", asked("searchUrl").alias("u")).select("source", "source_pos", "rules", "u.*")
+    rows = fetch(wanted, pages)
+
+    @F.pandas_udf("rows " + ROWS + ", error string")
+    def hits(htmls: pd.Series, rules: pd.Series, errors: pd.Series) -> pd.DataFrame:
+        e, out = Evaluator("full"), []
+        for html, rule, error in zip(htmls, rules, errors):
+            if error is not None or html is None:
+                out.append(([], error or "no page"))
+                continue
+            own = json.loads(rule)
+            found, error = _tried(lambda own=own, html=html: (extracted(e, html, {f: own.get(f) or "" for f in HIT_FIELDS}, own["bookList"], Context(), "null"), None))
+            out.append((found or [], error))
+        return pd.DataFrame(out, columns=["rows", "error"])
+
+    found = rows.select("source", "source_pos", "url", hits("html", "rules", "error").alias("h"))
+    found = found.select("source", "source_pos", "url", "h.error", F.explode_outer("h.rows").alias("r"))
+    found = found.select("source", "source_pos", "url", "error", "r.ordinal", *[F.col("r.fields")[i].alias(f) for i, f in enumerate(HIT_FIELDS)])
+    found = found.where(F.col("error").isNotNull() | (F.trim(F.coalesce("name", F.lit(""))) != "") & (F.coalesce("bookUrl", F.lit("")) != ""))
+    found = found.withColumns({f: absolute_url("url", f) for f in ("bookUrl", "coverUrl", "tocUrl")})
+    found = cap_per_source(found, by="source", order="ordinal").withColumn("page", F.lit(page))
+    return found.withColumn("arrival", (F.lit(page - 1) * (1 << 40) + F.col("source_pos")) * 1_000_000 + F.coalesce("ordinal", F.lit(0)))
+
+
+def _tried(f) -> tuple[Any, str | None]:
+    """What f gives, or nothing and what went wrong."""
+    try:
+        return f()
+    except (RuleError, ValueError, KeyError) as e:
+        return None, f"{type(e).__name__}: {e}"
+
+
 def search_sources(spark: SparkSession, sources: list[Mapping[str, Any]], pages: DataFrame, keyword: str, page: int = 1) -> DataFrame:
-    """Hits of all sources for a keyword, with source and arrival. Sources are rows, so any number of them is one plan: their
-    result pages are joined in, and each is read by its own source's rules. A rule that fails leaves its field null."""
+    """search_all() for sources at hand, without the rows of failures."""
     if not sources:
         raise RuleError("no source can be searched")
-    wanted = [(s["bookSourceName"], n, search_url(s["searchUrl"], keyword, page), json.dumps(s.get("ruleSearch") or {})) for n, s in enumerate(sources)]
-    rows = fetch(spark.createDataFrame(wanted, "source string, source_pos int, url string, rules string"), pages).where("html IS NOT NULL")
-
-    @F.pandas_udf(ROWS)
-    def hits(htmls: pd.Series, rules: pd.Series) -> pd.Series:
-        e = Evaluator("full")
-        own = [json.loads(r) for r in rules]
-        return pd.Series([extracted(e, h, {f: r.get(f) or "" for f in HIT_FIELDS}, r["bookList"], Context(), "null") for h, r in zip(htmls, own)])
-
-    found = rows.select("source", "source_pos", "url", F.explode(hits("html", "rules")).alias("r"))
-    found = found.select("source", "source_pos", "url", "r.ordinal", *[F.col("r.fields")[i].alias(f) for i, f in enumerate(HIT_FIELDS)])
-    found = found.where((F.trim(F.coalesce("name", F.lit(""))) != "") & (F.coalesce("bookUrl", F.lit("")) != ""))
-    found = found.withColumns({f: absolute_url("url", f) for f in ("bookUrl", "coverUrl", "tocUrl")})
-    return cap_per_source(found, by="source", order="ordinal").withColumn("arrival", F.col("source_pos").cast("long") * 1_000_000 + F.col("ordinal"))
+    rows = [(n, s["bookSourceName"], s["searchUrl"], json.dumps(s.get("ruleSearch") or {})) for n, s in enumerate(sources)]
+    return search_all(spark.createDataFrame(rows, "pos int, bookSourceName string, searchUrl string, rules string"), pages, keyword, page).where("error IS NULL").drop("error")
 
 
 def explore_rules(source: Mapping[str, Any]) -> Mapping[str, str]:
@@ -99,34 +132,28 @@ _LEVEL = "book string, url string, path string, follow boolean"
 def frontier(start: DataFrame, links: DataFrame, most: int = LIST_PAGES) -> DataFrame:
     """(book, url, path): the pages of each book in order of path, from start (book, url) over links (url, targets).
 
-    links has for each page the next URLs. Each level is one join; levels are written to the shared folder. A book that
-    still has something pending after `most` pages is an error, as is a loop that never ends; pages seen are skipped."""
-    spark = start.sparkSession
-    now = start.select("book", "url", F.lit("").alias("path"), F.lit(True).alias("follow"))
+    links has for each page the next URLs. Each level is one join; levels are written to the shared folder, with how many
+    pages a book has so far. A book that still has something pending after `most` pages is an error, as is a loop that
+    never ends; pages seen are skipped."""
+    now = start.select("book", "url", F.lit("").alias("path"), F.lit(True).alias("follow"), F.lit(0).cast("long").alias("before"))
     seen, done = None, None
     for _ in range(most + 1):
-        now = now.groupBy("book", "url").agg(F.min(F.struct("path", "follow")).alias("m")).select("book", "url", "m.*")
+        now = now.groupBy("book", "url").agg(F.min(F.struct("path", "follow", "before")).alias("m")).select("book", "url", "m.*")
         fresh = now if seen is None else now.join(seen, ["book", "url"], "left_anti")
-        fresh = _saved(spark, fresh)
+        # all pages of a level are in one row group of their book: a running count needs no other levels
+        fresh = kept(fresh.withColumn("before", F.col("before") + F.count("*").over(Window.partitionBy("book"))), "frontier")
         if not fresh.limit(1).count():
-            return done if done is not None else fresh.drop("follow")
-        seen = fresh.select("book", "url") if seen is None else seen.unionByName(fresh.select("book", "url"))
-        done = fresh.drop("follow") if done is None else done.unionByName(fresh.drop("follow"))
-        if over := done.groupBy("book").count().where(F.col("count") > most).limit(1).collect():
+            return done if done is not None else fresh.drop("follow", "before")
+        if over := fresh.where(F.col("before") > most).limit(1).collect():
             raise RuleError(f"{over[0].book} has over {most} pages")
+        seen = fresh.select("book", "url") if seen is None else seen.unionByName(fresh.select("book", "url"))
+        done = fresh.drop("follow", "before") if done is None else done.unionByName(fresh.drop("follow", "before"))
         following = fresh.where("follow").join(links, "url").where(F.size("targets") > 0)
-        now = following.select("book", F.posexplode("targets").alias("n", "next"), "path", (F.size("targets") == 1).alias("single"))
-        now = now.select("book", F.col("next").alias("url"), F.concat("path", F.lit("/"), F.lpad(F.col("n").cast("string"), 6, "0")).alias("path"), F.col("single").alias("follow"))
+        now = following.select("book", "before", F.posexplode("targets").alias("n", "next"), "path", (F.size("targets") == 1).alias("single"))
+        now = now.select("book", F.col("next").alias("url"), F.concat("path", F.lit("/"), F.lpad(F.col("n").cast("string"), 6, "0")).alias("path"), F.col("single").alias("follow"), "before")
     raise RuleError(f"pages are pending after {most} levels")
 
 
-def _saved(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df cut off from its lineage, in the checkpoint folder that the cluster names; one of our own only where none is set, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldloom-"))
-    return df.checkpoint()
-
-
 def next_links(pages: DataFrame, rule: str) -> DataFrame:
     """(url, targets): the absolute next URLs of each page."""
     raw = pages.select("url", rule_list("html", rule).alias("raw"))

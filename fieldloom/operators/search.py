@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import group_tokens, match_name, search_key, without_space
-from .shelf import first_nonblank
+from ..functions.text import group_tokens, match_name, search_key, truncate_bytes_column, without_space
+from .shelf import find_shelf
 
 #: Limits of the search (fixed values): merged hits, hits of a source, pages.
 MOST_RESULTS, MOST_PER_SOURCE, MOST_PAGES = 300, 100, 10
 #: Limits of a change of source (fixed values): candidates overall and per source.
 MOST_CANDIDATES, CANDIDATES_PER_SOURCE = 240, 5
+#: Candidates whose details and lists are looked at (fixed value).
+MOST_PROBES = 24
 
 
 def eligible(sources: DataFrame) -> DataFrame:
@@ -41,22 +43,28 @@ def cap_per_source(hits: DataFrame, most: int = MOST_PER_SOURCE, by: str = "sour
     return hits.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_n") <= most).drop("_n")
 
 
-def merge_search(hits: DataFrame, keyword: str, most: int | None = MOST_RESULTS) -> DataFrame:
+def merge_search(hits: DataFrame, keyword: str, most: int | None = MOST_RESULTS, candidates: bool = True) -> DataFrame:
     """Hits (source, arrival, name, author, url, kind, intro, lastChapter) as one row for each book: the first values that
-    aren't blank, candidates, source names, rank and order of arrival; best first.
+    aren't blank, source names, number of candidates, rank and order of arrival; with `candidates` these themselves too;
+    best first.
 
     Ranks: 0 the name is the keyword, 1 the author is, 2 the name contains it, 3 otherwise; then more candidates, then
-    earlier arrival. A row's candidates are as many as sources offer the book. `most` limits the new rows by arrival."""
+    earlier arrival. A row's candidates are as many as sources offer the book. `most` limits the new rows by arrival, before
+    anything is gathered. A book's hits are first reduced to one row for each source and URL, so many equal hits of one
+    book aren't gathered in one place."""
     rows = hits.withColumn("_key", search_key("name", "author", "url")).where(F.col("_key") != "")
-    candidate = F.struct("source", "url")
-    first = lambda c: F.min_by(c, "arrival")
-    out = rows.groupBy("_key").agg(
-        first("name").alias("name"), first("author").alias("author"), *[first_nonblank(c, "arrival").alias(c) for c in ("kind", "intro", "lastChapter")],
-        F.array_sort(F.collect_set(candidate)).alias("candidates"), F.array_sort(F.collect_set("source")).alias("source_names"), F.min("arrival").alias("arrival"),
-    )
     if most is not None:  # the first keys to arrive
-        out = out.orderBy("arrival").limit(most)
-    return out.withColumns({"rank": search_rank("name", "author", keyword), "n_candidates": F.size("candidates")}).orderBy("rank", F.desc("n_candidates"), "arrival").drop("_key")
+        first_keys = rows.groupBy("_key").agg(F.min("arrival").alias("_a")).orderBy("_a").limit(most).select("_key")
+        rows = rows.join(F.broadcast(first_keys), "_key", "left_semi")
+    fields, blanks = ("name", "author"), ("kind", "intro", "lastChapter")
+    first = lambda c: F.min(F.struct(F.col("arrival").alias("at"), F.col(c).alias("value")))
+    filled = lambda c: F.min(F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.struct(F.col("arrival").alias("at"), F.col(c).alias("value"))))
+    offers = rows.groupBy("_key", "source", "url").agg(*[first(c).alias(c) for c in fields], *[filled(c).alias(c) for c in blanks], F.min("arrival").alias("arrival"))
+    gathered = [F.array_sort(F.collect_list(F.struct("source", "url"))).alias("candidates")] if candidates else []
+    out = offers.groupBy("_key").agg(
+        *[F.min(c)["value"].alias(c) for c in (*fields, *blanks)], *gathered, F.array_sort(F.collect_set("source")).alias("source_names"), F.count("*").cast("int").alias("n_candidates"), F.min("arrival").alias("arrival")
+    )
+    return out.withColumn("rank", search_rank("name", "author", keyword)).orderBy("rank", F.desc("n_candidates"), "arrival").drop("_key")
 
 
 def search_rank(name: str, author: str, keyword: str) -> Column:
@@ -74,13 +82,65 @@ def match_sources(hits: DataFrame, target_name: str, target_author: str = "", ch
 
 
 def join_candidates(hits: DataFrame, books: DataFrame) -> DataFrame:
-    """The same for many wanted books (book, name, author): an equi-join on the name as matched, with the author as score."""
+    """The same for many wanted books (book, name, author): an equi-join on the name as matched, with the author as score.
+
+    It gives a row for each hit of each book; where many books share a name, candidate_summary() gives what is needed to
+    choose without them."""
     wanted = books.select("book", match_name("name").alias("_name"), match_name("author").alias("_author")).where("_name <> ''")
     rows = hits.withColumns({"_hit": match_name("name"), "_hit_author": match_name("author")}).where(F.trim(F.coalesce("url", F.lit(""))) != "")
     joined = rows.join(wanted, F.col("_hit") == F.col("_name"))
     return joined.withColumn("score", F.when((F.col("_author") != "") & F.col("_hit_author").contains(F.col("_author")), 3).otherwise(2)).drop("_hit", "_name", "_hit_author", "_author")
 
 
+def candidate_summary(hits: DataFrame, books: DataFrame) -> DataFrame:
+    """(book, score, n, source, url, arrival) for each wanted book (book, name, author) that any hit fits: its best score, how
+    many hits have it, and the first of them to arrive. Hits and books are reduced to distinct (name, author) before they
+    meet, so a name that very many of both have is no product of the two."""
+    first = F.struct("arrival", "source", "url")
+    offers = hits.where(F.trim(F.coalesce("url", F.lit(""))) != "").groupBy(match_name("name").alias("_hit"), match_name("author").alias("_hit_author")).agg(F.count("*").alias("n"), F.min(first).alias("first"))
+    wanted = books.select("book", match_name("name").alias("_name"), match_name("author").alias("_author")).where("_name <> ''")
+    pairs = wanted.select("_name", "_author").distinct().join(offers, F.col("_name") == F.col("_hit"))
+    pairs = pairs.withColumn("score", F.when((F.col("_author") != "") & F.col("_hit_author").contains(F.col("_author")), 3).otherwise(2))
+    scored = pairs.groupBy("_name", "_author", "score").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    best = scored.groupBy("_name", "_author").agg(F.max_by(F.struct("score", "n", "first"), "score").alias("b"))
+    return wanted.join(best, ["_name", "_author"]).select("book", "b.score", "b.n", "b.first.source", "b.first.url", "b.first.arrival")
+
+
+def mark_on_shelf(results: DataFrame, shelf: DataFrame, id_col: str = "book") -> DataFrame:
+    """Results with in_shelf: whether the shelf has the book already, by any of the ways in which books are told."""
+    found = find_shelf(results, shelf, id_col).select(F.col("book").alias(id_col), F.lit(True).alias("in_shelf"))
+    return results.join(found, id_col, "left").withColumn("in_shelf", F.coalesce("in_shelf", F.lit(False)))
+
+
+#: What a copy of a search result keeps, and the bytes of its intro (fixed values).
+COPIED_FIELDS = (
+    "name", "author", "bookUrl", "tocUrl", "coverUrl", "intro", "kind",
+    "lastChapter", "updateTime", "wordCount", "sourceName", "sourceUrl",
+    "sourceVariable", "variable", "origin", "originName", "bookSourceUrl",
+)
+INTRO_BYTES = 4096
+
+
+def search_copy(results: DataFrame) -> DataFrame:
+    """Results with the COPIED_FIELDS alone, null where they lack one; an intro of more than INTRO_BYTES is cut, at a whole
+    character, so that it has no more with the ellipsis behind it."""
+    columns = [(F.col(c) if c in results.columns else F.lit(None).cast("string")).alias(c) for c in COPIED_FIELDS]
+    cut = F.concat(truncate_bytes_column("intro", INTRO_BYTES - len("…".encode())), F.lit("…"))
+    return results.select(*columns).withColumn("intro", F.when(F.octet_length("intro") > INTRO_BYTES, cut).otherwise(F.col("intro")))
+
+
+def probed(candidates: DataFrame, details: DataFrame, chapters: DataFrame, most: int = MOST_PROBES) -> DataFrame:
+    """Candidates (source, url, score, pos) with what probes of the first `most` of them found: the latest chapter and word
+    count from details (url, lastChapter, wordCount), the number of chapters from chapters (url, index, name); valid says
+    whether there is a list at all. Candidates beyond the probes have nulls."""
+    order = F.row_number().over(Window.orderBy(F.desc("score"), "source", "pos"))
+    asked = candidates.orderBy(F.desc("score"), "source", "pos").limit(most).select("source", "url", order.alias("probe"))
+    listed = chapters.groupBy("url").agg(F.count("*").alias("chapters"), F.max_by("name", "index").alias("last_listed"))
+    found = asked.join(details.select("url", "lastChapter", "wordCount"), "url", "left").join(listed, "url", "left")
+    found = found.select("source", "url", "probe", F.coalesce("lastChapter", "last_listed").alias("lastChapter"), "wordCount", F.coalesce("chapters", F.lit(0)).alias("chapters"))
+    return candidates.join(found, ["source", "url"], "left").withColumn("valid", F.when(F.col("probe").isNotNull(), F.col("chapters") > 0))
+
+
 def change_source_candidates(matched: DataFrame, per_source: int = CANDIDATES_PER_SOURCE, most: int | None = MOST_CANDIDATES) -> DataFrame:
     """Candidates (source, url, score, pos): each URL of a source once, the best of each source, so many in all."""
     once = matched.withColumn("_n", F.row_number().over(Window.partitionBy("source", "url").orderBy(F.desc("score"), "pos"))).where("_n = 1")

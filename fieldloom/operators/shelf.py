@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_title, epoch_seconds, history_key
+from .staging import kept
 
 #: What a replaced shelf entry keeps of the old one (fixed values).
 KEPT_FIELDS = ("durChapterIndex", "durChapterTitle", "durChapterPos", "totalChapterNum", "group", "sort")
@@ -99,17 +100,21 @@ def find_shelf(books: DataFrame, shelf: DataFrame, id_col: str = "book") -> Data
 
     books and shelf have id, bookUrl, name, author, origin; shelf has pos. The first tier with a match wins, and in it the
     first entry; in the last one several matches are ambiguous and pos is null. Blank authors agree with any; a book
-    without origin accepts any in tier 3. Each tier is an equi-join."""
+    without origin accepts any in tier 3. Each tier is an equi-join of what is distinct on either side, so many books or
+    entries with one name meet once."""
     b = books.select(F.col(id_col).alias("book"), *[_text(c).alias(f"b_{c}") for c in ("id", "bookUrl", "name", "author", "origin")])
     s = shelf.select("pos", *[_text(c).alias(f"s_{c}") for c in ("id", "bookUrl", "name", "author", "origin")])
 
-    def tier(n: int, on: str, more: Column | None = None) -> DataFrame:
-        match = (F.col(f"b_{on}") == F.col(f"s_{on}")) & (F.col(f"b_{on}") != BLANK)
-        return b.join(s, match if more is None else match & more).groupBy("book").agg(F.min("pos").alias("pos"), F.count("*").alias("n")).select("book", F.lit(n).alias("tier"), "pos", "n")
+    def tier(n: int, on: tuple[str, ...], more: Column | None = None) -> DataFrame:
+        mine, theirs = [f"b_{c}" for c in on], [f"s_{c}" for c in on]
+        entries = s.where(F.col(theirs[0]) != BLANK).groupBy(*theirs).agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
+        same = F.col(mine[0]) == F.col(theirs[0])
+        hits = b.select(*mine).distinct().join(entries, same if more is None else same & more).groupBy(*mine).agg(F.min("pos").alias("pos"), F.sum("n").alias("n"))
+        return b.join(hits, mine).select("book", F.lit(n).alias("tier"), "pos", "n")
 
     author = (F.col("b_author") == BLANK) | (F.col("s_author") == BLANK) | (F.col("b_author") == F.col("s_author"))
     origin = (F.col("b_origin") == BLANK) | (F.col("b_origin") == F.col("s_origin"))
-    found = tier(1, "id").unionByName(tier(2, "bookUrl")).unionByName(tier(3, "name", author & origin)).unionByName(tier(4, "name", author))
+    found = tier(1, ("id",)).unionByName(tier(2, ("bookUrl",))).unionByName(tier(3, ("name", "author", "origin"), author & origin)).unionByName(tier(4, ("name", "author"), author))
     best = found.groupBy("book").agg(F.min(F.struct("tier", "pos", "n")).alias("m"))
     ambiguous = (F.col("m.tier") == 4) & (F.col("m.n") > 1)
     return best.select("book", F.when(~ambiguous, F.col("m.pos")).alias("pos"), F.col("m.tier").alias("tier"), ambiguous.alias("ambiguous"))
@@ -185,9 +190,17 @@ def prefetch(chapters: DataFrame, cached: DataFrame, book_at: DataFrame, n: int
 
 
 def running_size_cap(sections: DataFrame, most: int, by: str = "book") -> DataFrame:
-    """Sections up to the one with which a book's bytes pass the cap, by running sum."""
-    run = F.sum(F.octet_length("content")).over(Window.partitionBy(by).orderBy("index"))
-    return sections.withColumn("_run", run).where(F.col("_run") <= most).drop("_run")
+    """Sections up to the one with which a book's bytes pass the cap, by running sum.
+
+    Only sizes are ordered: ranges of (book, index) are summed, and a section's sum is that of the ranges before its own
+    and of the sections before it in its range. So no task holds a whole book, and texts are joined with what stays."""
+    sizes = sections.select(by, "index", F.octet_length("content").cast("long").alias("_size")).repartitionByRange(by, "index").withColumn("_range", F.spark_partition_id())
+    sizes = kept(sizes, "sizes")
+    sums = sizes.groupBy(by, "_range").agg(F.sum("_size").alias("_n"))
+    before = sums.select(by, "_range", (F.sum("_n").over(Window.partitionBy(by).orderBy("_range")) - F.col("_n")).alias("_before"))
+    run = F.sum("_size").over(Window.partitionBy(by, "_range").orderBy("index")) + F.col("_before")
+    staying = sizes.join(before, [by, "_range"]).withColumn("_run", run).where(F.col("_run") <= most).select(by, "index").distinct()
+    return sections.join(staying, [by, "index"], "left_semi")
 
 
 #: What a change of source takes from the new hit, and what it resets (fixed values).
@@ -206,7 +219,22 @@ def replace_source(shelf: DataFrame, hits: DataFrame, key: str = "book") -> Data
 
 
 def place_after_change(shelf: DataFrame, progress: DataFrame, chapters: DataFrame, key: str = "book") -> DataFrame:
-    """(book, index, valid): each book's place in its new list of chapters; an empty list isn't valid and changes nothing."""
+    """(book, index, valid): each book's place in its new list of chapters; an empty list isn't valid."""
     found = match_chapters(progress, chapters, key)
     listed = chapters.select(key).distinct().withColumn("valid", F.lit(True))
     return shelf.select(key).join(listed, key, "left").join(found, key, "left").select(key, "index", F.coalesce("valid", F.lit(False)).alias("valid"))
+
+
+def commit_source(shelf: DataFrame, hits: DataFrame, progress: DataFrame, chapters: DataFrame, key: str = "book") -> DataFrame:
+    """shelf after a change of source that is made only where it is safe: a book takes its hit's fields if the hit's list of
+    chapters (book, index, name) isn't empty, and its place is mapped into that list; other books stay as they are.
+
+    A column `changed` says which. progress has book, title and index (from 1) of where each book is read."""
+    places = place_after_change(shelf, progress, chapters, key).where("valid").select(key, F.col("index").alias("_place"))
+    listed = chapters.groupBy(key).agg(F.count("*").alias("_chapters"), F.map_from_entries(F.collect_list(F.struct("index", "name"))).alias("_names"))
+    chosen = hits.join(places.select(key), key, "left_semi")
+    rows = replace_source(shelf, chosen, key).join(chosen.select(key, F.lit(True).alias("changed")), key, "left").join(places, key, "left").join(listed, key, "left")
+    changed = F.coalesce("changed", F.lit(False))
+    new = {"durChapterIndex": F.col("_place") - 1, "durChapterTitle": F.element_at("_names", F.col("_place").cast(dict(chapters.dtypes)["index"])), "totalChapterNum": F.col("_chapters")}
+    rows = rows.withColumns({c: F.when(changed, v.cast(shelf.schema[c].dataType)).otherwise(F.col(c)) for c, v in new.items() if c in shelf.columns} | {"changed": changed})
+    return rows.drop("_place", "_chapters", "_names")

@@ -49,7 +49,10 @@ def hole(expression: str) -> Hole:
 def _hole_at(text: str, at: int, full: bool) -> tuple[Part, int] | None:
     """The hole that starts here and where it ends."""
     if text.startswith("{{", at):
-        end = text.find("}}", at + 2)
+        first = end = text.find("}}", at + 2)
+        while end >= 0 and text.count("{", at + 2, end) > text.count("}", at + 2, end):  # a brace that is opened within is closed within
+            end = text.find("}}", end + 1)
+        end = end if end >= 0 else first
         return (hole(text[at + 2 : end]), end + 2) if end >= 0 else None
     if not full:
         return None

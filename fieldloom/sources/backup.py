@@ -6,8 +6,10 @@ member are rows of a further table.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
+import uuid
 import zipfile
 from collections import Counter
 from collections.abc import Iterator, Mapping
@@ -74,8 +76,6 @@ _MEMBER_ROW = "archive string, name string, size long, sha256 string, data strin
 
 
 def _member_rows(path: str, members: Mapping[str, bytes], ignored: list[str]) -> Iterator[tuple]:
-    import hashlib
-
     for name in MEMBERS:
         value = parse_member(name, members[name])
         text = json.dumps(sanitized(value), ensure_ascii=False, separators=(",", ":")) if name == "bookshelf.json" else members[name].decode()
@@ -211,28 +211,74 @@ def summarize(members: DataFrame) -> dict[str, Any]:
 # ---- state
 
 
-def manifest(members: DataFrame, state_format: str) -> DataFrame:
-    one = F.struct("name", "size", "sha256", F.lit("json").alias("kind"))
-    return members.agg(F.array_sort(F.collect_list(one)).alias("members")).select(F.lit(STATE_VERSION).alias("state_schema_version"), F.lit(state_format).alias("format"), "members")
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
 
 def write_state(members: DataFrame, path: str, state_format: str = "imported-data", overwrite: bool = False) -> None:
-    """The members as a table under path, and a manifest beside it; an existing state is an error unless overwrite."""
-    mode = "overwrite" if overwrite else "errorifexists"
-    members.select("name", "size", "sha256", "data").write.mode(mode).parquet(f"{path}/members")
-    manifest(members, state_format).write.mode(mode).json(f"{path}/manifest")
+    """The members as files in a folder, with manifest.json: written beside it and renamed, so it is there whole or not at
+    all. An existing folder is an error unless overwrite; then it stays until the new one is complete. Spark writes the
+    files; a line end closes each."""
+    spark, path = members.sparkSession, path.rstrip("/")
+    fs, at = _file_system(spark, path)
+    if fs.exists(at(path)) and not overwrite:
+        raise BackupError(f"there is something at {path} already")
+    parent, _, own = path.rpartition("/")
+    draft, former = (f"{parent}/.{own}.{uuid.uuid4().hex}" for _ in range(2))
+    ended = F.concat("data", F.lit("\n")).cast("binary")
+    listed = members.select("name", F.octet_length(ended).cast("long").alias("size"), F.sha2(ended, 256).alias("sha256"), F.lit("json").alias("kind"))
+    for name in MEMBERS:
+        members.where(F.col("name") == name).select("data").coalesce(1).write.text(f"{draft}/_{name}")
+        fs.rename(fs.globStatus(at(f"{draft}/_{name}/part-*"))[0].getPath(), at(f"{draft}/{name}"))
+        fs.delete(at(f"{draft}/_{name}"), True)
+    head = {"state_schema_version": STATE_VERSION, "format": state_format, "members": [r.asDict() for r in listed.orderBy("name").collect()]}
+    out = fs.create(at(f"{draft}/manifest.json"))
+    out.write(bytearray(json.dumps(head, ensure_ascii=False, indent=2).encode()))
+    out.close()
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(former))
+    if not fs.rename(at(draft), at(path)):
+        raise BackupError(f"can't move the state to {path}; it is at {draft}")
+    fs.delete(at(former), True)
+
+
+def update_member(spark: SparkSession, path: str, name: str, value: Any, state_format: str = "imported-data") -> None:
+    """A state with one of its members rewritten, files and manifest, as one change."""
+    write_state(replace_member(read_state(spark, path, state_format), name, value), path, state_format, overwrite=True)
 
 
 def read_state(spark: SparkSession, path: str, state_format: str = "imported-data") -> DataFrame:
-    """The members of a state after checking version, format, kinds and names; older states lose their group member."""
-    head = spark.read.json(f"{path}/manifest").first()
-    if head.state_schema_version not in (STATE_VERSION, OLDER_STATE_VERSION) or head.format != state_format:
+    """The members of a state folder, as from read_backup(), after checking the manifest and, of each file, size and hash.
+
+    Version 2 may have its files in a folder `android`, and a group member, which is left out; write_state() writes
+    what was read as the present version."""
+    fs, at = _file_system(spark, path)
+    head = json.loads(spark.read.text(f"{path}/manifest.json", wholetext=True).first().value)
+    older = head.get("state_schema_version") == OLDER_STATE_VERSION
+    if not older and head.get("state_schema_version") != STATE_VERSION or head.get("format") != state_format:
         raise BackupError("unsupported state version or format")
-    names = [m.name for m in head.members]
-    extra = set(names) - set(MEMBERS) - ({"bookGroup.json"} if head.state_schema_version == OLDER_STATE_VERSION else set())
-    if extra or len(set(names)) < len(names) or not set(MEMBERS) <= set(names) or any(m.kind != "json" for m in head.members):
-        raise BackupError(f"the manifest doesn't fit: {sorted(extra) or names}")
-    return spark.read.parquet(f"{path}/members").where(F.col("name").isin(*MEMBERS))
+    listed = head.get("members") if isinstance(head.get("members"), list) else []
+    names = Counter(m.get("name") for m in listed)
+    wanted = set(MEMBERS) | ({"bookGroup.json"} & set(names) if older else set())
+    if set(names) != wanted or max(names.values()) > 1 or any(m.get("kind") != "json" or not isinstance(m.get("size"), int) for m in listed):
+        raise BackupError(f"the manifest doesn't list what a state has: {sorted(map(str, names))}")
+    folder = f"{path}/android" if older and fs.exists(at(f"{path}/android")) else path
+    told = spark.createDataFrame([(m["name"], m["size"], m.get("sha256")) for m in listed], "name string, size long, sha256 string")
+    wrong = [(r.name, r.status) for r in integrity(spark, folder, told).where("status <> 'ok'").collect()]
+    if wrong:
+        raise BackupError(f"damaged state: {sorted(wrong)}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name, data = p.rpartition("/")[2], bytes(c)
+                value = parse_member(name, data)
+                text = json.dumps(sanitized(value), ensure_ascii=False, separators=(",", ":")) if name == "bookshelf.json" else data.decode().rstrip("\n")
+                yield pa.RecordBatch.from_pydict({"archive": [p.rpartition("/")[0]], "name": [name], "size": [len(data)], "sha256": [hashlib.sha256(data).hexdigest()], "data": [text], "ignored": pa.array([[]], pa.list_(pa.string()))})
+
+    files = spark.read.format("binaryFile").load([f"{folder}/{m}" for m in MEMBERS])
+    return files.select("path", "content").mapInArrow(run, _MEMBER_ROW)
 
 
 def integrity(spark: SparkSession, folder: str, listed: DataFrame) -> DataFrame:

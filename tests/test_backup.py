@@ -69,16 +69,63 @@ def test_missing_and_malformed():
 def test_state_round_trip(spark, members, tmp_path):
     path = str(tmp_path / "state")
     backup.write_state(members, path)
-    with pytest.raises(Exception, match="exists"):
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.zip", "state"] and len(list((tmp_path / "state").glob("*.json"))) == len(backup.MEMBERS) + 1
+    with pytest.raises(backup.BackupError, match="already"):
         backup.write_state(members, path)
     again = backup.read_state(spark, path)
-    assert {r.name: r.sha256 for r in again.collect()} == {r.name: r.sha256 for r in members.collect()}
-    changed = backup.replace_member(again, "bookshelf.json", [{"name": "m", "group": 1}])
-    assert backup.shelf_table(changed.withColumn("archive", __import__("pyspark").sql.functions.lit("")).withColumn("ignored", __import__("pyspark").sql.functions.array())).first().name == "m"
-    with pytest.raises(backup.BackupError):
+    assert {r.name: r.data for r in again.collect()} == {r.name: r.data for r in members.collect()}
+    backup.update_member(spark, path, "bookshelf.json", [{"name": "m", "group": 1}])
+    assert backup.shelf_table(backup.read_state(spark, path)).first().name == "m" and sorted(p.name for p in tmp_path.iterdir()) == ["a.zip", "state"]
+    with pytest.raises(backup.BackupError, match="format"):
         backup.read_state(spark, path, "another-format")
 
 
+@pytest.mark.parametrize("fault", ["hash", "size", "missing", "unlisted", "twice", "kind", "version"])
+def test_damaged_states(spark, members, tmp_path, fault):
+    path = tmp_path / "state"
+    backup.write_state(members, str(path))
+    head, one = json.loads((path / "manifest.json").read_text()), path / "readRecord.json"
+    if fault == "hash":
+        one.write_bytes(one.read_bytes().replace(b"[", b" ", 1)[::-1])
+    elif fault == "size":
+        one.write_text("[1, 2, 3]")
+    elif fault == "missing":
+        one.unlink()
+    elif fault == "unlisted":
+        (path / "other.json").write_text("[]")
+    elif fault == "twice":
+        head["members"].append(head["members"][0])
+    elif fault == "kind":
+        head["members"][0]["kind"] = "text"
+    else:
+        head["state_schema_version"] = 9
+    (path / "manifest.json").write_text(json.dumps(head))
+    for crc in path.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(backup.BackupError):
+        backup.read_state(spark, str(path))
+
+
+def test_older_state(spark, members, tmp_path):
+    """Files in a folder of their own and a group member: read, and written as the present version."""
+    old, new = tmp_path / "old", tmp_path / "new"
+    backup.write_state(members, str(old))
+    head = json.loads((old / "manifest.json").read_text())
+    for crc in old.glob(".*.crc"):
+        crc.unlink()
+    (old / "android").mkdir()
+    (old / "android" / "bookGroup.json").write_text("[]")
+    for m in backup.MEMBERS:
+        (old / m).rename(old / "android" / m)
+    head["state_schema_version"] = backup.OLDER_STATE_VERSION
+    head["members"].append({"name": "bookGroup.json", "size": 2, "kind": "json"})
+    (old / "manifest.json").write_text(json.dumps(head))
+    found = backup.read_state(spark, str(old))
+    assert {r.name: r.data for r in found.collect()} == {r.name: r.data for r in members.collect()}
+    backup.write_state(found, str(new))
+    assert json.loads((new / "manifest.json").read_text())["state_schema_version"] == backup.STATE_VERSION
+
+
 def test_integrity(spark, members, tmp_path):
     for r in members.collect():
         (tmp_path / "m").mkdir(exist_ok=True)
@@ -100,3 +147,5 @@ def test_epub(spark):
     z = zipfile.ZipFile(io.BytesIO(data))
     assert z.namelist()[0] == "mimetype" and z.infolist()[0].compress_type == zipfile.ZIP_STORED
     assert "&lt;&amp;" in z.read("OEBPS/chapter00001.xhtml").decode()
+    assert "toc.ncx" in z.read("OEBPS/content.opf").decode() and z.read("OEBPS/toc.ncx").decode().count("<navPoint") == 2
+    assert books.books_epub(rows, most_chapters=1).count() == 0 and books.book_text(rows, most_bytes=1).count() == 0

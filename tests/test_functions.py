@@ -22,12 +22,32 @@ def test_numbers_and_times(spark):
 def test_encodings(spark):
     assert one(spark, text.base64_decode(F.lit("_-8"))) == b"\xff\xef"
     assert one(spark, text.hmac(F.lit("a"), "k")) == __import__("hmac").new(b"k", b"a", "sha256").hexdigest()
+    for algorithm, key in (("md5", "k"), ("sha1", "k" * 100), ("sha512", "é"), ("HmacSHA256", "")):
+        name = algorithm.lower().removeprefix("hmac")
+        assert one(spark, text.hmac(F.lit("ü"), key, algorithm)) == __import__("hmac").new(key.encode(), "ü".encode(), name).hexdigest()
     enc = text.aes(F.lit("secret"), "0123456789abcdef")
     assert one(spark, text.aes(enc, "0123456789abcdef", encrypt=False).cast("string")) == "secret"
     assert one(spark, text.decode_charset(F.lit("中".encode("gbk")), "gbk")) == "中"
     assert one(spark, text.md5_middle(F.lit("a"))) == "c0f1b6a831c399e2"
     assert one(spark, text.cover_kind(F.lit(b"\x89PNG\r\n\x1a\n123"))) == "png"
     assert one(spark, text.safe_name(F.lit('a/b:"c"'))) == "a_b__c_"
+    assert one(spark, text.safe_name(F.lit(None))) == "untitled" == one(spark, text.safe_name(F.lit(" \n")))
+
+
+def test_byte_cuts(spark):
+    """At every limit the longest whole characters that fit."""
+    for sample in ("aé中😀b", "中中中", "😀😀", "", "abc"):
+        for limit in range(len(sample.encode()) + 2):
+            wanted = sample.encode()[:limit].decode(errors="ignore")
+            assert one(spark, text.truncate_bytes_column(F.lit(sample), limit)) == wanted == text.truncate_bytes(sample, limit)
+
+
+def test_list_hash(spark):
+    number = lambda titles, addresses: one(spark, text.list_hash(F.array(*map(F.lit, titles)), F.array(*map(F.lit, addresses))))
+    h = 5381
+    for byte in "a\n/1\nb\n/é".encode():
+        h = (h * 33 + byte) % (2**31 - 1)
+    assert number(["a", "b"], ["/1", "/é"]) == h != number(["b", "a"], ["/é", "/1"])
 
 
 def test_keys(spark):
