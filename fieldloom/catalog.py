@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import content, text, urls
+from .functions import content, rules, text, urls
 from .operators import crawl, nodes, search, shelf
 from .operators.staging import kept
 from .plans.columns import apply_text_rule, extract, rule_elements, rule_list, rule_text
@@ -806,3 +806,60 @@ def book_files(spark: SparkSession, d: str) -> DataFrame:
 def resumed_download(spark: SparkSession, d: str) -> DataFrame:
     c = t(spark, d, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("index"), F.col("role").alias("name"))
     return books.pending_sections(c, c.where("index < 2")).select("book", "index")
+
+
+# ---- planners, responses, scripts
+
+
+@query("""
+SELECT s_suppkey AS pos, s_suppkey % 4 = 0 AS script, s_suppkey % 4 < 2 AS runs, s_suppkey % 4 < 3 AS touches, s_suppkey % 4 = 3 AS plain, s_suppkey % 4 = 3 AND s_suppkey % 5 > 0 AND s_suppkey % 3 > 0 AS known FROM supplier
+""")
+def rule_traits(spark: SparkSession, d: str) -> DataFrame:
+    """What rules say about how they must be run, and whether a book's details need its page."""
+    key = F.col("s_suppkey")
+    rule = F.element_at(F.array(*map(F.lit, (" <js>1</js>", "a@JS:x", "@get:{k}", "-href"))), (key % 4 + 1).cast("int"))
+    rows = t(spark, d, "supplier").select(key.alias("pos"), rule.alias("rule"), F.create_map(F.lit("kind"), rule, F.lit("init"), F.when(key % 3 == 0, "@css:body")).alias("rules"), F.when(key % 5 > 0, "u").alias("toc"))
+    known = rules.details_known(F.lit("b"), "toc", "rules")
+    return rows.select("pos", rules.is_script("rule").alias("script"), rules.runs_script("rule").alias("runs"), rules.touches_state("rule").alias("touches"), rules.is_plain_name("rule").alias("plain"), known.alias("known"))
+
+
+@query("""
+SELECT s_suppkey AS pos, CASE WHEN s_suppkey % 3 = 2 THEN 'GET' ELSE 'POST' END AS method, CASE WHEN s_suppkey % 3 = 1 THEN 404 ELSE 200 END AS status, s_suppkey % 3 <> 1 AS ok, CASE WHEN s_suppkey % 3 = 0 THEN 'é' WHEN s_suppkey % 3 = 2 THEN 'at last' ELSE 'gone' END AS text FROM supplier
+""")
+def fetched_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Methods behind URLs, redirections, charsets."""
+    key, s = F.col("s_suppkey"), t(spark, d, "supplier")
+    url = lambda tail="": F.concat(F.lit("http://h/"), key, F.lit(tail))
+    header = lambda k, v: F.create_map(F.lit(k), F.lit(v))
+    answer = lambda u, method, status, headers, body: s.select(u.alias("url"), F.lit(method).alias("method"), status.alias("status"), headers.alias("headers"), F.lit(body).alias("body"), key)
+    fetched = answer(url(), "post", F.when(key % 3 == 1, 404).otherwise(200), header("Content-Type", "text/html; charset=iso-8859-1"), "é".encode("latin-1")).where("s_suppkey % 3 = 0")
+    fetched = fetched.unionByName(answer(url(), "POST", F.lit(404), header("x", "y"), b"gone").where("s_suppkey % 3 = 1")).unionByName(answer(url(), "POST", F.lit(303), header("Location", "/moved"), b"").where("s_suppkey % 3 = 2"))
+    moved = spark.createDataFrame([("http://h/moved", "GET", 302, {"location": "last"}, b""), ("http://h/last", "GET", 200, {}, b"at last")], "url string, method string, status int, headers map<string,string>, body binary")
+    found = crawl.fetch_responses(s.select(key.alias("pos"), F.concat(url(), F.lit(',{"method":"POST"}')).alias("url")), fetched.drop("s_suppkey").unionByName(moved))
+    return found.select("pos", *[F.col(f"response.{c}").alias(c) for c in ("method", "status", "ok", "text")])
+
+
+@query("SELECT c_custkey, translate('國學讀' || c_name, '國學讀', '国学读') AS simple, '國學讀' || c_name AS back, ascii(c_name) AS first, strlen(c_name)::INT AS bytes, ascii(c_name) + ascii(c_name[2:2]) AS two FROM customer")
+def script_variants(spark: SparkSession, d: str) -> DataFrame:
+    c = t(spark, d, "customer")
+    simple = text.to_simplified(F.concat(F.lit("國學讀"), "c_name"))
+    values = text.bytes_array("c_name")
+    return c.select("c_custkey", simple.alias("simple"), text.to_traditional(simple).alias("back"), text.bytes_at("c_name", 0).alias("first"), text.bytes_length("c_name").alias("bytes"), (F.get(values, F.lit(0)) + F.get(values, F.lit(1))).alias("two"))
+
+
+@query("SELECT s_suppkey AS pos, title, url FROM (SELECT s_suppkey, unnest([{'title': 'all', 'url': '/a' || s_suppkey}, {'title': s_name, 'url': '/b'}], recursive := true) FROM supplier)")
+def explore_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Discovery entries, of every other source as lines, else as JSON."""
+    s = t(spark, d, "supplier")
+    lines = F.concat(F.lit("all::/a"), "s_suppkey", F.lit("\n"), "s_name", F.lit("::/b"))
+    listed = F.concat(F.lit('[{"title":"all","url":"/a'), "s_suppkey", F.lit('"},{"title":"'), "s_name", F.lit('","url":"/b"}]'))
+    rows = s.select(F.col("s_suppkey").alias("pos"), F.explode(search.explore_entries(F.when(F.col("s_suppkey") % 2 == 0, lines).otherwise(listed))).alias("e"))
+    return rows.select("pos", "e.title", "e.url")
+
+
+@query("SELECT s_suppkey AS pos, 0 AS differs FROM supplier WHERE s_suppkey % 2 = 1")
+def compacted_variables(spark: SparkSession, d: str) -> DataFrame:
+    """Variables that differ from the source's own."""
+    rows = t(spark, d, "supplier").select(F.col("s_suppkey").alias("pos"), F.create_map(F.lit("a"), F.lit(1), F.lit("b"), (F.col("s_suppkey") % 2).cast("int")).alias("now"), F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(0)).alias("base"))
+    kept_ = rows.select("pos", shelf.compact_variables(F.col("now"), F.col("base")).alias("v"))
+    return kept_.where(F.size("v") > 0).select("pos", F.size(F.map_filter("v", lambda k, v: k != "b")).alias("differs"))

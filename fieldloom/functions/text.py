@@ -140,6 +140,21 @@ def bytes_slice(c: Column | str, start: int, length: int) -> Column:
     return F.substring(_c(c).cast("binary"), start + 1, length)
 
 
+def bytes_at(c: Column | str, place: int) -> Column:
+    """The byte at a place from 0, as a number from 0 to 255; null beyond the end."""
+    one = bytes_slice(c, place, 1)
+    return F.when(F.octet_length(one) > 0, F.conv(F.hex(one), 16, 10).cast("int"))
+
+
+def bytes_array(c: Column | str) -> Column:
+    """All bytes as numbers from 0 to 255."""
+    return F.transform(F.regexp_extract_all(F.hex(_c(c).cast("binary")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
+
+
+def bytes_length(c: Column | str) -> Column:
+    return F.octet_length(_c(c).cast("binary"))
+
+
 def word_count(c: Column | str) -> Column:
     """Bytes of the text, which is how chapters are measured."""
     return F.octet_length(F.coalesce(_c(c), F.lit("")))
@@ -162,6 +177,22 @@ def translate_script(c: Column | str, pairs: dict[str, str]) -> Column:
     return F.translate(_c(c), "".join(pairs), "".join(pairs.values()))
 
 
+#: Common characters in their traditional and simplified forms (fixed values).
+TRADITIONAL_TO_SIMPLIFIED = {
+    "國": "国", "學": "学", "說": "说", "書": "书", "體": "体", "門": "门", "開": "开", "關": "关", "時": "时", "間": "间", "長": "长", "點": "点",
+    "現": "现", "發": "发", "後": "后", "裡": "里", "這": "这", "個": "个", "們": "们", "為": "为", "與": "与", "從": "从", "無": "无", "過": "过",
+    "來": "来", "見": "见", "萬": "万", "應": "应", "實": "实", "當": "当", "動": "动", "華": "华", "語": "语", "讀": "读", "寫": "写",
+}
+
+
+def to_simplified(c: Column | str) -> Column:
+    return translate_script(c, TRADITIONAL_TO_SIMPLIFIED)
+
+
+def to_traditional(c: Column | str) -> Column:
+    return translate_script(c, {simple: form for form, simple in TRADITIONAL_TO_SIMPLIFIED.items()})
+
+
 def html_format(c: Column | str) -> Column:
     """Line ends unified, <br> in one form, a line end after each closing p; other markup stays."""
     text = F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"\r\n?", "\n")

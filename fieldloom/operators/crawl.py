@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.content import clean_lines, html_to_text, without_title
 from ..functions.text import bool_value
-from ..functions.urls import _join, absolute_url
+from ..functions.urls import _join, absolute_url, split_options
 from ..plans.columns import ROWS, extract, extracted, rule_list
 from ..plans.errors import RuleError
 from .search import MOST_PAGES, cap_per_source
@@ -45,6 +45,42 @@ def fetch(wanted: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
     return wanted.join(found, F.col(url) == F.col("_url"), "left").drop("_url")
 
 
+#: Steps that a redirection may have (fixed value), and status codes that are one.
+MOST_REDIRECTS, REDIRECTS = 5, (301, 302, 303, 307, 308)
+
+
+def fetch_responses(wanted: DataFrame, fetched: DataFrame, url: str = "url") -> DataFrame:
+    """wanted with a struct `response` (url, method, status, ok, headers, charset, text), null where nothing was fetched.
+
+    A wanted URL may have options behind it, of which the method counts (GET without). fetched has url, method, status,
+    headers (a map) and body (bytes). Redirections are followed by joins, up to MOST_REDIRECTS; one more is not ok. The
+    body is decoded as its content type says, else as UTF-8."""
+    asked = wanted.withColumn("_o", split_options(F.col(url)))
+    asked = asked.withColumns({"_at": F.col("_o.url"), "_method": F.upper(F.coalesce(F.get_json_object("_o.options", "$.method"), F.lit("GET")))}).drop("_o")
+    answers = fetched.select(F.col("url").alias("_u"), F.upper("method").alias("_m"), "status", F.transform_keys("headers", lambda k, v: F.lower(k)).alias("headers"), "body")
+    where = F.element_at("headers", "location")
+    hops = answers.where(F.col("status").isin(*REDIRECTS) & where.isNotNull()).select("_u", "_m", absolute_url(F.col("_u"), where).alias("_next"), F.when(F.col("status") == 303, "GET").otherwise(F.col("_m")).alias("_as"))
+    for _ in range(MOST_REDIRECTS):
+        asked = asked.join(hops, (F.col("_at") == F.col("_u")) & (F.col("_method") == F.col("_m")), "left")
+        asked = asked.withColumns({"_at": F.coalesce("_next", "_at"), "_method": F.coalesce("_as", "_method")}).drop("_u", "_m", "_next", "_as")
+    found = asked.join(answers, (F.col("_at") == F.col("_u")) & (F.col("_method") == F.col("_m")), "left")
+    charset = F.lower(F.coalesce(F.nullif(F.regexp_extract(F.element_at("headers", "content-type"), r"(?i)charset=[\"']?([\w-]+)", 1), F.lit("")), F.lit("utf-8")))
+
+    @F.pandas_udf("string")
+    def decoded(bodies: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else _decoded(bytes(b), n) for b, n in zip(bodies, names)], dtype=object)
+
+    response = F.struct(F.col("_at").alias("url"), F.col("_method").alias("method"), "status", F.col("status").between(200, 299).alias("ok"), "headers", charset.alias("charset"), decoded("body", charset).alias("text"))
+    return found.withColumn("response", F.when(F.col("status").isNotNull(), response)).select(*wanted.columns, "response")
+
+
+def _decoded(body: bytes, charset: str) -> str:
+    try:
+        return body.decode(charset, "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
 def extract_books(pages: DataFrame, rules: Mapping[str, str], list_field: str = "bookList", light: bool = False, keep: Iterable[str] = ("url",)) -> DataFrame:
     """Hits on result pages: a row for each element of the list rule with a name and a book URL; a field that fails is null."""
     fields = {f: rules[f] for f in (LIGHT_FIELDS if light else HIT_FIELDS) if rules.get(f)}
@@ -114,6 +150,24 @@ def explore_rules(source: Mapping[str, Any]) -> Mapping[str, str]:
     return own if own.get("bookList") else source.get("ruleSearch") or {}
 
 
+def explore_actions(entries: DataFrame, values: str = "value") -> DataFrame:
+    """Discovery entries (title, action and the chosen value) with actionResult and infoMap: what the action gives for the
+    value, and the values as named by the entries' keys and titles.
+
+    An action is a script: it goes to the script engine or a registered function; without an action the value stands."""
+    key = F.col("key") if "key" in entries.columns else F.lit(None).cast("string")
+
+    @F.pandas_udf("string")
+    def run(actions: pd.Series, chosen: pd.Series) -> pd.Series:
+        e = Evaluator("full")
+        return pd.Series([e.parse_text(v or "", "@js:" + a, Context(result=v or "")) if (a or "").strip() else v or "" for a, v in zip(actions, chosen)])
+
+    value = F.col(values).cast("string")
+    named = F.filter(F.array(F.coalesce(key, F.col("title")), F.col("title")), lambda k: F.trim(F.coalesce(k, F.lit(""))) != "")
+    info = F.map_from_entries(F.transform(F.array_distinct(named), lambda k: F.struct(k, value)))
+    return entries.withColumns({"actionResult": run("action", value), "infoMap": F.when(value.isNotNull(), info)})
+
+
 def book_info(pages: DataFrame, rules: Mapping[str, str], keep: Iterable[str] = ("url",)) -> DataFrame:
     """Details of books from their pages. An init rule narrows the page first; a blank tocUrl is the page itself."""
     page = pages
