@@ -23,21 +23,40 @@ def split_options(c: Column | str) -> Column:
     return F.struct(F.trim(F.regexp_replace(text, "(?s)" + _OPTIONS, "")).alias("url"), F.nullif(options, F.lit("")).alias("options"))
 
 
+def _direct(base: Column, link: Column) -> Column:
+    """link seen from base where that takes no resolver: absolute, protocol-relative, root-relative and data: links; else null."""
+    scheme, origin = F.regexp_extract(base, r"^([a-zA-Z][\w+.\-]*:)//", 1), F.regexp_extract(base, r"^([a-zA-Z][\w+.\-]*://[^/?#]*)", 1)
+    fast = F.when(link == "", "").when(link.rlike(r"^[a-zA-Z][\w+.\-]*:"), link)
+    return fast.when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(origin, link))
+
+
 def absolute_url(base: Column | str, link: Column | str) -> Column:
-    """link seen from base. Absolute, protocol-relative, root-relative and data: links need no resolver; the rest is
-    resolved in an Arrow UDF. Options behind the link stay behind it."""
+    """link seen from base. What takes no resolver stays in the JVM; the rest is resolved in an Arrow UDF. Options behind the
+    link stay behind it."""
     base, link = F.coalesce(_c(base), F.lit("")), F.trim(F.coalesce(_c(link), F.lit("")))
-    scheme, origin = F.regexp_extract(base, r"^([a-zA-Z][\w+.\-]*:)//", 1), F.regexp_extract(base, r"^([a-zA-Z][\w+.\-]*://[^/?#]*)", 1)
 
     @F.pandas_udf("string")
     def resolve(bases: pd.Series, links: pd.Series) -> pd.Series:
         return pd.Series([_join(b, x) for b, x in zip(bases, links)])
 
-    fast = F.when(link == "", "").when(link.rlike(r"^[a-zA-Z][\w+.\-]*:"), link)
-    fast = fast.when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(origin, link))
     # a UDF runs for every row that reaches it: rows of the other cases give it nothing to do
     slow = F.when(link.rlike(r"^(?![a-zA-Z][\w+.\-]*:)(?!/)."), link)
-    return F.coalesce(fast, resolve(base, slow))
+    return F.coalesce(_direct(base, link), resolve(base, slow))
+
+
+def absolute_urls(base: Column | str, links: Column | str) -> Column:
+    """A list of links seen from base, each once and blank ones left out; only lists with a link that takes a resolver are
+    handed to Python."""
+    base = F.coalesce(_c(base), F.lit(""))
+    links = F.filter(F.transform(F.coalesce(_c(links), F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    fast = F.transform(links, lambda x: _direct(base, x))
+
+    @F.pandas_udf("array<string>")
+    def resolve(bases: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([None if found is None else [_join(b, x) for x in found] for b, found in zip(bases, lists)])
+
+    slow = F.exists(fast, lambda x: x.isNull())
+    return F.array_distinct(F.when(slow, resolve(base, F.when(slow, links))).otherwise(fast))
 
 
 def _join(base: str, link: str | None) -> str | None:

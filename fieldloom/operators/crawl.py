@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.content import clean_lines, html_to_text, without_title
 from ..functions.text import bool_value
-from ..functions.urls import _join, absolute_url, split_options
+from ..functions.urls import absolute_url, absolute_urls, split_options
 from ..plans.columns import ROWS, extract, extracted, rule_list
 from ..plans.errors import RuleError
 from .search import MOST_PAGES, cap_per_source
@@ -210,13 +210,7 @@ def frontier(start: DataFrame, links: DataFrame, most: int = LIST_PAGES) -> Data
 
 def next_links(pages: DataFrame, rule: str) -> DataFrame:
     """(url, targets): the absolute next URLs of each page."""
-    raw = pages.select("url", rule_list("html", rule).alias("raw"))
-
-    @F.pandas_udf("array<string>")
-    def joined(urls: pd.Series, links: pd.Series) -> pd.Series:
-        return pd.Series([list(dict.fromkeys(_join(u, x) for x in (found if found is not None else []) if x)) for u, found in zip(urls, links)])
-
-    return raw.select("url", joined("url", "raw").alias("targets"))
+    return pages.select("url", rule_list("html", rule).alias("raw")).select("url", absolute_urls("url", "raw").alias("targets"))
 
 
 def chapter_list(start: DataFrame, pages: DataFrame, rules: Mapping[str, str], most: int = LIST_PAGES) -> DataFrame:

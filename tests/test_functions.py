@@ -90,3 +90,10 @@ def test_content_columns(spark):
     assert one(spark, content.clean_lines_column(F.lit(" a \r\n\r\n　b"))) == "a\nb"
     assert one(spark, content.paragraphs(F.lit("a&b\nc"))) == "<p>a&amp;b</p>\n<p>c</p>"
     assert one(spark, content.content_text(F.lit(None).cast("string"))) == ""
+
+
+def test_lists_of_urls(spark):
+    of = lambda *links: one(spark, urls.absolute_urls(F.lit("http://h/a/b?c"), F.array(*map(F.lit, links))))
+    assert of("/x", "//k/y", "http://z/", "", "/x", " /w ") == ["http://h/x", "http://k/y", "http://z/", "http://h/w"]
+    assert of("n", "/x", "../m,{\"a\":1}") == ["http://h/a/n", "http://h/x", 'http://h/m,{"a":1}'] and of() == []
+    assert one(spark, urls.absolute_urls(F.lit("http://h/"), F.lit(None).cast("array<string>"))) == []
