@@ -107,9 +107,11 @@ def search_all(sources: DataFrame, pages: DataFrame, keyword: str, page: int = 1
     wanted = sources.select(F.col("bookSourceName").alias("source"), order.alias("source_pos"), "rules", asked("searchUrl").alias("u")).select("source", "source_pos", "rules", "u.*")
     rows = fetch(wanted, pages)
 
+    e = Evaluator("full")
+
     @F.pandas_udf("rows " + ROWS + ", error string")
     def hits(htmls: pd.Series, rules: pd.Series, errors: pd.Series) -> pd.DataFrame:
-        e, out = Evaluator("full"), []
+        out = []
         for html, rule, error in zip(htmls, rules, errors):
             if error is not None or html is None:
                 out.append(([], error or "no page"))
@@ -157,9 +159,10 @@ def explore_actions(entries: DataFrame, values: str = "value") -> DataFrame:
     An action is a script: it goes to the script engine or a registered function; without an action the value stands."""
     key = F.col("key") if "key" in entries.columns else F.lit(None).cast("string")
 
+    e = Evaluator("full")
+
     @F.pandas_udf("string")
     def run(actions: pd.Series, chosen: pd.Series) -> pd.Series:
-        e = Evaluator("full")
         return pd.Series([e.parse_text(v or "", "@js:" + a, Context(result=v or "")) if (a or "").strip() else v or "" for a, v in zip(actions, chosen)])
 
     value = F.col(values).cast("string")
@@ -217,7 +220,7 @@ def chapter_list(start: DataFrame, pages: DataFrame, rules: Mapping[str, str], m
     """(book, index, name, url, isVip, isPay, isVolume, updateTime, page_url) from start (book, url of the first list page).
 
     Chapters are numbered through all pages of a book, in order. A chapter without a URL has its page's; a volume without
-    one has its name and number."""
+    one has its name and number. formatJs, a script for the hook or a registered function, gives each chapter its title."""
     order = start.select("book", "url", F.lit("").alias("path"))
     if rules.get("nextTocUrl"):
         order = frontier(start, next_links(pages, rules["nextTocUrl"]), most)
@@ -228,6 +231,14 @@ def chapter_list(start: DataFrame, pages: DataFrame, rules: Mapping[str, str], m
     place = F.col("ordinal") * (-1 if list_rule.startswith("-") else 1)
     number = F.row_number().over(Window.partitionBy("book").orderBy(F.desc("path") if list_rule.startswith("-") else F.asc("path"), place))
     rows = rows.where(F.coalesce("name", F.lit("")) != "").withColumn("index", number)
+    if code := (rules.get("formatJs") or "").strip():
+        e = Evaluator("full")
+
+        @F.pandas_udf("string")
+        def formatted(names: pd.Series, numbers: pd.Series) -> pd.Series:
+            return pd.Series([e.parse_text(n, "@js:" + code, Context(result=n, variables={"title": n, "index": int(i)})) or n for n, i in zip(names, numbers)])
+
+        rows = rows.withColumn("name", formatted("name", "index"))
     flags = {f: bool_value(f) for f in ("isVip", "isPay", "isVolume")}
     url = F.when(F.coalesce("link", F.lit("")) != "", absolute_url("url", "link")).when(bool_value("isVolume"), F.concat("name", F.col("index").cast("string"))).otherwise(F.col("url"))
     return rows.withColumns({"page_url": F.col("url"), "url": url} | flags).select("book", "index", "name", "url", "isVip", "isPay", "isVolume", "updateTime", "page_url")
@@ -252,9 +263,10 @@ def chapter_content(start: DataFrame, pages: DataFrame, rules: Mapping[str, str]
         whole = whole.drop("title").join(start.select("book", F.col(title).alias("title")), "book", "left")
     replace_rule = rules.get("replaceRegex") or ""
 
+    e = Evaluator("full")
+
     @F.pandas_udf("string")
     def cleaned(raws: pd.Series, titles: pd.Series) -> pd.Series:
-        e = Evaluator("full")
         return pd.Series([without_title(clean_lines(html_to_text(e.apply_text_rule(r or "", replace_rule, child_context(Context())))), t)[0] for r, t in zip(raws, titles)])
 
     return whole.select("book", "title", cleaned("raw", "title").alias("text"))

@@ -16,21 +16,21 @@ from .plans.columns import _row_json
 
 
 def register(spark: SparkSession) -> None:
-    """Registers rule_list, rule_text, text_rule, html_text, absolute_url and chinese_number, and the table functions rule_elements and html_nodes."""
+    """Registers rule_list, rule_text, text_rule, html_text, absolute_url and chinese_number, and the table functions rule_elements and html_nodes.
+
+    Functions and the script engine that rules may call are those that are registered by now."""
+    e = Evaluator("full")
 
     @F.pandas_udf("array<string>")
     def rule_list(texts: pd.Series, rules: pd.Series) -> pd.Series:
-        e = Evaluator("full")
         return pd.Series([e.parse_list(t or "", r or "") for t, r in zip(texts, rules)])
 
     @F.pandas_udf("string")
     def rule_text(texts: pd.Series, rules: pd.Series) -> pd.Series:
-        e = Evaluator("full")
         return pd.Series([e.parse_text(t or "", r or "") for t, r in zip(texts, rules)])
 
     @F.pandas_udf("string")
     def text_rule(texts: pd.Series, rules: pd.Series) -> pd.Series:
-        e = Evaluator("full")
         return pd.Series([e.apply_text_rule(t or "", r or "") for t, r in zip(texts, rules)])
 
     @F.pandas_udf("string")
@@ -51,7 +51,7 @@ def register(spark: SparkSession) -> None:
     @udtf(returnType="ordinal int, element string")
     class Elements:
         def eval(self, text: str, rule: str):
-            for i, row in enumerate(Evaluator("full").elements(text or "", rule)):
+            for i, row in enumerate(e.elements(text or "", rule)):
                 yield i, _row_json(row)
 
     @udtf(returnType="node_id int, last_id int, parent_id int, tag string, text string, html string")

@@ -3,6 +3,8 @@
 import pytest
 
 from fieldloom.operators import crawl
+from fieldloom.operators.evaluate import register_rule_function
+from fieldloom.plans.columns import rule_text
 from fieldloom.plans.errors import RuleError
 
 RULES = '{"bookList":"@css:li","name":"@css:a@text","bookUrl":"@css:a@href"}'
@@ -31,3 +33,20 @@ def test_frontier_caps(spark):
     assert found == [("a", "u0"), ("a", "u1"), ("a", "u2"), ("a", "u3"), ("b", "v0"), ("b", "v1")]
     with pytest.raises(RuleError, match="over 3"):
         crawl.frontier(start, links, 3)
+
+
+def test_formatted_titles(spark):
+    register_rule_function("tidy", lambda title: title.strip("* "))
+    start = spark.createDataFrame([("a", "u")], "book string, url string")
+    pages = spark.createDataFrame([("u", "<li><a href='/1'>* one *</a></li><li><a href='/2'>two</a></li>")], "url string, html string")
+    rules = {"chapterList": "@css:li > a", "chapterName": "text", "chapterUrl": "href", "formatJs": "tidy(result)"}
+    assert [(r["index"], r.name) for r in crawl.chapter_list(start, pages, rules).orderBy("index").collect()] == [(1, "one"), (2, "two")]
+
+
+def test_functions_reach_the_executors(spark):
+    register_rule_function("louder", lambda text: text + "!")
+    rows = spark.createDataFrame([("<p>a</p>",)], "html string").repartition(2)
+    assert rows.select(rule_text("html", "@css:p@text@js:louder(result)").alias("v")).first().v == "a!"
+    entries = spark.createDataFrame([("t", "louder", "x"), ("u", "", "y"), ("w", None, None)], "title string, action string, value string")
+    found = {r.title: (r.actionResult, r.infoMap) for r in crawl.explore_actions(entries).collect()}
+    assert found == {"t": ("x!", {"t": "x"}), "u": ("y", {"u": "y"}), "w": ("", None)}
