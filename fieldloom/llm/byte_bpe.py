@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import Bounded, pieces
+from .shared import Bounded, pieces, small_batches
 
 OTHER, LETTER, NUMBER, SPACE, BLANK = 0, 1, 2, 3, 4
 #: Code points with the property White_Space, but for the space itself (fixed values of Unicode).
@@ -181,4 +181,4 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
             columns = {id_col: batch.column(0), "n_tokens": pa.array(n, pa.int64())} | rest
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, {extra}")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, {extra}")

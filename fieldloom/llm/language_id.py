@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces
+from .shared import pieces, small_batches
 
 UNKNOWN = "und"
 PAD = 256
@@ -224,7 +224,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             langs, scores, _ = classify(net, texts) if net else ([UNKNOWN] * len(texts), [0.0] * len(texts), [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 
-    return docs.select(id_col, held_out.alias("held_out"), text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return small_batches(docs).select(id_col, held_out.alias("held_out"), text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, min_score: float, languages: tuple[str, ...] | None = None, least_letters: int = 40, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -248,4 +248,4 @@ def keep_identified(docs: DataFrame, min_score: float, languages: tuple[str, ...
             named = pc.coalesce(batch.column(lang_at), pa.array(langs, pa.string()))
             yield batch.set_column(lang_at, batch.schema.field(lang_at), named).filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

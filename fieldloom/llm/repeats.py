@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, shuffle_width
+from .shared import pieces, small_batches, shuffle_width
 
 WINDOW, GRAM = 50, 20
 #: Bytes of text in a part, roughly; a part is the unit of work.
@@ -438,7 +438,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({n: pa.array([r[i] for r in found], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
     part = F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)).cast("int")
-    dealt = docs.select(part.alias("part"), F.col(id_col), F.col(text_col)).mapInArrow(pack, "part int, data binary").repartitionById(parts, "part")
+    dealt = small_batches(docs).select(part.alias("part"), F.col(id_col), F.col(text_col)).mapInArrow(pack, "part int, data binary").repartitionById(parts, "part")
     to = lambda sent: sent.repartitionById(parts, "part").groupBy("part")
     digits = dealt.groupBy("part").applyInArrow(send_digits, schema(to_bucket)).repartitionById(parts, "bucket").groupBy("bucket").applyInArrow(compare_digits, schema(to_part))
     strings = dealt.groupBy("part").cogroup(to(digits)).applyInArrow(send_strings, schema(to_bucket)).repartitionById(parts, "bucket")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,10 +46,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_staged(spark: SparkSession, paths: list[str] | None = None) -> None:
+def staged_paths(spark: SparkSession) -> set[str]:
+    """Where this session's staged tables are."""
+    return set(_staged.get(spark.sparkContext.applicationId, []))
+
+
+def drop_staged(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
     """Deletes staged tables: the given ones, or all of this session."""
     own = _staged.get(spark.sparkContext.applicationId, [])
-    for path in list(own) if paths is None else paths:
+    for path in list(own if paths is None else paths):
         _delete(spark, path)
         if path in own:
             own.remove(path)
@@ -68,22 +76,45 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: its rows no longer depend on any executor or on a re-run of nondeterministic parts."""
     spark = df.sparkSession
     df.write.parquet(path := new_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch that are looked at together, where rows are documents. Spark bounds a batch by its bytes.
-BATCH_ROWS = 1000
+#: Rows of an Arrow batch at most, where rows are documents; Spark's own default, and its bound on a batch's bytes.
+BATCH_ROWS, DEFAULT_ROWS = 1000, "10000"
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs, after lowering the session's Arrow batches to BATCH_ROWS if nobody has set them: with the default an executor
+    holds tens of MB of texts several times over for each task, in the JVM's buffers and in Python's. The setting is read
+    when a plan runs, so it can't be put back before; a session that has one of its own keeps it (see pieces())."""
+    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession
+    if spark.conf.get(key) == DEFAULT_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
+def release() -> None:
+    """Gives memory that this Python worker has freed back to the system. Workers serve one operator after the other, and
+    what the allocators keep for later counts against the executor all the while."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of so many rows at most, so that what is made of them for a while stays small."""
+    release()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    release()
 
 
 #: Rows of a staged table up to which it may be broadcast; such tables have a few short columns.

@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import Bounded, pieces
+from .shared import Bounded, pieces, small_batches
 
 
 #: Below this code point (the end of Latin and combining marks) all tables agree on classes.
@@ -112,4 +112,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
             sizes = [len(t.encode()) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")

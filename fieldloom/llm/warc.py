@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, pieces, shuffle_width, small_side, stage
+from .shared import new_path, pieces, small_batches, shuffle_width, small_side, stage
 
 #: Payloads below this many bytes are always stored as they are.
 REVISIT_FROM = 1000
@@ -163,7 +163,7 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
         if held:
             yield archive()
 
-    archives = rows.select(record.alias("record")).mapInArrow(pack, "archive binary")
+    archives = small_batches(rows).select(record.alias("record")).mapInArrow(pack, "archive binary")
     archives.select(F.col("archive").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
