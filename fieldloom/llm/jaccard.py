@@ -1,24 +1,31 @@
-"""Near copies by the Jaccard likeness of their 5-word shingles: MinHash bands for candidates, an exact check for links.
+"""Near copies by the Jaccard likeness of their 5-word shingles: candidates by shared numbers, an exact check for links.
 
 Each text gives BANDS numbers, each made of ROWS minima of its shingles under random functions. Two texts of likeness s
 share a number with a probability of 1 - (1 - s^ROWS)^BANDS: all but 3e-6 at 0.8. In the group of texts that share one,
-some are hubs, with which all others of the group are checked that aren't connected with them yet; rounds with ever more
-hubs go on until the group is connected or all its texts have been hubs, so no pair is left out. A check first compares
-the texts' minima (MARGIN below the wanted likeness, 6 standard errors, rules a pair out), then their whole sets.
+all are checked with a hub. Where a group isn't connected by that, as with short texts around one long passage, its texts
+go on by their rarest shingles, counted among these texts: of two sets so much alike, the rarest few of the larger one (a
+share of 1 - likeness) and the rarest fewer of the smaller one (about half as many) have a shingle in common. What many
+texts share is hardly ever in both, so these groups are small; they are checked with hubs, ever more of them, until each is
+connected or all that can be hubs have been. So no pair is left out, and a passage that many documents share makes no
+square.
+
+A check first compares the texts' minima (MARGIN below the wanted likeness, 6 standard errors, rules a pair out), then
+their whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .shared import pieces, small_side, stage
+from .shared import pieces, release, small_batches, small_side, stage
 
 WORDS, SEED = 5, 43
 BANDS, ROWS = 24, 4
@@ -89,7 +96,7 @@ def sketches(rows: DataFrame, row_col: str, text_col: str) -> DataFrame:
             prints = pa.array(np.array(prints, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), prints, pa.array(counts, pa.int32()), _lists(numbers), pa.array(signs, pa.binary())], names=[row_col, "fp", "n", "bands", "sign"])
 
-    return rows.select(row_col, text_col).mapInArrow(run, f"`{row_col}` long, fp long, n int, bands array<long>, sign binary")
+    return small_batches(rows).select(row_col, text_col).mapInArrow(run, f"`{row_col}` long, fp long, n int, bands array<long>, sign binary")
 
 
 def shingle_sets(rows: DataFrame, row_col: str, text_col: str) -> DataFrame:
@@ -102,7 +109,7 @@ def shingle_sets(rows: DataFrame, row_col: str, text_col: str) -> DataFrame:
                 found = [shingles(simhash.shingle_hashes(text.as_py())) for text in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(found)], names=[row_col, "shingles"])
 
-    return rows.select(row_col, text_col).mapInArrow(run, f"`{row_col}` long, shingles array<long>")
+    return small_batches(rows).select(row_col, text_col).mapInArrow(run, f"`{row_col}` long, shingles array<long>")
 
 
 def _asked(pairs: DataFrame, row_col: str) -> DataFrame:
@@ -120,6 +127,7 @@ def likely(pairs: DataFrame, prints: DataFrame, similarity: float, row_col: str)
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BANDS * ROWS) for c in (4, 5))
             yield batch.select(["first", "second", "a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+        release()
 
     return both.select("first", "second", "a", "b", "of_first", "of_second").mapInArrow(run, "first long, second long, a long, b long")
 
@@ -135,33 +143,81 @@ def alike(rows: DataFrame, prints: DataFrame, pairs: DataFrame, similarity: floa
     return stage(found.where(F.col("both") / either >= similarity).select("a", "b").distinct(), "near-links")
 
 
-def links(rows: DataFrame, prints: DataFrame, known: DataFrame, similarity: float, row_col: str, text_col: str) -> DataFrame:
-    """known edges (a, b) of fingerprints, and more that connect them as all pairs of texts do that are at least that much
-    alike. prints is the staged result of sketches(); texts with one fingerprint count as linked.
-
-    A text is a hub of a band's group in the round in which the group's expected number of hubs first exceeds a number that
-    its hash gives it; that number is 1 at first (a text with the group's least fingerprint is a hub too) and doubles."""
-    members = prints.select(F.col(row_col).alias("row"), "fp", "n", F.explode("bands").alias("band"))
-    groups = members.groupBy("band").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.min(F.struct("fp", "row"))["row"].alias("hub"), F.count("*").alias("size")).where("least <> most").select("band", "hub", "size")
-    members = members.join(stage(groups, "bands").hint("merge"), "band")
-    turn = F.when(F.col("row") == F.col("hub"), 0.0).otherwise(F.shiftrightunsigned(F.xxhash64("row", "band"), 11) / F.lit(float(1 << 53)) * F.col("size"))
-    members = stage(members.select("band", "row", "fp", "n", turn.alias("turn"), F.col("fp").alias("label")), "band-members")
-    edges, nodes, wanted, before = known, prints.select("fp", F.col("fp").alias("node")).distinct(), 1.0, -1.0
+def connect(members: DataFrame, names: DataFrame, rows: DataFrame, prints: DataFrame, similarity: float, row_col: str, text_col: str, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """names (fp, label) after linking the texts of each group that are so much alike, and what of members (group, row, fp, n,
+    first) is in a group that isn't connected and hasn't been asked. Of a pair the smaller text, or either of equal ones, is
+    `first`: only those are hubs, and a hub asks the larger texts, and the smaller ones that are first.
+
+    Sets that are so much alike have sizes that differ by no more: a group's texts meet in neighbouring size classes. A text
+    is a hub in the round in which the expected number of hubs first exceeds a number that its hash gives it; that number
+    is 1 at first (a text with the group's least fingerprint is a hub too) and grows fourfold. Between rounds texts are known
+    by the labels of what they are connected with, and only new links are followed."""
+    size_class = F.floor(F.log("n") / F.lit(-math.log(similarity)))
+    members = members.select("row", "fp", "n", "first", "group", F.explode(F.array(size_class, size_class + 1)).alias("class"))
+    members = members.select("row", "fp", "n", "first", F.xxhash64("group", "class").alias("group"))
+    hub = F.min(F.when(F.col("first"), F.struct("fp", "row")))["row"].alias("hub")
+    groups = members.groupBy("group").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), hub, F.count_if("first").alias("size")).where("least <> most AND size > 0").drop("least", "most")
+    turn = F.when(~F.col("first"), F.lit(math.inf)).when(F.col("row") == F.col("hub"), 0.0).otherwise(F.shiftrightunsigned(F.xxhash64("row", "group"), 11) / F.lit(float(1 << 53)) * F.col("size"))
+    members = members.join(stage(groups, "near-groups").hint("merge"), "group").select("group", "row", "fp", "n", "first", turn.alias("turn"))
+    wanted, done = 1.0, 0
     while True:
-        hubs = members.where((F.col("turn") > before) & (F.col("turn") <= wanted)).select("band", F.col("row").alias("second"), F.col("fp").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("turn").alias("at"))
-        fits = F.least("n", "m") >= F.greatest("n", "m") * similarity
+        # groups in which something isn't connected yet
+        labelled = stage(members.join(small_side(names), "fp"), "near-labelled")
+        apart = labelled.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("first").alias("some")).where("x <> y AND some").select("group")
+        members = stage(labelled.join(small_side(stage(apart, "near-apart")), "group"), "near-members")
+        if done == rounds or not members.limit(1).count():
+            return names, members.select("group", "row", "fp", "n", "first")
+        hubs = members.where(F.col("turn") <= wanted).select("group", F.col("row").alias("second"), F.col("n").alias("m"), F.col("label").alias("b"), F.col("turn").alias("at"))
+        fits = (F.least("n", "m") >= F.greatest("n", "m") * similarity) & (F.col("first") | (F.col("n") >= F.col("m")))
         # of two hubs of a round one asks the other; those of earlier rounds have asked all
-        pairs = members.where(F.col("turn") > before).join(hubs.hint("merge"), "band").where((F.col("label") != F.col("other")) & ((F.col("turn") > F.col("at")) | (F.col("turn") == F.col("at")) & (F.col("row") > F.col("second"))) & fits)
+        asks = (F.col("turn") > F.col("at")) | (F.col("turn") == F.col("at")) & (F.col("row") > F.col("second"))
+        pairs = members.withColumnRenamed("label", "a").join(hubs.hint("merge"), "group").where((F.col("a") != F.col("b")) & asks & fits)
         turned = F.col("row") > F.col("second")
         pick = lambda x, y, name: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name)
-        pairs = stage(pairs.select(pick("row", "second", "first"), pick("second", "row", "second"), pick("fp", "b", "a"), pick("b", "fp", "b")).distinct(), "near-candidates")
-        members = members.where(F.col("turn") > wanted)
+        pairs = stage(pairs.select(pick("row", "second", "first"), pick("second", "row", "second"), pick("a", "b", "a"), pick("b", "a", "b")).distinct(), "near-candidates")
         if pairs.limit(1).count():
-            edges = stage(edges.unionByName(alike(rows, prints, pairs, similarity, row_col, text_col)), "links")
-            labels = simhash.components(edges, nodes)
-            members = members.drop("label").join(small_side(labels), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        apart = members.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-        members = stage(members.join(stage(apart, "bands-apart").hint("merge"), "band"), "band-members")
-        if not members.limit(1).count():
-            return edges
-        before, wanted = wanted, 2 * wanted
+            new = alike(rows, prints, pairs, similarity, row_col, text_col)
+            if new.limit(1).count():
+                ends = new.select(F.col("a").alias("fp")).union(new.select("b")).distinct()
+                joined = simhash.components(new, ends.withColumn("node", F.col("fp"))).select(F.col("fp").alias("label"), F.col("label").alias("_to"))
+                names = stage(names.join(small_side(joined), "label", "left").select("fp", F.coalesce("_to", "label").alias("label")), "near-names")
+        members = members.where(F.col("turn") > wanted).drop("label")
+        wanted, done = 4 * wanted, done + 1
+
+
+def rarest(rows: DataFrame, asked: DataFrame, similarity: float, row_col: str, text_col: str) -> DataFrame:
+    """(group, row, first): for each asked row (row) its rarest shingles, as groups, of which it must share one with any asked row
+    that is so much alike, where one of the two, the smaller, has it `first`; groups that can have no pair are left out.
+
+    Sets x, y of likeness t with |x| <= |y| share at least t |y| and at least 2 t / (1 + t) |x| shingles. So the rarest of all
+    that they share is among the |y| - t |y| + 1 rarest of y and the |x| - 2 t / (1 + t) |x| + 1 rarest of x, rounded down."""
+    sets = stage(shingle_sets(rows.join(small_side(asked.withColumnRenamed("row", row_col)), row_col, "left_semi"), row_col, text_col), "rare-sets")
+    every = sets.select(F.col(row_col).alias("row"), F.size("shingles").alias("n"), F.explode("shingles").alias("group"))
+    shared = stage(every.groupBy("group").agg(F.count("*").alias("f")).where("f > 1"), "rare-counts")
+    found = every.join(shared.hint("merge"), "group")
+    place = F.row_number().over(Window.partitionBy("row").orderBy("f", "group"))  # of one text's shingles
+    found = found.withColumn("place", place + F.col("n") - F.count("*").over(Window.partitionBy("row")))
+    rarest_of = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1
+    found = found.where(F.col("place") <= rarest_of(similarity)).select("group", "row", (F.col("place") <= rarest_of(2 * similarity / (1 + similarity))).alias("first"))
+    found = stage(found, "rare-places")
+    of_use = found.groupBy("group").agg(F.max("first").alias("some"), F.count("*").alias("f")).where("some AND f > 1").select("group")
+    return found.join(of_use.hint("merge"), "group")
+
+
+def labels(rows: DataFrame, prints: DataFrame, known: DataFrame, similarity: float, row_col: str, text_col: str) -> DataFrame:
+    """(fp, label): the least fingerprint that each is connected with by the known edges (a, b) of fingerprints and by all
+    pairs of texts that are at least that much alike. prints is the staged result of sketches(); texts with one fingerprint
+    count as linked."""
+    nodes = prints.select("fp").distinct()
+    found = simhash.components(known, nodes.withColumn("node", F.col("fp")))
+    names = stage(nodes.join(small_side(found), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "near-names")
+    members = prints.where("n > 0").select(F.col(row_col).alias("row"), "fp", "n", F.explode("bands").alias("group"), F.lit(True).alias("first"))
+    groups = members.groupBy("group").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select("group")
+    members = stage(members.join(stage(groups, "bands").hint("merge"), "group"), "band-members")
+    names, rest = connect(members, names, rows, prints, similarity, row_col, text_col, rounds=1)
+    asked = stage(rest.select("row").distinct(), "near-rest")
+    if asked.limit(1).count():
+        known_as = prints.join(small_side(asked), prints[row_col] == asked["row"]).select("row", "fp", "n")
+        members = stage(rarest(rows, asked, similarity, row_col, text_col).join(known_as, "row"), "rare-members")
+        names, _ = connect(members, names, rows, prints, similarity, row_col, text_col)
+    return names

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, shuffle_width, small_side, stage
+from .shared import drop_staged, pieces, shuffle_width, small_batches, small_side, stage, staged_paths
 
 SEED, SHINGLE = 42, 3
 BITS, SEGMENTS = 64, 32
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def grid_points(fp: str, segments: int = SEGMENTS) -> Column:
@@ -101,6 +101,9 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     touched = stage(both.select(F.col("a").alias("fp")).distinct(), "touched")
     labels = stage(nodes.join(small_side(touched), "fp").select("fp", F.col("node").alias("label"), F.col("fp").alias("root")), "labels")
+    # labels only fall, so their sum stays only if all stay
+    total = lambda df: df.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+    last = total(labels)
     while True:
         # a label travels with the fingerprint that it belongs to, so that the next step can ask there
         own = F.struct("label", "root").alias("best")
@@ -109,11 +112,9 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         jump = small_side(best).select(F.col("fp").alias("root"), F.col("best").alias("further"))
         after = best.select("fp", F.col("best.root").alias("root"), "best").join(jump, "root").select("fp", F.least("best", "further").alias("best"))
         after = stage(after.select("fp", "best.label", "best.root"), "labels")
-        # labels only fall, so their sum stays only if all stay
-        total = lambda df: df.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if total(after) == total(labels):
+        if (now := total(after)) == last:
             return after.select("fp", "label")
-        labels = after
+        labels, last = after, now
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS) -> DataFrame:
@@ -136,23 +137,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """The rows of docs, all columns, that have the smallest id of their component: exactly one row of each.
 
-    Links are those of near_duplicates(), and with a similarity also those of jaccard.links(). Rows are told apart by a
+    Links are those of near_duplicates(), and with a similarity also those of jaccard.labels(). Rows are told apart by a
     number of their own, so repeated and null ids decide nothing for other rows; a null id comes after all ids, and
     among rows with one id the text's hash decides."""
+    spark = docs.sparkSession
+    before = staged_paths(spark)
     rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
     prints = fingerprints(rows, "_row", text_col) if similarity is None else jaccard.sketches(rows, "_row", text_col)
     prints = stage(prints, "fingerprints")
     nodes = stage(prints.select("fp").distinct(), "nodes")
-    edges = links(nodes)
-    if similarity is not None:
-        edges = jaccard.links(rows, prints, stage(edges, "links"), similarity, "_row", text_col)
-    found = components(edges, nodes.withColumn("node", F.col("fp")))
+    edges = stage(links(nodes), "links")
+    if similarity is None:
+        found = components(edges, nodes.withColumn("node", F.col("fp")))
+    else:
+        found = jaccard.labels(rows, prints, edges, similarity, "_row", text_col)
     order = rows.select("_row", F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col), "_row").alias("_order"))
-    found = prints.select("_row", "fp").join(found, "fp", "left").select("_row", F.coalesce("label", "fp").alias("label"))
-    found = stage(found.join(order, "_row"), "near-labels")
+    found = prints.select("_row", "fp").join(small_side(found), "fp", "left").select("_row", F.coalesce("label", "fp").alias("label"))
+    found = stage(found.join(order.hint("merge"), "_row"), "near-labels")
     first = found.groupBy("label").agg(F.min("_order").getField("_row").alias("_first"))
     gone = stage(found.join(first, "label").where("_row <> _first").select("_row"), "near-copies")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    drop_staged(spark, staged_paths(spark) - before - {rows.staged_at, gone.staged_at})
+    return rows.join(small_side(gone), "_row", "left_anti").select(*docs.columns)
 
 
 from . import jaccard  # noqa: E402 - it uses the fingerprints above

@@ -144,6 +144,28 @@ def test_near_copies_by_likeness(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(label))
 
 
+def test_near_copies_around_a_passage(spark):
+    """Short texts around one long passage are alike in many bands, but not enough; the few copies among them are found, also
+    where the first hub is none of theirs, and the pairs that are checked don't grow with the square of their number."""
+    rng = random.Random(21)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = []
+    for i in range(300):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(16, 30))]
+        texts.append(" ".join(own) + " " + passage)
+        if i % 20 == 0:
+            texts.append(" ".join(["other", *own[1:]]) + " " + passage)
+    rows = list(enumerate(texts))
+    sets, label = [wide_shingles(t) for _, t in rows], list(range(len(rows)))
+    for _ in range(3):
+        for i in range(len(rows)):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), similarity=0.8)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(label)) and len(set(label)) <= 300
+
+
 def test_near_copies_without_ids(spark):
     """A null or repeated id that is dropped once takes no other text along, and exactly one row of each group stays."""
     rng = random.Random(12)
