@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, fingerprints, language_id, mixing, repeats, sharding, simhash, token_counts, warc
+from . import alignment, byte_bpe, exact_dedup, fingerprints, language_id, licenses, mixing, repeats, sharding, simhash, token_counts, vector_codes, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,24 @@ ORACLE_SQL["op9_repeats"] = repeats.REPEATS_SQL
 @query
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_licenses"] = licenses.scan_sql()
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op13_vector_codes"] = vector_codes.compress_sql()
