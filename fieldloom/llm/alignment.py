@@ -21,6 +21,8 @@ import json
 import os
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,15 @@ from .token_counts import byte_symbols
 
 #: Where neither tokenizer has a token across: a space between two characters that aren't white space.
 CUT = re.compile(r"(?<=\S) (?=\S)").split
-#: Segments that a task keeps at most, and the longest that it keeps.
-KEPT, LONGEST = 100_000, 48
+#: Segments that a task keeps at most (two generations of half as many each), and the longest that it keeps.
+KEPT, LONGEST = 240_000, 48
 #: A piece's stand-in for a space.
 BLANK = "▁"
 
-Aligned = tuple[int, int, int, int, str, bytes]
+Aligned = tuple[int, int, str, bytes]
+#: Two counts share a number: the second is shifted by so many bits.
+HIGH = 31
+LOW = (1 << HIGH) - 1
 
 
 class Aligner:
@@ -64,71 +69,93 @@ class Aligner:
         plain = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not spec.get("normalizer")
         spaced = any(p.rstrip(BLANK).lstrip(BLANK).find(BLANK) >= 0 or (p.endswith(BLANK) and p.strip(BLANK)) for p in pieces_of_b)
         self.cuts = plain and not spaced
+        # ids as text, with a comma behind them or with the sign that ends a group's side
+        self.a_text, self.b_text = (tuple(np.array([f"{i}{sign}" for i in range(len(x))], object) for sign in signs) for x, signs in ((self.a_bytes, ",|"), (self.b_bytes, ",;")))
         self.kept: dict[str, Aligned | None] = {}
+        self.before: dict[str, Aligned | None] = {}
 
     def segments(self, text: str) -> list[str]:
         """The text in pieces; each stands after a space that isn't written."""
         return CUT(text) if self.cuts else [text]
 
-    def tokens(self, segments: Sequence[str]) -> list[tuple[list[int], list[int]] | None]:
-        """A and B ids of each segment after its space; None where the tokens' bytes differ from it."""
-        out = []
-        a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        a_all = self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)
-        for s, a, b in zip(segments, a_all, self.b.encode(list(segments), num_threads=1)):
-            data, a = b" " + s.encode(), a.ids
-            out.append((a, b) if b"".join(map(a_bytes, a)) == data == b"".join(map(b_bytes, b)) else None)
-        return out
+    def tokens(self, segments: Sequence[str]) -> tuple[list[str], list[int], list[int]]:
+        """The segments whose tokens' bytes are theirs, and the A and B ids of all of them, one after the other."""
+        plain = [s for s in segments if s and not s[0].isspace() and not s[-1].isspace()] if self.cuts else []
+        if plain:  # where texts are cut they can be put together
+            joined = " ".join(plain)
+            a, b = self.a.encode_batch_fast([" " + joined], add_special_tokens=False)[0].ids, self.b.encode(joined)
+            if not self._same(joined, a, b):
+                plain, a, b = [], [], []
+        else:
+            a, b = [], []
+        there = set(plain)
+        odd = [s for s in segments if s not in there]
+        for s, x, y in zip(odd, self.a.encode_batch_fast([" " + s for s in odd], add_special_tokens=False), self.b.encode(odd, num_threads=1)):
+            if self._same(s, x.ids, y):
+                plain.append(s)
+                a += x.ids
+                b += y
+        return plain, a, b
+
+    def _same(self, segment: str, a: list[int], b: list[int]) -> bool:
+        data = b" " + segment.encode()
+        return all(b"".join(map(of.__getitem__, ids)) == data for of, ids in ((self.a_bytes, a), (self.b_bytes, b)))
 
     def align(self, segments: Sequence[str]) -> dict[str, Aligned | None]:
-        """Each segment's (A tokens, B tokens, groups, pairs of the groups' products, groups as text, links as packed int64
-        a * B's size + b in the order of places); all are aligned as one array."""
-        ids = self.tokens(segments)
-        there = [k for k, x in enumerate(ids) if x]
+        """Each segment's (A and B tokens as one number, groups and pairs of their products as one, groups as text, links as
+        packed int64 a * B's size + b in the order of places); all are aligned as one array."""
         out: dict[str, Aligned | None] = dict.fromkeys(segments)
-        if not there:
+        segments, a, b = self.tokens(segments)
+        if not segments:
             return out
-        a = np.array([i for k in there for i in ids[k][0]], np.int64)
-        b = np.array([i for k in there for i in ids[k][1]], np.int64)
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
         a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         ends = np.union1d(a_ends, b_ends)  # one for each elementary interval
         links = a[np.searchsorted(a_ends, ends)] * len(self.b_bytes) + b[np.searchsorted(b_ends, ends)]
         shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
         a_to, b_to = (np.searchsorted(x, shared) + 1 for x in (a_ends, b_ends))  # tokens up to each group's end
-        products = np.diff(a_to, prepend=0) * np.diff(b_to, prepend=0)
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups, i, j = [], 0, 0
-        for x, y in zip(a_to.tolist(), b_to.tolist()):
-            groups.append(",".join(a_text[i:x]) + "|" + ",".join(b_text[j:y]))
-            i, j = x, y
+        products = np.cumsum(np.diff(a_to, prepend=0) * np.diff(b_to, prepend=0))
+        # the groups' text: each side's ids with what stands behind them, A's before B's in each group
+        signed = [np.where(np.isin(np.arange(len(x)), to - 1), of[1][x], of[0][x]) for x, to, of in ((a, a_to, self.a_text), (b, b_to, self.b_text))]
+        place = np.concatenate([2 * np.searchsorted(shared, a_ends), 2 * np.searchsorted(shared, b_ends) + 1])
+        text = np.concatenate(signed)[np.argsort(place, kind="stable")].tolist()
         # a segment's last token ends where it does, in A and in B
-        a_count, b_count = (np.array([len(ids[k][side]) for k in there]) for side in (0, 1))
-        last = a_ends[np.cumsum(a_count) - 1]
+        last = np.cumsum(np.fromiter((len(s.encode()) + 1 for s in segments), np.int64, len(segments)))
         group_to, link_to = np.searchsorted(shared, last) + 1, np.searchsorted(ends, last) + 1
-        g = l = 0
-        for k, n_a, n_b, g_to, l_to in zip(there, a_count.tolist(), b_count.tolist(), group_to.tolist(), link_to.tolist()):
-            out[segments[k]] = (n_a, n_b, g_to - g, int(products[g:g_to].sum()), ";".join(groups[g:g_to]), links[l:l_to].tobytes())
-            g, l = g_to, l_to
+        a_last, b_last = a_to[group_to - 1], b_to[group_to - 1]
+        a_count, b_count, text_to = np.diff(a_last, prepend=0), np.diff(b_last, prepend=0), a_last + b_last
+        packed, g, l, t, p = links.tobytes(), 0, 0, 0, 0
+        for s, n_a, n_b, g_to, l_to, t_to, p_to in zip(segments, a_count.tolist(), b_count.tolist(), group_to.tolist(), (8 * link_to).tolist(), text_to.tolist(), products[group_to - 1].tolist()):
+            out[s] = (n_a + (n_b << HIGH), g_to - g + (p_to - p << HIGH), "".join(text[t:t_to])[:-1], packed[l:l_to])
+            g, l, t, p = g_to, l_to, t_to, p_to
         return out
 
     def batch(self, texts: Sequence[str | None]) -> Iterator[Aligned | None]:
         """What align() says of whole texts; None for those without tokens."""
         cut = [self.segments(t) if t else [] for t in texts]
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        kept = self.kept
-        new = list({s for segments in cut for s in segments if s not in kept})
-        long = {}
+        wanted = set(chain.from_iterable(cut))
+        if len(self.kept) + len(wanted) > KEPT // 2:
+            self.kept, self.before = {}, self.kept
+        now = {s: self.before[s] for s in wanted if s in self.before}
+        now |= {s: self.kept[s] for s in wanted if s in self.kept}
+        new = [s for s in wanted if s not in now]
         for at in range(0, len(new), 5000):
-            for s, found in self.align(new[at : at + 5000]).items():
-                (kept if len(s) <= LONGEST else long)[s] = found
+            now |= self.align(new[at : at + 5000])
+        room = KEPT // 2 - len(self.kept)
+        self.kept |= islice(((s, x) for s, x in now.items() if len(s) <= LONGEST), room)
         for segments in cut:
-            found = [kept[s] if s in kept else long[s] for s in segments]
+            found = list(map(now.__getitem__, segments))
             if not found or None in found:
                 yield None
             else:
-                n_a, n_b, groups, products, text, links = zip(*found)
-                yield sum(n_a), sum(n_b), sum(groups), sum(products), ";".join(text), b"".join(links)
+                tokens, groups, text, links = zip(*found)
+                yield sum(tokens), sum(groups), ";".join(text), b"".join(links)
+
+
+@lru_cache(1)
+def aligner(a_path: str, b_path: str) -> Aligner:
+    """The aligner of this Python worker; what it keeps serves the worker's next tasks too."""
+    return Aligner(a_path, b_path)
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", keep: str = "groups") -> DataFrame:
@@ -144,13 +171,14 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     text_name = "groups" if keep == "groups" else "groups_sha256"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(a_path, b_path)
+        own = aligner(a_path, b_path)
         for batch in pieces(batches):
             counts, texts, links, times = [], [], [], []
-            for found in aligner.batch(batch.column(1).to_pylist()):
-                pair, n = np.unique(np.frombuffer(found[5] if found else b"", np.int64), return_counts=True)
-                counts.append(found[:4] if found else (0, 0, 0, 0))
-                texts.append("" if not found else found[4] if keep == "groups" else hashlib.sha256(found[4].encode()).hexdigest())
+            for found in own.batch(batch.column(1).to_pylist()):
+                tokens, groups, text, packed = found or (0, 0, "", b"")
+                pair, n = np.unique(np.frombuffer(packed, np.int64), return_counts=True)
+                counts.append((tokens & LOW, tokens >> HIGH, groups & LOW, groups >> HIGH))
+                texts.append(text if keep == "groups" or not found else hashlib.sha256(text.encode()).hexdigest())
                 links.append(pair)
                 times.append(n)
             offsets = pa.array(np.cumsum([0, *map(len, links)]), pa.int32())

@@ -69,11 +69,23 @@ def test_alignment_of_segments(libraries):
             assert not a, text
         else:
             some += 1
-            assert found[:2] == (len(a), len(b)) and found[4] == groups and found[2] == groups.count(";") + 1
-            assert np.frombuffer(found[5], np.int64).tolist() == [x * size + y for x, y in links]
+            assert (found[0] & alignment.LOW, found[0] >> alignment.HIGH) == (len(a), len(b)) and found[2] == groups and found[1] & alignment.LOW == groups.count(";") + 1
+            assert np.frombuffer(found[3], np.int64).tolist() == [x * size + y for x, y in links]
     assert 300 < some < len(texts) - 2
 
 
+def test_kept_segments_are_bounded(monkeypatch):
+    """However many different segments there are, an aligner keeps few; what it says doesn't change."""
+    monkeypatch.setattr(alignment, "KEPT", 40)
+    small, large = alignment.Aligner(A, B), alignment.Aligner(A, B)
+    texts = [f"w{i % 97} and w{i} " * 3 for i in range(300)]
+    monkeypatch.setattr(alignment, "KEPT", 10**6)
+    expected = list(large.batch(texts))
+    monkeypatch.setattr(alignment, "KEPT", 40)
+    assert [x for at in range(0, 300, 7) for x in small.batch(texts[at : at + 7])] == expected
+    assert len(small.kept) <= 20 and len(small.before) <= 20
+
+
 def test_alignments(spark, edge, none, libraries):
     """The whole operator over nulls, ties, repeated rows and long texts, with all pairs broadcast, some, and none."""
     aligner = alignment.Aligner(A, B)
