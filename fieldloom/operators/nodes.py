@@ -1,7 +1,8 @@
 """HTML as a table of nodes, and selectors as joins over it.
 
-A node has its number in document order (node_id) and the last number below it (last_id), so a descendant join is a range
-condition within a document, a child join an equality. For many selectors over the same pages this parses once.
+A node has its number in document order (node_id) and the last number below it (last_id), so what is below it is a range;
+trees.py says how such ranges are joined without comparing all with all. A child join is an equality. For many selectors
+over the same pages this parses once.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from pyspark.sql import functions as F
 from ..plans.errors import UnsupportedRule
 from ..plans.lexer import split_plain
 from .dom import Document
+from .trees import below_any, has_below
 
 _FIELDS = [
-    ("node_id", pa.int32()), ("last_id", pa.int32()), ("parent_id", pa.int32()), ("ord", pa.int32()), ("siblings", pa.int32()), ("type_ord", pa.int32()), ("type_count", pa.int32()),
+    ("node_id", pa.int32()), ("last_id", pa.int32()), ("doc_last", pa.int32()), ("parent_id", pa.int32()), ("ord", pa.int32()), ("siblings", pa.int32()), ("type_ord", pa.int32()), ("type_count", pa.int32()),
     ("depth", pa.int32()), ("tag", pa.string()), ("elem_id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("own_text", pa.string()), ("text", pa.string()),
 ]
-_TYPES = "node_id int, last_id int, parent_id int, ord int, siblings int, type_ord int, type_count int, depth int, tag string, elem_id string, classes array<string>, attrs map<string,string>, own_text string, text string"
+_TYPES = "node_id int, last_id int, doc_last int, parent_id int, ord int, siblings int, type_ord int, type_count int, depth int, tag string, elem_id string, classes array<string>, attrs map<string,string>, own_text string, text string"
 
 
 def _rows(d: Document) -> list[tuple]:
@@ -37,7 +39,7 @@ def _rows(d: Document) -> list[tuple]:
             place[n] = (*place[n][:3], seen[d.tags[n]])
     for n in range(1, len(d.tags)):
         depth[n] = depth[d.parents[n]] + 1
-        out.append((n, d.last[n], d.parents[n], *place[n], depth[n], d.tags[n], d.attrs_of[n].get("id"), d.classes(n), list(d.attrs_of[n].items()), d.own_text(n), d.text(n)))
+        out.append((n, d.last[n], d.last[0], d.parents[n], *place[n], depth[n], d.tags[n], d.attrs_of[n].get("id"), d.classes(n), list(d.attrs_of[n].items()), d.own_text(n), d.text(n)))
     return out
 
 
@@ -111,8 +113,7 @@ def _simple(nodes: DataFrame, found: DataFrame, text: str) -> DataFrame:
         end = m.end()
         name = (m["pseudo"] or "").lower()
         if name == "has":
-            inner = select_nodes(nodes, m["arg"]).select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"))
-            found = found.join(inner, (found["doc_id"] == inner["_d"]) & (inner["_n"] > found["node_id"]) & (inner["_n"] <= found["last_id"]), "left_semi")
+            found = has_below(found, select_nodes(nodes, m["arg"]))
         elif name == "not":
             inner = select_nodes(nodes, m["arg"]).select("doc_id", "node_id")
             found = found.join(inner, ["doc_id", "node_id"], "left_anti")
@@ -121,26 +122,32 @@ def _simple(nodes: DataFrame, found: DataFrame, text: str) -> DataFrame:
     return found
 
 
+def _related(step: DataFrame, up: DataFrame, combinator: str) -> DataFrame:
+    """The rows of step that stand in a combinator's relation to a row of up."""
+    if combinator.strip() == "":
+        return below_any(step, up)
+    up = up.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"), F.col("parent_id").alias("_p"), F.col("ord").alias("_o"))
+    same = step["doc_id"] == up["_d"]
+    if combinator == ">":
+        return step.join(up, same & (step["parent_id"] == up["_n"]), "left_semi")
+    if combinator == "+":
+        return step.join(up, same & (step["parent_id"] == up["_p"]) & (step["ord"] == up["_o"] + 1), "left_semi")
+    first = up.groupBy("_d", "_p").agg(F.min("_o").alias("_o"))  # of several siblings before, the first one says it all
+    return step.join(first, (step["doc_id"] == first["_d"]) & (step["parent_id"] == first["_p"]) & (step["ord"] > first["_o"]), "left_semi")
+
+
 def select_nodes(nodes: DataFrame, selector: str) -> DataFrame:
-    """The rows of a node table that a selector matches, each once. Combinators are joins within a document."""
+    """The rows of a node table that a selector matches, each once. Combinators are joins or windows within a document."""
     out = None
-    for group in split_plain(selector, ","):
+    groups = split_plain(selector, ",")
+    for group in groups:
         parts = re.findall(r"\s*([>+~]|\s)\s*((?:\[[^\]]*\]|\((?:[^()]|\([^()]*\))*\)|[^\s>+~\[(])+)", " " + group)
         now = None
         for combinator, compound in parts:
             step = _simple(nodes, nodes, compound)
-            if now is not None:
-                up = now.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"), F.col("last_id").alias("_l"), F.col("parent_id").alias("_p"), F.col("ord").alias("_o")).distinct()
-                same = step["doc_id"] == up["_d"]
-                relation = {
-                    ">": same & (step["parent_id"] == up["_n"]),
-                    "+": same & (step["parent_id"] == up["_p"]) & (step["ord"] == up["_o"] + 1),
-                    "~": same & (step["parent_id"] == up["_p"]) & (step["ord"] > up["_o"]),
-                }.get(combinator, same & (step["node_id"] > up["_n"]) & (step["node_id"] <= up["_l"]))
-                step = step.join(up, relation, "left_semi")
-            now = step
-        out = now if out is None else out.unionByName(now).dropDuplicates(["doc_id", "node_id"])
-    return out
+            now = step if now is None else _related(step, now, combinator)
+        out = now if out is None else out.unionByName(now)
+    return out.dropDuplicates(["doc_id", "node_id"]) if len(groups) > 1 else out
 
 
 def pick_position(found: DataFrame, name: str, k: int = 0) -> DataFrame:
