@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .containers import zip_members
+
 
 def archive_members(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(archive, name, content): a row for each file in each zip under path, or those whose name matches the pattern."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for archive, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for info in z.infolist():
-                        if not info.is_dir():
-                            yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([info.filename]), pa.array([z.read(info)], pa.binary())], names=["archive", "name", "content"])
-
-    out = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, name string, content binary")
-    return out.where(F.col("name").rlike(pattern)) if pattern else out
+    """(archive, name, part, content): each file in each zip under path, or those whose name matches the pattern, which are all
+    that is read; a long file comes as several parts."""
+    return zip_members(spark, path, **({"pattern": pattern} if pattern else {})).drop("size")
 
 
 def text_folder(spark: SparkSession, path: str) -> DataFrame:

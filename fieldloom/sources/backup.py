@@ -9,16 +9,18 @@ from __future__ import annotations
 import hashlib
 import io
 import json
-import uuid
 import zipfile
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .containers import opened, write_folder, zip_members
+
 #: Members that are read; others are ignored, even broken ones (fixed values).
 MEMBERS = ("bookSource.json", "bookshelf.json", "readRecord.json", "readRecordDetail.json", "readRecordSession.json")
 CORE = MEMBERS[:2]
@@ -124,11 +126,17 @@ def source_table(members: DataFrame) -> DataFrame:
     )
 
 
+def sanitized_record(record: Column | str = "record") -> Column:
+    """A shelf entry without the fields of UNSHELVED."""
+    fields = F.from_json(record, "map<string,variant>")
+    return F.to_json(F.map_filter(fields, lambda k, v: ~k.isin(*UNSHELVED)))
+
+
 def shelf_table(members: DataFrame) -> DataFrame:
-    """Shelf entries; raw keeps all their fields."""
+    """Shelf entries; raw keeps all their fields but those of UNSHELVED."""
     text = "name author bookUrl origin originName tocUrl durChapterTitle".split()
     number = "durChapterIndex durChapterPos durChapterTime totalChapterNum".split()
-    return records(members, "bookshelf.json").select("archive", "pos", *[record_field(c).alias(c) for c in text], *[record_field(c).try_cast("long").alias(c) for c in number], F.col("record").alias("raw"))
+    return records(members, "bookshelf.json").select("archive", "pos", *[record_field(c).alias(c) for c in text], *[record_field(c).try_cast("long").alias(c) for c in number], sanitized_record().alias("raw"))
 
 
 # ---- profiles
@@ -217,30 +225,50 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def write_state(members: DataFrame, path: str, state_format: str = "imported-data", overwrite: bool = False) -> None:
-    """The members as files in a folder, with manifest.json: written beside it and renamed, so it is there whole or not at
-    all. An existing folder is an error unless overwrite; then it stays until the new one is complete. Spark writes the
-    files; a line end closes each."""
-    spark, path = members.sparkSession, path.rstrip("/")
-    fs, at = _file_system(spark, path)
-    if fs.exists(at(path)) and not overwrite:
+    """The members (name, data) as files in a folder, with manifest.json: written beside it and moved when all tasks have ended,
+    so it is there whole or not at all. An existing folder is an error unless overwrite; then it stays until the new one is
+    complete. A line end closes each file."""
+    write_state_pieces(members.select(F.col("name").alias("file"), F.lit(0).alias("pos"), F.concat("data", F.lit("\n")).alias("content")), path, state_format, overwrite)
+
+
+def write_state_pieces(pieces: DataFrame, path: str, state_format: str = "imported-data", overwrite: bool = False) -> None:
+    """The same from rows (file, pos, content), of which a file is made in the order of pos, as from record_pieces()."""
+    system, at = opened(path.rstrip("/"))
+    if system.get_file_info(at).type != FileType.NotFound and not overwrite:
         raise BackupError(f"there is something at {path} already")
-    parent, _, own = path.rpartition("/")
-    draft, former = (f"{parent}/.{own}.{uuid.uuid4().hex}" for _ in range(2))
-    ended = F.concat("data", F.lit("\n")).cast("binary")
-    listed = members.select("name", F.octet_length(ended).cast("long").alias("size"), F.sha2(ended, 256).alias("sha256"), F.lit("json").alias("kind"))
-    for name in MEMBERS:
-        members.where(F.col("name") == name).select("data").coalesce(1).write.text(f"{draft}/_{name}")
-        fs.rename(fs.globStatus(at(f"{draft}/_{name}/part-*"))[0].getPath(), at(f"{draft}/{name}"))
-        fs.delete(at(f"{draft}/_{name}"), True)
-    head = {"state_schema_version": STATE_VERSION, "format": state_format, "members": [r.asDict() for r in listed.orderBy("name").collect()]}
-    out = fs.create(at(f"{draft}/manifest.json"))
-    out.write(bytearray(json.dumps(head, ensure_ascii=False, indent=2).encode()))
-    out.close()
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(former))
-    if not fs.rename(at(draft), at(path)):
-        raise BackupError(f"can't move the state to {path}; it is at {draft}")
-    fs.delete(at(former), True)
+    write_folder(pieces, path, "overwrite" if overwrite else "error", {"state_schema_version": STATE_VERSION, "format": state_format})
+
+
+def record_pieces(records: DataFrame, file: str, by: str | None = None) -> DataFrame:
+    """(file, pos, content): records (pos, record as JSON) as the text of one JSON array, a piece for each, in the order of pos;
+    without any an empty array. With `by` there is an array, and a file column of that value, for each of its values."""
+    keys = [by] if by else []
+    if by:
+        rows = records.join(records.groupBy(by).agg(F.min("pos").alias("_first")), by)
+    else:
+        rows = records.withColumn("_first", F.lit(records.agg(F.min("pos")).first()[0]))
+    text = F.concat(F.when(F.col("pos") == F.col("_first"), "").otherwise(","), "record")
+    inner = rows.select(*keys, F.lit(file).alias("file"), F.col("pos").cast("long").alias("pos"), text.alias("content"))
+    ends = (records.select(by).distinct() if by else records.sparkSession.range(1)).withColumn("_e", F.explode(F.array(F.struct(F.lit(-(1 << 62)).alias("pos"), F.lit("[").alias("content")), F.struct(F.lit((1 << 62)).alias("pos"), F.lit("]\n").alias("content")))))
+    return inner.unionByName(ends.select(*keys, F.lit(file).alias("file"), F.col("_e.pos").cast("long").alias("pos"), F.col("_e.content").alias("content")))
+
+
+def archive_members(spark: SparkSession, path: str, names: Iterable[str] = MEMBERS) -> DataFrame:
+    """(archive, name, size, data): some members of all archives at path, as text; only their bytes are read. Long ones come in
+    pieces, which are put together by order."""
+    parts = zip_members(spark, path, members="|".join(names))
+    whole = parts.groupBy("archive", "name", "size").agg(F.array_sort(F.collect_list(F.struct("part", F.col("content").cast("string").alias("text")))).alias("p"))
+    return whole.select("archive", "name", "size", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("data"))
+
+
+def archive_faults(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, name, fault): what keeps archives from being read, from their directories alone: "missing" and "duplicate"
+    members, "unsafe" names."""
+    listed = zip_members(spark, path, content="false").select("archive", "name")
+    unsafe = listed.where(F.col("name").rlike(r"[/\\\\]") | F.col("name").isin("", ".", "..")).select("archive", "name", F.lit("unsafe").alias("fault"))
+    counts = listed.groupBy("archive").pivot("name", list(MEMBERS)).count().na.fill(0)
+    faults = [F.when(F.col(f"`{m}`") != 1, F.struct(F.lit(m).alias("name"), F.when(F.col(f"`{m}`") == 0, "missing").otherwise("duplicate").alias("fault"))) for m in MEMBERS]
+    return unsafe.unionByName(counts.select("archive", F.explode(F.array_compact(F.array(*faults))).alias("f")).select("archive", "f.*"))
 
 
 def update_member(spark: SparkSession, path: str, name: str, value: Any, state_format: str = "imported-data") -> None:

@@ -1,8 +1,10 @@
 import io
 import json
 import zipfile
+from xml.etree import ElementTree
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.sources import backup, books
 
@@ -141,11 +143,47 @@ def test_pasted_sources(spark):
     assert [len(r.v) for r in df.select(backup.parse_sources(df.t).alias("v")).collect()] == [1, 1]
 
 
-def test_epub(spark):
-    rows = spark.createDataFrame([("b", "a", 2, "two", "x\ny"), ("b", "a", 1, "one", "<&")], "book string, author string, index int, title string, content string")
-    data = books.books_epub(rows).first().epub
-    z = zipfile.ZipFile(io.BytesIO(data))
-    assert z.namelist()[0] == "mimetype" and z.infolist()[0].compress_type == zipfile.ZIP_STORED
-    assert "&lt;&amp;" in z.read("OEBPS/chapter00001.xhtml").decode()
-    assert "toc.ncx" in z.read("OEBPS/content.opf").decode() and z.read("OEBPS/toc.ncx").decode().count("<navPoint") == 2
-    assert books.books_epub(rows, most_chapters=1).count() == 0 and books.book_text(rows, most_bytes=1).count() == 0
+def test_epub(spark, tmp_path):
+    """Books as EPUB files: the media type first and stored, lists in order, names that files can have; books over the cap aren't made."""
+    rows = [("b/1", "a", i, f"t{i} <&>", f"line {i}\n<b>") for i in range(12, 0, -1)] + [("c", None, 5, None, None), ("big", "x", 1, "t", "x" * 5000)]
+    df = spark.createDataFrame(rows, "book string, author string, index int, title string, content string").repartition(3)
+    books.write_epubs(df, str(tmp_path / "out"), most_bytes=4000)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["b_1.epub", "c.epub"] and sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+    z = zipfile.ZipFile(tmp_path / "out" / "b_1.epub")
+    assert z.testzip() is None and z.namelist()[:2] == ["mimetype", "META-INF/container.xml"] and z.infolist()[0].compress_type == zipfile.ZIP_STORED and z.read("mimetype") == b"application/epub+zip"
+    root = ElementTree.fromstring(z.read("META-INF/container.xml"))
+    package = ElementTree.fromstring(z.read(next(e.get("full-path") for e in root.iter() if e.tag.endswith("rootfile"))))
+    of = lambda tag: [e for e in package.iter() if e.tag.endswith("}" + tag)]
+    items = {e.get("id"): e.get("href") for e in of("item")}
+    pages = [items[e.get("idref")] for e in of("itemref")]
+    assert len(pages) == 12 and set(items.values()) <= set(z.namelist())
+    titles = ["".join(ElementTree.fromstring(z.read(p)).find(".//{*}h1").itertext()) for p in pages]
+    assert titles == [f"t{i} <&>" for i in range(1, 13)]
+    contents = ElementTree.fromstring(z.read("contents.xhtml"))
+    assert [(a.get("href"), a.text) for a in contents.iter() if a.tag.endswith("}a")] == list(zip(pages, titles))
+    older = ElementTree.fromstring(z.read("contents.ncx"))
+    assert [e.get("src") for e in older.iter() if e.tag.endswith("}content")] == pages
+    assert books.book_text(df, most_bytes=1).where("book <> 'c'").count() == 0
+
+
+def test_archives_by_their_directories(spark, tmp_path):
+    """Members of many archives, and what is wrong with archives, without reading the rest."""
+    (tmp_path / "good.zip").write_bytes(archive(MEMBERS, [("other.bin", "x" * 1000)]))
+    (tmp_path / "bad.zip").write_bytes(archive({k: v for k, v in MEMBERS.items() if k != "readRecord.json"}, [("a/b.json", "{}")]))
+    faults = sorted((r.archive[-8:], r.name, r.fault) for r in backup.archive_faults(spark, str(tmp_path)).collect())
+    assert faults == [("/bad.zip", "a/b.json", "unsafe"), ("/bad.zip", "readRecord.json", "missing")]
+    rows = backup.archive_members(spark, str(tmp_path), ["bookshelf.json"]).collect()
+    assert len(rows) == 2 and all(json.loads(r.data) == MEMBERS["bookshelf.json"] for r in rows)
+
+
+def test_records_as_a_member(spark, tmp_path):
+    """A member of any length is written a record at a time."""
+    records = spark.range(500).select(F.col("id").alias("pos"), F.to_json(F.struct("id")).alias("record")).repartition(4)
+    pieces = backup.record_pieces(records, "bookshelf.json")
+    for name in backup.MEMBERS:
+        if name != "bookshelf.json":
+            pieces = pieces.unionByName(backup.record_pieces(records.limit(0), name))
+    backup.write_state_pieces(pieces, str(tmp_path / "s"))
+    assert json.loads((tmp_path / "s" / "bookshelf.json").read_text()) == [{"id": i} for i in range(500)]
+    found = backup.read_state(spark, str(tmp_path / "s"))
+    assert backup.records(found, "bookshelf.json").count() == 500 and backup.records(found, "readRecord.json").count() == 0
