@@ -260,14 +260,23 @@ def safe_name(c: Column | str, limit: int = 80, otherwise: str = "untitled") ->
     return F.coalesce(F.nullif(F.regexp_replace(truncate_bytes_column(named, limit), ends, ""), F.lit("")), F.lit(otherwise))
 
 
-def list_hash(titles: Column | str, urls: Column | str) -> Column:
-    """A number that changes when a list of chapters does: over the bytes of all titles and URLs, each after a line end,
-    h * 33 + byte modulo 2^31 - 1, from 5381. titles and urls are arrays."""
-    text = F.concat_ws("\n", F.flatten(F.transform(F.arrays_zip(_c(titles).alias("a"), _c(urls).alias("b")), lambda x: F.array(x["a"], x["b"]))))
-    hexed = F.hex(text.cast("binary"))
-    places = F.sequence(F.lit(0), F.octet_length(text) - 1)
-    step = lambda h, i: (h * 33 + F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("long")) % ((1 << 31) - 1)
-    return F.when(text == "", F.lit(5381).cast("long")).otherwise(F.aggregate(places, F.lit(5381).cast("long"), step))
+#: The hash of a reading session: h * FACTOR + value modulo MODULUS over all values, from SEED (fixed values).
+FACTOR, MODULUS, SEED = 33, (1 << 31) - 1, 5381
+
+
+def folded(texts: list[Column]) -> tuple[Column, Column]:
+    """What some texts do to the hash, as a map h -> h * FACTOR^n + c: the columns c and n. A text is its length in bytes, its
+    bytes, and a zero. Such maps can be put together in any grouping, so ranges of a list are hashed apart."""
+    values = F.concat(*[x for t in texts for x in (F.array(F.octet_length(F.coalesce(t, F.lit("")))), bytes_array(F.coalesce(t, F.lit(""))), F.array(F.lit(0)))])
+    return F.aggregate(values, F.lit(0).cast("long"), lambda h, v: (h * FACTOR + v) % MODULUS), F.size(values).cast("long")
+
+
+def factor_power(n: Column) -> Column:
+    """FACTOR^n modulo MODULUS, by the bits of n."""
+    powers = [pow(FACTOR, 1 << k, MODULUS) for k in range(48)]
+    bits = F.array(*[F.struct(F.lit(k).alias("bit"), F.lit(p).cast("long").alias("power")) for k, p in enumerate(powers)])
+    is_set = lambda k: F.call_function("shiftright", n, k).bitwiseAND(F.lit(1).cast("long")) == 1
+    return F.aggregate(bits, F.lit(1).cast("long"), lambda h, x: F.when(is_set(x["bit"]), (h * x["power"]) % MODULUS).otherwise(h))
 
 
 def cover_kind(c: Column | str) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 from urllib.parse import quote
 
@@ -28,6 +28,8 @@ from .staging import kept
 
 HIT_FIELDS = ("name", "author", "bookUrl", "coverUrl", "intro", "kind", "lastChapter", "updateTime", "wordCount", "tocUrl")
 LIGHT_FIELDS = ("name", "author", "bookUrl", "lastChapter", "tocUrl")
+#: Fields that a hit may lack: all but its name and address.
+OPTIONAL_FIELDS = tuple(f for f in HIT_FIELDS if f not in ("name", "bookUrl"))
 INFO_FIELDS = ("name", "author", "intro", "kind", "lastChapter", "updateTime", "coverUrl", "wordCount", "tocUrl")
 #: Pages that one list or content may have (fixed values).
 LIST_PAGES, CONTENT_PAGES = 50, 20
@@ -82,14 +84,27 @@ def _decoded(body: bytes, charset: str) -> str:
 
 
 def extract_books(pages: DataFrame, rules: Mapping[str, str], list_field: str = "bookList", light: bool = False, keep: Iterable[str] = ("url",)) -> DataFrame:
-    """Hits on result pages: a row for each element of the list rule with a name and a book URL; a field that fails is null."""
+    """Hits on result pages: a row for each element of the list rule with a name and a book URL. Another field that fails is null
+    from there on, and isn't tried again on its page. A hit without a list of chapters has its own page for one."""
     fields = {f: rules[f] for f in (LIGHT_FIELDS if light else HIT_FIELDS) if rules.get(f)}
-    rows = extract(pages, "html", fields, rules[list_field], keep=list(keep), on_error="null")
+    rows = extract(pages, "html", fields, rules[list_field], keep=list(keep), on_error="null", optional=OPTIONAL_FIELDS)
     rows = rows.withColumns({f: F.lit(None).cast("string") for f in (LIGHT_FIELDS if light else HIT_FIELDS) if f not in fields})
     rows = rows.where((F.trim(F.coalesce("name", F.lit(""))) != "") & (F.coalesce("bookUrl", F.lit("")) != ""))
+    if "tocUrl" in fields:
+        rows = rows.withColumn("tocUrl", F.coalesce(F.nullif("tocUrl", F.lit("")), F.col("bookUrl")))
     return rows.withColumns({f: absolute_url("url", f) for f in ("bookUrl", "coverUrl", "tocUrl") if f in fields})
 
 
+def failed_fields(pages: DataFrame, rules: Mapping[str, str], list_field: str = "bookList", keep: Iterable[str] = ("url",)) -> DataFrame:
+    """(keep, field, item, error): where each optional field of a page's hits failed first, with the item's number from 0; it was
+    left out from there on."""
+    fields = {f: rules[f] for f in HIT_FIELDS if rules.get(f)}
+    rows = extract(pages, "html", fields, rules[list_field], keep=list(keep), on_error="column", optional=OPTIONAL_FIELDS)
+    said = rows.select(*keep, F.col("ordinal").alias("item"), F.explode("errors").alias("e"))
+    said = said.select(*keep, F.substring_index("e", ":", 1).alias("field"), "item", F.regexp_replace("e", r"^[^:]*: ", "").alias("error"))
+    return said.where(F.col("field").isin(*OPTIONAL_FIELDS))
+
+
 def search_all(sources: DataFrame, pages: DataFrame, keyword: str, page: int = 1) -> DataFrame:
     """Hits of all sources for a keyword, with source, page, arrival and error; any number of sources is one plan.
 
@@ -117,7 +132,7 @@ def search_all(sources: DataFrame, pages: DataFrame, keyword: str, page: int = 1
                 out.append(([], error or "no page"))
                 continue
             own = json.loads(rule)
-            found, error = _tried(lambda own=own, html=html: (extracted(e, html, {f: own.get(f) or "" for f in HIT_FIELDS}, own["bookList"], Context(), "null"), None))
+            found, error = _tried(lambda own=own, html=html: (extracted(e, html, {f: own.get(f) or "" for f in HIT_FIELDS}, own["bookList"], Context(), "null", OPTIONAL_FIELDS), None))
             out.append((found or [], error))
         return pd.DataFrame(out, columns=["rows", "error"])
 
@@ -186,12 +201,14 @@ def book_info(pages: DataFrame, rules: Mapping[str, str], keep: Iterable[str] =
 _LEVEL = "book string, url string, path string, follow boolean"
 
 
-def frontier(start: DataFrame, links: DataFrame, most: int = LIST_PAGES) -> DataFrame:
+def frontier(start: DataFrame, links: DataFrame | Callable[[DataFrame], DataFrame], most: int = LIST_PAGES) -> DataFrame:
     """(book, url, path): the pages of each book in order of path, from start (book, url) over links (url, targets).
 
-    links has for each page the next URLs. Each level is one join; levels are written to the shared folder, with how many
-    pages a book has so far. A book that still has something pending after `most` pages is an error, as is a loop that
-    never ends; pages seen are skipped."""
+    links has for each page the next URLs, or is a function that finds them for a table of URLs; it is asked once for each
+    URL that a level reaches first, so that no page is parsed twice and none that nothing leads to. Each level is one join;
+    levels are written to the shared folder, with how many pages a book has so far. A book that still has something pending
+    after `most` pages is an error, as is a loop that never ends; pages seen are skipped."""
+    read, known = (links if callable(links) else lambda wanted: wanted.join(links, "url")), None
     now = start.select("book", "url", F.lit("").alias("path"), F.lit(True).alias("follow"), F.lit(0).cast("long").alias("before"))
     seen, done = None, None
     for _ in range(most + 1):
@@ -205,7 +222,10 @@ def frontier(start: DataFrame, links: DataFrame, most: int = LIST_PAGES) -> Data
             raise RuleError(f"{over[0].book} has over {most} pages")
         seen = fresh.select("book", "url") if seen is None else seen.unionByName(fresh.select("book", "url"))
         done = fresh.drop("follow", "before") if done is None else done.unionByName(fresh.drop("follow", "before"))
-        following = fresh.where("follow").join(links, "url").where(F.size("targets") > 0)
+        wanted = fresh.where("follow").select("url").distinct()
+        found = kept(read(wanted if known is None else wanted.join(known, "url", "left_anti")).select("url", "targets"), "frontier-links")
+        known = found if known is None else known.unionByName(found)
+        following = fresh.where("follow").join(known, "url").where(F.size("targets") > 0)
         now = following.select("book", "before", F.posexplode("targets").alias("n", "next"), "path", (F.size("targets") == 1).alias("single"))
         now = now.select("book", F.col("next").alias("url"), F.concat("path", F.lit("/"), F.lpad(F.col("n").cast("string"), 6, "0")).alias("path"), F.col("single").alias("follow"), "before")
     raise RuleError(f"pages are pending after {most} levels")
@@ -223,7 +243,7 @@ def chapter_list(start: DataFrame, pages: DataFrame, rules: Mapping[str, str], m
     one has its name and number. formatJs, a script for the hook or a registered function, gives each chapter its title."""
     order = start.select("book", "url", F.lit("").alias("path"))
     if rules.get("nextTocUrl"):
-        order = frontier(start, next_links(pages, rules["nextTocUrl"]), most)
+        order = frontier(start, lambda wanted: next_links(wanted.join(pages, "url"), rules["nextTocUrl"]), most)
     list_rule = rules["chapterList"]
     fields = {"name": rules.get("chapterName", "text"), "link": rules.get("chapterUrl", "href")} | {f: rules[f] for f in ("isVip", "isPay", "isVolume", "updateTime") if rules.get(f)}
     rows = extract(fetch(order, pages).where("html IS NOT NULL"), "html", fields, list_rule.lstrip("+-"), keep=["book", "url", "path"])
@@ -251,7 +271,7 @@ def chapter_content(start: DataFrame, pages: DataFrame, rules: Mapping[str, str]
     title comes from the first page, or from the column that `title` names."""
     order = start.select("book", "url", F.lit("").alias("path"))
     if rules.get("nextContentUrl"):
-        order = frontier(start, next_links(pages, rules["nextContentUrl"]), most)
+        order = frontier(start, lambda wanted: next_links(wanted.join(pages, "url"), rules["nextContentUrl"]), most)
     fields = {"content": rules["content"]} | ({"title": rules["title"]} if rules.get("title") else {}) | ({"sub": rules["subContent"]} if rules.get("subContent") else {})
     rows = extract(fetch(order, pages).where("html IS NOT NULL"), "html", fields, keep=["book", "path"])
     part = F.struct("path", "content", (F.col("title") if "title" in fields else F.lit(None).cast("string")).alias("title"), (F.col("sub") if "sub" in fields else F.lit("")).alias("sub"))

@@ -94,16 +94,25 @@ def join_candidates(hits: DataFrame, books: DataFrame) -> DataFrame:
 
 def candidate_summary(hits: DataFrame, books: DataFrame) -> DataFrame:
     """(book, score, n, source, url, arrival) for each wanted book (book, name, author) that any hit fits: its best score, how
-    many hits have it, and the first of them to arrive. Hits and books are reduced to distinct (name, author) before they
-    meet, so a name that very many of both have is no product of the two."""
+    many hits have it, and the first of them to arrive.
+
+    That a hit's author contains the wanted one is an equality of one of its substrings: distinct (name, author) of the
+    hits are taken apart into the substrings as long as some wanted author of that name, and what these hold is added up for
+    each before it meets the books. So a name that very many hits and books share is no product of the two."""
     first = F.struct("arrival", "source", "url")
-    offers = hits.where(F.trim(F.coalesce("url", F.lit(""))) != "").groupBy(match_name("name").alias("_hit"), match_name("author").alias("_hit_author")).agg(F.count("*").alias("n"), F.min(first).alias("first"))
+    offers = hits.where(F.trim(F.coalesce(F.col("url"), F.lit(""))) != "").groupBy(match_name("name").alias("_name"), match_name("author").alias("_hit_author")).agg(F.count("*").alias("n"), F.min(first).alias("first"))
     wanted = books.select("book", match_name("name").alias("_name"), match_name("author").alias("_author")).where("_name <> ''")
-    pairs = wanted.select("_name", "_author").distinct().join(offers, F.col("_name") == F.col("_hit"))
-    pairs = pairs.withColumn("score", F.when((F.col("_author") != "") & F.col("_hit_author").contains(F.col("_author")), 3).otherwise(2))
-    scored = pairs.groupBy("_name", "_author", "score").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    best = scored.groupBy("_name", "_author").agg(F.max_by(F.struct("score", "n", "first"), "score").alias("b"))
-    return wanted.join(best, ["_name", "_author"]).select("book", "b.score", "b.n", "b.first.source", "b.first.url", "b.first.arrival")
+    distinct = wanted.select("_name", "_author").distinct()
+    any_author = offers.groupBy("_name").agg(F.sum("n").alias("n"), F.min("first").alias("first")).withColumn("score", F.lit(2))
+    named = distinct.where("_author <> ''")
+    lengths = named.groupBy("_name").agg(F.collect_set(F.char_length("_author")).alias("_lengths"))  # as many as the longest author is long, at most
+    size = F.char_length("_hit_author")
+    starts = lambda n: F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
+    parts = F.array_distinct(F.flatten(F.transform(F.filter("_lengths", lambda n: n <= size), lambda n: F.transform(starts(n), lambda at: F.substring(F.col("_hit_author"), at, n)))))
+    held = offers.where(size > 0).join(lengths, "_name").select("_name", F.explode(parts).alias("_author"), "n", "first")
+    containing = held.join(named, ["_name", "_author"], "left_semi").groupBy("_name", "_author").agg(F.sum("n").alias("n"), F.min("first").alias("first")).withColumn("score", F.lit(3))
+    best = wanted.join(any_author.select("_name", F.struct("score", "n", "first").alias("any")), "_name").join(containing.select("_name", "_author", F.struct("score", "n", "first").alias("own")), ["_name", "_author"], "left")
+    return best.select("book", F.coalesce("own", "any").alias("b")).select("book", "b.score", "b.n", "b.first.source", "b.first.url", "b.first.arrival")
 
 
 def mark_on_shelf(results: DataFrame, shelf: DataFrame, id_col: str = "book") -> DataFrame:
@@ -160,17 +169,53 @@ def visible(results: DataFrame, group: str | None = None, text: str = "") -> Dat
     return rows.where(F.lower(F.coalesce("source", F.lit(""))).contains(text) | F.lower(F.coalesce("name", F.lit(""))).contains(text)) if text else rows
 
 
-def explore_entries(c: Column) -> Column:
-    """Discovery entries of a source: lines or && between title::url entries, or JSON objects with title and url."""
-    text = F.trim(F.coalesce(c, F.lit("")))
-    entry = "array<struct<title: string, url: string, type: string, action: string>>"
-    made = F.transform(
-        F.filter(F.split(text, r"\n|&&"), lambda x: F.trim(x) != ""),
-        lambda x: F.struct(
-            F.trim(F.substring_index(x, "::", 1)).alias("title"),
-            F.when(F.instr(x, "::") > 0, F.trim(F.regexp_replace(x, r"^.*?::", ""))).alias("url"),
-            F.lit(None).cast("string").alias("type"),
-            F.lit(None).cast("string").alias("action"),
-        ),
-    )
-    return F.when(text.startswith("["), F.from_json(text, entry)).otherwise(made.cast(entry))
+#: What begins a line that is a link without a title (fixed values).
+BARE_LINK = r"^(https?://|/|data:|@js:|<js>)"
+#: The names by which an entry's fields go, the first that is there (fixed values).
+ENTRY_NAMES = {"title": ("title", "name", "text", "label"), "url": ("url", "exploreUrl"), "type": ("type", "inputType"), "action": ("action", "onClick", "callback"), "key": ("key", "paramKey", "infoKey"), "chars": ("chars", "options", "values")}
+
+
+def explore_entries(sources: DataFrame, id_col: str, col: str = "exploreUrl") -> DataFrame:
+    """(id_col, index, title, url, type, action, key, chars, default, value, viewName, style): the discovery entries of sources,
+    a row each, numbered from 1 in each source.
+
+    A definition is an array of entries, an object that is one entry, an object whose members are entries titled by their
+    keys (in the order of keys), or lines, && counting as a line end. An entry is text (title::url, a bare link, or a title
+    alone) or an object with its fields under any of ENTRY_NAMES. Entries without title and url are left out, and so are
+    truth values and nulls. key is the title if blank; type is in lower case, by default "button" with an action and no
+    url, else "url"; chars is an array, of a text the parts between commas, bars and line ends; style is compact JSON of its
+    plain members. Definitions that are blank or null have no rows. Nothing has a schema: what is there decides."""
+    spark = sources.sparkSession
+    given = sources.select(F.col(id_col).alias("_id"), F.trim(F.regexp_replace(F.coalesce(F.col(col), F.lit("")), r"^\s+|\s+$", "")).alias("_t"))
+    given = given.where("_t <> ''").withColumn("_v", F.when(F.col("_t").rlike(r"^[\[{]"), F.try_parse_json("_t")))
+    shape = F.schema_of_variant("_v")
+    known = F.coalesce(*[F.try_variant_get("_v", f"$.{k}", "variant") for k in ("title", "name", "url", "action", "type")])
+    single = given.where(shape.startswith("OBJECT") & known.isNotNull() & (F.schema_of_variant(known) != "VOID")).select("_id", F.lit(0).alias("_pos"), F.lit(None).cast("string").alias("_key"), F.col("_v").alias("_e"))
+    several = given.where(F.col("_v").isNotNull() & ~(shape.startswith("OBJECT") & known.isNotNull() & (F.schema_of_variant(known) != "VOID"))).select("_id", "_v")
+    members = several.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select("_id", F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_e"))
+    lines = given.where(F.col("_v").isNull()).select("_id", F.posexplode(F.split(F.regexp_replace("_t", r"\s*&&\s*", "\n"), r"\r\n?|\n")).alias("_pos", "_line"))
+    rows = single.unionByName(members).withColumn("_line", F.lit(None).cast("string")).unionByName(lines, allowMissingColumns=True)
+
+    kind = F.coalesce(F.schema_of_variant("_e"), F.lit(""))
+    scalar = ~kind.rlike("^(OBJECT|ARRAY|VOID|BOOLEAN)") & (kind != "")
+    text = F.trim(F.regexp_replace(F.coalesce("_line", F.when(scalar, F.col("_e").cast("string")), F.lit("")), r"^\s+|\s+$", ""))
+    composite = kind.rlike("^(OBJECT|ARRAY)")
+    member = lambda name: F.try_variant_get("_e", f"$.{name}", "variant")
+    plain = lambda v: F.when(~F.coalesce(F.schema_of_variant(v), F.lit("VOID")).rlike("^(OBJECT|ARRAY|VOID)"), v.cast("string"))
+    field = lambda name: F.coalesce(*[plain(member(n)) for n in ENTRY_NAMES[name]])
+    trimmed = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    parted = F.instr(text, "::") > 0
+    title = F.when(composite, trimmed(F.coalesce(field("title"), F.col("_key"), plain(member("viewName"))))).when(parted, trimmed(F.substring_index(text, "::", 1))).otherwise(text)
+    url = F.when(composite, trimmed(field("url"))).when(parted, trimmed(F.regexp_replace(text, r"(?s)^.*?::", ""))).when(text.rlike(BARE_LINK), text).otherwise("")
+    listed = F.coalesce(*[F.when(F.schema_of_variant(member(n)).startswith("ARRAY"), F.try_variant_get("_e", f"$.{n}", "array<string>")) for n in ENTRY_NAMES["chars"]], F.split(field("chars"), r"[,|\n]"))
+    chars = F.filter(F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda x: trimmed(x)), lambda x: x != "")
+    style = F.when(F.schema_of_variant(member("style")).startswith("OBJECT"), F.map_filter(F.try_variant_get("_e", "$.style", "map<string,variant>"), lambda k, v: ~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY|VOID)")))
+    own = rows.select(
+        "_id", "_pos", title.alias("title"), url.alias("url"), F.lower(trimmed(F.when(composite, field("type")))).alias("_type"), F.coalesce(F.when(composite, field("action")), F.lit("")).alias("action"), F.when(composite, field("key")).alias("_key"),
+        F.when(composite, chars).alias("chars"), F.when(composite, plain(member("default"))).alias("default"), F.when(composite, plain(member("value"))).alias("value"), F.when(composite, plain(member("viewName"))).alias("viewName"), F.to_json(style).alias("style"),
+    ).where("title <> '' OR url <> ''")
+    button = (F.trim("action") != "") & (F.col("url") == "")
+    return own.select(
+        F.col("_id").alias(id_col), F.row_number().over(Window.partitionBy("_id").orderBy("_pos")).alias("index"), "title", "url", F.when(F.col("_type") != "", F.col("_type")).when(button, "button").otherwise("url").alias("type"), "action",
+        F.when(trimmed(F.col("_key")) != "", F.col("_key")).otherwise(F.col("title")).alias("key"), F.coalesce("chars", F.array().cast("array<string>")).alias("chars"), "default", "value", "viewName", "style",
+    )

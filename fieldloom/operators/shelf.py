@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_title, epoch_seconds, history_key
+from ..functions.text import MODULUS, SEED, canonical_title, epoch_seconds, factor_power, folded, history_key
 from .staging import kept
 
 #: What a replaced shelf entry keeps of the old one (fixed values).
@@ -100,21 +100,28 @@ def find_shelf(books: DataFrame, shelf: DataFrame, id_col: str = "book") -> Data
 
     books and shelf have id, bookUrl, name, author, origin; shelf has pos. The first tier with a match wins, and in it the
     first entry; in the last one several matches are ambiguous and pos is null. Blank authors agree with any; a book
-    without origin accepts any in tier 3. Each tier is an equi-join of what is distinct on either side, so many books or
-    entries with one name meet once."""
+    without origin accepts any in tier 3. No tier compares entries with books: the entries that agree with an author are
+    those with the same one and those with none, two groups apart, so each is an equi-join with one row for each group,
+    and first places and counts come from both."""
     b = books.select(F.col(id_col).alias("book"), *[_text(c).alias(f"b_{c}") for c in ("id", "bookUrl", "name", "author", "origin")])
     s = shelf.select("pos", *[_text(c).alias(f"s_{c}") for c in ("id", "bookUrl", "name", "author", "origin")])
 
-    def tier(n: int, on: tuple[str, ...], more: Column | None = None) -> DataFrame:
-        mine, theirs = [f"b_{c}" for c in on], [f"s_{c}" for c in on]
-        entries = s.where(F.col(theirs[0]) != BLANK).groupBy(*theirs).agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
-        same = F.col(mine[0]) == F.col(theirs[0])
-        hits = b.select(*mine).distinct().join(entries, same if more is None else same & more).groupBy(*mine).agg(F.min("pos").alias("pos"), F.sum("n").alias("n"))
-        return b.join(hits, mine).select("book", F.lit(n).alias("tier"), "pos", "n")
-
-    author = (F.col("b_author") == BLANK) | (F.col("s_author") == BLANK) | (F.col("b_author") == F.col("s_author"))
-    origin = (F.col("b_origin") == BLANK) | (F.col("b_origin") == F.col("s_origin"))
-    found = tier(1, ("id",)).unionByName(tier(2, ("bookUrl",))).unionByName(tier(3, ("name", "author", "origin"), author & origin)).unionByName(tier(4, ("name", "author"), author))
+    def met(wanted: DataFrame, on: tuple[str, ...], blank: bool = False) -> DataFrame:
+        """book, pos and n for the entries that agree in all of `on`; blank: and have no author."""
+        entries = s.where(F.col(f"s_{on[0]}") != BLANK).where((F.col("s_author") == BLANK) if blank else F.lit(True))
+        groups = entries.groupBy(*[F.col(f"s_{c}").alias(f"b_{c}") for c in on]).agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
+        return wanted.join(groups, [f"b_{c}" for c in on]).select("book", "pos", "n")
+
+    def tier(n: int, parts: list[DataFrame]) -> DataFrame:
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.unionByName(part)
+        return found.groupBy("book").agg(F.min("pos").alias("pos"), F.sum("n").alias("n")).withColumn("tier", F.lit(n))
+
+    named, anonymous = b.where(F.col("b_author") != BLANK), b.where(F.col("b_author") == BLANK)
+    by_name = lambda some, *more: [met(some(named), ("name", "author", *more)), met(some(named), ("name", *more), blank=True), met(some(anonymous), ("name", *more))]
+    placed, free = (lambda x: x.where(F.col("b_origin") != BLANK)), (lambda x: x.where(F.col("b_origin") == BLANK))
+    found = tier(1, [met(b, ("id",))]).unionByName(tier(2, [met(b, ("bookUrl",))])).unionByName(tier(3, by_name(placed, "origin") + by_name(free))).unionByName(tier(4, by_name(lambda x: x)))
     best = found.groupBy("book").agg(F.min(F.struct("tier", "pos", "n")).alias("m"))
     ambiguous = (F.col("m.tier") == 4) & (F.col("m.n") > 1)
     return best.select("book", F.when(~ambiguous, F.col("m.pos")).alias("pos"), F.col("m.tier").alias("tier"), ambiguous.alias("ambiguous"))
@@ -238,3 +245,29 @@ def commit_source(shelf: DataFrame, hits: DataFrame, progress: DataFrame, chapte
     new = {"durChapterIndex": F.col("_place") - 1, "durChapterTitle": F.element_at("_names", F.col("_place").cast(dict(chapters.dtypes)["index"])), "totalChapterNum": F.col("_chapters")}
     rows = rows.withColumns({c: F.when(changed, v.cast(shelf.schema[c].dataType)).otherwise(F.col(c)) for c, v in new.items() if c in shelf.columns} | {"changed": changed})
     return rows.drop("_place", "_chapters", "_names")
+
+
+#: Chapters that are hashed together.
+RANGE = 1000
+
+
+def session_ids(books: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(book, session): a number that changes when a book's list does. books has book, key, sourceUrl and sourceName; chapters
+    has book, index (from 1), name, url and vip.
+
+    Each row is a map of the hash so far (see folded()), and maps are put together as sums: a row's share is its own part
+    times FACTOR to the number of values behind it. That number is counted within ranges of RANGE chapters, whose maps are
+    then put together in the same way, so neither a list nor a book's rows are ever gathered. A null text counts as empty."""
+    rows = chapters.select("book", "index", F.floor((F.col("index") - 1) / RANGE).alias("part"), *[c.alias(n) for c, n in zip(folded([F.col("index").cast("string"), F.col("name"), F.col("url"), F.when(F.col("vip"), "1").otherwise("0")]), "cn")])
+    sizes = chapters.groupBy("book").agg(F.count("*").alias("chapters"))
+    heads = books.join(sizes, "book", "left").select("book", F.lit(-1).cast("long").alias("part"), *[c.alias(n) for c, n in zip(folded([F.col("key"), F.col("sourceUrl"), F.col("sourceName"), F.coalesce("chapters", F.lit(0)).cast("string")]), "cn")])
+
+    def behind(frame: DataFrame, by: list[str], order: str) -> DataFrame:
+        """c of each row as it counts in the end of its group."""
+        later = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return frame.withColumn("c", F.col("c") * factor_power(later) % MODULUS)
+
+    parts = behind(rows, ["book", "part"], "index").groupBy("book", "part").agg((F.sum("c") % MODULUS).alias("c"), F.sum("n").alias("n"))
+    every = parts.join(books.select("book"), "book", "left_semi").unionByName(heads)
+    total = behind(every, ["book"], "part").groupBy("book").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    return total.select("book", ((F.col("c") + F.lit(SEED) * factor_power(F.col("n"))) % MODULUS).alias("session"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from typing import Any
 
 import pandas as pd
@@ -183,16 +183,21 @@ def rule_elements(df: DataFrame, col: str, rule: str, *, ctx=None, dialect: str
 ROWS = "array<struct<ordinal: int, fields: array<string>, errors: array<string>>>"
 
 
-def extracted(e: Evaluator, text: str, fields: Mapping[str, str], list_rule: str | None, context: Context, on_error: str) -> list[dict]:
-    """The rows of one document: values of the fields in order, for the document or for each element of the list rule."""
+def extracted(e: Evaluator, text: str, fields: Mapping[str, str], list_rule: str | None, context: Context, on_error: str, optional: Collection[str] | None = None) -> list[dict]:
+    """The rows of one document: values of the fields in order, for the document or for each element of the list rule. Of the
+    optional fields one that fails isn't tried again in the document: it is null from there on, and its error is in the row
+    where it failed."""
     base = child_context(context)
     document = Content(text)
     items = [document] if list_rule is None else e.elements(document, list_rule, base)
-    out = []
+    out, stopped = [], set()
     for i, item in enumerate(items):
         own, values, errors = child_context(base), [], []
         held = item if isinstance(item, Content) else Content(item)
         for name, rule in fields.items():
+            if name in stopped:
+                values.append(None)
+                continue
             try:
                 values.append(e.field(item, rule, own) if isinstance(item, list) else e.parse_text(held, rule, own))
             except RuleError as err:
@@ -200,15 +205,18 @@ def extracted(e: Evaluator, text: str, fields: Mapping[str, str], list_rule: str
                     raise
                 values.append(None)
                 errors.append(f"{name}: {err}")
+                if optional is not None and name in optional:
+                    stopped.add(name)
         out.append({"ordinal": i, "fields": values, "errors": errors})
     return out
 
 
-def extract(df: DataFrame, col: str, fields: Mapping[str, str], list_rule: str | None = None, *, ctx: Mapping | None = None, keep: list[str] | None = None, dialect: str = "full", on_error: str = "raise") -> DataFrame:
+def extract(df: DataFrame, col: str, fields: Mapping[str, str], list_rule: str | None = None, *, ctx: Mapping | None = None, keep: list[str] | None = None, dialect: str = "full", on_error: str = "raise", optional: Collection[str] | None = None) -> DataFrame:
     """Columns keep (default: all of df), then a string column for each field; with list_rule a row for each element, and its ordinal.
 
     One pass parses each document once for all fields. Fields are evaluated in order, so a variable that one puts is there
-    for those after it. on_error: "raise"; "null" makes a failed field null; "column" adds the messages in `errors`."""
+    for those after it. on_error: "raise"; "null" makes a failed field null; "column" adds the messages in `errors`. A field
+    in `optional` that fails isn't tried again in the rest of its document."""
     context = _context(ctx)
     keep = df.columns if keep is None else keep
 
@@ -216,7 +224,7 @@ def extract(df: DataFrame, col: str, fields: Mapping[str, str], list_rule: str |
 
     @F.pandas_udf(ROWS)
     def evaluate(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: extracted(e, text, fields, list_rule, context, on_error))
+        return texts.map(lambda text: extracted(e, text, fields, list_rule, context, on_error, optional))
 
     made = df.select(*[F.col(f"`{k}`") for k in keep], F.explode(evaluate(F.coalesce(F.col(col), F.lit("")))).alias("_row"))
     columns = [F.col("_row.fields")[i].alias(n) for i, n in enumerate(fields)]

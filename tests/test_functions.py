@@ -42,12 +42,19 @@ def test_byte_cuts(spark):
             assert one(spark, text.truncate_bytes_column(F.lit(sample), limit)) == wanted == text.truncate_bytes(sample, limit)
 
 
-def test_list_hash(spark):
-    number = lambda titles, addresses: one(spark, text.list_hash(F.array(*map(F.lit, titles)), F.array(*map(F.lit, addresses))))
-    h = 5381
-    for byte in "a\n/1\nb\n/é".encode():
-        h = (h * 33 + byte) % (2**31 - 1)
-    assert number(["a", "b"], ["/1", "/é"]) == h != number(["b", "a"], ["/é", "/1"])
+def test_factor_powers(spark):
+    numbers = [0, 1, 2, 3, 31, 32, 33, 10**6, 2**40 + 12345]
+    for n in numbers:
+        assert one(spark, text.factor_power(F.lit(n).cast("long"))) == pow(33, n, 2**31 - 1)
+
+
+def test_folded_texts(spark):
+    h = 0
+    for sample in ("a", "", "/é中"):
+        for value in (len(sample.encode()), *sample.encode(), 0):
+            h = (h * 33 + value) % (2**31 - 1)
+    c, n = text.folded([F.lit("a"), F.lit(None).cast("string"), F.lit("/é中")])
+    assert one(spark, c) == h and one(spark, n) == 13
 
 
 def test_keys(spark):
