@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import content, rules, text, urls
-from .operators import crawl, nodes, search, shelf
+from .operators import chains, crawl, json_tree, nodes, search, shelf
 from .operators.staging import kept
 from .plans.columns import apply_text_rule, extract, rule_elements, rule_list, rule_text
 from .sources import backup, books
@@ -68,6 +68,17 @@ def css_title_text(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", rule_text("html", "@css:head > title@text").alias("value"))
 
 
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' nodes, written once and read by each part of a selector or path."""
+    return kept(nodes.shred_html(t(spark, d, "pages"), "page_id", "html"), "nodes")
+
+
+def _by_tree(spark: SparkSession, d: str, rules: dict[str, str]) -> DataFrame:
+    """The values of several rules for each page, with bars between, by joins over the pages' nodes."""
+    found = chains.rules_values(_tree(spark, d), rules).withColumnRenamed("doc_id", "page_id")
+    return t(spark, d, "pages").select("page_id").join(found, "page_id", "left").select("page_id", *[F.coalesce(F.array_join(name, "|"), F.lit("")).alias(name) for name in rules])
+
+
 HOST = "regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)"
 
 
@@ -79,17 +90,17 @@ def css_a_href(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT page_id, regexp_extract(html, '<div class=\"([^\"]*)\"', 1) AS value FROM pages")
 def css_attr_class(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "pages").select("page_id", rule_text("html", "div[class]@class").alias("value"))
+    return _by_tree(spark, d, {"value": "@css:div[class]:first@class"})
 
 
 @query(f"SELECT page_id, array_to_string({HREFS}, '|') AS value FROM pages")
 def css_descendant_nav_links(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "pages").select("page_id", F.array_join(rule_list("html", "@css:nav a[href^='/']@href"), "|").alias("value"))
+    return _by_tree(spark, d, {"value": "@css:nav a[href^='/']@href"})
 
 
 @query(f"SELECT page_id, {decoded("array_to_string(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1), '|')")} AS value FROM pages")
 def css_child_li_a(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "pages").select("page_id", F.array_join(rule_list("html", "@css:ul > li > a@text"), "|").alias("value"))
+    return _by_tree(spark, d, {"value": "@css:ul > li > a@text"})
 
 
 @query(f"SELECT page_id, {H1} AS h1, {TITLE} AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, {HREFS}[1] AS first_link FROM pages")
@@ -100,7 +111,8 @@ def fused_extract(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS ordinal, l[i] AS href FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM {LINKS})")
 def list_rule_rows(spark: SparkSession, d: str) -> DataFrame:
-    return extract(t(spark, d, "pages"), "html", {"href": "href"}, "nav@li@a", keep=["page_id"])
+    n = _tree(spark, d)
+    return chains.read(n, chains.chain(n, ["nav", "li", "a"]), "href").select(F.col("doc_id").alias("page_id"), F.col("place").alias("ordinal"), F.col("value").alias("href"))
 
 
 def _joined(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -111,17 +123,30 @@ def _joined(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 @query(f"SELECT page_id, l[1] AS first, l[-1] AS last, array_to_string(l[1:3], '|') AS range, array_to_string(l[2:], '|') AS excluded, array_to_string(list_reverse(l), '|') AS reversed FROM {LINKS}")
 def index_suffixes(spark: SparkSession, d: str) -> DataFrame:
-    return _joined(t(spark, d, "pages"), {"first": "tag.a.0@href", "last": "tag.a.-1@href", "range": "a[0:2]@href", "excluded": "tag.a!0@href", "reversed": "-@css:a@href"})
+    return _by_tree(spark, d, {"first": "tag.a.0@href", "last": "tag.a.-1@href", "range": "nav@a[0:2]@href", "excluded": "tag.a!0@href", "reversed": "-@css:a@href"})
 
 
 @query(f"SELECT page_id, array_to_string(list_reverse(l)[1:2], '|') AS back, array_to_string([l[i] FOR i IN range(1, len(l) + 1, 2)], '|') AS even FROM {LINKS}")
 def index_steps(spark: SparkSession, d: str) -> DataFrame:
-    return _joined(t(spark, d, "pages"), {"back": "a[-1:-2]@href", "even": "@css:a:even@href"})
+    return _by_tree(spark, d, {"back": "a[-1:-2]@href", "even": "@css:a:even@href"})
 
 
 @query(f"SELECT page_id, array_to_string({HREFS}, '|') AS hrefs, {H1} AS h1, l[2] AS second FROM {LINKS}")
 def xpath_rules(spark: SparkSession, d: str) -> DataFrame:
-    return _joined(t(spark, d, "pages"), {"hrefs": "//nav//li/a/@href", "h1": "//article/h1/text()", "second": "//li[2]/a/@href"})
+    return _by_tree(spark, d, {"hrefs": "//nav//li/a/@href", "h1": "//article/h1/text()", "second": "//li[2]/a/@href"})
+
+
+@query(f"""
+SELECT page_id, l[-1] AS last, 'nav'::VARCHAR AS up, array_to_string([x FOR x IN l IF contains(x, 'th')], '|') AS holding, array_to_string([x FOR x IN l IF NOT starts_with(x, '/t')], '|') AS others,
+       array_to_string(l, '|') || '|' || {TITLE} AS "both", len(l)::VARCHAR AS items, array_to_string(l[:2], '|') AS firsts, coalesce(l[-2], '') AS before_last FROM {LINKS}
+""")
+def xpath_predicates(spark: SparkSession, d: str) -> DataFrame:
+    """Places, conditions on attributes and on paths, parents, and unions of paths."""
+    found = _by_tree(spark, d, {
+        "last": "//li[last()]/a/@href", "up": "//nav//li[1]/../..", "holding": "//a[contains(@href, 'th')]/@href", "others": "//li[not(starts-with(a/@href, '/t'))]/a/@href", "both": "//nav//a/@href | //head/title",
+        "items": "//ul[count(li) > 0]/li", "firsts": "//li[position() <= 2 and a]/a/@href", "before_last": "//li[last() - 1]/a/@href",
+    })
+    return found.withColumns({"up": F.when(F.col("up") != "", "nav"), "items": F.size(F.split("items", r"\|")).cast("string")})
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<li>'))::BIGINT AS li, len(regexp_extract_all(html, '<div class=\"ad\"'))::BIGINT AS ads FROM pages")
@@ -132,19 +157,19 @@ def node_table_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT page_id, len({HREFS})::BIGINT AS n FROM pages")
 def node_table_has(spark: SparkSession, d: str) -> DataFrame:
-    n = kept(nodes.shred_html(t(spark, d, "pages"), "page_id", "html"), "nodes")  # read by each of the selector's parts
+    n = _tree(spark, d)
     return nodes.select_nodes(n, "nav li:has(a[href])").groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT page_id, (len({HREFS}) - 1)::BIGINT AS n FROM pages WHERE len({HREFS}) > 1")
 def node_table_siblings_not(spark: SparkSession, d: str) -> DataFrame:
-    n = kept(nodes.shred_html(t(spark, d, "pages"), "page_id", "html"), "nodes")
+    n = _tree(spark, d)
     return nodes.select_nodes(n, "li + li:not(:first-child)").groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT page_id, l[1] AS href FROM {LINKS} WHERE len(l) > 0")
 def node_table_position(spark: SparkSession, d: str) -> DataFrame:
-    n = kept(nodes.shred_html(t(spark, d, "pages"), "page_id", "html"), "nodes")
+    n = _tree(spark, d)
     return nodes.pick_position(nodes.select_nodes(n, "nav a"), "first").select(F.col("doc_id").alias("page_id"), F.element_at("attrs", "href").alias("href"))
 
 
@@ -223,13 +248,15 @@ _EVENT_PAGES = "(SELECT event_id // 50 AS page, list(event_id ORDER BY event_id)
 
 @query("SELECT event_id // 50 AS page, string_agg(event_id::VARCHAR, '|' ORDER BY event_id) AS value FROM events WHERE value > 50 AND event_type = 'click' GROUP BY 1")
 def json_filter(spark: SparkSession, d: str) -> DataFrame:
-    return _event_documents(spark, d).select("page", F.array_join(rule_list("j", "$.items[?(@.value > 50 && @.event_type == 'click')].event_id"), "|").alias("value")).where("value <> ''")
+    n = json_tree.shred_json(_event_documents(spark, d), "page", "j")
+    found = json_tree.json_values(n, {"value": "$.items[?(@.value > 50 && @.event_type == 'click')].event_id"})
+    return found.select(F.col("doc_id").alias("page"), F.array_join("value", "|").alias("value"))
 
 
 @query("SELECT event_id // 50 AS page, min(event_id) AS first, count(*) AS n FROM events GROUP BY 1")
 def json_elements(spark: SparkSession, d: str) -> DataFrame:
-    rows = rule_elements(_event_documents(spark, d), "j", "$.items[*]")
-    return rows.groupBy("page").agg(F.min(F.get_json_object("element", "$.event_id").cast("bigint")).alias("first"), F.count("*").alias("n"))
+    rows = json_tree.json_rows(json_tree.shred_json(_event_documents(spark, d), "page", "j"), "$.items[*]")
+    return rows.groupBy(F.col("doc_id").alias("page")).agg(F.min(F.get_json_object("value", "$.event_id").cast("bigint")).alias("first"), F.count("*").alias("n"))
 
 
 @query(f"""
@@ -239,14 +266,14 @@ SELECT page, array_to_string(l[3:6], '|') AS "between", array_to_string(l[-2:],
 def json_slices(spark: SparkSession, d: str) -> DataFrame:
     """Ends belong to a slice, and ends beyond the list move to it."""
     slices = {"between": "2:5", "last": "-2:", "clamped": "0:-99", "steps": "0:10:5", "back": "-1:-3:-1", "both": "0,-1", "beyond": "99:200"}
-    found = extract(_event_documents(spark, d), "j", {n: f"$.items[{x}].event_id" for n, x in slices.items()}, keep=["page"])
-    return found.select("page", *[F.replace(n, F.lit("\n"), F.lit("|")).alias(n) for n in slices if n != "beyond"], F.col("beyond").cast("bigint").alias("beyond"))
+    found = json_tree.json_values(json_tree.shred_json(_event_documents(spark, d), "page", "j"), {n: f"$.items[{x}].event_id" for n, x in slices.items()})
+    return found.select(F.col("doc_id").alias("page"), *[F.coalesce(F.array_join(n, "|"), F.lit("")).alias(n) for n in slices if n != "beyond"], F.get("beyond", F.lit(0)).cast("bigint").alias("beyond"))
 
 
 @query(f"SELECT page, array_to_string(l, '|') AS deep, 3 * n AS leaves, '' AS missing FROM {_EVENT_PAGES}")
 def json_recursion(spark: SparkSession, d: str) -> DataFrame:
-    found = extract(_event_documents(spark, d), "j", {"deep": "$..event_id", "leaves": "$.items[*].*", "missing": "$.items[*].none.at"}, keep=["page"])
-    return found.select("page", F.replace("deep", F.lit("\n"), F.lit("|")).alias("deep"), F.size(F.split("leaves", "\n")).cast("bigint").alias("leaves"), "missing")
+    found = json_tree.json_values(json_tree.shred_json(_event_documents(spark, d), "page", "j"), {"deep": "$..event_id", "leaves": "$.items[*].*", "missing": "$.items[*].none.at"})
+    return found.select(F.col("doc_id").alias("page"), F.array_join("deep", "|").alias("deep"), F.size("leaves").cast("bigint").alias("leaves"), F.coalesce(F.array_join("missing", "|"), F.lit("")).alias("missing"))
 
 
 # ---- content
@@ -609,7 +636,7 @@ SELECT page_id, array_to_string([x FOR x IN l IF regexp_matches(x, '^/(t|a)')],
        array_to_string(l, '|') AS "group", CASE WHEN len(l) = 1 THEN l[1] ELSE '' END AS only, array_to_string([x FOR x IN l IF contains(x, 'an')], '|') AS text FROM {LINKS}
 """)
 def css_structure(spark: SparkSession, d: str) -> DataFrame:
-    return _joined(t(spark, d, "pages"), {
+    return _by_tree(spark, d, {
         "alternatives": "@css:nav a[href~=^/t|^/a]@href", "containing": "@css:nav a[href*='th']@href", "last": "@css:nav li:last-of-type > a@href", "before_last": "@css:nav li:nth-last-child(2) > a@href",
         "group": "@css:nav a:empty, nav li > a@href", "only": "@css:nav li:only-child > a@href", "text": "@css:nav a[href]:contains(an)@href",
     })
@@ -625,13 +652,15 @@ def element_markup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-SELECT page_id, CASE WHEN len(l) > 3 THEN l[4] ELSE l[1] END AS first_seen, l[1] || ' || ' || l[1] AS quoted, l[1] || '&&x' AS shielded FROM {LINKS}
+SELECT page_id, CASE WHEN len(l) > 3 THEN l[4] ELSE l[1] END AS first_seen, {TITLE} AS quoted, l[1] || '\\&&x' AS escaped, array_to_string(l, '|') AS bracketed, l[1] || '||' AS braced FROM {LINKS}
 """)
 def operator_shields(spark: SparkSession, d: str) -> DataFrame:
     """The operator that comes first decides; quotes, brackets and escapes hide operators."""
-    rules = {"first_seen": "tag.a.3@href || tag.a.0@href || @text:none", "quoted": "@css:nav a:first@href && @text: \\|| && @text:  && @css:nav a:first@href", "shielded": "@css:nav a:first@href && @text:\\&&x"}
-    found = extract(t(spark, d, "pages"), "html", rules, keep=["page_id"])
-    return found.withColumns({"quoted": F.regexp_replace("quoted", r" ?\\\|\| *", " || "), "shielded": F.replace("shielded", F.lit("\\"), F.lit(""))})
+    rules = {
+        "first_seen": "tag.a.3@href || tag.a.0@href || @text:none", "quoted": "@css:a[href='x||y']@href || @css:head > title@text", "escaped": "@css:nav a:first@href && @text:\\&&x",
+        "bracketed": "@css:nav a[href~=(/||%%)]@href", "braced": "@css:nav a:first@href && @text:{{'||'}}",
+    }
+    return _joined(t(spark, d, "pages"), rules)
 
 
 # ---- scalars of sources
@@ -777,14 +806,20 @@ def changed_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT s_name AS source, 'Book ' || s_suppkey AS name, 'https://x.example/b' || s_suppkey AS "bookUrl" FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 3 = 0
+SELECT s_name AS source, 'Book ' || s_suppkey || CASE i WHEN 0 THEN '' ELSE ' again' END AS name, 'https://x.example/b' || s_suppkey || CASE i WHEN 0 THEN '' ELSE '-2' END AS "bookUrl"
+FROM supplier, (VALUES (0), (1)) n(i) WHERE s_suppkey % 2 = 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0
 """)
 def search_pool(spark: SparkSession, d: str) -> DataFrame:
-    """A search of all sources that can be read by markup, over result pages that stand for what each has answered."""
-    rows = search.eligible(_sources(spark, d)).where("pos % 3 = 0")
-    answers = rows.select(F.concat(F.lit("https://x.example/s"), "pos", F.lit("?k=a%20b")).alias("url"), F.concat(F.lit("<ul><li><a href='/b"), "pos", F.lit("'>Book "), "pos", F.lit("</a></li></ul>")).alias("html"))
-    definitions = rows.select("bookSourceName", "searchUrl", F.lit('{"bookList":"@css:li","name":"@css:a@text","bookUrl":"@css:a@href"}').alias("rules"))
-    return crawl.search_all(definitions, answers, "a b").where("error IS NULL").select("source", "name", "bookUrl")
+    """A search of all sources that can be searched, over result pages that stand for what each has answered: markup read by
+    selectors or XPath, or JSON."""
+    rows = search.eligible(_sources(spark, d))
+    kind = F.col("pos") % 3
+    book = lambda head, tail, middle, after: F.concat(F.lit(head), "pos", F.lit(tail), F.lit(middle), "pos", F.lit(after))
+    markup = F.concat(F.lit("<ul>"), book("<li><a href='/b", "'>", "Book ", "</a></li>"), book("<li><a href='/b", "-2'>", "Book ", " again</a></li></ul>"))
+    listed = F.concat(F.lit('{"items":['), book('{"u":"/b', '",', '"n":"Book ', '"},'), book('{"u":"/b', '-2",', '"n":"Book ', ' again"}]}'))
+    answers = rows.select(F.concat(F.lit("https://x.example/s"), "pos", F.lit("?k=a%20b")).alias("url"), F.when(kind == 1, listed).otherwise(markup).alias("html"))
+    rules = F.when(kind == 0, '{"bookList":"@css:li","name":"@css:a@text","bookUrl":"@css:a@href"}').when(kind == 1, '{"bookList":"$.items[*]","name":"$.n","bookUrl":"$.u"}').otherwise('{"bookList":"@xpath://li","name":"a@text","bookUrl":"@xpath:a/@href"}')
+    return crawl.search_all(rows.select("bookSourceName", "searchUrl", rules.alias("rules")), answers, "a b").where("error IS NULL").select("source", "name", "bookUrl")
 
 
 @query(f"SELECT page_id::VARCHAR AS book, {H1} AS title, {HREFS}[1] AS toc, '<h1>' || {H1} || '</h1>' AS init FROM pages")
@@ -847,19 +882,18 @@ def script_variants(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", simple.alias("simple"), text.to_traditional(simple).alias("back"), text.bytes_at("c_name", 0).alias("first"), text.bytes_length("c_name").alias("bytes"), (F.get(values, F.lit(0)) + F.get(values, F.lit(1))).alias("two"))
 
 
-@query("SELECT s_suppkey AS pos, title, url FROM (SELECT s_suppkey, unnest([{'title': 'all', 'url': '/a' || s_suppkey}, {'title': s_name, 'url': '/b'}], recursive := true) FROM supplier)")
-def explore_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """Discovery entries, of every other source as lines, else as JSON."""
-    s = t(spark, d, "supplier")
-    lines = F.concat(F.lit("all::/a"), "s_suppkey", F.lit("\n"), "s_name", F.lit("::/b"))
-    listed = F.concat(F.lit('[{"title":"all","url":"/a'), "s_suppkey", F.lit('"},{"title":"'), "s_name", F.lit('","url":"/b"}]'))
-    rows = s.select(F.col("s_suppkey").alias("pos"), F.explode(search.explore_entries(F.when(F.col("s_suppkey") % 2 == 0, lines).otherwise(listed))).alias("e"))
-    return rows.select("pos", "e.title", "e.url")
+@query("""
+WITH n AS (SELECT o_custkey, o_orderstatus AS k, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT o_custkey AS pos, string_agg(k || '=' || n, ',' ORDER BY k) AS differs FROM n WHERE NOT (k IN ('F', 'O') AND n = 2) GROUP BY 1
+""")
+def compacted_variables(spark: SparkSession, d: str) -> DataFrame:
+    """Variables (a customer's orders by status) that differ from those of the source."""
+    counts = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("pos"), "o_orderstatus").agg(F.count("*").alias("n"))
+    rows = counts.groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("now"))
+    base = F.create_map(F.lit("F"), F.lit(2).cast("long"), F.lit("O"), F.lit(2).cast("long"), F.lit("X"), F.lit(0).cast("long"))
+    kept_ = rows.select("pos", shelf.compact_variables(F.col("now"), base).alias("v")).where(F.size("v") > 0)
+    listed = F.array_sort(F.transform(F.map_entries("v"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    return kept_.select("pos", F.array_join(listed, ",").alias("differs"))
 
 
-@query("SELECT s_suppkey AS pos, 0 AS differs FROM supplier WHERE s_suppkey % 2 = 1")
-def compacted_variables(spark: SparkSession, d: str) -> DataFrame:
-    """Variables that differ from the source's own."""
-    rows = t(spark, d, "supplier").select(F.col("s_suppkey").alias("pos"), F.create_map(F.lit("a"), F.lit(1), F.lit("b"), (F.col("s_suppkey") % 2).cast("int")).alias("now"), F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(0)).alias("base"))
-    kept_ = rows.select("pos", shelf.compact_variables(F.col("now"), F.col("base")).alias("v"))
-    return kept_.where(F.size("v") > 0).select("pos", F.size(F.map_filter("v", lambda k, v: k != "b")).alias("differs"))
+from . import catalog_io  # noqa: E402, F401 - more rows, which use the helpers above
