@@ -13,14 +13,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import pieces, small_batches
+from .shared import pieces, small_batches, stage
 
 UNKNOWN = "und"
 PAD = 256
-#: The sample: documents per language (by a hash of the id), windows of so many characters per document. It bounds what
+#: The sample: different texts per language (by a hash), windows of so many characters per document. It bounds what
 #: reaches the driver to languages * DOCS * WINDOWS * WINDOW_CHARS characters.
 DOCS, WINDOWS, WINDOW_CHARS = 800, 4, 160
 HIDDEN, STEPS, BATCH, SPAN, RATE, SEED = 8, 220, 320, 72, 0.03, 11
@@ -193,15 +193,22 @@ def classify(net: Network, texts: list[str | None]) -> tuple[list[str], list[flo
 
 
 def sample_windows(docs: DataFrame, held_out, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """Training windows of the documents that aren't held out, in a fixed order: DOCS documents a language, near enough, by a hash of the id."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    """Training windows of the documents that aren't held out, in a fixed order: WINDOWS of each of DOCS different texts a
+    language, or of all if there are fewer, those with the smallest hashes. Ids have no say in it, so repeated rows, equal ids
+    and missing ones neither fill nor empty the sample."""
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
+    texts = stage(rows.select("lang", "h").distinct(), "language-texts")
+    counts = {r.lang: r["count"] for r in texts.groupBy("lang").count().collect()}
     if not counts:
         return []
-    chance = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, DOCS / n))]), F.col("lang"))
-    draw = F.shiftrightunsigned(F.xxhash64("id", F.lit("sample")), 11) / F.lit(float(1 << 53))
-    windows = rows.where(draw < chance).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(WINDOWS - 1))))
-    start = F.pmod(F.xxhash64("id", "k"), F.greatest(F.lit(1), F.char_length("text") - WINDOW_CHARS + 1)).cast("int") + 1
+    # a few times as many draws as are wanted, of which the smallest count: nothing here grows with the corpus
+    chance = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * DOCS / n))]), F.col("lang"))
+    draw = F.shiftrightunsigned(F.xxhash64("h", F.lit("sample")), 11) / F.lit(float(1 << 53))
+    drawn = texts.withColumn("draw", draw).where(F.col("draw") < chance)
+    chosen = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "h"))).where(F.col("n") <= DOCS).select("lang", "h")
+    found = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    windows = found.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(WINDOWS - 1))))
+    start = F.pmod(F.xxhash64("h", "k"), F.greatest(F.lit(1), F.char_length("text") - WINDOW_CHARS + 1)).cast("int") + 1
     windows = windows.select("lang", F.substring(F.col("text"), start, F.lit(WINDOW_CHARS)).alias("text")).where(F.col("text").rlike(r"\p{L}"))
     return sorted((r.lang, r.text) for r in windows.collect())
 

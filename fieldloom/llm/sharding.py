@@ -1,7 +1,7 @@
 """Sharding by histogram sort.
 
-Rows are ordered by a key: a hash of the text, then a hash of the id, so equal texts stand together and a group too
-large for one shard can still be cut. Bytes below candidate boundaries are counted over all partitions; where no
+Rows are ordered by a key: a hash of the text, then one of the id, then one of the row's number in a written table. So equal
+texts stand together, and a group too large for one shard can still be cut, even where rows repeat an id too. Bytes below candidate boundaries are counted over all partitions; where no
 boundary is near enough to a wanted quantile, the cell that holds the quantile is divided further and counted again.
 When all splitters meet the tolerance, rows are exchanged once.
 """
@@ -18,6 +18,8 @@ from .shared import stage
 #: A key has two halves of HALF bits. The first round of counting looks at FIRST bits, each later one at MORE bits of the
 #: cells in which quantiles are still open: 2**MORE sums for each reach the driver.
 HALF, FIRST, MORE = 60, 12, 4
+#: Bits of the second half that the row's number decides; the ones before them are the id's.
+ROW_BITS = 24
 #: Rows in a range, roughly: a shard is made of ranges, so that no task numbers a whole shard. At least LEAST_RANGES to a shard.
 ROWS_PER_RANGE, LEAST_RANGES = 500_000, 8
 
@@ -86,13 +88,16 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.002, id_col: s
     size is the text's UTF-8 bytes plus 8 (null text: 8). Shards have near equal sums of sizes: off by `tolerance` of a
     shard or by one row at each end. Slots count from 0 in each shard without gaps. Equal texts are neighbours: their
     group is cut only where it reaches over the place of a wanted boundary by more than the tolerance on both sides, so a
-    group of less than twice the tolerance is never cut. Rows that repeat an id and a text can't be cut apart; null ids
-    are ordered like an id; no rows give no rows. Other columns are neither read nor returned.
+    group of less than twice the tolerance is never cut. Rows that repeat an id and a text are cut apart like others, by their
+    numbers; null ids are ordered like an id; no rows give no rows. Other columns are neither read nor returned.
     """
     spark = docs.sparkSession
     hashed = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - HALF)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = stage(docs.select(F.col(id_col).alias("_id"), hashed(text).alias("hi"), hashed(F.col(id_col)).alias("lo"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit(1).cast("long").alias("one")), "shard-keys")
+    # the numbers are those of one write: what is read back has them for good
+    of_row = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - ROW_BITS)
+    lo = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 64 - HALF + ROW_BITS), ROW_BITS) + of_row
+    rows = stage(docs.select(F.col(id_col).alias("_id"), hashed(text).alias("hi"), lo.alias("lo"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit(1).cast("long").alias("one")), "shard-keys")
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
     # shards by bytes; then, so that many small rows make no large task, ranges within them by rows
     step = (total or 0) / shards

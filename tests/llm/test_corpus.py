@@ -151,6 +151,16 @@ def test_shards_with_a_hot_group(spark):
     assert sorted((r.doc_id, r.shard, r.slot) for r in out) == sorted((r.doc_id, r.shard, r.slot) for r in again)
 
 
+def test_shards_of_repeated_rows(spark):
+    """Half the rows are one repeated id and text; or no row has an id; or all have the same: sizes stay near equal."""
+    rng = random.Random(5)
+    texts = ["the same text" * 8 if i % 2 else "x" * rng.randint(0, 120) for i in range(6000)]
+    for ids in ([7 if i % 2 else i for i in range(6000)], [None] * 6000, [3] * 6000):
+        out = sharding.shard(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(5), shards=24).collect()
+        assert {r.shard for r in out} == set(range(24)) and len(out) == 6000
+        check_shards(out, 24, lambda mean: 0.004 * mean + 2 * 128)
+
+
 def brute_targets(sizes, weights, wanted, cap):
     stopped = set()
     while True:
@@ -243,6 +253,24 @@ def test_language_id(spark, edge):
     assert language_id.identify(edge).count() == edge.count()
 
 
+@pytest.mark.parametrize("ids", ["none", "one", "repeated"])
+def test_language_whatever_the_ids(spark, monkeypatch, ids):
+    """All ids null, all equal, or rows that repeat: what is learned is as good, from a sample within its bound."""
+    monkeypatch.setattr(language_id, "DOCS", 60)
+    rng = random.Random(7)
+    words = {"en": "the and that with this from have".split(), "de": "über größe für schön und nicht".split()}
+    rows = [(" ".join(rng.choices(words[lang], k=rng.randint(5, 40))), lang) for lang in ("en", "de") for _ in range(600)]
+    rows = rows + rows[:1] * 3000 if ids == "repeated" else rows
+    number = {"none": None, "one": 10, "repeated": 10}[ids]
+    df = spark.createDataFrame([(number, *r) for r in rows], "doc_id long, text string, lang string").repartition(4)
+    windows = language_id.sample_windows(df, F.lit(False), "doc_id", "text", "lang")
+    counts = Counter(lang for lang, _ in windows)
+    assert set(counts) == {"en", "de"} and all(60 <= n <= 60 * language_id.WINDOWS for n in counts.values())
+    assert windows == language_id.sample_windows(df.repartition(7), F.lit(False), "doc_id", "text", "lang")
+    found = language_id.identify(df).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in found} == dict(Counter(lang for _, lang in rows))
+
+
 def test_language_without_labels(edge):
     """Nothing to learn from: every text with a letter stays."""
     rows = edge.withColumn("lang", F.lit(None).cast("string"))
