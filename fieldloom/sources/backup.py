@@ -239,16 +239,24 @@ def write_state_pieces(pieces: DataFrame, path: str, state_format: str = "import
     write_folder(pieces, path, "overwrite" if overwrite else "error", {"state_schema_version": STATE_VERSION, "format": state_format})
 
 
+#: Records in a piece of a member.
+PIECE_RECORDS = 1000
+
+
 def record_pieces(records: DataFrame, file: str, by: str | None = None) -> DataFrame:
-    """(file, pos, content): records (pos, record as JSON) as the text of one JSON array, a piece for each, in the order of pos;
-    without any an empty array. With `by` there is an array, and a file column of that value, for each of its values."""
+    """(file, pos, content): records (pos, record as JSON) as the text of one JSON array, in pieces of PIECE_RECORDS places, in the
+    order of pos; without any an empty array. With `by` there is an array, and a column of that name, for each of its values."""
     keys = [by] if by else []
+    part = F.floor(F.col("pos") / PIECE_RECORDS).alias("part")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "record"))), lambda r: r["record"])
+    parts = records.groupBy(*keys, part).agg(F.array_join(texts, ",").alias("text"))
     if by:
-        rows = records.join(records.groupBy(by).agg(F.min("pos").alias("_first")), by)
+        parts = parts.join(records.groupBy(by).agg(F.floor(F.min("pos") / PIECE_RECORDS).alias("_first")), by)
     else:
-        rows = records.withColumn("_first", F.lit(records.agg(F.min("pos")).first()[0]))
-    text = F.concat(F.when(F.col("pos") == F.col("_first"), "").otherwise(","), "record")
-    inner = rows.select(*keys, F.lit(file).alias("file"), F.col("pos").cast("long").alias("pos"), text.alias("content"))
+        first = records.agg(F.min("pos")).first()[0]
+        parts = parts.withColumn("_first", F.lit(None if first is None else first // PIECE_RECORDS).cast("long"))
+    comma = F.when(F.col("part") == F.col("_first"), "").otherwise(",")
+    inner = parts.select(*keys, F.lit(file).alias("file"), F.col("part").cast("long").alias("pos"), F.concat(comma, "text").alias("content"))
     ends = (records.select(by).distinct() if by else records.sparkSession.range(1)).withColumn("_e", F.explode(F.array(F.struct(F.lit(-(1 << 62)).alias("pos"), F.lit("[").alias("content")), F.struct(F.lit((1 << 62)).alias("pos"), F.lit("]\n").alias("content")))))
     return inner.unionByName(ends.select(*keys, F.lit(file).alias("file"), F.col("_e.pos").cast("long").alias("pos"), F.col("_e.content").alias("content")))
 

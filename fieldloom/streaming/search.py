@@ -8,6 +8,7 @@ What a search holds is dropped when nothing has come for it for a while.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Iterator
 
@@ -22,77 +23,63 @@ from ..operators.search import MOST_PER_SOURCE, MOST_RESULTS, search_rank
 #: The first value by arrival, whatever it is, or the first that isn't blank.
 FIRST, FILLED = ("name", "author"), ("kind", "intro", "lastChapter")
 FIELDS = FIRST + FILLED
-_BOOK = ", ".join(f"{f} string, {f}_at long" for f in FIELDS) + ", offers long, sources long, arrival long, version long"
 RESULT = "search string, generation long, book string, " + ", ".join(f"{f} string" for f in FIELDS) + ", offers long, sources long, arrival long, version long"
 _NAMES = [part.split()[0] for part in RESULT.split(", ")]
 
 
+def merged(book: dict, hit: dict) -> None:
+    """Takes a hit into a book: the values of its fields with their arrival, the URLs of each source, the first arrival."""
+    at = int(hit["arrival"])
+    for f in FIELDS:
+        value = hit[f] if isinstance(hit[f], str) else None
+        old = book["fields"].get(f)
+        if (f in FIRST or (value or "").strip()) and (old is None or (at, value or "") < (old[0], old[1] or "")):
+            book["fields"][f] = [at, value]
+    book["arrival"] = min(at, book.get("arrival", at))
+    urls = book["offers"].setdefault(hit["source"], [])
+    if (url := hit["url"] if isinstance(hit["url"], str) else "") not in urls:
+        urls.append(url)
+
+
 class MergeSearch(StatefulProcessor):
-    """State of a search: its generation, its books, and which offers and sources each book has."""
+    """State of a search: its generation and its books. It is one value, as a search holds no more than its sources' first hits, and
+    each batch reads and writes it once."""
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.generation = handle.getValueState("generation", "generation long")
-        self.books = handle.getMapState("books", "book string", _BOOK)
-        self.offers = handle.getMapState("offers", "book string, source string, url string", "seen boolean")
-        self.sources = handle.getMapState("sources", "book string, source string", "seen boolean")
-
-    def _clear(self) -> None:
-        for state in (self.books, self.offers, self.sources):
-            state.clear()
+        self.state = handle.getValueState("search", "generation long, books string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        current = self.generation.get()[0] if self.generation.exists() else None
-        changed: dict[str, dict] = {}
+        current, books = None, {}
+        if self.state.exists():
+            current, text = self.state.get()
+            books = json.loads(text)
+        changed: set[str] = set()
         for frame in rows:
             for hit in frame.sort_values("generation", kind="stable").to_dict("records"):
                 if current is not None and hit["generation"] < current:
                     continue  # an answer to what isn't asked any more
                 if current is None or hit["generation"] > current:
-                    current = int(hit["generation"])
-                    self.generation.update((current,))
-                    self._clear()
-                    changed.clear()
-                name = hit["book"]
-                if name not in changed:
-                    changed[name] = self._read(name)
-                self._merge(changed[name], hit)
-        for name, book in changed.items():
-            book["version"] += 1
-            self.books.updateValue((name,), tuple(book[c] for c in self._columns()))
+                    current, books, changed = int(hit["generation"]), {}, set()
+                merged(books.setdefault(hit["book"], {"fields": {}, "offers": {}, "version": 0}), hit)
+                changed.add(hit["book"])
+        for name in changed:
+            books[name]["version"] += 1
+        self.state.update((current, json.dumps(books)))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
         self.handle.registerTimer(int(time.time() * 1000) + self.keep_ms)
-        out = [(key[0], current, name, *(book[f] for f in FIELDS), book["offers"], book["sources"], book["arrival"], book["version"]) for name, book in changed.items()]
+        out = []
+        for name in sorted(changed):
+            book = books[name]
+            out.append((key[0], current, name, *((book["fields"].get(f) or [0, None])[1] for f in FIELDS), sum(map(len, book["offers"].values())), len(book["offers"]), book["arrival"], book["version"]))
         yield pd.DataFrame(out, columns=_NAMES).astype({c: "Int64" for c in ("generation", "offers", "sources", "arrival", "version")})
 
-    @staticmethod
-    def _columns() -> list[str]:
-        return [part.split()[0] for part in _BOOK.split(", ")]
-
-    def _read(self, name: str) -> dict:
-        if self.books.containsKey((name,)):
-            return dict(zip(self._columns(), self.books.getValue((name,))))
-        return dict.fromkeys(self._columns()) | {"offers": 0, "sources": 0, "version": 0}
-
-    def _merge(self, book: dict, hit: dict) -> None:
-        at = int(hit["arrival"])
-        for f in FIELDS:
-            value = hit[f] if isinstance(hit[f], str) else None
-            if (f in FIRST or (value or "").strip()) and (book[f"{f}_at"] is None or (at, value or "") < (book[f"{f}_at"], book[f] or "")):
-                book[f], book[f"{f}_at"] = value, at
-        book["arrival"] = at if book["arrival"] is None else min(at, book["arrival"])
-        for state, own, count in ((self.offers, (hit["book"], hit["source"], hit["url"] if isinstance(hit["url"], str) else ""), "offers"), (self.sources, (hit["book"], hit["source"]), "sources")):
-            if not state.containsKey(own):
-                state.updateValue(own, (True,))
-                book[count] += 1
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._clear()
-        self.generation.clear()
+        self.state.clear()
         yield pd.DataFrame([], columns=_NAMES)
 
     def close(self) -> None:
@@ -104,7 +91,7 @@ def merged_stream(hits: DataFrame, per_source: int = MOST_PER_SOURCE, keep_ms: i
     answer, from 0), arrival, name, author, url, kind, intro, lastChapter. Of a source's answer the first per_source hits
     count. For writeStream in update mode; the session needs the RocksDB state store."""
     if "RocksDB" not in hits.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass"):
-        raise ValueError("set spark.sql.streaming.stateStore.providerClass to the RocksDB provider: the state is made of maps")
+        raise ValueError("set spark.sql.streaming.stateStore.providerClass to the RocksDB provider, which state of this kind needs")
     rows = hits.where(F.col("place") < per_source).withColumn("book", search_key("name", "author", "url")).where("book <> ''")
     rows = rows.select("search", "generation", "book", "source", "url", "arrival", *FIELDS)
     return rows.groupBy("search").transformWithStateInPandas(MergeSearch(keep_ms), RESULT, "Update", "ProcessingTime")

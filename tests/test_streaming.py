@@ -48,20 +48,21 @@ def expected_of(spark, rows, generation, most):
 
 def test_results_in_any_order(spark, tmp_path):
     """Batches in any order end in the rows of merge_search(); answers of an older generation change nothing, whenever they come."""
-    before = spark.conf.get(PROVIDER)
+    before, width = spark.conf.get(PROVIDER), spark.conf.get("spark.sql.shuffle.partitions")
     schema = spark.createDataFrame([], HIT).schema
     with pytest.raises(ValueError, match="RocksDB"):
         spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
         streamed.merged_stream(spark.createDataFrame([], HIT))
     spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # each of them starts a worker for each batch
     try:
         rng = random.Random(4)
         one, two = hits_of(rng, "q", 1, 12) + hits_of(rng, "q", 2, 12), hits_of(rng, "other", 1, 5)
         rows = one + two
         rng.shuffle(rows)
         rows.sort(key=lambda r: (r[1] == 2) * rng.random() < 0.3)  # some of the old generation come first, the others in between and last
-        for k in range(4):
-            spark.createDataFrame(rows[k::4], HIT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for k in range(3):
+            spark.createDataFrame(rows[k::3], HIT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
         q = streamed.merged_stream(stream, per_source=10).writeStream.format("memory").queryName("found").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination(240)
@@ -72,10 +73,12 @@ def test_results_in_any_order(spark, tmp_path):
         assert of("q") == expected_of(spark, one, 2, 10) and of("other") == expected_of(spark, two, 1, 10)
     finally:
         spark.conf.set(PROVIDER, before)
+        spark.conf.set("spark.sql.shuffle.partitions", width)
 
 
 def test_what_a_search_holds_expires(spark, tmp_path):
-    before = spark.conf.get(PROVIDER)
+    before, width = spark.conf.get(PROVIDER), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         hit = lambda generation, source: spark.createDataFrame([("q", generation, source, 0, 1, "n", "a", "u", None, None, None)], HIT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -100,3 +103,4 @@ def test_what_a_search_holds_expires(spark, tmp_path):
         assert [(r.generation, r.offers, r.version) for r in rows] == [(3, 1, 1), (5, 1, 1)]
     finally:
         spark.conf.set(PROVIDER, before)
+        spark.conf.set("spark.sql.shuffle.partitions", width)
