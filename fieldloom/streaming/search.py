@@ -45,7 +45,7 @@ class MergeSearch(StatefulProcessor):
     """State of a search: its generation and its books. It is one value, as a search holds no more than its sources' first hits, and
     each batch reads and writes it once."""
 
-    def __init__(self, keep_ms: int):
+    def __init__(self, keep_ms: int | None):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -69,9 +69,10 @@ class MergeSearch(StatefulProcessor):
         for name in changed:
             books[name]["version"] += 1
         self.state.update((current, json.dumps(books)))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        self.handle.registerTimer(int(time.time() * 1000) + self.keep_ms)
+        if self.keep_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+            self.handle.registerTimer(int(time.time() * 1000) + self.keep_ms)
         out = []
         for name in sorted(changed):
             book = books[name]
@@ -86,15 +87,16 @@ class MergeSearch(StatefulProcessor):
         pass
 
 
-def merged_stream(hits: DataFrame, per_source: int = MOST_PER_SOURCE, keep_ms: int = 600_000) -> DataFrame:
+def merged_stream(hits: DataFrame, per_source: int = MOST_PER_SOURCE, keep_ms: int | None = 600_000) -> DataFrame:
     """A stream of changed books (RESULT) of a stream of hits: search, generation, source, place (the hit's number in its source's
     answer, from 0), arrival, name, author, url, kind, intro, lastChapter. Of a source's answer the first per_source hits
-    count. For writeStream in update mode; the session needs the RocksDB state store."""
+    count. For writeStream in update mode; the session needs the RocksDB state store. What a search holds goes keep_ms after its
+    last hit; None: it stays, as a run that ends with its input (availableNow) wants it, which would wait for all timers."""
     if "RocksDB" not in hits.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass"):
         raise ValueError("set spark.sql.streaming.stateStore.providerClass to the RocksDB provider, which state of this kind needs")
     rows = hits.where(F.col("place") < per_source).withColumn("book", search_key("name", "author", "url")).where("book <> ''")
     rows = rows.select("search", "generation", "book", "source", "url", "arrival", *FIELDS)
-    return rows.groupBy("search").transformWithStateInPandas(MergeSearch(keep_ms), RESULT, "Update", "ProcessingTime")
+    return rows.groupBy("search").transformWithStateInPandas(MergeSearch(keep_ms), RESULT, "Update", "None" if keep_ms is None else "ProcessingTime")
 
 
 def latest_results(changes: DataFrame, keyword: str, most: int | None = MOST_RESULTS) -> DataFrame:

@@ -64,7 +64,7 @@ def test_results_in_any_order(spark, tmp_path):
         for k in range(3):
             spark.createDataFrame(rows[k::3], HIT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-        q = streamed.merged_stream(stream, per_source=10).writeStream.format("memory").queryName("found").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q = streamed.merged_stream(stream, per_source=10, keep_ms=None).writeStream.format("memory").queryName("found").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination(240)
         changes = spark.table("found")
         assert changes.select("version").distinct().count() > 1
