@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, drop_staged, stage, staged_paths
+from .shared import ascii_lower, drop_staged, stage, staging
 
 BLOCK_BYTES = 4096
 
@@ -82,9 +82,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Where ids are unique, rows are dropped by id alone. Otherwise id and normalised text decide, and of rows that
     repeat both one stays."""
-    before = staged_paths(docs.sparkSession)
-    found = stage(deduplicate(docs, id_col, text_col), "dedup")
-    drop_staged(docs.sparkSession, staged_paths(docs.sparkSession) - before - {found.staged_at})
+    with staging() as own:
+        found = stage(deduplicate(docs, id_col, text_col), "dedup")
+        drop_staged(docs.sparkSession, set(own) - {found.staged_at})
     same_id = lambda a, b: a[id_col].eqNullSafe(b[id_col])
     if not found.groupBy(id_col).count().where("count > 1").limit(1).count():
         gone = found.where("NOT kept").select(id_col)

@@ -143,51 +143,75 @@ def alike(rows: DataFrame, prints: DataFrame, pairs: DataFrame, similarity: floa
     return stage(found.where(F.col("both") / either >= similarity).select("a", "b").distinct(), "near-links")
 
 
-def connect(members: DataFrame, names: DataFrame, rows: DataFrame, prints: DataFrame, similarity: float, row_col: str, text_col: str, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """names (fp, label) after linking the texts of each group that are so much alike, and what of members (group, row, fp, n,
-    first) is in a group that isn't connected and hasn't been asked. Of a pair the smaller text, or either of equal ones, is
-    `first`: only those are hubs, and a hub asks the larger texts, and the smaller ones that are first.
+def composed(moves: DataFrame | None, joined: DataFrame) -> DataFrame:
+    """Moves of labels (label, to) after one more step (label, to): labels that moved before follow where theirs went. A label
+    that has moved is nobody's any more, so no label is in both."""
+    if moves is None:
+        return joined
+    after = joined.select(F.col("label").alias("to"), F.col("to").alias("_on"))
+    followed = moves.join(small_side(after), "to", "left").select("label", F.coalesce("_on", "to").alias("to"))
+    return stage(followed.unionByName(joined), "near-moves")
+
+
+def connect(members: DataFrame, rows: DataFrame, prints: DataFrame, similarity: float, row_col: str, text_col: str, rounds: int | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """Where labels go (label, to; None: nowhere) when the texts of each group that are so much alike are linked, and what of
+    members (group, row, label, fp, n, first, rest) is in a group that isn't connected and hasn't been asked. Of a pair the
+    smaller text, or either of equal ones, is `first`: only those are hubs, and a hub asks the larger texts, and the smaller
+    ones that are first. rest is the most that a text may share with others of its group.
 
     Sets that are so much alike have sizes that differ by no more: a group's texts meet in neighbouring size classes. A text
     is a hub in the round in which the expected number of hubs first exceeds a number that its hash gives it; that number
     is 1 at first (a text with the group's least fingerprint is a hub too) and grows fourfold. Between rounds texts are known
-    by the labels of what they are connected with, and only new links are followed."""
+    by the labels of what they are connected with, and only labels that have moved are written again."""
     size_class = F.floor(F.log("n") / F.lit(-math.log(similarity)))
-    members = members.select("row", "fp", "n", "first", "group", F.explode(F.array(size_class, size_class + 1)).alias("class"))
-    members = members.select("row", "fp", "n", "first", F.xxhash64("group", "class").alias("group"))
+    own = ["row", "label", "fp", "n", "first", "rest"]
+    members = members.select(*own, "group", F.explode(F.array(size_class, size_class + 1)).alias("class"))
+    members = members.select(*own, F.xxhash64("group", "class").alias("group"))
     hub = F.min(F.when(F.col("first"), F.struct("fp", "row")))["row"].alias("hub")
-    groups = members.groupBy("group").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), hub, F.count_if("first").alias("size")).where("least <> most AND size > 0").drop("least", "most")
+    groups = members.groupBy("group").agg(F.min("label").alias("least"), F.max("label").alias("most"), hub, F.count_if("first").alias("size")).where("least <> most AND size > 0").drop("least", "most")
     turn = F.when(~F.col("first"), F.lit(math.inf)).when(F.col("row") == F.col("hub"), 0.0).otherwise(F.shiftrightunsigned(F.xxhash64("row", "group"), 11) / F.lit(float(1 << 53)) * F.col("size"))
-    members = members.join(stage(groups, "near-groups").hint("merge"), "group").select("group", "row", "fp", "n", "first", turn.alias("turn"))
+    members = members.join(stage(groups, "near-groups").hint("merge"), "group").select("group", *own, turn.alias("turn"))
+    members, moves = stage(members, "near-members"), None
     wanted, done = 1.0, 0
+    share = similarity / (1 + similarity)  # of both sizes: what two texts that are so much alike have in common at least
     while True:
         # groups in which something isn't connected yet
-        labelled = stage(members.join(small_side(names), "fp"), "near-labelled")
-        apart = labelled.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("first").alias("some")).where("x <> y AND some").select("group")
-        members = stage(labelled.join(small_side(stage(apart, "near-apart")), "group"), "near-members")
+        apart = members.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("first").alias("some")).where("x <> y AND some").select("group")
+        members = stage(members.join(small_side(stage(apart, "near-apart")), "group"), "near-members")
         if done == rounds or not members.limit(1).count():
-            return names, members.select("group", "row", "fp", "n", "first")
-        hubs = members.where(F.col("turn") <= wanted).select("group", F.col("row").alias("second"), F.col("n").alias("m"), F.col("label").alias("b"), F.col("turn").alias("at"))
-        fits = (F.least("n", "m") >= F.greatest("n", "m") * similarity) & (F.col("first") | (F.col("n") >= F.col("m")))
+            return moves, members.select("group", *own)
+        hubs = members.where(F.col("turn") <= wanted).select("group", F.col("row").alias("second"), F.col("n").alias("m"), F.col("label").alias("b"), F.col("turn").alias("at"), F.col("rest").alias("left"))
+        fits = (F.least("n", "m") >= F.greatest("n", "m") * similarity) & (F.col("first") | (F.col("n") >= F.col("m"))) & (F.least("rest", "left") >= (F.col("n") + F.col("m")) * F.lit(share) - 1e-9)
         # of two hubs of a round one asks the other; those of earlier rounds have asked all
         asks = (F.col("turn") > F.col("at")) | (F.col("turn") == F.col("at")) & (F.col("row") > F.col("second"))
         pairs = members.withColumnRenamed("label", "a").join(hubs.hint("merge"), "group").where((F.col("a") != F.col("b")) & asks & fits)
         turned = F.col("row") > F.col("second")
         pick = lambda x, y, name: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name)
         pairs = stage(pairs.select(pick("row", "second", "first"), pick("second", "row", "second"), pick("a", "b", "a"), pick("b", "a", "b")).distinct(), "near-candidates")
+        members = members.where(F.col("turn") > wanted)
         if pairs.limit(1).count():
             new = alike(rows, prints, pairs, similarity, row_col, text_col)
             if new.limit(1).count():
                 ends = new.select(F.col("a").alias("fp")).union(new.select("b")).distinct()
-                joined = simhash.components(new, ends.withColumn("node", F.col("fp"))).select(F.col("fp").alias("label"), F.col("label").alias("_to"))
-                names = stage(names.join(small_side(joined), "label", "left").select("fp", F.coalesce("_to", "label").alias("label")), "near-names")
-        members = members.where(F.col("turn") > wanted).drop("label")
+                joined = simhash.components(new, ends.withColumn("node", F.col("fp"))).select(F.col("fp").alias("label"), F.col("label").alias("to")).where("label <> to")
+                joined = stage(joined, "near-moved")
+                moves = composed(moves, joined)
+                members = members.join(small_side(joined), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
         wanted, done = 4 * wanted, done + 1
 
 
+def moved(names: DataFrame, moves: DataFrame | None) -> DataFrame:
+    """names (fp, label) after the moves of labels."""
+    if moves is None:
+        return names
+    return stage(names.join(small_side(moves), "label", "left").select("fp", F.coalesce("to", "label").alias("label")), "near-names")
+
+
 def rarest(rows: DataFrame, asked: DataFrame, similarity: float, row_col: str, text_col: str) -> DataFrame:
-    """(group, row, first): for each asked row (row) its rarest shingles, as groups, of which it must share one with any asked row
-    that is so much alike, where one of the two, the smaller, has it `first`; groups that can have no pair are left out.
+    """(group, row, first, rest): for each asked row (row) its rarest shingles, as groups, of which it must share one with any asked
+    row that is so much alike, where one of the two, the smaller, has it `first`; groups that can have no pair are left out.
+    rest: how many shingles the row has from this one on, in the order of all. Where this is the rarest that two rows share,
+    they share no more than that.
 
     Sets x, y of likeness t with |x| <= |y| share at least t |y| and at least 2 t / (1 + t) |x| shingles. So the rarest of all
     that they share is among the |y| - t |y| + 1 rarest of y and the |x| - 2 t / (1 + t) |x| + 1 rarest of x, rounded down."""
@@ -198,7 +222,7 @@ def rarest(rows: DataFrame, asked: DataFrame, similarity: float, row_col: str, t
     place = F.row_number().over(Window.partitionBy("row").orderBy("f", "group"))  # of one text's shingles
     found = found.withColumn("place", place + F.col("n") - F.count("*").over(Window.partitionBy("row")))
     rarest_of = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1
-    found = found.where(F.col("place") <= rarest_of(similarity)).select("group", "row", (F.col("place") <= rarest_of(2 * similarity / (1 + similarity))).alias("first"))
+    found = found.where(F.col("place") <= rarest_of(similarity)).select("group", "row", (F.col("place") <= rarest_of(2 * similarity / (1 + similarity))).alias("first"), (F.col("n") - F.col("place") + 1).alias("rest"))
     found = stage(found, "rare-places")
     of_use = found.groupBy("group").agg(F.max("first").alias("some"), F.count("*").alias("f")).where("some AND f > 1").select("group")
     return found.join(of_use.hint("merge"), "group")
@@ -211,13 +235,16 @@ def labels(rows: DataFrame, prints: DataFrame, known: DataFrame, similarity: flo
     nodes = prints.select("fp").distinct()
     found = simhash.components(known, nodes.withColumn("node", F.col("fp")))
     names = stage(nodes.join(small_side(found), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "near-names")
-    members = prints.where("n > 0").select(F.col(row_col).alias("row"), "fp", "n", F.explode("bands").alias("group"), F.lit(True).alias("first"))
-    groups = members.groupBy("group").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select("group")
+    known_as = prints.where("n > 0").join(small_side(names), "fp")
+    members = known_as.select(F.col(row_col).alias("row"), "label", "fp", "n", F.explode("bands").alias("group"), F.lit(True).alias("first"), F.col("n").alias("rest"))
+    groups = members.groupBy("group").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("group")
     members = stage(members.join(stage(groups, "bands").hint("merge"), "group"), "band-members")
-    names, rest = connect(members, names, rows, prints, similarity, row_col, text_col, rounds=1)
+    moves, rest = connect(members, rows, prints, similarity, row_col, text_col, rounds=1)
+    names = moved(names, moves)
     asked = stage(rest.select("row").distinct(), "near-rest")
     if asked.limit(1).count():
-        known_as = prints.join(small_side(asked), prints[row_col] == asked["row"]).select("row", "fp", "n")
+        known_as = prints.join(small_side(asked), prints[row_col] == asked["row"]).select("row", "fp", "n").join(small_side(names), "fp")
         members = stage(rarest(rows, asked, similarity, row_col, text_col).join(known_as, "row"), "rare-members")
-        names, _ = connect(members, names, rows, prints, similarity, row_col, text_col)
+        moves, _ = connect(members, rows, prints, similarity, row_col, text_col)
+        names = moved(names, moves)
     return names

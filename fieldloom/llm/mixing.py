@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, drop_staged, shuffle_width, stage, staged_paths
+from .shared import WORD, drop_staged, identified, lookup_side, shuffle_width, stage, staging
 
 #: Rows that one stratum of a source holds at most, roughly: more hash digits make more strata.
 ROWS_PER_STRATUM = 1 << 20
@@ -86,15 +86,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     return placed.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carry)
 
 
-def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of docs, all columns, each as often as mix() takes it, also where ids repeat or are null."""
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", at_rest: bool = False, **options) -> DataFrame:
+    """The rows of docs, all columns, each as often as mix() takes it, also where ids repeat or are null. at_rest: docs is read
+    from Parquet files as they are (see identified())."""
     spark = docs.sparkSession
-    before = staged_paths(spark)
-    rows = stage(docs.withColumns({"_text": F.xxhash64(text_col), "_row": F.monotonically_increasing_id()}), "mix-rows")
-    taken = mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, carry=("_text", "_row"), **options)
-    taken = stage(taken.where("copies > 0").select("_row", F.col("copies").alias("_copies")), "mix-copies")
-    drop_staged(spark, staged_paths(spark) - before - {rows.staged_at, taken.staged_at})
-    rows = rows.join(taken, "_row")
+    rows = identified(docs, "mix", at_rest)
+    with staging() as own:
+        taken = mix(rows.withColumn("_text", F.xxhash64(text_col)), id_col=id_col, text_col=text_col, source_col=source_col, carry=("_text", "_row"), **options)
+        taken = stage(taken.where("copies > 0").select("_row", F.col("copies").alias("_copies")), "mix-copies")
+        drop_staged(spark, set(own) - {taken.staged_at})
+    rows = rows.join(lookup_side(taken), "_row")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 

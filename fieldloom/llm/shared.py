@@ -8,10 +8,12 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space and the controls from tab to carriage return.
@@ -43,12 +45,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets; it goes when the driver ends, or with drop_staged()."""
     path = f"{shared_dir(spark)}/fieldloom/{name}-{uuid.uuid4().hex}"
     _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if (own := _scope.get()) is not None:
+        own.append(path)
     return path
 
 
-def staged_paths(spark: SparkSession) -> set[str]:
-    """Where this session's staged tables are."""
-    return set(_staged.get(spark.sparkContext.applicationId, []))
+#: The paths that the running scope of this thread has got.
+_scope: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def staging() -> Iterator[list[str]]:
+    """A scope: the list of the paths that this thread gets meanwhile, so that an operator drops its own tables and no others.
+    What is still there in the end belongs to the scope around it."""
+    outer, own = _scope.get(), []
+    token = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
+        if outer is not None:
+            outer.extend(own)
 
 
 def drop_staged(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
@@ -56,8 +73,9 @@ def drop_staged(spark: SparkSession, paths: Iterable[str] | None = None) -> None
     own = _staged.get(spark.sparkContext.applicationId, [])
     for path in list(own if paths is None else paths):
         _delete(spark, path)
-        if path in own:
-            own.remove(path)
+        for listed in (own, _scope.get() or []):
+            if path in listed:
+                listed.remove(path)
 
 
 def _at_exit() -> None:
@@ -126,6 +144,36 @@ def small_side(staged: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(staged) if staged.count() <= most else staged.hint("merge")
 
 
+#: Bits of a row's number for its place in a file; those above are the file's number.
+PLACE_BITS = 40
+
+
+def identified(docs: DataFrame, name: str, at_rest: bool) -> DataFrame:
+    """docs with _row, a number that each row has for itself in every job.
+
+    at_rest says that docs is what Parquet files hold, row by row, as a stage of the pipeline gets it: then a row's file and
+    its place there number it, and nothing is copied. Otherwise, or where there are more files than may be broadcast, the
+    numbers are those of a staged copy."""
+    if at_rest and "_metadata" not in docs.columns:
+        try:
+            placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        except AnalysisException:  # it isn't read from Parquet files
+            placed = None
+        if placed is not None:
+            # a row for each file, numbered in one task
+            files = stage(placed.select("_file").distinct().withColumn("_number", F.row_number().over(Window.orderBy("_file"))), f"{name}-files")
+            if files.count() <= BROADCAST_ROWS:
+                number = F.shiftleft(F.col("_number").cast("long"), PLACE_BITS) + F.col("_at")
+                return placed.join(F.broadcast(files), "_file").select(*[F.col(f"`{c}`") for c in docs.columns], number.alias("_row"))
+    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), f"{name}-rows")
+
+
+def lookup_side(staged: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table of short rows as the side in which the rows of a wide one are looked up: broadcast if counted small, else
+    hashed in each task, so that the wide rows are dealt but not sorted."""
+    return F.broadcast(staged) if staged.count() <= most else staged.hint("shuffle_hash")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

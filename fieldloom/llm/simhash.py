@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_staged, pieces, shuffle_width, small_batches, small_side, stage, staged_paths
+from .shared import drop_staged, identified, lookup_side, pieces, shuffle_width, small_batches, small_side, stage, staging
 
 SEED, SHINGLE = 42, 3
 BITS, SEGMENTS = 64, 32
@@ -134,30 +134,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(small_side(stage(labels, "labels")), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
-    """The rows of docs, all columns, that have the smallest id of their component: exactly one row of each.
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, at_rest: bool = False) -> DataFrame:
+    """The rows of docs, all columns, that have the smallest id of their component: exactly one row of each. at_rest: docs is
+    read from Parquet files as they are (see identified()).
 
     Links are those of near_duplicates(), and with a similarity also those of jaccard.labels(). Rows are told apart by a
     number of their own, so repeated and null ids decide nothing for other rows; a null id comes after all ids, and
     among rows with one id the text's hash decides."""
     spark = docs.sparkSession
-    before = staged_paths(spark)
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    prints = fingerprints(rows, "_row", text_col) if similarity is None else jaccard.sketches(rows, "_row", text_col)
-    prints = stage(prints, "fingerprints")
-    nodes = stage(prints.select("fp").distinct(), "nodes")
-    edges = stage(links(nodes), "links")
-    if similarity is None:
-        found = components(edges, nodes.withColumn("node", F.col("fp")))
-    else:
-        found = jaccard.labels(rows, prints, edges, similarity, "_row", text_col)
-    order = rows.select("_row", F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col), "_row").alias("_order"))
-    found = prints.select("_row", "fp").join(small_side(found), "fp", "left").select("_row", F.coalesce("label", "fp").alias("label"))
-    found = stage(found.join(order.hint("merge"), "_row"), "near-labels")
-    first = found.groupBy("label").agg(F.min("_order").getField("_row").alias("_first"))
-    gone = stage(found.join(first, "label").where("_row <> _first").select("_row"), "near-copies")
-    drop_staged(spark, staged_paths(spark) - before - {rows.staged_at, gone.staged_at})
-    return rows.join(small_side(gone), "_row", "left_anti").select(*docs.columns)
+    rows = identified(docs, "near", at_rest)
+    with staging() as own:
+        prints = fingerprints(rows, "_row", text_col) if similarity is None else jaccard.sketches(rows, "_row", text_col)
+        prints = stage(prints, "fingerprints")
+        nodes = stage(prints.select("fp").distinct(), "nodes")
+        edges = stage(links(nodes), "links")
+        if similarity is None:
+            found = components(edges, nodes.withColumn("node", F.col("fp")))
+        else:
+            found = jaccard.labels(rows, prints, edges, similarity, "_row", text_col)
+        order = rows.select("_row", F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col), "_row").alias("_order"))
+        found = prints.select("_row", "fp").join(small_side(found), "fp", "left").select("_row", F.coalesce("label", "fp").alias("label"))
+        found = stage(found.join(order.hint("merge"), "_row"), "near-labels")
+        first = found.groupBy("label").agg(F.min("_order").getField("_row").alias("_first"))
+        gone = stage(found.join(first, "label").where("_row <> _first").select("_row"), "near-copies")
+        drop_staged(spark, set(own) - {gone.staged_at})
+    return rows.join(lookup_side(gone), "_row", "left_anti").select(*docs.columns)
 
 
 from . import jaccard  # noqa: E402 - it uses the fingerprints above

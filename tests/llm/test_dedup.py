@@ -3,13 +3,14 @@ import random
 import re
 import struct
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fieldloom.llm import exact_dedup, fingerprints, repeats, simhash
+from fieldloom.llm import exact_dedup, fingerprints, jaccard, repeats, shared, simhash
 
 
 def lowered(text):
@@ -344,3 +345,46 @@ def test_empty(none):
     assert simhash.near_duplicates(none).count() == 0
     assert repeats.remove_repeats(none).count() == 0
     assert fingerprints.fingerprint(none).count() == 0
+
+
+def test_rows_by_their_place(spark, edge, tmp_path):
+    """Rows numbered by where they stand in Parquet files, or by a staged copy: the same rows stay, and nothing is copied."""
+    edge.unionByName(edge).repartition(5).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    placed = shared.identified(docs, "placed", True)
+    assert not hasattr(placed, "staged_at") and placed.columns == [*docs.columns, "_row"]
+    numbers = [r._row for r in placed.select("_row").collect()]
+    assert len(set(numbers)) == len(numbers) == docs.count() and numbers == [r._row for r in placed.select("_row").collect()]
+    assert hasattr(shared.identified(docs.limit(5).union(docs.limit(3)), "copied", False), "staged_at")
+    made = spark.range(3).withColumn("text", F.lit("x"))
+    assert shared.identified(made, "made", True).select("_row").distinct().count() == 3
+    key = lambda df: sorted(str(r) for r in df.collect())
+    same = [simhash.drop_near_copies(docs, similarity=0.8, at_rest=flag).select("doc_id", "text").distinct() for flag in (True, False)]
+    assert key(same[0]) == key(same[1])
+
+
+def test_scopes_of_two_threads(spark, edge):
+    """Two operators at once in one session: each drops its own tables only."""
+    with ThreadPoolExecutor(2) as pool:
+        found = list(pool.map(lambda _: sorted(str(r) for r in exact_dedup.drop_copies(edge).collect()), range(2)))
+    assert found[0] == found[1] == sorted(str(r) for r in exact_dedup.drop_copies(edge).collect())
+    with shared.staging() as outer:
+        kept = shared.stage(edge, "outer")
+        with shared.staging() as own:
+            inner, gone = shared.stage(edge, "inner"), shared.stage(edge, "gone")
+            shared.drop_staged(spark, set(own) - {inner.staged_at})
+            assert own == [inner.staged_at]
+        assert outer == [kept.staged_at, inner.staged_at] and kept.count() == inner.count() == edge.count()
+        with pytest.raises(Exception):
+            gone.count()
+
+
+def test_moves_of_labels(spark):
+    """Labels that move more than once end where their last step leads."""
+    step = lambda pairs: shared.stage(spark.createDataFrame(pairs, "label long, to long"), "moves")
+    moves = jaccard.composed(None, step([(5, 3), (6, 3), (9, 8)]))
+    moves = jaccard.composed(moves, step([(3, 1), (8, 2)]))
+    moves = jaccard.composed(moves, step([(2, 1), (7, 4)]))
+    names = spark.createDataFrame([(10 + i, i) for i in range(1, 11)], "fp long, label long")
+    assert {r.fp - 10: r.label for r in jaccard.moved(names, moves).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1, 6: 1, 7: 4, 8: 1, 9: 1, 10: 10}
+    assert jaccard.moved(names, None) is names
