@@ -35,12 +35,12 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group of near copies: texts that share SIMILARITY of their
     5-word shingles, or whose fingerprints differ in at most 2 bits."""
-    return simhash.drop_near_copies(docs, similarity=SIMILARITY)
+    return simhash.drop_near_copies(docs, similarity=SIMILARITY, at_rest=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.take_mix(docs)
+    return mixing.take_mix(docs, at_rest=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
