@@ -253,18 +253,18 @@ RANGE = 1000
 
 def session_ids(books: DataFrame, chapters: DataFrame) -> DataFrame:
     """(book, session): a number that changes when a book's list does. books has book, key, sourceUrl and sourceName; chapters
-    has book, index (from 1), name, url and vip.
+    has book, index (a whole number, mostly from 0 or 1), name, url and vip.
 
     Each row is a map of the hash so far (see folded()), and maps are put together as sums: a row's share is its own part
     times FACTOR to the number of values behind it. That number is counted within ranges of RANGE chapters, whose maps are
     then put together in the same way, so neither a list nor a book's rows are ever gathered. A null text counts as empty."""
     rows = chapters.select("book", "index", F.floor((F.col("index") - 1) / RANGE).alias("part"), *[c.alias(n) for c, n in zip(folded([F.col("index").cast("string"), F.col("name"), F.col("url"), F.when(F.col("vip"), "1").otherwise("0")]), "cn")])
     sizes = chapters.groupBy("book").agg(F.count("*").alias("chapters"))
-    heads = books.join(sizes, "book", "left").select("book", F.lit(-1).cast("long").alias("part"), *[c.alias(n) for c, n in zip(folded([F.col("key"), F.col("sourceUrl"), F.col("sourceName"), F.coalesce("chapters", F.lit(0)).cast("string")]), "cn")])
+    heads = books.join(sizes, "book", "left").select("book", F.lit(None).cast("long").alias("part"), *[c.alias(n) for c, n in zip(folded([F.col("key"), F.col("sourceUrl"), F.col("sourceName"), F.coalesce("chapters", F.lit(0)).cast("string")]), "cn")])
 
     def behind(frame: DataFrame, by: list[str], order: str) -> DataFrame:
-        """c of each row as it counts in the end of its group."""
-        later = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        """c of each row as it counts in the end of its group; a head, whose order is null, comes before all parts."""
+        later = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(F.desc_nulls_last(order)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return frame.withColumn("c", F.col("c") * factor_power(later) % MODULUS)
 
     parts = behind(rows, ["book", "part"], "index").groupBy("book", "part").agg((F.sum("c") % MODULUS).alias("c"), F.sum("n").alias("n"))

@@ -1,5 +1,6 @@
 """Joins by identity, discovery entries, chapter hashes and pagination against plain loops."""
 
+import functools
 import itertools
 import json
 import random
@@ -119,6 +120,16 @@ def test_session_numbers(spark, monkeypatch):
     assert {r.book: r.session for r in found.collect()} == expected
 
 
+def test_a_list_from_zero_stands_behind_its_head(spark):
+    """The head comes before all chapters. Those up to 0 were in one range with it, in any order, and earlier ones in front of it."""
+    books = spark.createDataFrame([(b, f"k{b}") for b in range(300)], "book int, key string").selectExpr("book", "key", "'u' AS sourceUrl", "CAST(NULL AS string) AS sourceName")
+    chapters = spark.range(900).selectExpr("CAST(id % 300 AS int) AS book", "CAST(id div 300 * 1000 - 1500 AS int) AS index", "concat('c', id) AS name", "'x' AS url", "false AS vip")
+    fold = lambda texts: functools.reduce(lambda h, t: functools.reduce(lambda a, x: (a * 33 + x) % (2**31 - 1), [len(t), *t.encode(), 0], h), texts, 5381)
+    expected = {b: fold([f"k{b}", "u", "", "3", *(x for i in range(3) for x in (str(i * 1000 - 1500), f"c{b + 300 * i}", "x", "0"))]) for b in range(300)}
+    found = shelf.session_ids(books, chapters)
+    assert {r.book: r.session for r in found.collect()} == expected
+
+
 def test_a_failing_field_is_left_out_from_there(spark):
     """Each optional field is tried up to the item where it fails first, once for each page; name and address go on."""
     tried = spark.sparkContext.accumulator(0)
