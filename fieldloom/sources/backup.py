@@ -19,6 +19,7 @@ from pyarrow.fs import FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import kept
 from .containers import opened, write_folder, zip_members
 
 #: Members that are read; others are ignored, even broken ones (fixed values).
@@ -272,7 +273,7 @@ def archive_members(spark: SparkSession, path: str, names: Iterable[str] = MEMBE
 def archive_faults(spark: SparkSession, path: str) -> DataFrame:
     """(archive, name, fault): what keeps archives from being read, from their directories alone: "missing" and "duplicate"
     members, "unsafe" names."""
-    listed = zip_members(spark, path, content="false").select("archive", "name")
+    listed = kept(zip_members(spark, path, content="false").select("archive", "name"), "zip-names")
     unsafe = listed.where(F.col("name").rlike(r"[/\\\\]") | F.col("name").isin("", ".", "..")).select("archive", "name", F.lit("unsafe").alias("fault"))
     counts = listed.groupBy("archive").pivot("name", list(MEMBERS)).count().na.fill(0)
     faults = [F.when(F.col(f"`{m}`") != 1, F.struct(F.lit(m).alias("name"), F.when(F.col(f"`{m}`") == 0, "missing").otherwise("duplicate").alias("fault"))) for m in MEMBERS]

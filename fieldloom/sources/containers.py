@@ -1,7 +1,7 @@
 """Zip archives and folders of files as data sources of Spark: a reader that reads what is asked for, and writers that commit.
 
-Reading (format "zip_members"): a row for each file in each zip under the path. A task gets a range of an archive's bytes. It
-reads the directory at the archive's end, and of the members that start in its range those that are wanted: by the options
+Reading (format "zip_members"): a row for each file in each zip under the path. A task gets a range of an archive's bytes, or
+several small archives. It reads the directory at the archive's end, and of the members that start in its range those that are wanted: by the options
 `members` (names between bars) and `pattern`, or by filters on name that Spark pushes down (where
 spark.sql.python.filterPushdown.enabled is set; a reader of one's own then takes the option pushFilters). Only their bytes are read, a chunk at a time; a long member comes as
 several rows.
@@ -23,8 +23,9 @@ import struct
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyarrow import fs
@@ -36,6 +37,8 @@ from ..operators.staging import kept
 
 #: Bytes of an archive in a task, and of content in a row, at most.
 TASK_BYTES, CHUNK_BYTES = 64 << 20, 16 << 20
+#: What opening an archive counts as, in bytes of a task; rows of a batch, at most.
+OPEN_BYTES, BATCH_ROWS = 128 << 10, 1000
 MEMBER = pa.schema([("archive", pa.string()), ("name", pa.string()), ("part", pa.int32()), ("size", pa.int64()), ("content", pa.binary())])
 
 
@@ -45,16 +48,14 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 @dataclass
-class ZipRange(InputPartition):
-    """The members of an archive whose headers start from start on and before stop."""
+class ZipRanges(InputPartition):
+    """What a task reads: a range of a large archive, or many small archives."""
 
-    archive: str
-    start: int
-    stop: int
+    ranges: list[tuple[str, int, int]]
 
-    def __init__(self, archive: str, start: int, stop: int):
+    def __init__(self, ranges: list[tuple[str, int, int]]):
         super().__init__(None)
-        self.archive, self.start, self.stop = archive, start, stop
+        self.ranges = ranges
 
 
 class ZipReader(DataSourceReader):
@@ -75,32 +76,57 @@ class ZipReader(DataSourceReader):
             raise FileNotFoundError(self.options["path"])
         return sorted((f for f in ([info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(path))) if f.type == fs.FileType.File and not f.base_name.startswith((".", "_"))), key=lambda f: f.path)
 
-    def partitions(self) -> list[ZipRange]:
-        """Ranges of all archives, by their lengths alone: no archive is opened here."""
+    def partitions(self) -> list[ZipRanges]:
+        """Ranges of all archives, by their lengths alone: no archive is opened here. Small archives share a task."""
         task = int(self.options.get("taskbytes") or TASK_BYTES)
-        return [ZipRange(f.path, at, at + task) for f in self.archives() for at in range(0, max(1, f.size), task)]
+        out, filled = [], task
+        for f in self.archives():
+            if f.size > task:
+                out += [ZipRanges([(f.path, at, at + task)]) for at in range(0, f.size, task)]
+                filled = task
+                continue
+            filled += f.size + OPEN_BYTES
+            if filled > task:
+                out.append(ZipRanges([]))
+                filled = f.size + OPEN_BYTES
+            out[-1].ranges.append((f.path, 0, f.size + 1))
+        return out
 
     def open(self, path: str):
         return opened(self.options["path"])[0].open_input_file(path)
 
-    def read(self, partition: ZipRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ZipRanges) -> Iterator[pa.RecordBatch]:
+        """Rows in batches of BATCH_ROWS and of the bytes of a chunk, or of a row and one chunk more."""
         chunk = int(self.options.get("chunkbytes") or CHUNK_BYTES)
-        with self.open(partition.archive) as raw, zipfile.ZipFile(raw) as z:
+        rows, held = [], 0
+        for archive, start, stop in partition.ranges:
+            for row in self.members(archive, start, stop, chunk):
+                rows.append(row)
+                held += len(row[4] or b"")
+                if len(rows) >= BATCH_ROWS or held >= chunk:
+                    yield self.batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield self.batch(rows)
+
+    def members(self, archive: str, start: int, stop: int, chunk: int) -> Iterator[tuple]:
+        """The rows of the members that start from start on and before stop."""
+        with self.open(archive) as raw, zipfile.ZipFile(raw) as z:
             for info in z.infolist():
-                if info.is_dir() or not partition.start <= info.header_offset < partition.stop or not self.wanted(info.filename):
+                if info.is_dir() or not start <= info.header_offset < stop or not self.wanted(info.filename):
                     continue
                 if self.options.get("content") == "false":
-                    yield self.row(partition.archive, info, 0, None)
+                    yield archive, info.filename, 0, info.file_size, None
                     continue
                 with z.open(info) as member:
                     part, data = 0, member.read(chunk)
                     while data or not part:
-                        yield self.row(partition.archive, info, part, data)
+                        yield archive, info.filename, part, info.file_size, data
                         part, data = part + 1, member.read(chunk)
 
     @staticmethod
-    def row(archive: str, info: zipfile.ZipInfo, part: int, data: bytes | None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((archive, info.filename, part, info.file_size, data), MEMBER)], schema=MEMBER)
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows), MEMBER)], schema=MEMBER)
 
 
 class PushingZipReader(ZipReader):
@@ -137,28 +163,34 @@ class ZipMembers(DataSource):
 # ---- writing
 
 
+def _times(matrix: Sequence[int], vector: int) -> int:
+    """A linear map over bits, applied to a vector of 32."""
+    out, k = 0, 0
+    while vector:
+        if vector & 1:
+            out ^= matrix[k]
+        vector >>= 1
+        k += 1
+    return out
+
+
+@lru_cache(maxsize=64)
+def _zero_bytes(power: int) -> tuple[int, ...]:
+    """What 2^power zero bytes do to a checksum; 2^-3 is a bit."""
+    if power == -3:
+        return (0xEDB88320, *(1 << k for k in range(31)))  # a zero bit through the reflected polynomial
+    half = _zero_bytes(power - 1)
+    return tuple(_times(half, row) for row in half)
+
+
 def combined_crc(first: int, second: int, length: int) -> int:
     """The CRC-32 of two strings together, from theirs and the second's length: the first one's goes through as many zero bytes,
-    a linear map over bits whose squarings double the bytes."""
-
-    def times(matrix: list[int], vector: int) -> int:
-        out, k = 0, 0
-        while vector:
-            if vector & 1:
-                out ^= matrix[k]
-            vector >>= 1
-            k += 1
-        return out
-
-    one_bit = [0xEDB88320, *(1 << k for k in range(31))]  # a zero bit through the reflected polynomial
-    matrix = one_bit
-    for _ in range(3):  # to a byte
-        matrix = [times(matrix, row) for row in matrix]
-    while length:
-        if length & 1:
-            first = times(matrix, first)
-        matrix = [times(matrix, row) for row in matrix]
-        length >>= 1
+    a linear map over bits whose squarings, worked out once, double the bytes."""
+    power = 0
+    while first and length >> power:
+        if length >> power & 1:
+            first = _times(_zero_bytes(power), first)
+        power += 1
     return first ^ second
 
 
@@ -241,15 +273,17 @@ class FolderWriter(DataSourceArrowWriter):
         self.path = options["path"].rstrip("/")
         parent, _, own = self.path.rpartition("/")
         self.draft = f"{parent}/.{own}.{uuid.uuid4().hex}"
+        self.system, self.attempt = None, ""
 
     def target(self, name: str) -> tuple[_Hashed, str]:
         """A new file in the draft; each attempt of a task writes files of its own, of which commit() takes those told of."""
         if name in ("", ".", "..") or "/" in name or "\\" in name:
             raise ValueError(f"unsafe file name: {name!r}")
-        system, draft = opened(self.draft)
-        attempt = f"{draft}/{uuid.uuid4().hex}"
-        system.create_dir(attempt, recursive=True)
-        return _Hashed(system.open_output_stream(f"{attempt}/{name}")), f"{attempt}/{name}"
+        if self.system is None:
+            self.system, draft = opened(self.draft)
+            self.attempt = f"{draft}/{uuid.uuid4().hex}"
+            self.system.create_dir(self.attempt, recursive=True)
+        return _Hashed(self.system.open_output_stream(f"{self.attempt}/{name}")), f"{self.attempt}/{name}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         """Rows (file, content), the pieces of a file one after the other."""

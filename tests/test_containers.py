@@ -80,6 +80,29 @@ def test_ranges_hold_each_member_once(folder):
     assert [r["content"] for r in rows if r["name"] == "empty.txt"] == [b""]
 
 
+def test_small_archives_share_a_task(tmp_path):
+    """A task for each archive, and a batch for each member, were what reading many of them took longest for."""
+    for k in range(700):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w") as z:
+            z.writestr("a.json", str(k))
+            z.writestr("b.json", "x" * k)
+    reader = containers.ZipReader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    batches = [b for p in parts for b in reader.read(p)]
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert len(parts) == 2 and len(batches) == 3
+    assert sorted(int(r["content"]) for r in rows if r["name"] == "a.json") == list(range(700)) and sum(len(r["content"]) for r in rows if r["name"] == "b.json") == 700 * 699 // 2
+
+
+def test_checksums_are_combined_by_maps_made_once():
+    rng = random.Random(5)
+    containers._zero_bytes.cache_clear()
+    for _ in range(200):
+        a, b = rng.randbytes(rng.randint(0, 900)), rng.randbytes(rng.randint(0, 900))
+        assert containers.combined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    assert containers._zero_bytes.cache_info().misses <= 13  # a bit, and up to 512 bytes
+
+
 def test_reading_by_spark(spark, folder):
     members = containers.zip_members(spark, str(folder))
     assert members.where("name = 'm3.json'").count() == 3
