@@ -23,7 +23,7 @@ from ..plans.errors import RuleError
 from ..plans.lexer import split_plain
 from .jsonpath import Step, _unquote, parse, text_of
 from .staging import kept
-from .trees import pairs_below, values_in_order
+from .trees import dealt, pairs_below, values_in_order
 
 
 def _kind(v: Column) -> Column:
@@ -72,7 +72,7 @@ def shred_json(df: DataFrame, id_col: str, col: str) -> DataFrame:
     numbers = kept(merged.select("doc_id", "path", "node_id", "last_id", "_v.*"), "json-numbers")
     parent = F.when(F.size("path") > 0, F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))))
     up = numbers.select(F.col("doc_id").alias("_d"), F.col("path").alias("_p"), F.col("node_id").alias("_n"))
-    joined = numbers.join(up, (F.col("doc_id") == F.col("_d")) & (parent == F.col("_p")), "left").withColumn("parent_id", F.coalesce("_n", F.lit(-1)))
+    joined = numbers.join(dealt(up), (F.col("doc_id") == F.col("_d")) & (parent == F.col("_p")), "left").withColumn("parent_id", F.coalesce("_n", F.lit(-1)))
     return kept(
         joined.select(
             "doc_id", "node_id", "last_id", F.max("last_id").over(own).alias("doc_last"), "parent_id", F.size("path").alias("depth"), "key", F.when(F.size("path") > 0, F.element_at("path", -1)).alias("pos"),
@@ -131,11 +131,11 @@ class Planner:
         if text.startswith("@"):
             own = frame.select("doc_id", F.col("node_id").alias("ctx"), F.lit(0).alias("place"), "node_id").distinct()
             found = self.follow(own, parse("$" + text[1:]))
-            values = found.join(self.nodes.select("doc_id", "node_id", "kind", "value"), ["doc_id", "node_id"])
+            values = found.join(dealt(self.nodes.select("doc_id", "node_id", "kind", "value")), ["doc_id", "node_id"])
             name = f"_f{len(frame.columns)}"
             first = values.groupBy("doc_id", "ctx").agg(F.min_by(F.struct("kind", "value", "node_id"), "place").alias(name))
             first = first.select(F.col("doc_id").alias("_d"), F.col("ctx").alias("_n"), name)
-            joined = frame.join(first, (F.col("doc_id") == F.col("_d")) & (F.col("node_id") == F.col("_n")), "left").drop("_d", "_n")
+            joined = frame.join(dealt(first), (F.col("doc_id") == F.col("_d")) & (F.col("node_id") == F.col("_n")), "left").drop("_d", "_n")
             return joined, Operand(F.col(f"{name}.kind"), F.col(f"{name}.value"), F.col(f"{name}.node_id"))
         value = _unquote(text)
         if text[:1] not in ("'", '"'):
@@ -169,7 +169,7 @@ class Planner:
             if a.node is None:
                 return frame, a.there & a.text.contains(b.text)
             members = self.nodes.where("key IS NULL AND parent_id >= 0").select(F.col("doc_id").alias("_d"), F.col("parent_id").alias("_n"), F.col("value").alias("_v")).distinct().withColumn(name, F.lit(True))
-            frame = frame.join(members, (F.col("doc_id") == F.col("_d")) & (a.node == F.col("_n")) & (b.text == F.col("_v")), "left").drop("_d", "_n", "_v")
+            frame = frame.join(dealt(members), (F.col("doc_id") == F.col("_d")) & (a.node == F.col("_n")) & (b.text == F.col("_v")), "left").drop("_d", "_n", "_v")
             return frame, a.there & F.when(a.kind == "array", F.col(name).isNotNull()).otherwise(a.text.contains(b.text))
         m = re.fullmatch(r"(.+?)\s*(==|!=|<=|>=|<|>)\s*(.+)", condition, re.DOTALL)
         if not m:
@@ -197,7 +197,7 @@ class Planner:
                 out = found if out is None else out.unionByName(found)
             return out
         if kind == "deep":
-            ranged = now.join(self.nodes.select("doc_id", "node_id", "last_id"), ["doc_id", "node_id"])
+            ranged = now.join(dealt(self.nodes.select("doc_id", "node_id", "last_id")), ["doc_id", "node_id"])
             return pairs_below(ranged, self.nodes, ["ctx", "place"], own=True).withColumn("_o", F.array(F.col("node_id").cast("long"))).select(*columns)
         members = self.nodes
         if kind == "name":
@@ -210,7 +210,7 @@ class Planner:
             members = members.withColumn("_s", _sliced(F.col("pos"), F.col("of"), *arg)).where("_s IS NOT NULL")
         order = F.col("_s") if kind == "slice" else F.col("pos").cast("long")
         up = now.select(F.col("doc_id").alias("_d"), "ctx", "place", F.col("node_id").alias("_n"))
-        found = members.join(up, (F.col("doc_id") == F.col("_d")) & (F.col("parent_id") == F.col("_n"))).withColumn("_o", F.array(order))
+        found = members.join(dealt(up), (F.col("doc_id") == F.col("_d")) & (F.col("parent_id") == F.col("_n"))).withColumn("_o", F.array(order))
         if kind == "filter":
             found, holds = self._holds(found.select(*columns, "kind", "value"), arg)
             found = found.where(holds)
@@ -231,7 +231,7 @@ class Planner:
         """doc_id, place (sorts them) and the node columns of what a path finds."""
         root = self.nodes.where("node_id = 0").select("doc_id", F.lit(0).alias("ctx"), F.lit(0).alias("place"), "node_id")
         found = self.follow(root, parse(path)).select("doc_id", "place", "node_id")
-        return found.join(self.nodes, ["doc_id", "node_id"])
+        return found.join(dealt(self.nodes), ["doc_id", "node_id"])
 
 
 def json_rows(nodes: DataFrame, path: str) -> DataFrame:
@@ -241,7 +241,7 @@ def json_rows(nodes: DataFrame, path: str) -> DataFrame:
     marked = found.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id")))
     alone = (F.col("_n") == 1) & (F.col("kind") == "array")
     whole = marked.where(alone).select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_p"))
-    members = nodes.join(whole, (F.col("doc_id") == F.col("_d")) & (F.col("parent_id") == F.col("_p"))).drop("_d", "_p").withColumn("place", F.col("pos"))
+    members = nodes.join(dealt(whole), (F.col("doc_id") == F.col("_d")) & (F.col("parent_id") == F.col("_p"))).drop("_d", "_p").withColumn("place", F.col("pos"))
     return marked.where(~alone).drop("_n").unionByName(members)
 
 

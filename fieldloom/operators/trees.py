@@ -58,6 +58,13 @@ def blocks_of(number: Column, last: Column) -> Column:
     return F.transform(levels, lambda k: F.struct(k.alias("level"), F.call_function("shiftright", number.cast("long"), k).alias("block")))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows of a tree for a join that deals both sides by key. By the size of its files, a few MB in packed columns, Spark takes
+    a written tree for something to broadcast, and what is exploded from it too; as rows it is many times that, and each
+    such join would put it together in the driver."""
+    return rows.hint("merge")
+
+
 def pairs_below(contexts: DataFrame, nodes: DataFrame, keep: Sequence[str], own: bool = False) -> DataFrame:
     """A row for each context and each of `nodes` below it (own: or the context itself): the contexts' columns `keep`, and
     doc_id and node_id of the node. Contexts have node_id and last_id; nodes have node_id and doc_last, their document's last
@@ -66,7 +73,7 @@ def pairs_below(contexts: DataFrame, nodes: DataFrame, keep: Sequence[str], own:
     left = contexts.select("doc_id", *keep, F.inline(covering_blocks(first, F.col("last_id").cast("long"))).alias("level", "block"))
     right = nodes.select("doc_id", "node_id", F.inline(blocks_of(F.col("node_id"), F.col("doc_last"))).alias("level", "block"))
     left = left.select(F.col("doc_id").alias("_d"), F.col("level").alias("_l"), F.col("block").alias("_b"), *keep)
-    return left.join(right, (F.col("_d") == F.col("doc_id")) & (F.col("_l") == F.col("level")) & (F.col("_b") == F.col("block"))).select("doc_id", *keep, "node_id")
+    return left.join(dealt(right), (F.col("_d") == F.col("doc_id")) & (F.col("_l") == F.col("level")) & (F.col("_b") == F.col("block"))).select("doc_id", *keep, "node_id")
 
 
 def _marked(nodes: DataFrame, others: DataFrame, columns: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:

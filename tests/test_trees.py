@@ -252,3 +252,12 @@ def test_items_and_fields_of_many_rules(spark, table, pages):
                         if any(values):
                             expected[rule, page, item, field] = "\n".join(v for v in values if v)
     assert found == expected and len({k[3] for k in found}) == 4
+
+
+def test_trees_are_not_put_together_in_the_driver(spark, capsys):
+    """Joins with a written tree deal both sides, whatever the size of its files says."""
+    docs = spark.createDataFrame([(1, '{"items": [{"a": 1}, {"a": 2, "b": {"a": 3}}]}')], "id int, j string")
+    found = json_tree.json_values(json_tree.shred_json(docs, "id", "j"), {"deep": "$..a", "all": "$.items[*].*", "some": "$.items[?(@.a > 1)].a"})
+    found.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    assert found.select("deep", "some").collect()[0] == (["1", "2", "3"], ["2"])
