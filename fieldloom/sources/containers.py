@@ -439,7 +439,8 @@ def write_archives(pieces: DataFrame, path: str, mode: str = "error") -> None:
     whole = ranges.groupBy(*entry).agg(F.collect_list(F.struct("range", "crc", "raw")).alias("s"), F.sum("raw").alias("size"), F.sum("held").alias("held"), F.first("stored").alias("_stored"))
     whole = whole.select(*entry, _whole_crc(F.col("s")).alias("_crc"), "size", (F.col("held") + F.when(F.col("_stored"), 0).otherwise(len(LAST_BLOCK))).alias("packed"))
     rows = packed.drop("crc", "raw").join(whole, entry).withColumnRenamed("_crc", "crc")
-    ordered = rows.repartition("file").sortWithinPartitions("file", "rank", "name", "pos")
+    # by number: so many tasks write, however small the archives are
+    ordered = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").sortWithinPartitions("file", "rank", "name", "pos")
     ordered.select("file", "name", "stored", "crc", "packed", "size", "content").write.format("zip_archives").mode("overwrite" if mode == "overwrite" else "append").save(path)
 
 

@@ -187,3 +187,10 @@ def test_records_as_a_member(spark, tmp_path):
     assert json.loads((tmp_path / "s" / "bookshelf.json").read_text()) == [{"id": i} for i in range(500)]
     found = backup.read_state(spark, str(tmp_path / "s"))
     assert backup.records(found, "bookshelf.json").count() == 500 and backup.records(found, "readRecord.json").count() == 0
+
+
+def test_books_are_dealt_once_for_all_documents(spark, capsys):
+    """Each of an EPUB's documents used to deal and number all chapters for itself."""
+    sections = spark.createDataFrame([("b", "me", 1, "t", "x")], "book string, author string, index int, title string, content string")
+    books.epub_pieces(sections).explain()
+    assert capsys.readouterr().out.count("row_number()") <= 4
