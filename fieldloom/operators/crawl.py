@@ -264,11 +264,12 @@ def chapter_list(start: DataFrame, pages: DataFrame, rules: Mapping[str, str], m
     return rows.withColumns({"page_url": F.col("url"), "url": url} | flags).select("book", "index", "name", "url", "isVip", "isPay", "isVolume", "updateTime", "page_url")
 
 
-def chapter_content(start: DataFrame, pages: DataFrame, rules: Mapping[str, str], title: str | None = None, most: int = CONTENT_PAGES) -> DataFrame:
+def chapter_content(start: DataFrame, pages: DataFrame, rules: Mapping[str, str], title: str | None = None, most: int = CONTENT_PAGES, exact_title: bool = False) -> DataFrame:
     """(book, title, text): the contents of all pages of each chapter, in order, cleaned. start has book (the chapter) and url.
 
     Pages are joined by a blank line; subContent follows; replaceRegex runs over the markup before it is flattened. The
-    title comes from the first page, or from the column that `title` names."""
+    title comes from the first page, or from the column that `title` names. A first line that ends with it, marks aside, is
+    left out; with exact_title one that is the title sign by sign."""
     order = start.select("book", "url", F.lit("").alias("path"))
     if rules.get("nextContentUrl"):
         order = frontier(start, lambda wanted: next_links(wanted.join(pages, "url"), rules["nextContentUrl"]), most)
@@ -287,7 +288,7 @@ def chapter_content(start: DataFrame, pages: DataFrame, rules: Mapping[str, str]
 
     @F.pandas_udf("string")
     def cleaned(raws: pd.Series, titles: pd.Series) -> pd.Series:
-        return pd.Series([without_title(clean_lines(html_to_text(e.apply_text_rule(r or "", replace_rule, child_context(Context())))), t)[0] for r, t in zip(raws, titles)])
+        return pd.Series([without_title(clean_lines(html_to_text(e.apply_text_rule(r or "", replace_rule, child_context(Context())))), t, exact=exact_title)[0] for r, t in zip(raws, titles)])
 
     return whole.select("book", "title", cleaned("raw", "title").alias("text"))
 
