@@ -132,7 +132,7 @@ def state_shelf(spark: SparkSession, d: str) -> DataFrame:
 def epub_chapters(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as EPUB files, and their chapters read out of these."""
     c = t(spark, d, "conversations").where("text IS NOT NULL")
-    first = Window.partitionBy("conv_id").orderBy("turn")
+    first = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     sections = c.select(F.col("conv_id").alias("book"), F.col("turn").alias("index"), F.col("role").alias("title"), F.col("text").alias("content"), F.lit("several").alias("author"))
     path = _new_folder(spark, "epubs")
     books.write_epubs(sections, path)

@@ -19,14 +19,15 @@ def chapter_html(title: Column, text: Column) -> Column:
     return F.concat(head, xml_escape(title), F.lit("</h1>\n"), paragraphs(text), F.lit("\n</body></html>"))
 
 
-def over_cap(sections: DataFrame, book: str = "book", most_chapters: int = MOST_CHAPTERS, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(book, chapters, bytes, over): whether a book passes the limits on chapters and bytes."""
+def over_cap(sections: DataFrame, book: str = "book", most_chapters: int | None = MOST_CHAPTERS, most_bytes: int | None = MOST_BYTES) -> DataFrame:
+    """(book, chapters, bytes, over): whether a book passes the limits on chapters and bytes; None is no limit."""
     out = sections.groupBy(book).agg(F.count("*").alias("chapters"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"))
-    return out.withColumn("over", (F.col("chapters") > most_chapters) | (F.col("bytes") > most_bytes))
+    beyond = lambda c, most: F.lit(False) if most is None else F.col(c) > most
+    return out.withColumn("over", beyond("chapters", most_chapters) | beyond("bytes", most_bytes))
 
 
-def within_cap(sections: DataFrame, book: str = "book", **limits: int) -> DataFrame:
-    """Sections of books within the limits; over_cap() lists the others. What makes a whole book out of its sections takes
+def within_cap(sections: DataFrame, book: str = "book", **limits: int | None) -> DataFrame:
+    """Sections of books within the limits; over_cap() lists the others. What makes one text out of a book's sections takes
     these alone, so a book fits a task."""
     small = over_cap(sections, book, **limits).where("NOT over").select(book)
     return sections.join(small, book, "left_semi")
@@ -64,17 +65,20 @@ BEYOND = 1 << 40
 
 
 def epub_pieces(sections: DataFrame, **limits: int) -> DataFrame:
-    """Rows for containers.write_archives(): the EPUBs of books within the cap, from sections (book, author, index, title,
-    content). Files are named after the books.
+    """Rows for containers.write_archives(): the EPUBs of all books, from sections (book, author, index, title, content).
+    Files are named after the books. Only a caller who gives limits (see over_cap()) leaves out the books beyond them.
 
     Documents that list all chapters (the package, the contents for readers of either version) are made of a piece for each
-    chapter and a few around them, so no task ever has a book or a list of its chapters."""
-    rows = within_cap(sections, **limits)
-    number = F.row_number().over(Window.partitionBy("book").orderBy("index")).cast("long")
+    chapter and a few around them, so no row ever has a book or a list of its chapters. A task that numbers a book's chapters
+    sorts them, on disk where they are many."""
+    rows = within_cap(sections, **({"most_chapters": None, "most_bytes": None} | limits)) if limits else sections
+    # chapters with one index in the order of what they hold
+    number = F.row_number().over(Window.partitionBy("book").orderBy("index", "title", "content")).cast("long")
     file = F.concat(safe_name(F.col("book").cast("string")), F.lit(".epub"))
     chapters = rows.select(file.alias("file"), F.col("book").cast("string").alias("book"), number.alias("n"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("text"))
-    heads = rows.groupBy("book").agg(F.min_by("author", "index").alias("author")).select(file.alias("file"), xml_escape(F.col("book").cast("string")).alias("book"), xml_escape(F.coalesce("author", F.lit(""))).alias("author"))
-    page = F.concat(F.lit("text/"), F.lpad(F.col("n").cast("string"), 6, "0"), F.lit(".xhtml"))
+    heads = rows.groupBy("book").agg(F.min_by("author", "index").alias("author")).select(file.alias("file"), xml_escape(F.coalesce(F.col("book").cast("string"), F.lit(""))).alias("book"), xml_escape(F.coalesce("author", F.lit(""))).alias("author"))
+    digits = F.col("n").cast("string")
+    page = F.concat(F.lit("text/"), F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0")), F.lit(".xhtml"))
     xml = '<?xml version="1.0" encoding="UTF-8"?>\n'
 
     def piece(rank: int, name: str | Column, pos: int | Column, *texts: str | Column, stored: bool = False) -> Column:
@@ -105,5 +109,6 @@ def epub_pieces(sections: DataFrame, **limits: int) -> DataFrame:
 
 
 def write_epubs(sections: DataFrame, path: str, mode: str = "error", **limits: int) -> None:
-    """An EPUB file for each book of sections (book, author, index, title, content) within the cap, in a folder at path."""
+    """An EPUB file for each book of sections (book, author, index, title, content), in a folder at path; with limits, for
+    each book within them."""
     write_archives(epub_pieces(sections, **limits), path, mode)

@@ -194,3 +194,24 @@ def test_books_are_dealt_once_for_all_documents(spark, capsys):
     sections = spark.createDataFrame([("b", "me", 1, "t", "x")], "book string, author string, index int, title string, content string")
     books.epub_pieces(sections).explain()
     assert capsys.readouterr().out.count("row_number()") <= 4
+
+
+def test_epubs_of_long_books_have_all_chapters(spark, tmp_path):
+    """Books of over 5000 chapters or 25 MiB used to be left out, and numbers from a million on were cut to six digits."""
+    long = spark.range(1_000_002).selectExpr("'long' AS book", "'me' AS author", "id AS index", "'t' AS title", "'x' AS content")
+    names = books.epub_pieces(long).where("name LIKE 'text/%'").select("name")
+    assert names.distinct().count() == 1_000_002 and names.where("name IN ('text/000001.xhtml', 'text/1000002.xhtml')").count() == 2
+    large = spark.range(3).selectExpr("'large' AS book", "'me' AS author", "id AS index", "'t' AS title", "repeat('x', 9 * 1024 * 1024) AS content")
+    books.write_epubs(large.unionByName(long.where("index < 5001")), str(tmp_path / "out"))
+    count = lambda book: sum(n.startswith("text/") for n in zipfile.ZipFile(tmp_path / "out" / f"{book}.epub").namelist())
+    assert count("long") == 5001 and count("large") == 3
+
+
+def test_chapters_of_one_index_are_numbered_alike(spark):
+    """In the order of what they hold, however rows arrive."""
+    rows = [("b", "me", 1, t, c) for t in "ba" for c in "dc"]
+    found = set()
+    for some in (rows, rows[::-1]):
+        pieces = books.epub_pieces(spark.createDataFrame(some, "book string, author string, index int, title string, content string").coalesce(1))
+        found.add(tuple(sorted((r.name, r.content) for r in pieces.where("name LIKE 'text/%'").collect())))
+    assert len(found) == 1
