@@ -170,14 +170,14 @@ def explore_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH v AS (SELECT conv_id, turn, [turn::VARCHAR, role, text[1:60], CASE WHEN turn % 2 = 0 THEN '1' ELSE '0' END] AS x FROM conversations),
+WITH v AS (SELECT conv_id, turn, [turn::VARCHAR, role, text, CASE WHEN turn % 2 = 0 THEN '1' ELSE '0' END] AS x FROM conversations),
 h AS (SELECT conv_id, ['k' || conv_id, 'u', '', count(*)::VARCHAR] || flatten(list(x ORDER BY turn)) AS t FROM v GROUP BY 1),
 b AS (SELECT conv_id, list_prepend(5381::BIGINT, flatten([[strlen(s)] || [('0x' || substr(hex(s), 2 * i + 1, 2))::BIGINT FOR i IN range(0, strlen(s))] || [0] FOR s IN t])) AS n FROM h)
 SELECT conv_id AS book, list_reduce(n, lambda a, x: (a * 33 + x) % 2147483647) AS session FROM b
 """)
 def list_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """The number by which a book's list is known, over the bytes of all its chapters."""
-    c = t(spark, d, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("index"), F.col("role").alias("name"), F.substring("text", 1, 60).alias("url"), (F.col("turn") % 2 == 0).alias("vip"))
+    """The number by which a book's list is known, over all bytes of all its chapters; whole texts stand for addresses."""
+    c = t(spark, d, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("index"), F.col("role").alias("name"), F.col("text").alias("url"), (F.col("turn") % 2 == 0).alias("vip"))
     head = c.select("book").distinct().select("book", F.concat(F.lit("k"), "book").alias("key"), F.lit("u").alias("sourceUrl"), F.lit(None).cast("string").alias("sourceName"))
     return shelf.session_ids(head, c)
 

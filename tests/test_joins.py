@@ -7,6 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from fieldloom import catalog_io
 from fieldloom.functions.text import match_name
 from fieldloom.operators import crawl, search, shelf
 from fieldloom.operators.evaluate import register_rule_function
@@ -130,6 +131,15 @@ def test_a_list_from_zero_stands_behind_its_head(spark):
     assert {r.book: r.session for r in found.collect()} == expected
 
 
+def test_sessions_tell_texts_apart_that_begin_alike(spark, tmp_path):
+    """The query used to take the first sixty characters of a text."""
+    rows = [(i, 0, "user", "é" * 60 + end) for i, end in enumerate(["", "a", "b", "b" * 5000])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    fold = lambda texts: functools.reduce(lambda h, t: functools.reduce(lambda a, x: (a * 33 + x) % (2**31 - 1), [len(t.encode()), *t.encode(), 0], h), texts, 5381)
+    found = catalog_io.list_sessions(spark, str(tmp_path)).collect()
+    assert {r.book: r.session for r in found} == {i: fold([f"k{i}", "u", "", "1", "0", "user", text, "1"]) for i, _, _, text in rows}
+
+
 def test_a_failing_field_is_left_out_from_there(spark):
     """Each optional field is tried up to the item where it fails first, once for each page; name and address go on."""
     tried = spark.sparkContext.accumulator(0)
